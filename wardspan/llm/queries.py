@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from wardspan.llm import bpe, exact, matroska, packing
+from wardspan.llm import bpe, exact, langid, licenses, matroska, packing, pii, sharding
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_matroska": matroska.op2_matroska,
+    "op3_pii": pii.op3_pii,
+    "op4_licenses": licenses.op4_licenses,
+    "op5_extendible_hashing": sharding.op5_extendible_hashing,
+    "op7_language": langid.op7_language,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
     "op10_exact_dedup": exact.op10_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op5_extendible_hashing": sharding.OP5_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
 }
