@@ -1,15 +1,70 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences out.
+
+Each stage calls one operator of wardspan.llm on all rows that the stage before
+it kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wardspan.llm import exact, langid, minhash, packing, pii
+from wardspan.llm.base import cut, documents
+
+#: A text with a smaller share of known n-grams is in no known language.
+LEAST_LANGUAGE_SCORE = 0.1
+#: Near duplicates: shingles of so many words, and at least so many hundredths alike.
+SHINGLE_WORDS, NEAR_PERCENT = 5, 80
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter or in no known language; a missing lang is filled in."""
+    found = langid.language_of(langid.fit(docs), spark)
+    told = docs.withColumn("told_", found("text")).filter(f"told_.lang_pred <> 'und' AND told_.score >= {LEAST_LANGUAGE_SCORE}")
+    return told.withColumn("lang", F.coalesce("lang", "told_.lang_pred")).select(docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of equal texts."""
+    return exact.drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    groups = minhash.near_groups(docs, SHINGLE_WORDS, NEAR_PERCENT)
+    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data in the texts."""
+    return docs.withColumn("text", pii.mask_pii("text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", language),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("personal_data", personal_data),
+    ("sequences", sequences),
+]
 
-STAGES: list = []
+#: No stage but the second can be told in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The last stage's rows over all documents; lineage is cut between stages."""
+    docs = documents(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
     return docs

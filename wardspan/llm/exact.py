@@ -67,9 +67,14 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_groups() keeps, with all columns of df."""
-    gone = exact_groups(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("gone_"))
-    return df.join(gone, F.col(id_col).eqNullSafe(F.col("gone_")), "left_anti")
+    """One row of each group of exact_groups(), with all columns of df; of repeated rows with one id, any."""
+    groups = cut(exact_groups(df, id_col, text_col).select(F.col(id_col).alias("of_"), "kept"))
+    same = F.col(id_col).eqNullSafe(F.col("of_"))
+    left = df.join(groups.filter(~F.col("kept")).select("of_"), same, "left_anti")
+    repeated = cut(groups.filter("kept").groupBy("of_").agg(F.count(F.lit(1)).alias("n_")).filter("n_ > 1").select("of_"))
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([id_col]))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

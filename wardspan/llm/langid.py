@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm.base import cut, documents, explode_texts, map_texts
+from wardspan.llm.base import cut, documents, explode_texts, map_texts, slices
 
 SIZES = (3, 4)
 SLOTS = 1 << 18
@@ -152,6 +152,17 @@ def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, total
 
 
+def decide(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    if not model.languages:
+        return ["und"] * len(texts), np.zeros(len(texts))
+    found, total = scores(model, texts)
+    best = found.argmax(axis=1)
+    has = [bool(_LETTER.search(t)) for t in texts]
+    share = np.clip(found[np.arange(len(texts)), best] / np.maximum(total, 1), 0, 1)
+    return [model.languages[b] if y else "und" for b, y in zip(best, has)], np.where(has, share, 0.0)
+
+
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score, the share of n-grams in the language's filter.
 
@@ -164,19 +175,30 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         known = shared.value
 
         def call(texts):
-            if not known.languages:
-                return {"lang_pred": pa.array(["und"] * len(texts)), "score": np.zeros(len(texts))}
-            found, total = scores(known, texts)
-            best = found.argmax(axis=1)
-            has = [bool(_LETTER.search(t)) for t in texts]
-            share = np.clip(found[np.arange(len(texts)), best] / np.maximum(total, 1), 0, 1)
-            return {"lang_pred": pa.array([known.languages[b] if y else "und" for b, y in zip(best, has)]), "score": np.where(has, share, 0.0)}
+            pred, score = decide(known, texts)
+            return {"lang_pred": pa.array(pred, pa.string()), "score": score}
 
         return call
 
     return map_texts(df, make, "lang_pred string, score double", id_col, text_col)
 
 
+def language_of(model: Model, spark: SparkSession):
+    """A function of a text column that gives a struct of lang_pred and score, as predict() has them; null is ``und``."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def call(texts: pa.Array) -> pa.Array:
+        known, pred, score = shared.value, [], []
+        for _, part in slices([None] * len(texts), [t or "" for t in texts.to_pylist()]):
+            p, s = decide(known, part)
+            pred += p
+            score.append(s)
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], ["lang_pred", "score"])
+
+    return call.asNondeterministic()  # else a filter on it and a projection of it each run it
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = predict(docs, fit(docs))

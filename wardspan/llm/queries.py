@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from wardspan.llm import bpe, exact, langid, licenses, matroska, packing, pii, sharding
+from wardspan.llm import bpe, exact, langid, licenses, matroska, minhash, packing, pii, sharding, suffixes
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -12,7 +12,9 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_licenses": licenses.op4_licenses,
     "op5_extendible_hashing": sharding.op5_extendible_hashing,
+    "op6_minhash": minhash.op6_minhash,
     "op7_language": langid.op7_language,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
     "op10_exact_dedup": exact.op10_exact_dedup,
     "pipeline": corpus_pipeline.run,
