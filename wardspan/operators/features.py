@@ -138,30 +138,20 @@ def burst_ratio(top: Column, mean: Column, floor: bool = False) -> Column:
 def cloud_user_day(df: DataFrame, with_new: bool = True) -> DataFrame:
     """Twelve features of each user and UTC day of events (user, event_ts, action, resource, ip_address).
 
-    new_action_count counts a day's actions that no earlier day of the user has;
-    it comes of each action's first day, in the same aggregation.
+    new_action_count counts a day's actions that no earlier day of the user has.
+    It comes of each action's first day, a minimum that is summed up before the
+    shuffle, so no history is collected or sorted.
     """
     action, resource, ip = F.lower(F.trim("action")), F.trim("resource"), F.trim("ip_address")
     flags = P.cloud_flags(F.col("action"), F.col("resource"))
-    day = F.to_date("event_ts")
-    by_action = df.groupBy("user", day.alias("day"), action.alias("act")).agg(
-        F.count(F.lit(1)).alias("event_count"),
-        F.collect_set(F.nullif(resource, F.lit(""))).alias("resources"),
-        F.collect_set(F.when(~ip.isin(LOCAL_ADDRESSES), ip)).alias("ips"),
-        count_where(T.off_hours(F.col("event_ts"))).alias("after_hours_events"),
+    day = F.to_date("event_ts").alias("day")
+    out = df.groupBy("user", day).agg(
+        F.count(F.lit(1)).alias("event_count"), F.countDistinct(action).alias("unique_actions"), F.countDistinct(F.nullif(resource, F.lit(""))).alias("unique_resources"),
+        F.countDistinct(F.when(~ip.isin(LOCAL_ADDRESSES), ip)).alias("unique_ips"), count_where(T.off_hours(F.col("event_ts"))).alias("after_hours_events"),
         *[count_where(c).alias(n) for n, c in flags.items()],
-    )
-    first = F.min("day").over(_by("user", "act"))
-    marked = by_action.withColumn("new", ((F.col("day") == first) & (F.col("act") != "")).cast("long"))
-    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
-    out = marked.groupBy("user", "day").agg(
-        F.sum("event_count").alias("event_count"), F.count("act").alias("unique_actions"), distinct("resources").alias("unique_resources"), distinct("ips").alias("unique_ips"),
-        F.sum("after_hours_events").alias("after_hours_events"), *[F.sum(n).alias(n) for n in flags], F.sum("new").alias("new_action_count"),
     )
+    if with_new:
+        first = df.filter(action != "").groupBy("user", action.alias("act")).agg(F.min(day).alias("day"))
+        new = first.groupBy("user", "day").agg(F.count(F.lit(1)).alias("new_action_count"))
+        out = out.join(new, ["user", "day"], "left").withColumn("new_action_count", F.coalesce("new_action_count", F.lit(0)).cast("long"))
     return out.select("user", "day", *[c for c in CLOUD if with_new or c != "new_action_count"])
-
-
-def _by(*keys: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)

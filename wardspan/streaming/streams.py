@@ -49,11 +49,11 @@ def hopping(stream: DataFrame, delay: str = "1 hour", length: str = "24 hours",
     )
 
 
-def alerts(stream: DataFrame, minutes: int = 60) -> DataFrame:
+def alerts(stream: DataFrame, minutes: int = 60, delay: str = "1 day") -> DataFrame:
     """Events of type error as alerts, one per user in so many minutes; state is a user's last alert time.
 
-    A batch's rows are read in order of event time. The state of a user without
-    rows for a day goes.
+    A batch's rows are read in order of event time. A user's state goes once the
+    watermark has passed its quiet time.
     """
     limit = minutes * 60
 
@@ -68,12 +68,12 @@ def alerts(stream: DataFrame, minutes: int = 60) -> DataFrame:
             fired.append(last is None or t - last > limit)
             last = t if fired[-1] else last
         state.update((float(last),))
-        state.setTimeoutDuration(86_400_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int((last + limit) * 1000)) + 1)
         kept = rows[fired]
         yield pd.DataFrame({"user": key[0], "event_id": kept["event_id"], "event_ts": kept["event_ts"]})
 
-    rows = stream.filter("event_type = 'error'").select("user", "event_id", "event_ts")
-    return rows.groupBy("user").applyInPandasWithState(run, "user string, event_id long, event_ts timestamp", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.filter("event_type = 'error'").select("user", "event_id", "event_ts").withWatermark("event_ts", delay)
+    return rows.groupBy("user").applyInPandasWithState(run, "user string, event_id long, event_ts timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def shared_folder(spark: SparkSession) -> str:
