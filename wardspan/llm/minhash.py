@@ -6,11 +6,12 @@ one representative. Bands give candidate pairs, signatures an estimate corrected
 for chance collisions, and full sets the decision.
 
 A band's bucket may hold a third of all rows, so pairs within it are never
-listed. Its members are compared with one pivot; what the links so far already
-join needs no further comparison. A bucket whose members lie in several
-components gets new pivots while that is cheaper, and in the end every pair
-of its members from different components is compared, so no pivot or round
-limit loses a link.
+listed. Its members are first compared with one pivot. A bucket whose members the
+links so far join into one component is done. The others are compared in full, in
+blocks: every two blocks of BLOCK members meet in one task, which compares
+signatures by bit counts and the sets of what is left by matrix products, skips
+pairs of one component, and returns only links that join two components. So no
+link is lost, and rows stay linear in the members of a block.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ LANES = 64 // B
 MISS = 1e-6
 #: Standard deviations below the threshold from which an estimate rules a pair out.
 SAFE = 6.0
-#: Pivot rounds at most, before the pairs that are left are compared one by one.
-ROUNDS = 6
+#: Members of a block, and columns of the matrices that blocks of sets become.
+BLOCK = 256
+COLUMNS = 4096
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _random = np.random.default_rng(20240229)
@@ -150,6 +152,100 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, comp) after more links (a, b) between components."""
+    if links.isEmpty():
+        return labels
+    roots = components(links).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+    known = labels.unionByName(roots.select(F.col("comp").alias("id"), F.col("comp")).join(labels.select("id"), "id", "left_anti"))
+    return known.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+
+
+def joining(low: np.ndarray, sets: list[np.ndarray], comps: list, sides: np.ndarray, lanes: int, threshold: float, least: float) -> list[tuple]:
+    """Links between different components of a block's members, as few as join what is linked.
+
+    With two sides, only members of different sides are compared.
+    """
+    n = len(sets)
+    number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([number[c] for c in comps])
+    open_ = comp[:, None] != comp[None, :]
+    if (sides != sides[0]).any():
+        open_ &= sides[:, None] != sides[None, :]
+    ones = np.uint64(sum(1 << B * i for i in range(LANES)))
+    unequal = np.zeros((n, n), np.int64)
+    for w in range(low.shape[1]):
+        x = low[:, None, w] ^ low[None, :, w]
+        folded = x.copy()
+        for i in range(1, B):
+            folded |= x >> np.uint64(i)
+        unequal += np.bitwise_count(folded & ones)
+    open_ &= lanes - unequal >= least
+    rows = np.flatnonzero(open_.any(axis=1))
+    if not len(rows):
+        return []
+    sizes = np.array([len(sets[i]) for i in rows])
+    _, column, times = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    several = times[column] > 1
+    row, column = row[several], np.unique(column[several], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [start, start + COLUMNS])
+        part = np.zeros((len(rows), COLUMNS), np.float32)
+        part[row[i:j], column[i:j] - start] = 1
+        both += part @ part.T
+    percent = round(100 * threshold)
+    linked = open_[np.ix_(rows, rows)] & (100 * both.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - both.astype(np.int64)))
+    out, now = [], comp[rows].copy()
+    for i in range(len(rows)):
+        for j in np.flatnonzero(linked[i]):
+            if now[i] != now[j]:
+                out.append((comps[rows[i]], comps[rows[j]]))
+                now[now == now[j]] = now[i]
+    return out
+
+
+def block_links(shared: DataFrame, labels: DataFrame, signed: DataFrame, sets: DataFrame, lanes: int, threshold: float, least: float) -> DataFrame:
+    """Links (a, b) between components by comparing, in blocks, the members of buckets (key, id) that lie in several."""
+    placed = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id") % (1 << 40)).alias("h"))
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    # Buckets of several bands with the same members are compared once.
+    mixed = mixed.groupBy("n", "h").agg(F.min("key").alias("key"))
+    open_ = placed.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    whole = open_.join(signed, "id").join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ordered = whole.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "low", "shingles")
+    ordered = ordered.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    kind = dict(labels.dtypes)["comp"]
+
+    def run(batches):
+        held, at = [], None
+
+        def finish():
+            if len({m[1] for m in held}) < 2:
+                return None
+            found = joining(np.stack([m[2] for m in held]), [m[3] for m in held], [m[1] for m in held], np.array([m[0] for m in held]), lanes, threshold, least)
+            return pa.RecordBatch.from_arrays([pa.array(x, id_type) for x in zip(*((min(p), max(p)) for p in found))], names=["a", "b"]) if found else None
+
+        for batch in batches:
+            id_type = batch.schema.field(4).type
+            low, shingles = batch.column(5), batch.column(6)
+            for r, (key, i, j, own, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)))):
+                if (key, i, j) != at:
+                    if held and (out := finish()):
+                        yield out
+                    held, at = [], (key, i, j)
+                as_words = lambda a: a.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                held.append((own, comp, as_words(low[r]), as_words(shingles[r])))
+        if held and (out := finish()):
+            yield out
+
+    return ordered.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def near_groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, n_shingles, component_id, kept.
 
@@ -191,32 +287,7 @@ def near_groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
     star = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = cut(linked(star))
     labels = components(links)
-    size = shared.count()
-    for turn in range(ROUNDS + 1):
-        placed = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        mixed = parts.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("inside"), F.max(F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"))
-        mixed = cut(mixed.filter("parts > 1").select("key", F.col("main.comp").alias("main"), ((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("pairs")))
-        left = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("p")).first()["p"]
-        if not left:
-            break
-        open_ = placed.join(mixed.select("key", "main"), "key")
-        minor = open_.filter("comp <> main")
-        last = left <= 2 * size or turn == ROUNDS
-        if last:
-            other = open_.select("key", F.col("id").alias("b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("main")).alias("major"))
-            pairs = minor.select("key", F.col("id").alias("a"), F.col("comp").alias("comp_a")).join(other, "key").filter("comp_a <> comp_b AND (major OR a < b)")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        else:  # another member of each bucket's main component as pivot
-            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("id")))
-            pivots = open_.filter("comp = main").groupBy("key").agg(pick.alias("p")).select("key", F.col("p.id").alias("pivot"))
-            pairs = minor.join(pivots, "key").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        more = cut(linked(pairs.distinct()))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-        if last:
-            break
+    labels = relabelled(labels, cut(block_links(shared, labels, lanes, sets, bands * rows, percent / 100, least)))
 
     comp = members.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("comp"))
     comp = comp.groupBy("id").agg(F.min("comp").alias("comp"))
