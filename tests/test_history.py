@@ -19,7 +19,7 @@ def made(n=400, users=4, seed=3):
 def test_unseen_with_a_cap_is_like_a_loop(spark):
     rows, cap = made(), 5
     df = spark.createDataFrame(rows, "event_id int, user string, event_ts timestamp_ntz, action string, ip_address string")
-    got = {r["event_id"]: r["f"] for r in history.numbered(df).select("event_id", history.first_time_action(cap).alias("f")).collect()}
+    got = {r["event_id"]: r["f"] for r in history.first_time_action(history.numbered(df), cap).select("event_id", F.col("first_time_action").alias("f")).collect()}
     seen = {}
     for i, user, _, action, _ in rows:
         recent = seen.setdefault(user, [])

@@ -2,8 +2,9 @@
 
 All of them number a user's events once; whether a value is among the last
 ``cap`` events follows from the number of its previous occurrence, so no list of
-events is collected. The user partitions every window; keys of flags are added
-to it, and rows stay where they are.
+events is collected. A user can hold a large share of all events, so work is
+dealt by user and day (or hours): what a day needs of the days before it are
+sums and last numbers of whole days, a row each.
 """
 
 from __future__ import annotations
@@ -22,30 +23,40 @@ FLAGS = ["first_time_action", "new_ip", "off_hours", "high_volume", "sensitive_r
 
 
 def numbered(df: DataFrame, user: str = "user", order: tuple[str, ...] = ("event_ts", "event_id")) -> DataFrame:
-    """seq: each user's events from 1, on rows dealt by user."""
-    return df.repartition(user).withColumn("seq", F.row_number().over(W.partitionBy(user).orderBy(*order)))
-
-
-def unseen(key: Column, counts: Column, cap: int | None = CAP, user: str = "user") -> Column:
-    """Whether a counting key isn't among the user's last ``cap`` earlier events (None: all)."""
-    before = F.lag("seq").over(W.partitionBy(user, key).orderBy("seq"))
+    """seq: each user's events from 1, in order, and day_; a day's first number follows the counts of earlier days."""
+    days = df.withColumn("day_", F.coalesce(F.to_date(order[0]), F.lit("0001-01-01").cast("date")))
+    counts = days.groupBy(user, "day_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(W.partitionBy(user).orderBy("day_").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(user, "day_", F.coalesce(before, F.lit(0)).alias("before_"))
+    place = F.row_number().over(W.partitionBy(user, "day_").orderBy(*order))
+    return days.withColumn("place_", place).join(counts, [user, "day_"]).withColumn("seq", F.col("before_") + F.col("place_")).drop("place_", "before_")
+
+
+def with_unseen(df: DataFrame, out: str, key: Column, counts: Column, cap: int | None = CAP, user: str = "user") -> DataFrame:
+    """out: whether a counting key isn't among the user's last ``cap`` earlier events (None: all) of numbered()."""
+    keyed = df.withColumn("key_", F.coalesce(key, F.lit("")))
+    within_day = F.lag("seq").over(W.partitionBy(user, "key_", "day_").orderBy("seq"))
+    ends = keyed.groupBy(user, "key_", "day_").agg(F.max("seq").alias("end_"))
+    ends = ends.select(user, "key_", "day_", F.lag("end_").over(W.partitionBy(user, "key_").orderBy("day_")).alias("earlier_"))
+    joined = keyed.withColumn("same_", within_day).join(ends, [user, "key_", "day_"])
+    before = F.coalesce("same_", "earlier_")
     old = before.isNull() if cap is None else before.isNull() | (F.col("seq") - before > cap)
-    return counts & old
+    return joined.withColumn(out, F.coalesce(counts, F.lit(False)) & old).drop("key_", "same_", "earlier_")
 
 
-def first_time_action(cap: int | None = CAP) -> Column:
+def first_time_action(df: DataFrame, cap: int | None = CAP) -> DataFrame:
     key = F.lower(F.trim("action"))
-    return unseen(key, key != "", cap)
+    return with_unseen(df, "first_time_action", key, key != "", cap)
 
 
-def new_ip(cap: int | None = CAP) -> Column:
+def new_ip(df: DataFrame, cap: int | None = CAP) -> DataFrame:
     key = F.trim("ip_address")
-    return unseen(key, ~key.isin(LOCAL_NAMES), cap)
+    return with_unseen(df, "new_ip", key, ~key.isin(LOCAL_NAMES), cap)
 
 
-def geo_rarity(cap: int | None = CAP) -> Column:
+def geo_rarity(df: DataFrame, cap: int | None = CAP) -> DataFrame:
     key = F.upper(F.trim("country"))
-    return unseen(key, key != "", cap)
+    return with_unseen(df, "geo_rarity", key, key != "", cap)
 
 
 def high_volume(many: int = MANY, cap: int = CAP) -> Column:
@@ -53,42 +64,33 @@ def high_volume(many: int = MANY, cap: int = CAP) -> Column:
     return F.least(F.col("seq") - 1, F.lit(cap)) > many
 
 
-def seconds(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+def rolling(df: DataFrame, columns: list[str], hours: int = 24, user: str = "user", ts: str = "event_ts") -> DataFrame:
+    """Counts and sums over a user's last hours, this event included.
 
+    Rows are dealt by user and stretch of as many hours, and lie in the next
+    stretch too, so that a window never reaches out of its own.
+    """
+    length = hours * 3_600_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    dealt = df.withColumn("at_", at).withColumn("own_", F.floor(F.col("at_") / length)).withColumn("stretch_", F.explode(F.array("own_", F.col("own_") + 1)))
+    w = W.partitionBy(user, "stretch_").orderBy("at_").rangeBetween(-length, 0)
+    out = dealt.withColumns({"events_in_window": F.count(F.lit(1)).over(w)} | {f"{c}_in_window": F.sum(c).over(w) for c in columns})
+    return out.filter("stretch_ = own_").drop("at_", "own_", "stretch_")
 
-def within(hours: int, user: str = "user", ts: str = "event_ts"):
-    """The window of a user's events up to this one, not older than some hours."""
-    return W.partitionBy(user).orderBy(seconds(ts)).rangeBetween(-hours * 3_600_000_000, 0)
 
-
-def high_volume_in(hours: int = 1, many: int = MANY) -> Column:
-    """More than ``many`` earlier events within some hours."""
-    return F.count(F.lit(1)).over(within(hours)) - 1 > many
+def high_volume_in(df: DataFrame, hours: int = 1, many: int = MANY) -> DataFrame:
+    """high_volume_in: more than ``many`` earlier events within some hours."""
+    return rolling(df, [], hours).withColumn("high_volume_in", F.col("events_in_window") - 1 > many).drop("events_in_window")
 
 
 def rarity_flags(df: DataFrame, cap: int | None = CAP) -> DataFrame:
     """The six flags of each event, and rarity: their share, rounded to four places."""
-    out = numbered(df).withColumns(
-        {
-            "first_time_action": first_time_action(cap), "new_ip": new_ip(cap), "off_hours": T.off_hours(F.col("event_ts")), "high_volume": high_volume(),
-            "sensitive_resource": P.sensitive_resource(F.col("resource")), "geo_rarity": geo_rarity(cap),
-        }
-    )
+    out = geo_rarity(new_ip(first_time_action(numbered(df), cap), cap), cap).drop("day_")
+    out = out.withColumns({"off_hours": T.off_hours(F.col("event_ts")), "high_volume": high_volume(), "sensitive_resource": P.sensitive_resource(F.col("resource"))})
     fired = sum((F.coalesce(F.col(f), F.lit(False)).cast("int") for f in FLAGS), F.lit(0))
     return out.withColumns({"flags_fired": fired, "rarity": F.round(fired / len(FLAGS), 4)})
 
 
-def rolling(df: DataFrame, columns: list[str], hours: int = 24) -> DataFrame:
-    """Counts and sums over a user's last hours, this event included."""
-    w = within(hours)
-    return df.withColumns({"events_in_window": F.count(F.lit(1)).over(w)} | {f"{c}_in_window": F.sum(c).over(w) for c in columns})
-
-
-def running_count(user: str = "user", order: tuple[str, ...] = ("event_ts", "event_id")) -> Column:
-    return F.row_number().over(W.partitionBy(user).orderBy(*order)).cast("long")
-
-
 def split_latest_day(df: DataFrame, day: str = "day") -> DataFrame:
     """is_latest: whether an event lies on its user's latest day."""
     return df.filter(F.col(day).isNotNull()).withColumn("is_latest", F.col(day) == F.max(day).over(W.partitionBy("user")))

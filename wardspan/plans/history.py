@@ -29,17 +29,17 @@ FLAGS_SQL = f"""flags AS (SELECT *, CAST(first_time_action AS INTEGER) + CAST(ne
 
 @query(f"WITH {EVENTS_SQL}, {NUMBERED} SELECT event_id, {FIRST} AS first_time_action FROM n")
 def first_time_action(spark, sf_dir) -> DataFrame:
-    return H.numbered(events(spark, sf_dir)).select("event_id", H.first_time_action().alias("first_time_action"))
+    return H.first_time_action(H.numbered(events(spark, sf_dir))).select("event_id", "first_time_action")
 
 
 @query(f"WITH {EVENTS_SQL}, {NUMBERED} SELECT event_id, {NEW_IP} AS new_ip FROM n")
 def new_ip(spark, sf_dir) -> DataFrame:
-    return H.numbered(events(spark, sf_dir)).select("event_id", H.new_ip().alias("new_ip"))
+    return H.new_ip(H.numbered(events(spark, sf_dir))).select("event_id", "new_ip")
 
 
 @query(f"WITH {EVENTS_SQL}, {NUMBERED} SELECT event_id, {GEO} AS geo_rarity FROM n")
 def geo_rarity(spark, sf_dir) -> DataFrame:
-    return H.numbered(events(spark, sf_dir)).select("event_id", H.geo_rarity().alias("geo_rarity"))
+    return H.geo_rarity(H.numbered(events(spark, sf_dir))).select("event_id", "geo_rarity")
 
 
 @query(f"WITH {EVENTS_SQL}, {NUMBERED} SELECT event_id, {HIGH} AS high_volume FROM n")
@@ -50,7 +50,7 @@ def high_volume(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {EVENTS_SQL} SELECT event_id, count(*) OVER (PARTITION BY "user" ORDER BY event_ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1 > 1 AS high_volume_1h FROM ev""")
 def high_volume_1h(spark, sf_dir) -> DataFrame:
     """With more than 1 instead of 50, as the table's users are quieter."""
-    return events(spark, sf_dir).select("event_id", H.high_volume_in(1, 1).alias("high_volume_1h"))
+    return H.high_volume_in(events(spark, sf_dir), 1, 1).select("event_id", F.col("high_volume_in").alias("high_volume_1h"))
 
 
 _over = 'OVER (PARTITION BY "user" ORDER BY event_ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)'
@@ -63,7 +63,7 @@ def rolling_24h_features(spark, sf_dir) -> DataFrame:
 
 @query(f'WITH {EVENTS_SQL} SELECT event_id, row_number() OVER (PARTITION BY "user" ORDER BY event_ts, event_id) AS total_events FROM ev')
 def running_event_count(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).select("event_id", H.running_count().alias("total_events"))
+    return H.numbered(events(spark, sf_dir)).select("event_id", F.col("seq").alias("total_events"))
 
 
 @query(f"""WITH {EVENTS_SQL}, d AS (SELECT *, CAST(event_ts AS DATE) AS day FROM ev), m AS (SELECT *, day = max(day) OVER (PARTITION BY "user") AS is_latest FROM d)
