@@ -30,8 +30,9 @@ from wardspan.llm.base import cut, documents, explode_texts
 from wardspan.llm.minhash import mix
 
 MIN_WORDS = 50
-#: Words on either side are compared in blocks of this size while sorting.
+#: Words on either side are compared in blocks while sorting: words of a block, and blocks.
 BLOCK = 5
+BLOCKS = 5
 BASE = np.array([0x9E3779B97F4A7C15], np.uint64)  # an array, as its products wrap round
 
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -95,112 +96,102 @@ def minimisers(g: np.ndarray, window: int) -> np.ndarray:
     return chosen[~inner | (chosen % window == 0)]
 
 
-def contexts(h: np.ndarray, at: np.ndarray, seed: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bytes for each block of BLOCK words after, and before, the grams at ``at``; 0 past the text's ends."""
+def contexts(h: np.ndarray, at: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Twelve bits for each of BLOCKS blocks of BLOCK words after, and before, the grams at ``at``, nearest first; 0 past the text's ends."""
     blocks = gram_hashes(h, BLOCK)
-    after, before = np.zeros((len(at), reach), ">u2"), np.zeros((len(at), reach), ">u2")
-    for j in range(reach):
-        for table, place in ((after, at + seed + BLOCK * j), (before, at - BLOCK * (j + 1))):
+    after, before = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for j in range(BLOCKS):
+        for bits, place in ((after, at + seed + BLOCK * j), (before, at - BLOCK * (j + 1))):
             inside = (place >= 0) & (place < len(blocks))
-            table[inside, j] = (blocks[place[inside]] >> np.uint64(48)).astype(np.uint16) | 1
+            bits <<= 12
+            bits[inside] |= (blocks[place[inside]] >> np.uint64(52)).astype(np.int64) | 1
     return after, before
 
 
 def seeds(df: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
     """(gram, id, pos, after, before) of the kept suffixes of all texts."""
     seed, window = min_words // 2, min_words - min_words // 2 + 1
-    reach = -(-(min_words - seed) // BLOCK)
+    kind = dict(df.dtypes)[id_col]
 
     def call(ids, texts):
         h, bounds = word_hashes(texts)
         rows = []
-        for i, doc in enumerate(ids):
+        for i in range(len(ids)):
             own = h[bounds[i] : bounds[i + 1]]
             g = gram_hashes(own, seed)
             at = minimisers(g, window)
             if len(at):
-                after, before = contexts(own, at, seed, reach)
-                rows.append((np.full(len(at), i), g[at].view(np.int64), at, after, before))
-        if not rows:
-            return {"gram": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "pos": pa.array([], pa.int64()), "after": pa.array([], pa.binary()), "before": pa.array([], pa.binary())}
-        which, gram, pos, after, before = map(np.concatenate, zip(*rows))
-        raw = lambda t: pa.Array.from_buffers(pa.binary(2 * reach), len(t), [None, pa.py_buffer(t.tobytes())]).cast(pa.binary())
-        return {"gram": gram, "id": pa.array([ids[w] for w in which]), "pos": pos, "after": raw(after), "before": raw(before)}
+                rows.append((np.full(len(at), i), g[at].view(np.int64), at, *contexts(own, at, seed)))
+        which, gram, pos, after, before = map(np.concatenate, zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
+        return {"gram": gram, "id": pa.array(ids).take(pa.array(which)), "pos": pos, "after": after, "before": before}
 
-    kind = dict(df.dtypes)[id_col]
-    return explode_texts(df.filter(F.col(id_col).isNotNull()), lambda: call, f"gram long, id {kind}, pos long, after binary, before binary", id_col, text_col)
+    return explode_texts(df.filter(F.col(id_col).isNotNull()), lambda: call, f"gram long, id {kind}, pos long, after long, before long", id_col, text_col)
 
 
-def same_blocks(a: bytes, b: bytes) -> int:
-    n = 0
-    while 2 * n < len(a) and a[2 * n : 2 * n + 2] == b[2 * n : 2 * n + 2] != b"\0\0":
-        n += 1
+def same_blocks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many blocks, nearest first, are equal and not past an end."""
+    n, same = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+    for j in range(BLOCKS - 1, -1, -1):
+        x, y = a >> 12 * j & 0xFFF, b >> 12 * j & 0xFFF
+        same &= (x == y) & (x != 0)
+        n += same
     return n
 
 
 def neighbours(rows: DataFrame, by: str, other: str, min_words: int) -> DataFrame:
-    """Pairs (a, at_a, b, at_b) of rows that stand side by side in the order of gram and ``by`` and can reach min_words."""
+    """Pairs (a, b, shift) of documents whose rows stand side by side in the order of gram and ``by`` and can reach min_words.
+
+    shift is the place in a less the place in b, with a the smaller id.
+    """
     seed = min_words // 2
     kind = dict(rows.dtypes)["id"]
 
-    def reaches(x, y) -> bool:
-        # a block that differs still can match in all but one of its words
-        ends = sum(BLOCK * same_blocks(x[k], y[k]) + BLOCK - 1 for k in (3, 4))
-        return x[0] == y[0] and x[1] != y[1] and seed + ends >= min_words
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, first = TaskContext.get().partitionId(), None, None
-        names = ["part", "edge", "gram", "a", "at_a", "b", "at_b", "after", "before"]
-        types = [pa.int64(), pa.int64(), pa.int64(), None, pa.int64(), None, pa.int64(), pa.binary(), pa.binary()]
+        part, last = TaskContext.get().partitionId(), None
+        names = ["tag", "gram", "a", "b", "shift"]
 
-        def batch_of(found):
-            columns = list(zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(c, t or id_type) for c, t in zip(columns, types)], names=names)
+        def edge(tag, batch, at):
+            gram, doc, pos = (batch.column(c).slice(at, 1) for c in range(3))
+            return pa.RecordBatch.from_arrays([pa.array([tag], pa.int64()), gram, doc, pa.nulls(1, doc.type), pos], names=names)
 
         for batch in batches:
-            id_type = batch.schema.field(1).type
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if last is None:
-                    found.append((part, 0, row[0], row[1], row[2], None, None, row[3], row[4]))
-                elif reaches(last, row):
-                    found.append((part, -1, row[0], last[1], last[2], row[1], row[2], None, None))
-                last = row
-            if found:
-                yield batch_of(found)
+            if not batch.num_rows:
+                continue
+            if last is None:
+                yield edge(2 * part, batch, 0)
+            table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            gram, pos, after, before = (table.column(c).to_numpy() for c in (0, 2, 3, 4))
+            ids = table.column(1).combine_chunks()
+            code = ids.dictionary_encode().indices.to_numpy()
+            reach = BLOCK * (same_blocks(after[:-1], after[1:]) + same_blocks(before[:-1], before[1:])) + 2 * (BLOCK - 1)  # a block that differs can still match in all but one word
+            at = np.flatnonzero((gram[:-1] == gram[1:]) & (code[:-1] != code[1:]) & (seed + reach >= min_words))
+            if len(at):
+                first, second = ids.take(pa.array(at)), ids.take(pa.array(at + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array(gram[at]), first, second, pa.array(pos[at] - pos[at + 1])], names=names)
+            last = batch.slice(batch.num_rows - 1, 1)
         if last is not None:
-            yield batch_of([(part, 1, last[0], last[1], last[2], None, None, last[3], last[4])])
+            yield edge(2 * part + 1, last, 0)
 
-    ordered = rows.select("gram", "id", "pos", "after", "before")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ordered.repartitionByRange(n, "gram", by, "id", "pos").sortWithinPartitions("gram", by, other, "id", "pos")
-    schema = f"part long, edge long, gram long, a {kind}, at_a long, b {kind}, at_b long, after binary, before binary"
-    found = cut(ordered.mapInArrow(run, schema))
-    # The edges: a first and a last row for each task, so one window over them stays small.
-    order = W.partitionBy("gram").orderBy("part", "edge")
-    edges = found.filter("edge >= 0")
-    for name in ("part", "edge", "a", "at_a"):
-        edges = edges.withColumn(f"{name}_", F.lag(name).over(order))
-    meeting = edges.filter("edge = 0 AND edge_ = 1 AND a_ <> a").select(F.col("a_").alias("a"), F.col("at_a_").alias("at_a"), F.col("a").alias("b"), F.col("at_a").alias("at_b"))
-    return found.filter("edge = -1").select("a", "at_a", "b", "at_b").unionByName(meeting)
-
-
-def extended(x: np.ndarray, y: np.ndarray, starts: list[tuple[int, int]], min_words: int) -> list[tuple[int, int, int]]:
-    """Matches (start in x, start in y, words) of min_words at least that hold one of the starts."""
-    out, done = [], set()
-    by_shift: dict[int, list[int]] = {}
-    for p, q in starts:
-        by_shift.setdefault(p - q, []).append(p)
-    for shift, places in by_shift.items():
+    ordered = rows.select("gram", "id", "pos", "after", "before").repartitionByRange(n, "gram", by, "id", "pos").sortWithinPartitions("gram", by, other, "id", "pos")
+    found = cut(ordered.mapInArrow(run, f"tag long, gram long, a {kind}, b {kind}, shift long"))
+    # The edges: a first (even tag) and a last row for each task, so the window over them stays small.
+    order = W.partitionBy("gram").orderBy("tag")
+    edges = found.filter("tag >= 0").withColumns({f"{c}_": F.lag(c).over(order) for c in ("tag", "a", "shift")})
+    meeting = edges.filter("tag % 2 = 0 AND tag_ % 2 = 1 AND a_ <> a").select(F.col("a_").alias("a"), F.col("a").alias("b"), (F.col("shift_") - F.col("shift")).alias("shift"))
+    pairs = found.filter("tag = -1").select("a", "b", "shift").unionByName(meeting)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), -F.col("shift")).otherwise(F.col("shift")).alias("shift"))
+
+
+def extended(x: np.ndarray, y: np.ndarray, shifts: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """Matches (start in x, start in y, words) of min_words at least, extended left and right along each shift."""
+    out = []
+    for shift in shifts:
         lo, hi = max(0, shift), min(len(x), len(y) + shift)
-        bad = np.flatnonzero(x[lo:hi] != y[lo - shift : hi - shift]) + lo
-        for p in sorted(places):
-            k = int(np.searchsorted(bad, p))
-            a = int(bad[k - 1]) + 1 if k else lo
-            b = int(bad[k]) if k < len(bad) else hi
-            if b - a >= min_words and (a, shift) not in done:
-                done.add((a, shift))
-                out.append((a, a - shift, b - a))
+        bad = np.concatenate([[lo - 1], np.flatnonzero(x[lo:hi] != y[lo - shift : hi - shift]) + lo, [hi]])
+        for k in np.flatnonzero(np.diff(bad) > min_words):
+            a, b = int(bad[k]) + 1, int(bad[k + 1])
+            out.append((a, a - shift, b - a))
     return out
 
 
@@ -216,13 +207,8 @@ def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     counts = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     shared = cut(kept.join(counts, "gram"))
     near = neighbours(shared, "after", "before", min_words).unionByName(neighbours(shared, "before", "after", min_words))
-    turned = F.col("a") > F.col("b")
-    pairs = near.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.struct(F.when(turned, F.col("at_b")).otherwise(F.col("at_a")).alias("p"), F.when(turned, F.col("at_a")).otherwise(F.col("at_b")).alias("q")).alias("s"),
-    )
-    # A pair has at most as many starts as its shorter text has seeds.
-    pairs = cut(pairs.groupBy("a", "b").agg(F.collect_set("s").alias("starts")))
+    # A pair has at most as many shifts as its shorter text has seeds.
+    pairs = cut(near.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
     texts = cut(texts)
@@ -233,9 +219,9 @@ def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part, found = batch.slice(i, 64), []
-                for a, b, starts, text_a, text_b in zip(*(c.to_pylist() for c in part.columns)):
+                for a, b, shifts, text_a, text_b in zip(*(c.to_pylist() for c in part.columns)):
                     h, bounds = word_hashes([text_a, text_b])
-                    matches = extended(h[: bounds[1]], h[bounds[1] :], [(s["p"], s["q"]) for s in starts], min_words)
+                    matches = extended(h[: bounds[1]], h[bounds[1] :], shifts, min_words)
                     if not matches:
                         continue
                     places = [[m.span() for m in _WORD.finditer(t)] for t in (text_a, text_b)]
@@ -247,7 +233,7 @@ def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
                     types = [id_type, pa.int64(), pa.int64(), pa.int64(), id_type]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=["id", "start", "end", "n_words", "partner_id"])
 
-    spans = both.select("a", "b", "starts", "text_a", "text_b").mapInArrow(run, f"id {kind}, start long, end long, n_words long, partner_id {kind}")
+    spans = both.select("a", "b", "shifts", "text_a", "text_b").mapInArrow(run, f"id {kind}, start long, end long, n_words long, partner_id {kind}")
     order = W.partitionBy("id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
