@@ -21,6 +21,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op6_minhash": minhash.OP6_SQL,
     "op5_extendible_hashing": sharding.OP5_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
 }
