@@ -85,3 +85,14 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
     return df.checkpoint(eager=True)
+
+
+def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with a summary that has each key once.
+
+    A summary comes dealt by its keys, and Spark splits a hot key's rows between
+    tasks only in joins that deal out both sides; a hash beside the keys makes it
+    do so.
+    """
+    mark = F.xxhash64(*keys)
+    return rows.withColumn("mark_", mark).join(summary.withColumn("mark_", mark), ["mark_", *keys]).drop("mark_")

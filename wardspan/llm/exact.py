@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm.base import cut, documents
+from wardspan.llm.base import cut, documents, join_summary
 
 #: White space that doesn't count: blank, and tab to carriage return.
 SPACE = " \t\n\x0b\x0c\r"
@@ -29,15 +29,19 @@ def narrow_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.col(id_col).alias("id_"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("chars_"),
         F.length(text).alias("length_"),
-        F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix_"),
+        F.xxhash64(F.length(text), F.substring(text, 1, PREFIX_CHARS)).alias("prefix_"),
         F.unhex(F.sha2(text, 256)).alias("full_"),
     )
 
 
-def refine(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows whose keys occur more than once, and the others."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"))
-    marked = rows.join(counts, keys)
+def refine(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key occurs more than once, and the others.
+
+    Each level has one key column of its own, so that a level's rows are dealt
+    anew for the next.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_"))
+    marked = join_summary(rows, counts, [key])
     return marked.filter("n_ > 1").drop("n_"), marked.filter("n_ = 1").drop("n_")
 
 
@@ -49,13 +53,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id all are marked kept, as nothing tells them apart: group_size counts them.
     """
     rows = cut(narrow_keys(df, id_col, text_col))
-    several, alone = refine(rows, ["length_"])
-    several, alone_too = refine(several, ["length_", "prefix_"])
+    several, alone = refine(rows, "length_")
+    several, alone_too = refine(several, "prefix_")
     best = several.groupBy("full_").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.min(F.struct((-F.col("chars_")).alias("c"), F.col("id_").alias("i"))).alias("best_"),
     )
-    grouped = several.join(best, "full_").select("id_", F.col("best_.i").alias("keep_id"), "group_size", "full_")
+    grouped = join_summary(several, best, ["full_"]).select("id_", F.col("best_.i").alias("keep_id"), "group_size", "full_")
     single = alone.unionByName(alone_too).select("id_", F.col("id_").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "full_")
     return grouped.unionByName(single).select(
         F.col("id_").alias(id_col),
