@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm.base import cut, documents, explode_texts, map_texts
+from wardspan.llm.base import cut, documents, explode_texts, join_summary, map_texts
 
 PERMUTATIONS = 128
 #: Low bits of each minimum, and minima in a 64-bit word of the signature.
@@ -258,13 +258,13 @@ def near_groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
     keyed = signed.filter("set1 IS NOT NULL AND id IS NOT NULL")
     firsts = keyed.groupBy("set1", "set2").agg(F.min("id").alias("rep"))
     # (id, rep) of documents that share a set, and the signatures of representatives.
-    members = keyed.select("id", "set1", "set2").join(firsts, ["set1", "set2"]).select("id", "rep").distinct()
+    members = join_summary(keyed.select("id", "set1", "set2"), firsts, ["set1", "set2"]).select("id", "rep").distinct()
     leaders = keyed.select("id", "bands", "low").join(firsts.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"])
     leaders = cut(leaders)
 
     spread = leaders.select("id", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = cut(spread.join(shared.select("key", "pivot"), "key"))
+    shared = cut(join_summary(spread, shared.select("key", "pivot"), ["key"]))
     wanted = shared.select("id").distinct()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardspan.llm.base import cut, documents, explode_texts
+from wardspan.llm.base import cut, documents, explode_texts, join_summary
 from wardspan.llm.minhash import mix
 
 MIN_WORDS = 50
@@ -205,7 +205,7 @@ def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     """
     kept = cut(seeds(df, min_words, id_col, text_col))
     counts = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
-    shared = cut(kept.join(counts, "gram"))
+    shared = cut(join_summary(kept, counts, ["gram"]))
     near = neighbours(shared, "after", "before", min_words).unionByName(neighbours(shared, "before", "after", min_words))
     # A pair has at most as many shifts as its shorter text has seeds.
     pairs = cut(near.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
