@@ -32,9 +32,9 @@ def test_rows(spark):
     rows = [(i, f"the words of a text number {'abcdefgh'[i % 8] * 3}", "en", 1) for i in range(40)] + [(i, "los textos de una casa", "es", 1) for i in range(40, 80)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     model = langid.fit(df)
-    asked = spark.createDataFrame([(1, "the text", 0), (2, "una casa", 0), (3, None, 0), (4, "", 0), (5, "12 !", 0), (6, "漢字", 0), (6, "漢字", 0)], "doc_id long, text string, l int")
+    asked = spark.createDataFrame([(1, "the text", 0), (2, "una casa", 0), (3, None, 0), (4, "", 0), (5, "12 !", 0), (7, "½ ² 3", 0), (6, "漢字", 0), (6, "漢字", 0)], "doc_id long, text string, l int")
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(asked, model).collect()}
-    assert [got[i][0] for i in (1, 2, 3, 4, 5)] == ["en", "es", "und", "und", "und"] and got[6][0] in ("en", "es") and got[6][1] == 0
+    assert [got[i][0] for i in (1, 2, 3, 4, 5, 7)] == ["en", "es", "und", "und", "und", "und"] and got[6][0] in ("en", "es") and got[6][1] == 0
     none = langid.fit(df.filter("lang = 'xx'"))
     assert {r["lang_pred"] for r in langid.predict(asked, none).collect()} == {"und"}
     assert langid.predict(asked.limit(0), model).count() == 0

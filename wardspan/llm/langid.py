@@ -9,7 +9,6 @@ for each language's false-positive rate, decide.
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
@@ -29,8 +28,6 @@ MAX_LANGUAGES = 64
 MIN_SHARE = 2e-5
 MIN_PART = 0.1
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 class Model(NamedTuple):
     languages: list[str]
@@ -158,7 +155,7 @@ def decide(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
         return ["und"] * len(texts), np.zeros(len(texts))
     found, total = scores(model, texts)
     best = found.argmax(axis=1)
-    has = [bool(_LETTER.search(t)) for t in texts]
+    has = [any(map(str.isalpha, t)) for t in texts]
     share = np.clip(found[np.arange(len(texts)), best] / np.maximum(total, 1), 0, 1)
     return [model.languages[b] if y else "und" for b, y in zip(best, has)], np.where(has, share, 0.0)
 
