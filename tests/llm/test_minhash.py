@@ -54,6 +54,48 @@ def test_groups_are_those_of_all_pairs(spark):
         assert got == plain(docs, k, percent)
 
 
+def test_large_components_have_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    for k, percent, seed in ((3, 85, 3), (5, 80, 4)):
+        docs = made(160, seed)
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_groups(df, k, percent).collect()}
+        assert got == plain(docs, k, percent)
+
+
+def test_blocks_without_pivots(spark, monkeypatch):
+    """Blocks alone find the links between members of a bucket, whatever the components so far."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 100, dtype=np.uint64)
+    sets = []
+    for i in range(90):
+        s = base.copy()
+        at = rng.choice(100, int(rng.integers(1, 14)), replace=False)
+        s[at] = rng.integers(0, 1 << 62, len(at), dtype=np.uint64)
+        sets.append(np.unique(s))
+    _, low = minhash.signatures(sets, 21, 6)
+    comp = [0 if i < 50 else i for i in range(90)]
+    frame = spark.createDataFrame
+    shared = frame([(key, i) for key in (1, 2) for i in range(90)], "key long, id long")
+    labels = frame([(i, c) for i, c in enumerate(comp) if i < 50], "id long, comp long")
+    signed = frame([(i, x.tolist()) for i, x in enumerate(low)], "id long, low array<long>")
+    held = frame([(i, s.view(np.int64).tolist()) for i, s in enumerate(sets)], "id long, shingles array<long>")
+    linked = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+
+    def joined(pairs):
+        top = list(range(90))
+        for a, b in pairs:
+            x, y = top[a], top[b]
+            top = [min(x, y) if t in (x, y) else t for t in top]
+        return top
+
+    want = joined([(0, i) for i in range(50)] + [(i, j) for i in range(90) for j in range(i) if linked(sets[i], sets[j])])
+    for block in (8, 256):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        found = [(r["a"], r["b"]) for r in minhash.block_links(shared, labels, signed, held, 126, 0.85, 0).collect()]
+        assert found and joined([(0, i) for i in range(50)] + found) == want
+
+
 def test_block_with_many_members():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(60)]

@@ -8,10 +8,12 @@ for chance collisions, and full sets the decision.
 A band's bucket may hold a third of all rows, so pairs within it are never
 listed. Its members are first compared with one pivot. A bucket whose members the
 links so far join into one component is done. The others are compared in full, in
-blocks: every two blocks of BLOCK members meet in one task, which compares
-signatures by bit counts and the sets of what is left by matrix products, skips
-pairs of one component, and returns only links that join two components. So no
-link is lost, and rows stay linear in the members of a block.
+blocks: two blocks of BLOCK members meet in one task, unless both lie in the
+bucket's largest component. The task compares signatures by bit counts and the
+sets of what is left by matrix products, skips pairs of one component, and returns
+only links that join two components. So no link is lost, rows stay linear in the
+members of a block, and the members that one component already joins cost only
+their meetings with the others.
 """
 
 from __future__ import annotations
@@ -212,11 +214,22 @@ def block_links(shared: DataFrame, labels: DataFrame, signed: DataFrame, sets: D
     """Links (a, b) between components by comparing, in blocks, the members of buckets (key, id) that lie in several."""
     placed = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id") % (1 << 40)).alias("h"))
-    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp")).alias("top")).filter("parts > 1")
     # Buckets of several bands with the same members are compared once.
-    mixed = mixed.groupBy("n", "h").agg(F.min("key").alias("key"))
-    open_ = placed.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    whole = open_.join(signed, "id").join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = mixed.groupBy("n", "h").agg(F.min(F.struct("key", "top")).alias("of"))
+    # The largest component of a bucket has blocks of its own, which never meet each other.
+    large = F.col("n") > BLOCK
+    mixed = mixed.select(
+        F.col("of.key").alias("key"),
+        F.col("of.top.comp").alias("top"),
+        F.when(large, F.ceil(F.col("of.top.n") / BLOCK)).otherwise(0).cast("int").alias("first"),
+        F.when(large, F.ceil((F.col("n") - F.col("of.top.n")) / BLOCK)).otherwise(1).cast("int").alias("rest"),
+    )
+    inner, dealt = (F.col("first") > 0) & (F.col("comp") == F.col("top")), F.xxhash64("id", "key")
+    own = F.when(inner, F.pmod(dealt, F.greatest("first", F.lit(1)))).otherwise(F.col("first") + F.pmod(dealt, F.col("rest"))).cast("int")
+    meets = F.sequence(F.when(inner, F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)
+    open_ = placed.join(mixed, "key").select("key", "id", "comp", own.alias("own"), meets.alias("meets"))
+    whole = open_.join(signed, "id").join(sets, "id").withColumn("other", F.explode("meets"))
     ordered = whole.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "low", "shingles")
     ordered = ordered.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     kind = dict(labels.dtypes)["comp"]
