@@ -69,3 +69,14 @@ def test_pieces():
 def test_empty(spark):
     df = spark.createDataFrame([(None, "a " * 100), (1, "a " * 100)], "doc_id long, text string")
     assert S.repeated_passages(df).count() == 0 and S.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_passage_many_times_in_one_document(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    shared = [rng.choice(words) for _ in range(100)]
+    docs = [(1, " ".join(shared * 20)), (2, " ".join(shared)), (3, " ".join(shared * 7))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got, expected = places(S.repeated_passages(df.filter("doc_id < 3")).collect(), docs[:2]), repeated(docs[:2], 50)
+    assert got == expected and len(got[1]) == 2000
+    assert places(S.repeated_passages(df).collect(), docs) == repeated(docs, 50)

@@ -2,7 +2,9 @@
 
 Only suffixes at content-selected positions are kept: the minimisers of SEED-word
 grams over windows, chosen so that every passage of ``min_words`` holds one.
-Positions whose gram occurs once leave after a count. The others are sorted by
+Positions whose gram only one document has leave after a count; a document's
+places of equal gram and surroundings are one row with a list, so that rows side
+by side are of different documents. The others are sorted by
 what follows the gram, and once more by what precedes it; neighbours in either
 order that can reach ``min_words`` become pairs. Their matches are then extended
 left and right on the whole texts.
@@ -97,35 +99,66 @@ def minimisers(g: np.ndarray, window: int) -> np.ndarray:
 
 
 def contexts(h: np.ndarray, at: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Twelve bits for each of BLOCKS blocks of BLOCK words after, and before, the grams at ``at``, nearest first; 0 past the text's ends."""
-    blocks = gram_hashes(h, BLOCK)
+    """Twelve bits for each of BLOCKS blocks of BLOCK words after, and before, the grams at ``at``, nearest first; 0 past the text's ends.
+
+    A block that an end cuts short has bits of its own, so equal bits are equal words and ends.
+    """
+    none = np.zeros(BLOCK - 1, np.uint64)
+    blocks = gram_hashes(np.concatenate([none, h, none]), BLOCK)
     after, before = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     for j in range(BLOCKS):
         for bits, place in ((after, at + seed + BLOCK * j), (before, at - BLOCK * (j + 1))):
+            place = place + BLOCK - 1
             inside = (place >= 0) & (place < len(blocks))
             bits <<= 12
             bits[inside] |= (blocks[place[inside]] >> np.uint64(52)).astype(np.int64) | 1
     return after, before
 
 
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its count."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+def by_value(places: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places ordered by their values, where each value's places begin (one more at the end), and a place of each value."""
+    order = np.lexsort((places, *values))
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([v[order][1:] != v[order][:-1] for v in values], axis=0)
+    first = np.flatnonzero(new)
+    return places[order], np.append(first, len(order)), order[first]
+
+
+def lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """A list column of (places, bounds) as by_value() gives them."""
+    sizes = [np.diff(b) for _, b in parts]
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if parts else np.zeros(1)
+    places = np.concatenate([p for p, _ in parts]) if parts else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(places.astype(np.int32)))
+
+
 def seeds(df: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(gram, id, pos, after, before) of the kept suffixes of all texts."""
+    """(gram, id, places, after, before) of the kept suffixes of all texts; a document's places of equal gram and surroundings are one row."""
     seed, window = min_words // 2, min_words - min_words // 2 + 1
     kind = dict(df.dtypes)[id_col]
 
     def call(ids, texts):
         h, bounds = word_hashes(texts)
-        rows = []
+        rows, parts = [], []
         for i in range(len(ids)):
             own = h[bounds[i] : bounds[i + 1]]
             g = gram_hashes(own, seed)
             at = minimisers(g, window)
             if len(at):
-                rows.append((np.full(len(at), i), g[at].view(np.int64), at, *contexts(own, at, seed)))
-        which, gram, pos, after, before = map(np.concatenate, zip(*rows)) if rows else [np.zeros(0, np.int64)] * 5
-        return {"gram": gram, "id": pa.array(ids).take(pa.array(which)), "pos": pos, "after": after, "before": before}
+                gram, after, before = g[at].view(np.int64), *contexts(own, at, seed)
+                places, bounds_, one = by_value(at, before, after, gram)
+                parts.append((places, bounds_))
+                rows.append((np.full(len(one), i), gram[one], after[one], before[one]))
+        which, gram, after, before = map(np.concatenate, zip(*rows)) if rows else [np.zeros(0, np.int64)] * 4
+        return {"gram": gram, "id": pa.array(ids).take(pa.array(which)), "places": lists(parts), "after": after, "before": before}
 
-    return explode_texts(df.filter(F.col(id_col).isNotNull()), lambda: call, f"gram long, id {kind}, pos long, after long, before long", id_col, text_col)
+    return explode_texts(df.filter(F.col(id_col).isNotNull()), lambda: call, f"gram long, id {kind}, places array<int>, after long, before long", id_col, text_col)
 
 
 def same_blocks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,21 +171,23 @@ def same_blocks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return n
 
 
-def neighbours(rows: DataFrame, by: str, other: str, min_words: int) -> DataFrame:
-    """Pairs (a, b, shift) of documents whose rows stand side by side in the order of gram and ``by`` and can reach min_words.
+def neighbours(rows: DataFrame, order: list[str], min_words: int) -> DataFrame:
+    """Pairs (a, b, shift) of documents whose rows stand side by side in the order of gram and ``order`` and can reach min_words.
 
-    shift is the place in a less the place in b, with a the smaller id.
+    rows have a gram, an id and the id's places, and surroundings if ``order``
+    names them. shift is the place in a less the place in b, with a the smaller
+    id; each place of either row is in a shift.
     """
-    seed = min_words // 2
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last = TaskContext.get().partitionId(), None
-        names = ["tag", "gram", "a", "b", "shift"]
+        names = ["tag", "gram", "a", "b", "shift", "places"]
+        listed = pa.list_(pa.int32())
 
         def edge(tag, batch, at):
-            gram, doc, pos = (batch.column(c).slice(at, 1) for c in range(3))
-            return pa.RecordBatch.from_arrays([pa.array([tag], pa.int64()), gram, doc, pa.nulls(1, doc.type), pos], names=names)
+            gram, doc, places = (batch.column(c).slice(at, 1) for c in range(3))
+            return pa.RecordBatch.from_arrays([pa.array([tag], pa.int64()), gram, doc, pa.nulls(1, doc.type), pa.nulls(1, pa.int64()), places.cast(listed)], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -160,25 +195,36 @@ def neighbours(rows: DataFrame, by: str, other: str, min_words: int) -> DataFram
             if last is None:
                 yield edge(2 * part, batch, 0)
             table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
-            gram, pos, after, before = (table.column(c).to_numpy() for c in (0, 2, 3, 4))
-            ids = table.column(1).combine_chunks()
+            gram, ids, held = table.column(0).to_numpy(), table.column(1).combine_chunks(), table.column(2).combine_chunks()
             code = ids.dictionary_encode().indices.to_numpy()
-            reach = BLOCK * (same_blocks(after[:-1], after[1:]) + same_blocks(before[:-1], before[1:])) + 2 * (BLOCK - 1)  # a block that differs can still match in all but one word
-            at = np.flatnonzero((gram[:-1] == gram[1:]) & (code[:-1] != code[1:]) & (seed + reach >= min_words))
+            meet = (gram[:-1] == gram[1:]) & (code[:-1] != code[1:])
+            if order:
+                sides = [table.column(c).to_numpy() for c in (3, 4)]
+                # a block that differs can still match in all but one word
+                meet &= min_words // 2 + BLOCK * sum(same_blocks(x[:-1], x[1:]) for x in sides) + 2 * (BLOCK - 1) >= min_words
+            at = np.flatnonzero(meet)
             if len(at):
-                first, second = ids.take(pa.array(at)), ids.take(pa.array(at + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), pa.array(gram[at]), first, second, pa.array(pos[at] - pos[at + 1])], names=names)
+                counts, places = held.value_lengths().to_numpy(), held.flatten().to_numpy().astype(np.int64)
+                starts = np.cumsum(counts) - counts
+                n, m = counts[at], counts[at + 1] - 1
+                left = places[spread(starts[at], n)] - np.repeat(places[starts[at + 1]], n)
+                right = np.repeat(places[starts[at]], m) - places[spread(starts[at + 1] + 1, m)]
+                which = np.concatenate([np.repeat(at, n), np.repeat(at, m)])
+                k = len(which)
+                first, second = ids.take(pa.array(which)), ids.take(pa.array(which + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1)), pa.array(gram[which]), first, second, pa.array(np.concatenate([left, right])), pa.nulls(k, listed)], names=names)
             last = batch.slice(batch.num_rows - 1, 1)
         if last is not None:
             yield edge(2 * part + 1, last, 0)
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.select("gram", "id", "pos", "after", "before").repartitionByRange(n, "gram", by, "id", "pos").sortWithinPartitions("gram", by, other, "id", "pos")
-    found = cut(ordered.mapInArrow(run, f"tag long, gram long, a {kind}, b {kind}, shift long"))
+    ordered = rows.select("gram", "id", "places", *order).repartitionByRange(n, "gram", *order, "id").sortWithinPartitions("gram", *order, "id")
+    found = cut(ordered.mapInArrow(run, f"tag long, gram long, a {kind}, b {kind}, shift long, places array<int>"))
     # The edges: a first (even tag) and a last row for each task, so the window over them stays small.
-    order = W.partitionBy("gram").orderBy("tag")
-    edges = found.filter("tag >= 0").withColumns({f"{c}_": F.lag(c).over(order) for c in ("tag", "a", "shift")})
-    meeting = edges.filter("tag % 2 = 0 AND tag_ % 2 = 1 AND a_ <> a").select(F.col("a_").alias("a"), F.col("a").alias("b"), (F.col("shift_") - F.col("shift")).alias("shift"))
+    by_tag = W.partitionBy("gram").orderBy("tag")
+    edges = found.filter("tag >= 0").withColumns({f"{c}_": F.lag(c).over(by_tag) for c in ("tag", "a", "places")})
+    shifts = F.expr("explode(array_union(transform(places_, p -> CAST(p - places[0] AS long)), transform(places, p -> CAST(places_[0] - p AS long))))")
+    meeting = edges.filter("tag % 2 = 0 AND tag_ % 2 = 1 AND a_ <> a").select(F.col("a_").alias("a"), F.col("a").alias("b"), shifts.alias("shift"))
     pairs = found.filter("tag = -1").select("a", "b", "shift").unionByName(meeting)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), -F.col("shift")).otherwise(F.col("shift")).alias("shift"))
 
@@ -204,10 +250,11 @@ def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     nor do null ids. Null, empty and shorter texts have none.
     """
     kept = cut(seeds(df, min_words, id_col, text_col))
-    counts = kept.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    mark = F.xxhash64("id")
+    counts = kept.groupBy("gram").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("gram")
     shared = cut(join_summary(kept, counts, ["gram"]))
-    near = neighbours(shared, "after", "before", min_words).unionByName(neighbours(shared, "before", "after", min_words))
-    # A pair has at most as many shifts as its shorter text has seeds.
+    near = neighbours(shared, ["after", "before"], min_words).unionByName(neighbours(shared, ["before", "after"], min_words))
+    # A pair has at most as many shifts as its texts have seeds.
     pairs = cut(near.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
