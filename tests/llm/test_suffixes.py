@@ -80,3 +80,38 @@ def test_passage_many_times_in_one_document(spark):
     got, expected = places(S.repeated_passages(df.filter("doc_id < 3")).collect(), docs[:2]), repeated(docs[:2], 50)
     assert got == expected and len(got[1]) == 2000
     assert places(S.repeated_passages(df).collect(), docs) == repeated(docs, 50)
+
+
+def test_passage_across_the_gram_between_fillers(spark):
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    while True:
+        p, left, right = text(50), text(60), text(60)
+        h, _ = S.word_hashes([" ".join(left + p + right)])
+        if [a - 60 for a in S.minimisers(S.gram_hashes(h, 25), 26) if 60 <= a <= 85] == [12]:
+            break
+    l, g, r = p[:12], p[12:37], p[37:]
+    docs = [(0, left + p + right)]
+    for i in range(1, 400, 2):
+        docs += [(i, text(60) + g + r + text(60)), (i + 1, text(60) + l + g + text(60))]
+    docs.append((1000, text(60) + p + text(60)))
+    docs = [(i, " ".join(w)) for i, w in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert places(S.repeated_passages(df).collect(), docs) == repeated(docs, 50) == {0: set(range(60, 110)), 1000: set(range(60, 110))}
+
+
+def test_near_copies_with_edits(spark):
+    rng = random.Random(6)
+    base, docs = [f"w{rng.randrange(10**9)}" for _ in range(600)], []
+    for i in range(300):
+        w = list(base)
+        for j in range(rng.randrange(30), 600, 30):
+            w[min(599, j + rng.randrange(25))] = f"e{i}_{j}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert places(S.repeated_passages(df).collect(), docs) == repeated(docs, 50)
+
+
+def test_sf_documents_all_places(spark, small):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    assert places(S.op8_suffix_dedup(spark, small).collect(), docs) == repeated(docs, 50)

@@ -6,8 +6,11 @@ Positions whose gram only one document has leave after a count; a document's
 places of equal gram and surroundings are one row with a list, so that rows side
 by side are of different documents. The others are sorted by
 what follows the gram, and once more by what precedes it; neighbours in either
-order that can reach ``min_words`` become pairs. Their matches are then extended
-left and right on the whole texts.
+order that can reach ``min_words`` become pairs. Neighbours alone miss documents
+that agree on part of either side, so where a gram has several surroundings, all
+windows of ``min_words`` words that hold it are keyed by their hash, and the
+documents of each window meet in a row. The pairs' matches are then extended left
+and right on the whole texts.
 
 The sort is by range over the gram, its surroundings and the document, so a
 passage that thousands of documents share is dealt over many tasks; each row meets
@@ -229,6 +232,48 @@ def neighbours(rows: DataFrame, order: list[str], min_words: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") > F.col("b"), -F.col("shift")).otherwise(F.col("shift")).alias("shift"))
 
 
+def open_places(shared: DataFrame) -> DataFrame:
+    """(id, places) of the rows whose windows other surroundings of their gram may share.
+
+    Rows of equal gram and surroundings share all windows around the gram and
+    have met in neighbours(), so the first and last document of each surroundings
+    stand for them, and grams that have one surroundings only are done.
+    """
+    row = F.struct("id", "places")
+    around = shared.groupBy("gram", "after", "before").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    around = cut(around)
+    several = around.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    ends = join_summary(around, several, ["gram"]).select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("r"))
+    return ends.select("r.id", "r.places")
+
+
+def windows(texts: DataFrame, min_words: int) -> DataFrame:
+    """(gram, id, places) of all min_words words in a row around the texts' places; gram is the words' hash."""
+    seed = min_words // 2
+    kind = dict(texts.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                h, bounds = word_hashes(part.column(1).to_pylist())
+                rows, parts = [], []
+                for k, at in enumerate(part.column(2).to_pylist()):
+                    g = gram_hashes(h[bounds[k] : bounds[k + 1]], min_words)
+                    near = np.unique(np.add.outer(np.array(at, np.int64), np.arange(seed - min_words, 1)))
+                    near = near[(near >= 0) & (near < len(g))]
+                    if len(near):
+                        gram = g[near].view(np.int64)
+                        places, bounds_, one = by_value(near, gram)
+                        parts.append((places, bounds_))
+                        rows.append((np.full(len(one), k), gram[one]))
+                if rows:
+                    which, gram = map(np.concatenate, zip(*rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(gram), part.column(0).take(pa.array(which)), lists(parts)], names=["gram", "id", "places"])
+
+    return texts.filter("size(places) > 0").select("id", "text", "places").mapInArrow(run, f"gram long, id {kind}, places array<int>")
+
+
 def extended(x: np.ndarray, y: np.ndarray, shifts: list[int], min_words: int) -> list[tuple[int, int, int]]:
     """Matches (start in x, start in y, words) of min_words at least, extended left and right along each shift."""
     out = []
@@ -254,11 +299,14 @@ def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     counts = kept.groupBy("gram").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("gram")
     shared = cut(join_summary(kept, counts, ["gram"]))
     near = neighbours(shared, ["after", "before"], min_words).unionByName(neighbours(shared, ["before", "after"], min_words))
-    # A pair has at most as many shifts as its texts have seeds.
-    pairs = cut(near.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    spots = open_places(shared)
+    wanted = spots.unionByName(near.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("places", F.lit(None).cast("array<int>")))
+    wanted = wanted.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").dropDuplicates(["id"])
     texts = cut(texts)
+    near = near.unionByName(neighbours(cut(windows(texts, min_words)), [], min_words))
+    # A pair has at most as many shifts as its texts have seeds and windows around them.
+    pairs = cut(near.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     kind = dict(df.dtypes)[id_col]
 
