@@ -14,9 +14,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, files_per_batch: int = 8) -> DataFrame:
-    """Parquet event files as they arrive; event_ts is a timestamp, as watermarks need."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, files_per_batch: int | None = 8) -> DataFrame:
+    """Parquet event files as they arrive; event_ts is a timestamp, as watermarks need.
+
+    With files_per_batch None all files that are there are one batch, so that no row is late.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # a stream reads folders
         reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()
