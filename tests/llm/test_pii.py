@@ -70,3 +70,11 @@ def test_rows(spark):
     assert rows == {(1, 1), (2, 0)} and pii.find_pii(df.limit(0)).count() == 0
     shown = df.select(pii.mask_pii("text").alias("t")).collect()
     assert [r["t"] for r in shown] == ["é <EMAIL>", None, ""]
+
+
+def test_accounts_after_other_codes():
+    ibans = lambda t: [t[s["start"] : s["end"]] for s in pii.spans_of(t) if s["kind"] == "iban"]
+    de, gb = "DE89370400440532013000", "GB82WEST12345698765432"
+    assert ibans(f"{de} {gb}") == [de, gb] and ibans(f"AB12 {gb} {de}") == [gb, de] and ibans(f"X{de}") == []
+    assert pii.masked(f"{de} {gb}") == "<IBAN> <IBAN>"
+    pii.spans_of("AB12 " * 100_000)

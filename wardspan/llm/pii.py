@@ -109,7 +109,9 @@ def proposals(text: str):
         for m in _PHONE.finditer(text):
             if 10 <= len(digits_of(m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
+    at = 0
+    while m := _IBAN.search(text, at):  # a match can reach past its account into the next one
+        at = m.start() + 1
         need, end, account = IBAN_LENGTH.get(m[0][:2], 0), m.start(), ""
         for c in m[0]:
             if len(account) == need:
@@ -117,6 +119,7 @@ def proposals(text: str):
             account, end = account + c.strip(), end + 1
         if need and len(account) == need and not text[end : end + 1].isalnum() and mod97(account):
             yield "iban", m.start(), end
+            at = end
     for m in _SSN.finditer(text):
         yield "ssn", *m.span()
 
