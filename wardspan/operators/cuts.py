@@ -1,15 +1,42 @@
-"""Lineage cuts that survive lost executors."""
+"""Lineage cuts that survive lost executors, and where intermediate data lie."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
+def shared_top(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; unset, a temporary one in local mode and an error on a cluster, where no folder of ours would be shared."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints into the shared folder of the session; one of our own only where none is set."""
+    """Checkpoints into the shared folder. Its files go once no plan refers to them, unless the session says otherwise."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        sc.setCheckpointDir(shared_top(df.sparkSession))
+    conf = sc._jsc.sc().conf()
+    if not conf.contains(CLEAN):
+        conf.set(CLEAN, "true")
     return df.checkpoint(eager=True)
+
+
+def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a summary that has each key once.
+
+    A summary comes dealt by its keys, and Spark splits a hot key's rows between
+    tasks only in joins that deal out both sides; a hash beside the keys makes it
+    do so.
+    """
+    mark = F.xxhash64(*keys)
+    return rows.withColumn("mark_", mark).join(summary.withColumn("mark_", mark), ["mark_", *keys], how).drop("mark_")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wardspan.operators.cuts import shared_top
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -83,8 +84,7 @@ def alerts(stream: DataFrame, minutes: int = 60, delay: str = "1 day") -> DataFr
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one that all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_top(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600) -> DataFrame:
