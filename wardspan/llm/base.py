@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardspan.operators.cuts import cut, join_summary  # noqa: F401
+
 #: Rows and bytes of text that one call of a batch function gets at most.
 SLICE_ROWS = 256
 SLICE_BYTES = 8 << 20
@@ -77,22 +78,3 @@ def explode_texts(
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in found.values()], names=list(found))
 
     return source.mapInArrow(run, columns)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
-    return df.checkpoint(eager=True)
-
-
-def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """rows joined with a summary that has each key once.
-
-    A summary comes dealt by its keys, and Spark splits a hot key's rows between
-    tasks only in joins that deal out both sides; a hash beside the keys makes it
-    do so.
-    """
-    mark = F.xxhash64(*keys)
-    return rows.withColumn("mark_", mark).join(summary.withColumn("mark_", mark), ["mark_", *keys]).drop("mark_")

@@ -1,9 +1,7 @@
-"""The queries of this subpackage and of the corpus pipeline, and their SQL."""
+"""The queries of this subpackage, and their SQL."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from wardspan.llm import bpe, exact, langid, licenses, matroska, minhash, packing, pii, sharding, suffixes
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
     "op10_exact_dedup": exact.op10_exact_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
