@@ -12,16 +12,15 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_same_ids_as_the_library():
     coder, other, rng = packing.coder(open(PATH).read()), library(), random.Random(1)
     odd = list("aaaaabbeehtT  \n\t'sdrllve0123.,!-ÀéÉß÷×  ́\x1c\x1d\x00漢字日本😀<|>_²ªİΣς")
-    for _ in range(3000):
-        text = "".join(rng.choice(odd) for _ in range(rng.randrange(40)))
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "x" * 60]
+    for i in range(4000):
+        text = "".join(rng.choice(odd + marks * (i % 4)) for _ in range(rng.randrange(40)))
         assert coder.encode(text).tolist() == other.encode(text, add_special_tokens=False).ids, repr(text)
 
 
@@ -52,7 +51,7 @@ def check(rows, texts, most_padding):
 
 
 def test_small_table(spark):
-    texts = {1: "a b c", 2: None, 3: "", 4: "word " * 30_000, 5: "x y " * 500}
+    texts = {1: "a b c", 2: None, 3: "", 4: "word " * 30_000, 5: "x y " * 500, 6: "end<|endoftext|>start <|startoftext|>" * 300}
     df = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "doc_id long, text string, start int")
     check(packing.pack_documents(df, PATH).collect(), texts, 0.01)
     assert packing.pack_documents(df.limit(0), PATH).count() == 0

@@ -10,6 +10,7 @@ where a sequence is full, and the last of it closed at powers of two.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,8 +39,12 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(text)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        added = json.loads(text)["added_tokens"]
+        # Tokens that the library takes out of the text as it stands, before it normalises; of several at one place the longest.
+        names = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+        self.apart = not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
         self.table = {b: ord(c) for b, c in enumerate(byte_table())}
         self.cache = PieceCache(self.encode_piece)
 
@@ -49,7 +54,18 @@ class WordBpe:
         return self.whole.encode(piece, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str]:
-        """Parts that can be encoded apart: matches, or what lies between ASCII white space."""
+        """Parts that can be encoded apart: added tokens, and of what lies between them matches, or what lies between ASCII white space."""
+        if not self.apart:
+            return [text]
+        if self.added and self.added.search(text):
+            out = []
+            for k, part in enumerate(self.added.split(text)):
+                out += [part] if k % 2 else self.plain_pieces(part)
+            return out
+        return self.plain_pieces(text)
+
+    @staticmethod
+    def plain_pieces(text: str) -> list[str]:
         if _PLAIN.match(text):
             return _MATCH.findall(text.lower())
         out = []
@@ -143,8 +159,9 @@ def pack_documents(
 ) -> DataFrame:
     """Places of all pieces of all documents: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are their end id alone. Repeated rows are packed as
-    often as they occur. capacity has to be a power of two. A sequence's rows
+    Ids are those of the library's encode(text, add_special_tokens=False): names
+    of the file's special tokens in a text are those tokens. Null and empty texts
+    are their end id alone. Repeated rows are packed as often as they occur. capacity has to be a power of two. A sequence's rows
     are gapless from offset 0; sequence ids are unique, not dense.
     """
     if capacity & (capacity - 1):
