@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from wardspan.llm import exact
 
 
@@ -33,3 +35,24 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r["kept"], r["group_size"]) for r in rows) == [(False, 3), (True, 1), (True, 3), (True, 3)]
     assert sorted((r["doc_id"] or 0) for r in exact.drop_copies(df).collect()) == [0, 1]
     assert exact.exact_groups(df.limit(0)).count() == 0 and exact.drop_copies(df.limit(0)).count() == 0
+
+
+def test_full_hashes_are_made_of_survivors_only(spark, monkeypatch):
+    """The last level reads the texts that are left by length and prefix, and no others."""
+    docs = [(i, "x" * i) for i in range(200)] + [(300, "abc"), (301, "a b c"), (302, "abd"), (303, "q" * 90 + "r"), (304, "q" * 90 + "s")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    read, full_keys = [], exact.full_keys
+    monkeypatch.setattr(exact, "full_keys", lambda d, *a: read.append(sorted(r["doc_id"] for r in d.collect())) or full_keys(d, *a))
+    kept = sorted(r["doc_id"] for r in exact.drop_copies(df).collect())
+    assert read == [[300, 301, 303, 304]] and kept == sorted({i for i, _ in docs} - {300})
+
+
+def test_rows_of_one_id_with_several_texts_and_clashing_names(spark):
+    long = "word " * 400_000
+    rows = [(1, "a", 1), (1, "b", 2), (1, "b ", 3), (2, "b", 4), (2, "c", 5), (3, "  c", 6), (None, "c", 7), (None, "d", 8), (4, long, 9), (5, long, 10), (6, None, 11), (7, " ", 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_ int").withColumns({"of_": F.col("own_"), "id_": F.lit("x"), "kept_": F.lit(1)})
+    kept = exact.drop_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(r["own_"] for r in kept.collect()) == [1, 3, 6, 8, 9, 12]
+    got = sorted((r["doc_id"] or 0, r["kept"], r["group_size"]) for r in exact.exact_groups(df).collect())
+    assert got == [(0, False, 3), (0, True, 1), (1, True, 1), (1, True, 3), (1, True, 3), (2, False, 3), (2, False, 3), (3, True, 3), (4, True, 2), (5, False, 2), (6, False, 2), (7, True, 2)]

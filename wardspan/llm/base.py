@@ -78,3 +78,17 @@ def explode_texts(
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in found.values()], names=list(found))
 
     return source.mapInArrow(run, columns)
+
+
+def free_name(df: DataFrame) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, "own_"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def by_ids(df: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """df semi- or anti-joined with the only column of ids, null meeting null; whatever df's columns are called."""
+    name = free_name(df)
+    return df.join(ids.select(F.col(ids.columns[0]).alias(name)), F.col(id_col).eqNullSafe(F.col(name)), how)
