@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from wardspan.llm import minhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -118,3 +120,47 @@ def test_empty_and_repeated(spark):
     rows = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_groups(df, 3, 85).collect()]
     assert sorted(rows, key=str) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True), (None, None, True)], key=str)
     assert minhash.near_groups(df.limit(0), 3, 85).count() == 0
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(7)
+    ids, calls, cut = list(range(10_000)), [], minhash.cut
+    rng.shuffle(ids)
+    monkeypatch.setattr(minhash, "cut", lambda df: calls.append(1) or cut(df))
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (20_000, 20_001), (5, 5)], "a long, b long")
+    got = {r["id"]: r["comp"] for r in minhash.components(edges).collect()}
+    assert got == {i: 0 for i in ids} | {20_000: 20_000, 20_001: 20_000}
+    assert len(calls) / 2 < 25
+
+
+def test_buckets_with_equal_sums_both_stay(spark):
+    """Two buckets of other members whose 40-bit hash sums agree, found by a search, are not taken for one."""
+    pairs = spark.range(1 << 22).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b"))
+    both = F.xxhash64("a") % (1 << 40) + F.xxhash64("b") % (1 << 40)
+    twice = pairs.groupBy(both.alias("h")).agg(F.min("a").alias("x"), F.max("a").alias("y")).filter("x <> y").first()
+    assert twice, "no two sums agree"
+    members = [(1, twice["x"]), (1, twice["x"] + 1), (2, twice["y"]), (2, twice["y"] + 1), (3, twice["y"] + 1), (3, twice["y"])]
+    placed = spark.createDataFrame([(k, i, i) for k, i in members], "key long, id long, comp long")
+    assert sorted(r["of"]["key"] for r in minhash.mixed_buckets(placed).collect()) == [1, 2]
+
+
+def test_ids_with_two_texts(spark):
+    """Each text of a repeated id links on its own, and the id's texts are one document."""
+    rng = random.Random(9)
+    text = lambda: [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    rows = []
+    for i in range(60):
+        for side in range(2):
+            w = text()
+            rows += [(i, " ".join(w), "x"), (1000 + 2 * i + side, " ".join([*w[:-1], "other"]), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string").withColumns({"doc": F.lit(1), "set1": F.lit("a"), "key": F.lit(0)})
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_groups(df, 3, 85).collect()}
+    assert got == {(i, i, True) for i in range(60)} | {(1000 + 2 * i + side, i, False) for i in range(60) for side in range(2)}
+
+
+def test_very_long_text(spark):
+    rng = random.Random(10)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    docs = [(1, " ".join(w)), (2, " ".join(w[:280_000])), (3, " ".join(w[:150_000])), (4, "la " * 300_000)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}

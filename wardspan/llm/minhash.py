@@ -81,6 +81,11 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return out
 
 
+def set_hashes(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a whole set, as signed longs."""
+    return int(np.sum(s).view(np.int64)), int(np.sum(mix(s ^ _WORD[63])).view(np.int64))
+
+
 def signatures(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Band keys (int64) and packed low bits (int64) of non-empty sets."""
     flat = np.concatenate(sets)
@@ -106,12 +111,11 @@ def sign(df: DataFrame, k: int, bands: int, rows: int, id_col: str, text_col: st
         keys, low = signatures([sets[i] for i in full], bands, rows) if full else (np.zeros((0, bands), np.int64), np.zeros((0, 1), np.int64))
         at = {i: j for j, i in enumerate(full)}
         some = lambda table: pa.array([table[at[i]] if i in at else None for i in range(len(sets))], pa.list_(pa.int64()))
-        whole = [[int(x) for x in (np.sum(s), np.sum(mix(s ^ _WORD[63])))] if len(s) else None for s in sets]
-        signed = lambda n: n - (1 << 64) if n >> 63 else n
+        whole = [set_hashes(s) if len(s) else (None, None) for s in sets]
         return {
             "n_shingles": [len(s) for s in sets],
-            "set1": pa.array([signed(w[0]) if w else None for w in whole], pa.int64()),
-            "set2": pa.array([signed(w[1]) if w else None for w in whole], pa.int64()),
+            "set1": pa.array([w[0] for w in whole], pa.int64()),
+            "set2": pa.array([w[1] for w in whole], pa.int64()),
             "bands": some(keys),
             "low": some(low),
         }
@@ -140,18 +144,28 @@ def least_equal(threshold: float, n: int) -> float:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and comp, the smallest id that it is linked with over any number of edges (a, b)."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
+    """id and comp, the smallest id that it is linked with over any number of edges (a, b).
+
+    Edges are rewritten in turn to hang a vertex's larger and its smaller
+    neighbours on its smallest one, until they are stars: the rounds are
+    logarithmic in a component's size, also for long chains, and no round holds
+    more edges than the first. Rounds end when two fingerprints and the number of
+    the edges stay as they are.
+    """
+    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    before = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
-        up = labels.select(F.col("id").alias("to"), F.col("comp").alias("up"))
-        labels = cut(step.join(up, "to").select("id", F.least("to", "up").alias("comp"), "was"))
-        changed = not labels.filter("comp <> was").isEmpty()
-        labels = labels.select("id", "comp")
-        if not changed:
-            return labels
+        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(join_summary(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = join_summary(large, down, ["hi"]).filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(down.select("hi", F.col("m").alias("lo")))
+        edges = cut(small.distinct())
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first()
+        if now == before:
+            roots = edges.select(F.col("lo").alias("id")).distinct()
+            return cut(edges.select(F.col("hi").alias("id"), F.col("lo").alias("comp")).unionByName(roots.select("id", F.col("id").alias("comp"))))
+        before = now
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -210,13 +224,23 @@ def joining(low: np.ndarray, sets: list[np.ndarray], comps: list, sides: np.ndar
     return out
 
 
+def mixed_buckets(placed: DataFrame) -> DataFrame:
+    """Buckets of (key, id, comp) whose members lie in several components: n members, and ``of`` with the key and the largest component ``top``.
+
+    Buckets of several bands with the same members count once: those of equal
+    number and of two equal independent 64-bit fingerprints of their members.
+    """
+    prints = [F.bit_xor(F.xxhash64("id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit("second"), "id")).alias("h2")]
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), *prints)
+    whole = [F.bit_xor(h).alias(h) for h in ("h1", "h2")]
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), *whole, F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp")).alias("top")).filter("parts > 1")
+    return mixed.groupBy("n", "h1", "h2").agg(F.min(F.struct("key", "top")).alias("of"))
+
+
 def block_links(shared: DataFrame, labels: DataFrame, signed: DataFrame, sets: DataFrame, lanes: int, threshold: float, least: float) -> DataFrame:
     """Links (a, b) between components by comparing, in blocks, the members of buckets (key, id) that lie in several."""
     placed = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id") % (1 << 40)).alias("h"))
-    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "comp")).alias("top")).filter("parts > 1")
-    # Buckets of several bands with the same members are compared once.
-    mixed = mixed.groupBy("n", "h").agg(F.min(F.struct("key", "top")).alias("of"))
+    mixed = mixed_buckets(placed)
     # The largest component of a bucket has blocks of its own, which never meet each other.
     large = F.col("n") > BLOCK
     mixed = mixed.select(
@@ -264,28 +288,31 @@ def near_groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
 
     Documents are linked when 100 * intersection >= percent * union of their
     sets of k-word shingles; component_id is the smallest id reachable. Null and
-    empty texts have no shingles and no links; rows with one id share a component.
+    empty texts have no shingles and no links, nor have null ids. Rows with one
+    id share a component, and each of their texts links on its own; all of them
+    are kept or none. An empty table gives no rows.
     """
     bands, rows = bands_for(percent / 100)
-    signed = cut(sign(df, k, bands, rows, id_col, text_col).withColumnRenamed(id_col, "id"))
-    keyed = signed.filter("set1 IS NOT NULL AND id IS NOT NULL")
-    firsts = keyed.groupBy("set1", "set2").agg(F.min("id").alias("rep"))
-    # (id, rep) of documents that share a set, and the signatures of representatives.
-    members = join_summary(keyed.select("id", "set1", "set2"), firsts, ["set1", "set2"]).select("id", "rep").distinct()
-    leaders = keyed.select("id", "bands", "low").join(firsts.select(F.col("rep").alias("id")).distinct(), "id").dropDuplicates(["id"])
-    leaders = cut(leaders)
+    signed = cut(sign(df, k, bands, rows, id_col, text_col).withColumnRenamed(id_col, "doc"))
+    keyed = signed.filter("set1 IS NOT NULL AND doc IS NOT NULL")
+    # From here on an id is the number of a set: documents that share one become one representative.
+    leaders = keyed.groupBy("set1", "set2").agg(F.min_by(F.struct("doc", "bands", "low"), "doc").alias("first"))
+    leaders = cut(leaders.select(F.monotonically_increasing_id().alias("id"), "set1", "set2", "first.*"))
+    members = join_summary(keyed.select("doc", "set1", "set2"), leaders.select("id", "set1", "set2"), ["set1", "set2"]).select("doc", "id").distinct()
 
     spread = leaders.select("id", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = cut(join_summary(spread, shared.select("key", "pivot"), ["key"]))
-    wanted = shared.select("id").distinct()
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
+    wanted = leaders.join(shared.select("id").distinct(), "id", "left_semi").select("doc", "id", "set1", "set2")
+    texts = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted.select("doc").distinct(), "doc", "left_semi")
 
-    def as_sets(ids, found):
-        return {"id": ids, "shingles": pa.array([s.view(np.int64) for s in shingle_sets(found, k)], pa.list_(pa.int64()))}
+    def as_sets(docs, found):
+        sets = shingle_sets(found, k)
+        set1, set2 = zip(*map(set_hashes, sets))
+        return {"set1": pa.array(set1, pa.int64()), "set2": pa.array(set2, pa.int64()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
 
-    kind = dict(signed.dtypes)["id"]
-    sets = cut(explode_texts(texts, lambda: as_sets, f"id {kind}, shingles array<long>", "id", "text").dropDuplicates(["id"]))
+    made = explode_texts(texts, lambda: as_sets, "set1 long, set2 long, shingles array<long>", "doc", "text")
+    sets = cut(made.join(wanted.select("id", "set1", "set2"), ["set1", "set2"]).dropDuplicates(["set1", "set2"]).select("id", "shingles"))
     lanes = leaders.select("id", "low")
     least = least_equal(percent / 100, bands * rows)
 
@@ -298,17 +325,20 @@ def near_groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
         return full.filter(100 * both >= percent * (F.size("shingles_a") + F.size("shingles_b") - both)).select("a", "b")
 
     star = shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(linked(star))
+    # Sets that stand under one id are linked by it.
+    one_id = members.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z").select("doc", "a")
+    links = cut(linked(star).unionByName(members.join(one_id, "doc").filter("id <> a").select("a", F.col("id").alias("b"))))
     labels = components(links)
     labels = relabelled(labels, cut(block_links(shared, labels, lanes, sets, bands * rows, percent / 100, least)))
 
-    comp = members.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", F.coalesce("comp", "rep").alias("comp"))
-    comp = comp.groupBy("id").agg(F.min("comp").alias("comp"))
-    return signed.select("id", "n_shingles").join(comp, "id", "left").select(
-        F.col("id").alias(id_col),
+    placed = members.join(labels, "id", "left").select("doc", F.coalesce("comp", "id").alias("comp")).distinct()
+    smallest = placed.groupBy("comp").agg(F.min("doc").alias("least"))
+    told = join_summary(placed, smallest, ["comp"]).select("doc", F.col("least").alias("component_id"))
+    return signed.select("doc", "n_shingles").join(told, "doc", "left").select(
+        F.col("doc").alias(id_col),
         "n_shingles",
-        F.coalesce("comp", "id").alias("component_id"),
-        F.coalesce("comp", "id").eqNullSafe(F.col("id")).alias("kept"),
+        F.coalesce("component_id", "doc").alias("component_id"),
+        F.coalesce("component_id", "doc").eqNullSafe(F.col("doc")).alias("kept"),
     )
 
 
