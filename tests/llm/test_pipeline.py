@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from wardspan.llm import pii
 
@@ -27,3 +29,28 @@ def test_run(spark, small):
     rows = P.run(spark, small).collect()
     docs = {r["doc_id"] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()}
     assert rows and {r["doc_id"] for r in rows} <= docs and len(P.STAGES) == 5
+
+
+def test_clashing_names_long_texts_and_unlabelled_rows(spark):
+    names = ["told_", "gone_", "of_", "own_", "id_", "kept_", "doc", "id"]
+    text = "plain words of a text that nobody copied so far"
+    rows = [(1, text, None, "s", 0), (2, text + " ", None, "s", 0), (3, "long text of many words " * 50_000, None, "s", 0), (4, None, None, "s", 0), (5, "", None, None, None), (None, "some other words", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for labelled in (docs, docs.withColumn("lang", F.lit("en"))):
+        kept = labelled
+        for _, stage in P.STAGES[:-1]:
+            kept = stage(spark, kept, "")
+            assert kept.columns == docs.columns
+        kept = sorted(kept.collect(), key=lambda r: r["doc_id"] or 0)
+        assert [r["doc_id"] for r in kept][-2:] == [2, 3] and all(r[n] == f"{n}{r['doc_id']}" for r in kept if r["doc_id"] for n in names)
+        assert kept[-1]["n_chars"] == len(rows[2][1])
+    packed = P.sequences(spark, docs, "").collect()
+    assert {r["doc_id"] for r in packed} == {1, 2, 3, 4, 5, None}
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0 and (name == "sequences" or out.columns == docs.columns)

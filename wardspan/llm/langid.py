@@ -2,9 +2,10 @@
 
 Learning counts character n-grams per language over a bounded sample of labelled
 documents and keeps those with a minimum share. A Bloom filter, sliced so that
-each slot holds one bit per language, then returns all languages that contain
-an n-gram by one AND of a few slots. A text's popcounts per language, corrected
-for each language's false-positive rate, decide.
+each slot holds one bit per language (as many words as they need), then returns
+all languages that contain an n-gram by one AND of a few slots. A text's
+popcounts per language, corrected for each language's false-positive rate,
+decide.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardspan.llm.base import cut, documents, explode_texts, map_texts, slices
@@ -21,15 +22,18 @@ from wardspan.llm.base import cut, documents, explode_texts, map_texts, slices
 SIZES = (3, 4)
 SLOTS = 1 << 18
 PROBES = 3
-#: Documents per language that are learned from (about: by a hash of the id), and the most languages (one bit each).
+#: Documents per language that are learned from (about: by a hash of the id).
 FIT_DOCS = 2000
-MAX_LANGUAGES = 64
+#: Languages of one word of a slot.
+WORD = 64
 #: An n-gram belongs to a language with this share of its n-grams, and this part of the share of the language that has most.
 MIN_SHARE = 2e-5
 MIN_PART = 0.1
 
 
 class Model(NamedTuple):
+    """Languages, words of bits (one row for each WORD languages, SLOTS columns), and each language's false-positive rate."""
+
     languages: list[str]
     slots: np.ndarray
     false_rate: np.ndarray
@@ -92,21 +96,26 @@ def labelled(df: DataFrame, id_col: str, text_col: str, label_col: str) -> DataF
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", fit_docs: int = FIT_DOCS) -> Model:
-    """A model of the languages in label_col. What reaches the driver is bounded by languages / MIN_SHARE."""
+    """A model of the languages in label_col, of any number; what reaches the driver is bounded by languages / MIN_SHARE.
+
+    It is learned from about ``fit_docs`` documents of each language. Null and
+    empty texts and null labels teach nothing; a repeated row counts as often as
+    it occurs, and without labelled rows the model has no languages.
+    """
     known = labelled(df, id_col, text_col, label_col)
-    sizes = known.groupBy(F.col(label_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
+    sizes = known.groupBy(F.col(label_col).alias("l")).count().collect()
     languages = sorted(r["l"] for r in sizes)
     if not languages:
-        return Model([], np.zeros(SLOTS, np.uint64), np.zeros(0))
-    rate = F.lit(0.0)
-    for r in sizes:
-        rate = F.when(F.col(label_col) == r["l"], min(1.0, fit_docs / r["count"])).otherwise(rate)
+        return Model([], np.zeros((0, SLOTS), np.uint64), np.zeros(0))
+    number = {l: i for i, l in enumerate(languages)}
+    rates = {r["l"]: min(1.0, fit_docs / r["count"]) for r in sizes}
+    rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col(label_col))
     drawn = F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 20)) < rate * (1 << 20)
     sample = known.filter(drawn).select(F.struct(F.col(label_col)).alias("key"), F.col(text_col).alias("text"))
 
     def counter():
         def call(keys, texts):
-            which = np.array([languages.index(k[label_col]) for k in keys])
+            which = np.array([number[k[label_col]] for k in keys])
             h, owner = grams(texts)
             order = np.lexsort((h, which[owner]))
             h, lang = h[order], which[owner][order]
@@ -119,33 +128,38 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
 
     counts = explode_texts(sample, counter, "l int, gram long, n long", "key").groupBy("l", "gram").agg(F.sum("n").alias("n"))
     counts = cut(counts)
-    totals = {r["l"]: r["n"] for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}
-    share = F.lit(0.0)
-    for l, n in totals.items():
-        share = F.when(F.col("l") == l, F.col("n") / F.lit(float(n))).otherwise(share)
-    frequent = counts.withColumn("share", share).filter(F.col("share") >= MIN_SHARE)
+    totals = counts.groupBy("l").agg(F.sum("n").alias("total"))
+    frequent = counts.join(F.broadcast(totals), "l").select("l", "gram", (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= MIN_SHARE)
     most = frequent.groupBy("gram").agg(F.max("share").alias("most"))
     kept = frequent.join(most, "gram").filter(F.col("share") >= MIN_PART * F.col("most")).select("l", "gram").toPandas()
-    slots = np.zeros(SLOTS, np.uint64)
+    return built(languages, kept["l"].to_numpy(np.int64), kept["gram"].to_numpy(np.int64).view(np.uint64))
+
+
+def built(languages: list[str], which: np.ndarray, grams_: np.ndarray) -> Model:
+    """The filter of n-gram hashes and the numbers of their languages."""
+    slots = np.zeros((-(-len(languages) // WORD), SLOTS), np.uint64)
+    rate = np.zeros(len(languages))
     for l in range(len(languages)):
-        for at in probes(kept["gram"].to_numpy()[kept["l"].to_numpy() == l].astype(np.int64).view(np.uint64)):
-            slots[at] |= np.uint64(1) << np.uint64(l)
-    filled = np.array([((slots >> np.uint64(l)) & np.uint64(1)).mean() for l in range(len(languages))])
-    return Model(languages, slots, filled**PROBES)
+        word, bit = slots[l // WORD], np.uint64(l % WORD)
+        for at in probes(grams_[which == l]):
+            word[at] |= np.uint64(1) << bit
+        rate[l] = ((word >> bit) & np.uint64(1)).mean() ** PROBES
+    return Model(languages, slots, rate)
 
 
 def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Corrected counts (texts by languages), and n-grams of each text."""
     h, owner = grams(texts)
-    masks = np.full(len(h), ~np.uint64(0), np.uint64)
-    for at in probes(h):
-        masks &= model.slots[at]
     total = np.bincount(owner, minlength=len(texts)).astype(float)
-    out = np.zeros((len(texts), len(model.languages)))
-    for l in range(len(model.languages)):
-        hits = np.bincount(owner[((masks >> np.uint64(l)) & np.uint64(1)).astype(bool)], minlength=len(texts))
-        rate = min(model.false_rate[l], 0.999)
-        out[:, l] = (hits - rate * total) / (1 - rate)
+    out, places = np.zeros((len(texts), len(model.languages))), probes(h)
+    for w, word in enumerate(model.slots):
+        masks = np.full(len(h), ~np.uint64(0), np.uint64)
+        for at in places:
+            masks &= word[at]
+        for l in range(w * WORD, min(len(model.languages), (w + 1) * WORD)):
+            hits = np.bincount(owner[((masks >> np.uint64(l % WORD)) & np.uint64(1)).astype(bool)], minlength=len(texts))
+            rate = min(model.false_rate[l], 0.999)
+            out[:, l] = (hits - rate * total) / (1 - rate)
     return out, total
 
 
@@ -196,6 +210,11 @@ def language_of(model: Model, spark: SparkSession):
     return call.asNondeterministic()  # else a filter on it and a projection of it each run it
 
 
+def has_letter(text_col: str) -> Column:
+    """Whether a text has a letter."""
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = predict(docs, fit(docs))
