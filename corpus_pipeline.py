@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardspan.llm import exact, langid, minhash, packing, pii
-from wardspan.llm.base import cut, documents
+from wardspan.llm.base import by_ids, cut, documents, free_name
 
 #: A text with a smaller share of known n-grams is in no known language.
 LEAST_LANGUAGE_SCORE = 0.1
@@ -20,31 +20,54 @@ SHINGLE_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter or in no known language; a missing lang is filled in."""
-    found = langid.language_of(langid.fit(docs), spark)
-    told = docs.withColumn("told_", found("text")).filter(f"told_.lang_pred <> 'und' AND told_.score >= {LEAST_LANGUAGE_SCORE}")
-    return told.withColumn("lang", F.coalesce("lang", "told_.lang_pred")).select(docs.columns)
+    """Rejects texts without a letter or in no known language; a missing lang is filled in.
+
+    Null and empty texts have no letter and go. Repeated rows are judged one by
+    one and stay as often as they occur. Where nothing can be learned, as in an
+    empty table or one without labels, every text with a letter stays.
+    """
+    model, told = langid.fit(docs), free_name(docs)
+    if not model.languages:
+        return docs.filter(langid.has_letter("text"))
+    found = docs.withColumn(told, langid.language_of(model, spark)("text"))
+    kept = found.filter(F.col(f"{told}.lang_pred") != "und").filter(F.col(f"{told}.score") >= LEAST_LANGUAGE_SCORE)
+    return kept.withColumn("lang", F.coalesce("lang", f"{told}.lang_pred")).drop(told)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
+    """Keeps one document of each group of texts that are equal without white space.
+
+    Null and empty texts are equal; of repeated rows one stays. An empty table
+    gives none.
+    """
     return exact.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates.
+
+    Texts without words have none and stay. Rows of one id are one document: all
+    of them stay or go. An empty table gives none.
+    """
     groups = minhash.near_groups(docs, SHINGLE_WORDS, NEAR_PERCENT)
-    gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
+    return by_ids(docs, groups.filter(~F.col("kept")).select("doc_id").distinct(), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the texts."""
+    """Masks personal data in the texts, and counts n_chars anew.
+
+    Every row stays, repeated ones too; a null text stays null, an empty one
+    empty. An empty table gives none.
+    """
     return docs.withColumn("text", pii.mask_pii("text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences."""
+    """Packs the documents' tokens into sequences.
+
+    Null and empty texts are their end token; repeated rows are packed as often
+    as they occur. An empty table gives no sequences.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
