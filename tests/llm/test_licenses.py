@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -43,6 +44,25 @@ def test_broken_expressions(text):
         licenses.postfix(text)
 
 
+def test_many_tags_take_linear_time():
+    scan = licenses.scanner()
+    line = "// SPDX-License-Identifier: MIT OR GPL-2.0-only"
+    for text in ("\n".join([line] * 100_000), " ".join([line] * 100_000), "SPDX-License-Identifier: " * 100_000, "SPDX-License-Identifier: (" * 100_000):
+        began = time.process_time()
+        n, found, accepted = scan(text)
+        assert time.process_time() - began < 5
+        if line in text:
+            assert len(found) == 200_000 and accepted is True and found[-1]["word"] == n - 9 and n == len(WORD.findall(text))
+
+
+def test_labels_of_tags_are_licences():
+    scan = licenses.scanner()
+    labels = lambda t: sorted({p["label"] for p in scan(t)[1] if p["sort"] == "tag"})
+    assert labels("SPDX-License-Identifier: hello") == [] and labels("xSPDX-License-Identifier: MIT") == []
+    assert labels("a SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0 OR LicenseRef-own") == ["gpl-2.0+", "licenseref-own"]
+    assert [p["word"] for p in scan("é x SPDX-License-Identifier: MIT\rb SPDX-License-Identifier:ISC")[1] if p["sort"] == "tag"] == [2, 7]
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "/* SPDX-License-Identifier: MIT OR GPL-2.0-only */ the MIT  license", 0), (2, None, 0), (3, "", 0), (3, "", 0)], "doc_id long, text string, places int")
     rows = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}

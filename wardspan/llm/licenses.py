@@ -1,8 +1,10 @@
 """Operator 4: licence scans.
 
 One Aho-Corasick automaton finds notice phrases and identifier tags in the words
-of a text; the expression after a tag is read by a shunting-yard parser and
-evaluated against a set of accepted licences.
+of a text; another counts the place of each tag in the text itself. The
+expression after a tag, up to the line's end, is read by a shunting-yard parser
+and evaluated against a set of accepted licences. Both scans take time linear in
+the text, whatever the number of tags.
 """
 
 from __future__ import annotations
@@ -30,34 +32,47 @@ OWN_PHRASES = {
     "creative commons attribution": "cc-by",
     "this is free and unencumbered software released into the public domain": "unlicense",
 }
-TAG = "spdx license identifier"
+TAG = "spdx-license-identifier:"
 #: How sure a place of each sort makes it that a licence is stated.
 WEIGHTS = {"base": 0.6, "own": 0.7, "tag": 0.95}
 ACCEPTED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "unlicense", "cc0-1.0", "cc-by-4.0"})
 
-_TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
+# Licence identifiers that a tag can name, by families; a version, suffix or plus may follow where told.
+_KNOWN = re.compile(
+    r"(?:0bsd|afl-\d\.\d|(?:agpl|lgpl|gpl)-\d\.\d(?:-only|-or-later)?|apache-\d\.\d|artistic-\d\.\d(?:-perl|-cl8)?|bsd-[1-4]-clause(?:-[a-z]+)*|bsl-1\.0|bsd-source-code"
+    r"|cc-by(?:-nc)?(?:-sa|-nd)?-\d\.\d|cc0-1\.0|cddl-\d\.\d|cpl-1\.0|ecl-\d\.\d|efl-\d\.\d|epl-\d\.\d|eupl-\d\.\d|gfdl-\d\.\d(?:-only|-or-later)?|hpnd|ijg|ipl-1\.0|isc|lppl-\d\.\d[ac]?"
+    r"|libpng(?:-2\.0)?|mit(?:-0|-[a-z]+)?|mpl-\d\.\d(?:-no-copyleft-exception)?|ms-pl|ms-rl|mulanpsl-\d\.\d|ncsa|odbl-1\.0|ofl-\d\.\d|openssl|osl-\d\.\d|php-\d\.\d+|postgresql|psf-2\.0|python-2\.0(?:\.1)?"
+    r"|ruby|sleepycat|unicode-3\.0|unlicense|upl-1\.0|vim|w3c|wtfpl|x11|zlib|zpl-\d\.\d|licenseref-[a-z0-9.-]+|documentref-[a-z0-9.-]+:licenseref-[a-z0-9.-]+)\+?"
+)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 #: Bytes of a text as bytes of its words: A-Z lower-cased, other ASCII but digits and letters blank.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: A byte of a word, and the first of each.
+_INNER = re.compile(rb"[0-9A-Za-z\x80-\xff]")
+_STARTS = re.compile(rb"(?<![0-9A-Za-z\x80-\xff])[0-9A-Za-z\x80-\xff]")
+_LINE_END = re.compile(r"[\r\n]")
+
 _PLACE = pa.list_(pa.struct([("label", pa.string()), ("sort", pa.string()), ("word", pa.int64())]))
 
 
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for phrases, sort in ((BASE_PHRASES, "base"), (OWN_PHRASES, "own"), ({TAG: ""}, "tag")):
+    for phrases, sort in ((BASE_PHRASES, "base"), (OWN_PHRASES, "own")):
         for phrase, label in phrases.items():
             found.add_word(f" {phrase} ", (len(phrase) + 1, label, sort))
     found.make_automaton()
     return found
 
 
-def postfix(expression: str) -> list[str]:
-    """A licence expression in postfix order, by shunting-yard; ValueError if it isn't one."""
+def postfix(text: str, start: int = 0, end: int | None = None) -> list[str]:
+    """The licence expression at the start of text[start:end] in postfix order, by shunting-yard; ValueError if there is none."""
     out, held, want = [], [], True
-    for token in _TOKEN.findall(expression.lower()):
+    for m in _TOKEN.finditer(text, start, len(text) if end is None else end):
+        token = m[0].lower()
         if token == "(":
             if not want:
                 break
@@ -106,33 +121,49 @@ def evaluate(order: list[str], accepted: frozenset[str] = ACCEPTED) -> tuple[boo
     return stack[-1][0], sorted(set(names))
 
 
+def tag_automaton() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    found.add_word(TAG, len(TAG))
+    found.make_automaton()
+    return found
+
+
 def scanner():
-    search = automaton()
+    search, tags = automaton(), tag_automaton()
+
+    def tagged(text: str) -> tuple[list[dict], bool | None]:
+        """Licences of the tags' expressions, and whether all of them can be met (null without a whole expression)."""
+        data = text.encode()
+        line = data.translate(_LOWER).decode("latin-1")
+        found, accepted, words, at, end = [], None, 0, 0, -1
+        for last, length in tags.iter(line):
+            start, begin = last + 1 - length, last + 1
+            if start and _INNER.match(data, start - 1):
+                continue
+            if begin > end:
+                m = _LINE_END.search(line, begin)
+                end = m.start() if m else len(line)
+            words, at = words + len(_STARTS.findall(data, at, start)), start  # goes on from the last tag
+            try:
+                met, names = evaluate(postfix(line, begin, end))
+            except (ValueError, IndexError):
+                continue
+            accepted = met if accepted is None else accepted and met
+            found += [{"label": n, "sort": "tag", "word": words} for n in names if _KNOWN.fullmatch(n)]
+        return found, accepted
 
     def scan(text: str) -> tuple[int, list[dict], bool | None]:
         words = text.encode().translate(_WORDS).split()
         line = b" ".join([b"", *words, b""]).decode("latin-1")
-        places, counted, at, tagged = [], 0, 0, False
+        places, counted, at = [], 0, 0
         for end, (length, label, sort) in search.iter(line):
-            start = end - length
-            places.append((start, label, sort))
+            places.append((end - length, label, sort))
         found = []
         for start, label, sort in sorted(places):
             counted, at = counted + line.count(" ", at, start), start
-            tagged |= sort == "tag"
-            if label:
-                found.append({"label": label, "sort": sort, "word": counted})
-        accepted = None
-        if tagged:
-            for m in _TAG_LINE.finditer(text):
-                try:
-                    met, names = evaluate(postfix(m[1]))
-                except (ValueError, IndexError):
-                    continue
-                accepted = met if accepted is None else accepted and met
-                word = len(text[: m.start()].encode().translate(_WORDS).split())
-                found += [{"label": n, "sort": "tag", "word": word} for n in names]
-        return len(words), found, accepted
+            found.append({"label": label, "sort": sort, "word": counted})
+        tags_found, accepted = tagged(text) if b"spdx" in words else ([], None)
+        return len(words), found + tags_found, accepted
 
     return scan
 
@@ -140,7 +171,8 @@ def scanner():
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, places (label, sort, word) and accepted (null without a tagged expression).
 
-    Null and empty texts have no words. Broken expressions give no labels.
+    Null and empty texts have no words; repeated rows stay. Broken expressions
+    give no labels, and names in an expression that are no licence neither.
     """
 
     def make():
