@@ -78,3 +78,17 @@ def test_accounts_after_other_codes():
     assert ibans(f"{de} {gb}") == [de, gb] and ibans(f"AB12 {gb} {de}") == [gb, de] and ibans(f"X{de}") == []
     assert pii.masked(f"{de} {gb}") == "<IBAN> <IBAN>"
     pii.spans_of("AB12 " * 100_000)
+
+
+def test_context_is_whole_words_on_both_sides():
+    score = lambda t: pii.spans_of(t)[0]["score"]
+    number = "+1 (988) 555-2485"
+    for t in (f"hotel {number}", f"postcard {number}", f"{number} hotels", number, f"a phone{'x' * 60} {number}"):
+        assert score(t) == pii.SCORES["phone"], t
+    for n in range(70):  # wherever the reach cuts the word before
+        assert score(f"hotel {'x' * n} {number}") == score(f"{number} {'x' * n} telling") == pii.SCORES["phone"]
+    assert score(f"tel: {number}") == score(f"{number} (mobile)") == 1.0
+    assert score(f"serial {number}") == score(f"{number} is a serial") == 0.4 and score(f"phone of the serial {number}") == pii.SCORES["phone"]
+    assert [s["kind"] for s in pii.spans_of("123-45-6789 is a social security number")] == ["ssn"]
+    assert pii.spans_of("asocial securityx 123-45-6789") == []
+    assert score(f"one phone and seven other words stand in between {number}") == pii.SCORES["phone"]

@@ -1,7 +1,7 @@
 """Operator 3: personal data in texts.
 
 Regular expressions propose spans, checksums (Luhn for cards, mod-97 for bank
-accounts) confirm them, and words nearby move a span's score. All patterns take
+accounts) confirm them, and whole words near either side move a span's score. All patterns take
 time linear in the text, whatever it holds.
 """
 
@@ -21,8 +21,9 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 #: Score of a confirmed span by itself.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.95, "ssn": 0.3}
-#: Words that raise or lower the score of a kind within CONTEXT characters before the span.
-CONTEXT = 40
+#: Whole words that raise or lower the score of a kind among the CONTEXT_WORDS nearest before the span or after it, up to CONTEXT characters away.
+CONTEXT_WORDS = 6
+CONTEXT = 60
 RAISE = {
     "email": ("mail", "contact", "write"),
     "ip": ("ip", "address", "host", "server", "login"),
@@ -41,6 +42,7 @@ IBAN_LENGTH = {
     "IE": 22, "IL": 23, "IT": 27, "LT": 20, "LU": 20, "LV": 21, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26,
 }
 
+_WORDS = re.compile(r"[^\W\d_]+")
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)")
 _DIGIT = re.compile(r"[0-9]")
@@ -124,22 +126,33 @@ def proposals(text: str):
         yield "ssn", *m.span()
 
 
-def scored(text: str, kind: str, start: int) -> float:
-    before = text[max(0, start - CONTEXT) : start].lower()
-    words = set(re.findall(r"[a-z]+", before))
-    near = lambda names: any(n in words if " " not in n else n in before for n in names)
+def nearby(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
+    """Lower-cased whole words before and after a span, in their order; a word that the reach cuts doesn't count."""
+    lo, hi = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
+    before, after = _WORDS.findall(text[lo:start].lower()), _WORDS.findall(text[end:hi].lower())
+    if before and lo and text[lo - 1].isalpha() and text[lo].isalpha():
+        before = before[1:]
+    if after and hi < len(text) and text[hi].isalpha() and text[hi - 1].isalpha():
+        after = after[:-1]
+    return before[-CONTEXT_WORDS:], after[:CONTEXT_WORDS]
+
+
+def scored(text: str, kind: str, start: int, end: int) -> float:
+    sides = nearby(text, start, end)
+    known = [f" {' '.join(words)} " for words in sides]
+    near = lambda names: any(f" {n} " in side for n in names for side in known)
     score = SCORES[kind] + STEP * near(RAISE[kind]) - STEP * near(LOWER.get(kind, ()))
     return round(min(1.0, max(0.0, score)), 2)
 
 
 def spans_of(text: str) -> list[dict]:
     """All spans by start, then kind; the method's own only from THRESHOLD on."""
-    found = [(a, KINDS.index(kind), b, scored(text, kind, a)) for kind, a, b in proposals(text)]
+    found = [(a, KINDS.index(kind), b, scored(text, kind, a, b)) for kind, a, b in proposals(text)]
     return [{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(found) if k < len(BASE) or s >= THRESHOLD]
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and spans, an array of (kind, start, end, score) in code points. Null and empty texts have no spans."""
+    """id and spans, an array of (kind, start, end, score) in code points. Null and empty texts have no spans; repeated rows stay; an empty table gives none."""
     return map_texts(df, lambda: lambda texts: {"spans": pa.array(map(spans_of, texts), _ARROW)}, f"spans {SPANS.simpleString()}", id_col, text_col)
 
 
