@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from wardspan.llm import suffixes as S
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -50,12 +52,6 @@ def test_passages(spark):
         assert got[i] == expected[i], i
 
 
-def test_sf_documents(spark, small):
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    got, expected = places(S.op8_suffix_dedup(spark, small).collect(), docs), repeated(docs, 50)
-    assert set(got) == set(expected) and all(got[i] <= expected[i] for i in got)
-
-
 def test_pieces():
     h = np.arange(100, dtype=np.uint64) * np.uint64(7919) + np.uint64(3)
     for n in (1, 5, 7, 25):
@@ -115,3 +111,38 @@ def test_near_copies_with_edits(spark):
 def test_sf_documents_all_places(spark, small):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     assert places(S.op8_suffix_dedup(spark, small).collect(), docs) == repeated(docs, 50)
+
+
+def test_decoys_on_both_sides(spark):
+    """Pairs share 50 words; others share the seed and 24 words on one side of it, 49 words, and stand between the pair in any order."""
+    rng, docs, number = random.Random(11), [], 0
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for _ in range(30):
+        while True:
+            left, g, right = text(13), text(25), text(12)
+            body = text(60) + left + g + right + text(60)
+            h, _ = S.word_hashes([" ".join(body)])
+            if [a for a in S.minimisers(S.gram_hashes(h, 25), 26) if 60 <= a <= 85] == [73]:
+                break
+        passage, far = left + g + right, text(24)
+        docs += [(number, text(60) + passage + text(60)), (number + 1, text(60) + passage + text(60))]
+        for k in range(6):
+            docs.append((number + 2 + 2 * k, text(60) + (far + left)[-24:] + g + text(60)))
+            docs.append((number + 3 + 2 * k, text(60) + g + (right + far)[:24] + text(60)))
+        number += 14
+    rng.shuffle(docs)
+    docs = [(i, " ".join(w)) for i, w in docs]
+    got = places(S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect(), docs)
+    expected = repeated(docs, 50)
+    assert got == expected and {i for i in expected if i % 14 < 2} == {14 * k + j for k in range(30) for j in range(2)}
+
+
+def test_rows_of_one_id_and_a_very_long_text(spark):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p, q, long = text(60), text(70), text(200_000)
+    rows = [(1, p + text(5)), (1, text(5) + q), (2, text(9) + p), (3, q + text(9)), (4, text(70)), (4, long), (5, long[150_000:150_055]), (6, text(80))]
+    rows += [rows[-1]]
+    df = spark.createDataFrame([(i, " ".join(w), 1) for i, w in rows], "doc_id long, text string, id int").withColumns({"doc": F.lit("x"), "key": F.lit(1), "around": F.lit(2)})
+    got = sorted((r["doc_id"], r["n_words"], r["partner_id"]) for r in S.repeated_passages(df).collect())
+    assert got == [(1, 60, 2), (1, 70, 3), (2, 60, 1), (3, 70, 1), (4, 55, 5), (5, 55, 4)]

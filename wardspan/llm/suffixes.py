@@ -4,18 +4,20 @@ Only suffixes at content-selected positions are kept: the minimisers of SEED-wor
 grams over windows, chosen so that every passage of ``min_words`` holds one.
 Positions whose gram only one document has leave after a count; a document's
 places of equal gram and surroundings are one row with a list, so that rows side
-by side are of different documents. The others are sorted by
-what follows the gram, and once more by what precedes it; neighbours in either
-order that can reach ``min_words`` become pairs. Neighbours alone miss documents
-that agree on part of either side, so where a gram has several surroundings, all
-windows of ``min_words`` words that hold it are keyed by their hash, and the
-documents of each window meet in a row. The pairs' matches are then extended left
-and right on the whole texts.
-
-The sort is by range over the gram, its surroundings and the document, so a
-passage that thousands of documents share is dealt over many tasks; each row meets
-one neighbour, and a task's last row meets the first of the next by a list of two
-rows for each task.
+by side are of different documents. The others are sorted by their gram and what
+follows it, and neighbours whose surroundings on both sides agree become pairs.
+
+Neighbours of whole surroundings miss documents that agree on part of either
+side. So where a gram has several surroundings, the suffixes that start up to
+``min_words`` words before the gram's end are sorted too, by their first
+``min_words`` words, and neighbours that share these become pairs: every
+``min_words`` words in a row of a document that another one has hold a kept gram,
+so one of the two sorts finds them. The pairs' matches are then extended left and
+right on the whole texts.
+
+The sorts are by range over key and document, so a passage that thousands of
+documents share is dealt over many tasks; each row meets one neighbour, and a
+task's last row meets the first of the next by a list of two rows for each task.
 """
 
 from __future__ import annotations
@@ -35,9 +37,6 @@ from wardspan.llm.base import cut, documents, explode_texts, join_summary
 from wardspan.llm.minhash import mix
 
 MIN_WORDS = 50
-#: Words on either side are compared in blocks while sorting: words of a block, and blocks.
-BLOCK = 5
-BLOCKS = 5
 BASE = np.array([0x9E3779B97F4A7C15], np.uint64)  # an array, as its products wrap round
 
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -101,21 +100,13 @@ def minimisers(g: np.ndarray, window: int) -> np.ndarray:
     return chosen[~inner | (chosen % window == 0)]
 
 
-def contexts(h: np.ndarray, at: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Twelve bits for each of BLOCKS blocks of BLOCK words after, and before, the grams at ``at``, nearest first; 0 past the text's ends.
-
-    A block that an end cuts short has bits of its own, so equal bits are equal words and ends.
-    """
-    none = np.zeros(BLOCK - 1, np.uint64)
-    blocks = gram_hashes(np.concatenate([none, h, none]), BLOCK)
-    after, before = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    for j in range(BLOCKS):
-        for bits, place in ((after, at + seed + BLOCK * j), (before, at - BLOCK * (j + 1))):
-            place = place + BLOCK - 1
-            inside = (place >= 0) & (place < len(blocks))
-            bits <<= 12
-            bits[inside] |= (blocks[place[inside]] >> np.uint64(52)).astype(np.int64) | 1
-    return after, before
+def surroundings(h: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of what follows the grams at ``at``, and of all that a passage of min_words with the gram can hold; text ends count."""
+    seed, reach = min_words // 2, min_words - min_words // 2
+    none = np.zeros(reach, np.uint64)
+    padded = np.concatenate([none, h, none])
+    after = gram_hashes(padded, reach)[at + reach + seed]
+    return after.view(np.int64), gram_hashes(padded, seed + 2 * reach)[at].view(np.int64)
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -141,10 +132,9 @@ def lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(places.astype(np.int32)))
 
 
-def seeds(df: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(gram, id, places, after, before) of the kept suffixes of all texts; a document's places of equal gram and surroundings are one row."""
+def seeds(df: DataFrame, min_words: int) -> DataFrame:
+    """(gram, id, places, after, around) of the kept suffixes of texts (id, text); a text's places of equal gram and surroundings are one row."""
     seed, window = min_words // 2, min_words - min_words // 2 + 1
-    kind = dict(df.dtypes)[id_col]
 
     def call(ids, texts):
         h, bounds = word_hashes(texts)
@@ -154,43 +144,31 @@ def seeds(df: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFram
             g = gram_hashes(own, seed)
             at = minimisers(g, window)
             if len(at):
-                gram, after, before = g[at].view(np.int64), *contexts(own, at, seed)
-                places, bounds_, one = by_value(at, before, after, gram)
+                gram, (after, around) = g[at].view(np.int64), surroundings(own, at, min_words)
+                places, bounds_, one = by_value(at, around, gram)
                 parts.append((places, bounds_))
-                rows.append((np.full(len(one), i), gram[one], after[one], before[one]))
-        which, gram, after, before = map(np.concatenate, zip(*rows)) if rows else [np.zeros(0, np.int64)] * 4
-        return {"gram": gram, "id": pa.array(ids).take(pa.array(which)), "places": lists(parts), "after": after, "before": before}
-
-    return explode_texts(df.filter(F.col(id_col).isNotNull()), lambda: call, f"gram long, id {kind}, places array<int>, after long, before long", id_col, text_col)
-
+                rows.append((np.full(len(one), i), gram[one], after[one], around[one]))
+        which, gram, after, around = map(np.concatenate, zip(*rows)) if rows else [np.zeros(0, np.int64)] * 4
+        return {"gram": gram, "id": pa.array(ids, pa.int64()).take(pa.array(which)), "places": lists(parts), "after": after, "around": around}
 
-def same_blocks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many blocks, nearest first, are equal and not past an end."""
-    n, same = np.zeros(len(a), np.int64), np.ones(len(a), bool)
-    for j in range(BLOCKS - 1, -1, -1):
-        x, y = a >> 12 * j & 0xFFF, b >> 12 * j & 0xFFF
-        same &= (x == y) & (x != 0)
-        n += same
-    return n
+    return explode_texts(df, lambda: call, "gram long, id long, places array<int>, after long, around long", "id", "text")
 
 
-def neighbours(rows: DataFrame, order: list[str], min_words: int) -> DataFrame:
-    """Pairs (a, b, shift) of documents whose rows stand side by side in the order of gram and ``order`` and can reach min_words.
+def neighbours(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Pairs (a, b, shift) of documents whose rows of equal key stand side by side in the order of ``order``, key and id.
 
-    rows have a gram, an id and the id's places, and surroundings if ``order``
-    names them. shift is the place in a less the place in b, with a the smaller
-    id; each place of either row is in a shift.
+    rows have a key, an id and the id's places. shift is the place in a less the
+    place in b, with a the smaller id; each place of either row is in a shift.
     """
-    kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last = TaskContext.get().partitionId(), None
-        names = ["tag", "gram", "a", "b", "shift", "places"]
+        names = ["tag", "key", "a", "b", "shift", "places"]
         listed = pa.list_(pa.int32())
 
         def edge(tag, batch, at):
-            gram, doc, places = (batch.column(c).slice(at, 1) for c in range(3))
-            return pa.RecordBatch.from_arrays([pa.array([tag], pa.int64()), gram, doc, pa.nulls(1, doc.type), pa.nulls(1, pa.int64()), places.cast(listed)], names=names)
+            key, doc, places = (batch.column(c).slice(at, 1) for c in range(3))
+            return pa.RecordBatch.from_arrays([pa.array([tag], pa.int64()), key, doc, pa.nulls(1, doc.type), pa.nulls(1, pa.int64()), places.cast(listed)], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -198,14 +176,8 @@ def neighbours(rows: DataFrame, order: list[str], min_words: int) -> DataFrame:
             if last is None:
                 yield edge(2 * part, batch, 0)
             table = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
-            gram, ids, held = table.column(0).to_numpy(), table.column(1).combine_chunks(), table.column(2).combine_chunks()
-            code = ids.dictionary_encode().indices.to_numpy()
-            meet = (gram[:-1] == gram[1:]) & (code[:-1] != code[1:])
-            if order:
-                sides = [table.column(c).to_numpy() for c in (3, 4)]
-                # a block that differs can still match in all but one word
-                meet &= min_words // 2 + BLOCK * sum(same_blocks(x[:-1], x[1:]) for x in sides) + 2 * (BLOCK - 1) >= min_words
-            at = np.flatnonzero(meet)
+            key, ids, held = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).combine_chunks()
+            at = np.flatnonzero((key[:-1] == key[1:]) & (ids[:-1] != ids[1:]))
             if len(at):
                 counts, places = held.value_lengths().to_numpy(), held.flatten().to_numpy().astype(np.int64)
                 starts = np.cumsum(counts) - counts
@@ -214,17 +186,17 @@ def neighbours(rows: DataFrame, order: list[str], min_words: int) -> DataFrame:
                 right = np.repeat(places[starts[at]], m) - places[spread(starts[at + 1] + 1, m)]
                 which = np.concatenate([np.repeat(at, n), np.repeat(at, m)])
                 k = len(which)
-                first, second = ids.take(pa.array(which)), ids.take(pa.array(which + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, -1)), pa.array(gram[which]), first, second, pa.array(np.concatenate([left, right])), pa.nulls(k, listed)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(k, -1), key[which], ids[which], ids[which + 1], np.concatenate([left, right]))] + [pa.nulls(k, listed)], names=names)
             last = batch.slice(batch.num_rows - 1, 1)
         if last is not None:
             yield edge(2 * part + 1, last, 0)
 
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.select("gram", "id", "places", *order).repartitionByRange(n, "gram", *order, "id").sortWithinPartitions("gram", *order, "id")
-    found = cut(ordered.mapInArrow(run, f"tag long, gram long, a {kind}, b {kind}, shift long, places array<int>"))
-    # The edges: a first (even tag) and a last row for each task, so the window over them stays small.
-    by_tag = W.partitionBy("gram").orderBy("tag")
+    columns = [*order, "key", "id"]
+    ordered = rows.select("key", "id", "places", *order).repartitionByRange(n, *columns).sortWithinPartitions(*columns)
+    found = cut(ordered.mapInArrow(run, "tag long, key long, a long, b long, shift long, places array<int>"))
+    # The edges: a first (even tag) and a last row for each task, so a key's window has two rows for each task that it reaches over.
+    by_tag = W.partitionBy("key").orderBy("tag")
     edges = found.filter("tag >= 0").withColumns({f"{c}_": F.lag(c).over(by_tag) for c in ("tag", "a", "places")})
     shifts = F.expr("explode(array_union(transform(places_, p -> CAST(p - places[0] AS long)), transform(places, p -> CAST(places_[0] - p AS long))))")
     meeting = edges.filter("tag % 2 = 0 AND tag_ % 2 = 1 AND a_ <> a").select(F.col("a_").alias("a"), F.col("a").alias("b"), shifts.alias("shift"))
@@ -235,12 +207,12 @@ def neighbours(rows: DataFrame, order: list[str], min_words: int) -> DataFrame:
 def open_places(shared: DataFrame) -> DataFrame:
     """(id, places) of the rows whose windows other surroundings of their gram may share.
 
-    Rows of equal gram and surroundings share all windows around the gram and
-    have met in neighbours(), so the first and last document of each surroundings
-    stand for them, and grams that have one surroundings only are done.
+    Rows of equal surroundings share all windows around the gram and have met in
+    neighbours(), so the first and last document of each surroundings stand for
+    them, and grams that have one surroundings only are done.
     """
     row = F.struct("id", "places")
-    around = shared.groupBy("gram", "after", "before").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    around = shared.groupBy("gram", "around").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
     around = cut(around)
     several = around.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     ends = join_summary(around, several, ["gram"]).select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("r"))
@@ -248,9 +220,8 @@ def open_places(shared: DataFrame) -> DataFrame:
 
 
 def windows(texts: DataFrame, min_words: int) -> DataFrame:
-    """(gram, id, places) of all min_words words in a row around the texts' places; gram is the words' hash."""
+    """(key, id, places) of all min_words words in a row around the texts' places; key is the words' hash."""
     seed = min_words // 2
-    kind = dict(texts.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,15 +234,15 @@ def windows(texts: DataFrame, min_words: int) -> DataFrame:
                     near = np.unique(np.add.outer(np.array(at, np.int64), np.arange(seed - min_words, 1)))
                     near = near[(near >= 0) & (near < len(g))]
                     if len(near):
-                        gram = g[near].view(np.int64)
-                        places, bounds_, one = by_value(near, gram)
+                        key = g[near].view(np.int64)
+                        places, bounds_, one = by_value(near, key)
                         parts.append((places, bounds_))
-                        rows.append((np.full(len(one), k), gram[one]))
+                        rows.append((np.full(len(one), k), key[one]))
                 if rows:
-                    which, gram = map(np.concatenate, zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(gram), part.column(0).take(pa.array(which)), lists(parts)], names=["gram", "id", "places"])
+                    which, key = map(np.concatenate, zip(*rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0).take(pa.array(which)), lists(parts)], names=["key", "id", "places"])
 
-    return texts.filter("size(places) > 0").select("id", "text", "places").mapInArrow(run, f"gram long, id {kind}, places array<int>")
+    return texts.filter("size(places) > 0").select("id", "text", "places").mapInArrow(run, "key long, id long, places array<int>")
 
 
 def extended(x: np.ndarray, y: np.ndarray, shifts: list[int], min_words: int) -> list[tuple[int, int, int]]:
@@ -286,57 +257,81 @@ def extended(x: np.ndarray, y: np.ndarray, shifts: list[int], min_words: int) ->
     return out
 
 
+class Words:
+    """Word hashes of texts by number, and the characters at which words begin and end; the last few texts are kept."""
+
+    def __init__(self, keep: int = 64, chars: int = 4 << 20) -> None:
+        self.keep, self.chars, self.held, self.size = keep, chars, {}, 0
+
+    def of(self, number: int, text: str) -> list:
+        if number not in self.held:
+            if len(self.held) >= self.keep or self.size + len(text) > self.chars:
+                self.held, self.size = {}, 0
+            self.held[number] = [word_hashes([text])[0], None, text]
+            self.size += len(text)
+        return self.held[number]
+
+    @staticmethod
+    def places(entry: list) -> list[tuple[int, int]]:
+        if entry[1] is None:
+            entry[1] = [m.span() for m in _WORD.finditer(entry[2])]
+        return entry[1]
+
+
 def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, end (code points), n_words, partner_id, matches: each stretch of a text that other documents repeat.
 
     Passages are min_words or more consecutive words (runs without white space).
     Overlapping matches of a document are one stretch; n_words is its longest
     match. A passage that only one document repeats within itself doesn't count,
-    nor do null ids. Null, empty and shorter texts have none.
+    nor do null ids. Null, empty and shorter texts have none, nor has an empty
+    table. Rows are told apart by id and text: rows of one id and text are one
+    document, rows of one id with other texts are other documents, each with
+    stretches of its own.
     """
-    kept = cut(seeds(df, min_words, id_col, text_col))
+    docs = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    docs = docs.select(F.xxhash64(id_col, text_col).alias("id"), F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    kept = cut(seeds(docs, min_words))
     mark = F.xxhash64("id")
     counts = kept.groupBy("gram").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("gram")
     shared = cut(join_summary(kept, counts, ["gram"]))
-    near = neighbours(shared, ["after", "before"], min_words).unionByName(neighbours(shared, ["before", "after"], min_words))
+    near = neighbours(shared.withColumnRenamed("around", "key"), ["gram", "after"])
     spots = open_places(shared)
     wanted = spots.unionByName(near.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("places", F.lit(None).cast("array<int>")))
     wanted = wanted.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"))
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id").dropDuplicates(["id"])
-    texts = cut(texts)
-    near = near.unionByName(neighbours(cut(windows(texts, min_words)), [], min_words))
+    texts = cut(docs.join(wanted, "id").dropDuplicates(["id"]))
+    near = near.unionByName(neighbours(cut(windows(texts, min_words)), []))
     # A pair has at most as many shifts as its texts have seeds and windows around them.
     pairs = cut(near.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    side = lambda n: texts.select(F.col("id").alias(n), F.col("doc").alias(f"doc_{n}"), F.col("text").alias(f"text_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
+            id_type = batch.schema.field(3).type
+            types = [pa.int64(), id_type, pa.int64(), pa.int64(), pa.int64(), id_type]
             for i in range(0, batch.num_rows, 64):
-                part, found = batch.slice(i, 64), []
-                for a, b, shifts, text_a, text_b in zip(*(c.to_pylist() for c in part.columns)):
-                    h, bounds = word_hashes([text_a, text_b])
-                    matches = extended(h[: bounds[1]], h[bounds[1] :], shifts, min_words)
-                    if not matches:
-                        continue
-                    places = [[m.span() for m in _WORD.finditer(t)] for t in (text_a, text_b)]
-                    for p, q, n in matches:
-                        found.append((a, places[0][p][0], places[0][p + n - 1][1], n, b))
-                        found.append((b, places[1][q][0], places[1][q + n - 1][1], n, a))
+                found = []
+                for a, b, shifts, doc_a, doc_b, text_a, text_b in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns)):
+                    x, y = words.of(a, text_a), words.of(b, text_b)
+                    for p, q, n in extended(x[0], y[0], shifts, min_words):
+                        for own, doc, entry, at, other in ((a, doc_a, x, p, doc_b), (b, doc_b, y, q, doc_a)):
+                            spans = words.places(entry)
+                            found.append((own, doc, spans[at][0], spans[at + n - 1][1], n, other))
                 if found:
-                    id_type = part.schema.field(0).type
-                    types = [id_type, pa.int64(), pa.int64(), pa.int64(), id_type]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=["id", "start", "end", "n_words", "partner_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=["id", "doc", "start", "end", "n_words", "partner_id"])
 
-    spans = both.select("a", "b", "shifts", "text_a", "text_b").mapInArrow(run, f"id {kind}, start long, end long, n_words long, partner_id {kind}")
+    spans = both.select("a", "b", "shifts", "doc_a", "doc_b", "text_a", "text_b").mapInArrow(run, f"id long, doc {kind}, start long, end long, n_words long, partner_id {kind}")
     order = W.partitionBy("id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
     islands = islands.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    merged = islands.groupBy("id", "island").agg(
+    merged = islands.groupBy("id", "doc", "island").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.max("n_words").alias("n_words"), F.min("partner_id").alias("partner_id"), F.count(F.lit(1)).alias("matches")
     )
-    return merged.select(F.col("id").alias(id_col), "start", "end", "n_words", "partner_id", "matches")
+    return merged.select(F.col("doc").alias(id_col), "start", "end", "n_words", "partner_id", "matches")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
