@@ -31,6 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*cuts: DataFrame) -> None:
+    """Deletes the files of cut() results that nothing reads any more: what came of them has to be cut or written itself."""
+    for df in cuts:
+        plan = df._jdf.queryExecution().analyzed()
+        told = plan.rdd().getCheckpointFile() if plan.nodeName() == "LogicalRDD" else None
+        if told is not None and told.isDefined():
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(told.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """rows joined with a summary that has each key once.
 
