@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.operators.cuts import cut, join_summary  # noqa: F401
+from wardspan.operators.cuts import cut, join_summary, release  # noqa: F401
 
 #: Rows and bytes of text that one call of a batch function gets at most.
 SLICE_ROWS = 256

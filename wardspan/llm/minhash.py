@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm.base import cut, documents, explode_texts, join_summary, map_texts
+from wardspan.llm.base import cut, documents, explode_texts, join_summary, map_texts, release
 
 PERMUTATIONS = 128
 #: Low bits of each minimum, and minima in a 64-bit word of the signature.
@@ -160,7 +160,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(join_summary(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = join_summary(large, down, ["hi"]).filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(down.select("hi", F.col("m").alias("lo")))
-        edges = cut(small.distinct())
+        done, edges = edges, cut(small.distinct())
+        release(done, large)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first()
         if now == before:
             roots = edges.select(F.col("lo").alias("id")).distinct()

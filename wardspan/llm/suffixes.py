@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardspan.llm.base import cut, documents, explode_texts, join_summary
+from wardspan.llm.base import cut, documents, explode_texts, join_summary, release
 from wardspan.llm.minhash import mix
 
 MIN_WORDS = 50
@@ -213,7 +213,6 @@ def open_places(shared: DataFrame) -> DataFrame:
     """
     row = F.struct("id", "places")
     around = shared.groupBy("gram", "around").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
-    around = cut(around)
     several = around.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     ends = join_summary(around, several, ["gram"]).select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("r"))
     return ends.select("r.id", "r.places")
@@ -295,12 +294,16 @@ def repeated_passages(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
     mark = F.xxhash64("id")
     counts = kept.groupBy("gram").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).filter("lo <> hi").select("gram")
     shared = cut(join_summary(kept, counts, ["gram"]))
+    release(kept)
     near = neighbours(shared.withColumnRenamed("around", "key"), ["gram", "after"])
-    spots = open_places(shared)
+    spots = cut(open_places(shared))
+    release(shared)
     wanted = spots.unionByName(near.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("places", F.lit(None).cast("array<int>")))
     wanted = wanted.groupBy("id").agg(F.flatten(F.collect_list("places")).alias("places"))
     texts = cut(docs.join(wanted, "id").dropDuplicates(["id"]))
-    near = near.unionByName(neighbours(cut(windows(texts, min_words)), []))
+    around = cut(windows(texts, min_words))
+    near = near.unionByName(neighbours(around, []))
+    release(spots, around)
     # A pair has at most as many shifts as its texts have seeds and windows around them.
     pairs = cut(near.groupBy("a", "b").agg(F.collect_set("shift").alias("shifts")))
     side = lambda n: texts.select(F.col("id").alias(n), F.col("doc").alias(f"doc_{n}"), F.col("text").alias(f"text_{n}"))
