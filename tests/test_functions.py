@@ -1,6 +1,46 @@
+import datetime
+
+import pytest
 from pyspark.sql import functions as F
 
 from wardspan.functions import texts, times
+from wardspan.operators import alerts, history
+
+
+@pytest.fixture(params=["UTC", "America/New_York", "Asia/Kolkata"])
+def zoned(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield spark
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_parsed_times_are_utc_in_any_session(zoned):
+    cases = [
+        ("2026-01-02T01:00:00Z", "2026-01-02 01:00:00"), ("2026-01-02T08:00Z", "2026-01-02 08:00:00"), ("2026-01-02T08:00", "2026-01-02 08:00:00"), ("2026-01-02 08", "2026-01-02 08:00:00"),
+        ("2026-01-02T01:00:00.25+05:30", "2026-01-01 19:30:00.25"), ("2026-03-08T02:30:00", "2026-03-08 02:30:00"), ("2026-01-02T23:00:00-0330", "2026-01-03 02:30:00"),
+        ("2026-02-30", None), ("2026-01-02T25:00:00Z", None), ("x", None), (None, None), ("2026-01-02", "2026-01-02 00:00:00"), ("2026-01-02T01:00:00.123456789+05", "2026-01-01 20:00:00.123456"),
+    ]
+    df = zoned.createDataFrame(cases, "t string, want string")
+    got = df.select("t", "want", times.parse_iso(F.col("t")).cast("string").alias("got")).collect()
+    assert [(r["t"], r["got"]) for r in got] == cases
+    month_first = zoned.createDataFrame([("01/02/2010 06:49:00",), ("13/02/2010 06:49:00",)], "t string")
+    assert [r[0] for r in month_first.select(times.parse_any(F.col("t")).cast("string")).collect()] == ["2010-01-02 06:49:00", None]
+    late = zoned.createDataFrame([("2026-01-02T10:00:00Z",), ("2026-01-02T19:30:00Z",), ("2026-01-03T10:00:00Z",)], "t string")
+    assert [r[0] for r in late.select(times.off_hours(times.parse_iso(F.col("t")))).collect()] == [False, True, True]
+
+
+def test_hours_pass_alike_in_any_session(zoned):
+    """Windows and quiet times across the hours that clocks change."""
+    at = [datetime.datetime(2026, 3, 8, 1, 30) + datetime.timedelta(minutes=30 * i) for i in range(8)]
+    df = zoned.createDataFrame([(i, "u", t) for i, t in enumerate(at)], "event_id int, user string, event_ts timestamp_ntz")
+    assert [r["events_in_window"] for r in history.rolling(df, [], 1).orderBy("event_id").collect()] == [1, 2, 3, 3, 3, 3, 3, 3]
+    fired = alerts.suppress(df.withColumn("alert_type", F.lit("a"))).filter("fired").orderBy("event_id").collect()
+    assert [r["event_id"] for r in fired] == [0, 3, 6]
+    micros = df.select(times.micros(df, "event_ts")).collect()
+    assert [r[0] for r in micros] == [int((t - datetime.datetime(1970, 1, 1)) / datetime.timedelta(microseconds=1)) for t in at]
+    back = df.select(F.timestamp_micros(times.micros(df, "event_ts")).alias("t")).select(times.utc_clock(F.col("t")))
+    assert [r[0] for r in back.collect()] == at
 
 
 def test_times(spark):

@@ -50,3 +50,30 @@ def test_rules(spark):
 def test_latest_keeps_the_newest(spark):
     df = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 1, None)], "user string, at int, v int")
     assert sorted(map(tuple, history.latest(df, ["user"], ["at"]).collect())) == [("a", 2, 20), ("b", 1, None)]
+
+
+def test_alerts_in_terminal_states_suppress_none(spark):
+    rng = random.Random(5)
+    statuses = alerts.STATUSES
+    rows = [(i, f"u{rng.randrange(3)}", DAY + datetime.timedelta(minutes=rng.randrange(4000)), "x", rng.choice(statuses)) for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id int, user string, event_ts timestamp_ntz, alert_type string, status string")
+    for status in (None, "status"):
+        got = {r["event_id"]: r["fired"] for r in alerts.suppress(df, status=status).collect()}
+        last = {}
+        for i, user, at, _, state in sorted(rows, key=lambda r: (r[2], r[0])):
+            fires = user not in last or at - last[user] > datetime.timedelta(minutes=60)
+            assert got[i] == fires, (status, i)
+            if fires and (status is None or state in ("Open", "Acknowledged")):
+                last[user] = at
+
+
+def test_flags_need_few_scans(spark, small):
+    """However many flags, the events are scanned twice at most: to number them, and to count their days."""
+    from wardspan.plans import registry
+
+    for name, most in (("rarity_flags", 2), ("batch_rule_score", 2), ("weighted_average", 4)):
+        scans = []
+        cut = history.cut
+        plan = registry.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        scans.append(plan.count("FileScan"))
+        assert sum(scans) <= most and cut is history.cut, (name, scans)

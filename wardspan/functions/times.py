@@ -1,32 +1,67 @@
-"""Times: parsing, business hours in their four readings, and days."""
+"""Times: parsing, business hours in their four readings, and days.
+
+A parsed time is a TIMESTAMP_NTZ whose wall clock is UTC, so days and hours don't
+depend on the session's time zone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Business hours of features, and of the off-hours flag (UTC); the last hour is out.
 FEATURE_HOURS = (7, 18)
 FLAG_HOURS = (7, 19)
-CERT_FORMAT = "MM/dd/yyyy HH:mm:ss"
+# Forms of texts: year first with an optional time and zone, and month first as in endpoint logs.
+ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,9}))?)?)?)?\s?(Z|z|[+-]\d{2}(?::?\d{2})?)?$"
+MONTH_FIRST = r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}):(\d{2})(?::(\d{2}))?$"
+
+
+def _part(text: Column, form: str, group: int) -> Column:
+    """A number of a form's group; 0 where the group is absent."""
+    return F.coalesce(F.nullif(F.regexp_extract(text, form, group), F.lit("")).try_cast("int"), F.lit(0))
+
+
+def _made(text: Column, form: str, places: tuple[int, ...], fraction: Column) -> Column:
+    parts = [_part(text, form, g) for g in places]
+    seconds = parts[5].cast("decimal(8,6)") + fraction
+    return F.when(text.rlike(form), F.try_make_timestamp_ntz(*parts[:5], seconds.cast("decimal(16,6)")))
 
 
 def parse_iso(text: Column) -> Column:
-    """A timestamp of an ISO text (Z, offset, blank or date only; without zone UTC); null for others."""
+    """The UTC time of an ISO text: date only, or with hours, minutes, seconds and fractions; Z, an offset, or UTC without one. Null for others."""
     t = F.trim(text)
-    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$"), F.try_to_timestamp(t))
+    fraction = F.concat(F.lit("0."), F.substring(F.regexp_extract(t, ISO, 7), 1, 6), F.lit("0")).try_cast("decimal(8,6)")
+    local = _made(t, ISO, (1, 2, 3, 4, 5, 6), fraction)
+    zone = F.regexp_extract(t, ISO, 8)
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.coalesce(F.nullif(F.replace(F.substring(zone, 4, 3), F.lit(":"), F.lit("")), F.lit("")).try_cast("int"), F.lit(0))
+    ahead = F.when(zone.startswith("+"), minutes).when(zone.startswith("-"), -minutes).otherwise(0)
+    return local - F.make_dt_interval(F.lit(0), F.lit(0), ahead)
 
 
 def parse_any(text: Column) -> Column:
     """ISO, or the month-first form of endpoint logs."""
-    month_first = F.when(text.rlike(r"^\d{2}/\d{2}/\d{4} "), F.try_to_timestamp(text, F.lit(CERT_FORMAT)))
-    return F.coalesce(parse_iso(text), month_first)
+    return F.coalesce(parse_iso(text), _made(F.trim(text), MONTH_FIRST, (3, 1, 2, 4, 5, 6), F.lit(0).cast("decimal(8,6)")))
+
+
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of a time column; those of a TIMESTAMP_NTZ by its wall clock, which is UTC."""
+    if dict(df.dtypes)[ts] == "timestamp":
+        return F.unix_micros(ts)
+    since = F.col(ts).cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    of = lambda unit: F.extract(F.lit(unit), since).cast("long")
+    return (of("DAY") * 24 + of("HOUR")) * 3_600_000_000 + of("MINUTE") * 60_000_000 + (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("long")
+
+
+def utc_clock(instant: Column) -> Column:
+    """The UTC wall clock of a TIMESTAMP, as TIMESTAMP_NTZ."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def local_hour(text: Column) -> Column:
     """The hour as written, in the text's own offset; null if it can't be parsed."""
-    written = F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}[T ](\d{2}):", 1)
-    return F.when(parse_iso(text).isNotNull(), F.coalesce(F.try_to_number(F.nullif(written, F.lit("")), F.lit("99")).cast("int"), F.lit(0)))
+    return F.when(parse_iso(text).isNotNull(), _part(F.trim(text), ISO, 4))
 
 
 def outside(hour: Column, hours: tuple[int, int]) -> Column:
@@ -53,17 +88,22 @@ def after_hours_script(ts: Column) -> Column:
 
 
 def off_hours(ts: Column) -> Column:
-    """Weekend, or out of the flag's hours, in UTC; false for null."""
+    """Weekend, or out of the flag's hours, of a UTC wall clock; false for null."""
     return F.coalesce(is_weekend(ts) | outside(F.hour(ts), FLAG_HOURS), F.lit(False))
 
 
 def utc_day(text: Column) -> Column:
     """The UTC day of an ISO text, else its first ten characters if they look like a day, else null."""
     head = F.substring(text, 1, 10)
-    plausible = F.when(head.rlike(r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$"), F.to_date(F.try_to_timestamp(head)))
+    plausible = F.when(head.rlike(r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$"), F.to_date(parse_iso(head)))
     return F.coalesce(F.to_date(parse_iso(text)), plausible)
 
 
+def raw_day_key(text: Column) -> Column:
+    """The first ten characters of a time text, whatever they are: the day key of tables that keep times as text."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, 10)
+
+
 def add_time_columns(df, ts: str):
     """hour, weekday (Monday 0), is_weekend and after_hours of a timestamp column."""
     return df.withColumns({"hour": F.hour(ts), "weekday": F.weekday(ts), "is_weekend": is_weekend(F.col(ts)), "after_hours": after_hours_train(F.col(ts))})

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardspan.functions.times import micros
+from wardspan.operators.cuts import cut, join_summary
+
 STATUSES = ["Open", "Acknowledged", "Resolved", "False Positive"]
 TERMINAL = ["Resolved", "False Positive"]
 QUIET_MINUTES = 60
@@ -35,34 +39,75 @@ def candidates(df: DataFrame) -> DataFrame:
     return df.select("user", "event_id", "event_ts", F.explode(raised).alias("a")).select("user", "event_id", "event_ts", "a.alert_type", "a.severity")
 
 
-def suppress(df: DataFrame, minutes: int = QUIET_MINUTES, keys: tuple[str, ...] = ("user", "alert_type"), ts: str = "event_ts", tie: str = "event_id") -> DataFrame:
+def suppress(df: DataFrame, minutes: int = QUIET_MINUTES, keys: tuple[str, ...] = ("user", "alert_type"), ts: str = "event_ts", tie: str = "event_id", status: str | None = None) -> DataFrame:
     """fired: alerts that no fired alert of the same keys precedes by up to some minutes; suppressed ones don't count.
 
-    A gap over the limit starts afresh, so a busy key is dealt out by its
-    stretches between gaps. A stretch is read in order with one time kept.
+    With a status column, a fired alert in a terminal state suppresses none after
+    it. Rows of null keys are alerts of one key; a null time precedes all others.
+
+    A gap over the limit starts a stretch, and its first alert always fires. Gaps
+    are marked by key and day, with each day's first and last time, so a busy key
+    is dealt over its days, then over its stretches. A stretch is one pass in
+    order that keeps a single time and steps from alert to alert.
     """
     limit = minutes * 60_000_000
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    order = W.partitionBy(*keys).orderBy("at_", tie)
-    marked = df.withColumn("at_", at).withColumn("new_", F.coalesce(F.col("at_") - F.lag("at_").over(order) > limit, F.lit(True)).cast("int"))
-    marked = marked.withColumn("stretch_", F.sum("new_").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("new_")
-    columns = df.columns
-    ordered = marked.repartition(*keys, "stretch_").sortWithinPartitions(*keys, "stretch_", "at_", tie)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, 0
-        for part in parts:
-            fired = []
-            for row in zip(*[part[k] for k in (*keys, "stretch_")], part["at_"]):
-                if row[:-1] != key or row[-1] - last > limit:
-                    key, last = row[:-1], row[-1]
-                    fired.append(True)
-                else:
-                    fired.append(False)
-            yield part.assign(fired=fired)[[*columns, "fired"]]
+    at = F.coalesce(micros(df, ts), F.lit(-(1 << 62)))
+    day = F.floor(F.col("at_") / 86_400_000_000)
+    marked = df.withColumn("at_", at).withColumn("of_", F.struct(*keys)).withColumn("day_", day)
+    days = marked.groupBy("of_", "day_").agg(F.max("at_").alias("end_"))
+    days = days.withColumn("earlier_", F.lag("end_").over(W.partitionBy("of_").orderBy("day_"))).drop("end_")
+    within = W.partitionBy("of_", "day_").orderBy("at_", tie)
+    marked = join_summary(marked.withColumn("lag_", F.lag("at_").over(within)), days, ["of_", "day_"])
+    marked = marked.withColumn("new_", F.coalesce(F.col("at_") - F.coalesce("lag_", "earlier_") > limit, F.lit(True)).cast("long"))
+    marked = cut(marked.drop("lag_", "earlier_"))
+    starts = marked.groupBy("of_", "day_").agg(F.sum("new_").alias("n_"))
+    before = F.sum("n_").over(W.partitionBy("of_").orderBy("day_").rowsBetween(W.unboundedPreceding, -1))
+    starts = starts.select("of_", "day_", F.coalesce(before, F.lit(0)).alias("before_"))
+    running = F.sum("new_").over(within.rowsBetween(W.unboundedPreceding, W.currentRow))
+    marked = join_summary(marked.withColumn("running_", running), starts, ["of_", "day_"])
+    active = F.lit(True) if status is None else ~F.coalesce(F.col(status).isin(TERMINAL), F.lit(False))
+    marked = marked.withColumns({"stretch_": F.xxhash64("of_", F.col("before_") + F.col("running_")), "active_": active})
+    ordered = marked.select(*df.columns, "stretch_", "at_", "active_").repartition("stretch_").sortWithinPartitions("stretch_", "at_", tie)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            stretch, at, active = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("stretch_", "at_", "active_"))
+            begins = np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1]))
+            fired = np.zeros(len(at), bool)
+            for i, end in zip(begins, np.append(begins[1:], len(at))):
+                if stretch[i] != open_:
+                    open_, last = stretch[i], None
+                elif last is not None:
+                    i += np.searchsorted(at[i:end], last + limit, "right")
+                while i < end:
+                    fired[i] = True
+                    if active[i]:
+                        last = at[i]
+                        i += np.searchsorted(at[i:end], last + limit, "right")
+                    else:
+                        i += 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(fired)], names=[*columns, "fired"])
 
+    columns = df.columns
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", fired boolean"
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
+
+
+def created(raised: DataFrame, title: Column | None = None, details: Column | None = None) -> DataFrame:
+    """Stored alerts of fired ones (user, alert_type, severity, event_id, event_ts): an id of their own, Open, with title and JSON details.
+
+    The id is a hash of user, type and event, so a re-delivered event makes the
+    same alert again, and an upsert on the id keeps one.
+    """
+    number = F.xxhash64("user", "alert_type", "event_id")
+    text = F.concat_ws(" ", F.col("severity"), F.replace("alert_type", F.lit("_"), F.lit(" ")), F.lit("for"), F.col("user")) if title is None else title
+    return raised.select(
+        number.alias("alert_id"), "user", "alert_type", "severity", text.alias("title"), (F.lit("{}") if details is None else details).alias("details"), F.lit("Open").alias("status"),
+        F.col("event_ts").alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
+    )
 
 
 def current_status(log: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wardspan.functions import patterns as P
 from wardspan.functions import times as T
+from wardspan.operators.cuts import cut, join_summary
 
 CAP = 500
 MANY = 50
@@ -32,31 +33,52 @@ def numbered(df: DataFrame, user: str = "user", order: tuple[str, ...] = ("event
     return days.withColumn("place_", place).join(counts, [user, "day_"]).withColumn("seq", F.col("before_") + F.col("place_")).drop("place_", "before_")
 
 
-def with_unseen(df: DataFrame, out: str, key: Column, counts: Column, cap: int | None = CAP, user: str = "user") -> DataFrame:
-    """out: whether a counting key isn't among the user's last ``cap`` earlier events (None: all) of numbered()."""
-    keyed = df.withColumn("key_", F.coalesce(key, F.lit("")))
-    within_day = F.lag("seq").over(W.partitionBy(user, "key_", "day_").orderBy("seq"))
-    ends = keyed.groupBy(user, "key_", "day_").agg(F.max("seq").alias("end_"))
-    ends = ends.select(user, "key_", "day_", F.lag("end_").over(W.partitionBy(user, "key_").orderBy("day_")).alias("earlier_"))
-    joined = keyed.withColumn("same_", within_day).join(ends, [user, "key_", "day_"])
+def action_key() -> tuple[Column, Column]:
+    key = F.lower(F.trim("action"))
+    return key, key != ""
+
+
+def ip_key() -> tuple[Column, Column]:
+    key = F.trim("ip_address")
+    return key, ~key.isin(LOCAL_NAMES)
+
+
+def country_key() -> tuple[Column, Column]:
+    key = F.upper(F.trim("country"))
+    return key, key != ""
+
+
+def with_unseen(df: DataFrame, kinds: dict[str, tuple[Column, Column]], cap: int | None = CAP, user: str = "user") -> DataFrame:
+    """For each name in kinds (key, whether it counts): whether a counting key isn't among the user's last ``cap`` earlier events (None: all) of numbered().
+
+    The numbered events are cut once. The keys of all kinds are stacked in narrow
+    rows, so one window within days, one summary of days and one join serve them
+    all; only flags that are true come back to the events.
+    """
+    base = cut(df)
+    keys = F.array(*[F.struct(F.lit(n).alias("kind_"), F.when(counts, key).alias("key_")) for n, (key, counts) in kinds.items()])
+    long = base.select(user, "seq", "day_", F.explode(keys).alias("k_")).select(user, "seq", "day_", "k_.*").filter("key_ IS NOT NULL")
+    dealt = [user, "kind_", "key_", "day_"]
+    ends = long.groupBy(*dealt).agg(F.max("seq").alias("end_"))
+    ends = ends.select(*dealt, F.lag("end_").over(W.partitionBy(user, "kind_", "key_").orderBy("day_")).alias("earlier_"))
+    joined = long.withColumn("same_", F.lag("seq").over(W.partitionBy(*dealt).orderBy("seq"))).join(ends, dealt)
     before = F.coalesce("same_", "earlier_")
-    old = before.isNull() if cap is None else before.isNull() | (F.col("seq") - before > cap)
-    return joined.withColumn(out, F.coalesce(counts, F.lit(False)) & old).drop("key_", "same_", "earlier_")
+    new = joined.filter(before.isNull() if cap is None else before.isNull() | (F.col("seq") - before > cap))
+    fresh = new.groupBy(user, "seq").agg(*[F.max(F.col("kind_") == n).alias(n) for n in kinds])
+    out = base.join(fresh, [user, "seq"], "left")
+    return out.withColumns({n: F.coalesce(n, F.lit(False)) for n in kinds}).select(*df.columns, *kinds)
 
 
 def first_time_action(df: DataFrame, cap: int | None = CAP) -> DataFrame:
-    key = F.lower(F.trim("action"))
-    return with_unseen(df, "first_time_action", key, key != "", cap)
+    return with_unseen(df, {"first_time_action": action_key()}, cap)
 
 
 def new_ip(df: DataFrame, cap: int | None = CAP) -> DataFrame:
-    key = F.trim("ip_address")
-    return with_unseen(df, "new_ip", key, ~key.isin(LOCAL_NAMES), cap)
+    return with_unseen(df, {"new_ip": ip_key()}, cap)
 
 
 def geo_rarity(df: DataFrame, cap: int | None = CAP) -> DataFrame:
-    key = F.upper(F.trim("country"))
-    return with_unseen(df, "geo_rarity", key, key != "", cap)
+    return with_unseen(df, {"geo_rarity": country_key()}, cap)
 
 
 def high_volume(many: int = MANY, cap: int = CAP) -> Column:
@@ -71,8 +93,7 @@ def rolling(df: DataFrame, columns: list[str], hours: int = 24, user: str = "use
     stretch too, so that a window never reaches out of its own.
     """
     length = hours * 3_600_000_000
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    dealt = df.withColumn("at_", at).withColumn("own_", F.floor(F.col("at_") / length)).withColumn("stretch_", F.explode(F.array("own_", F.col("own_") + 1)))
+    dealt = df.withColumn("at_", T.micros(df, ts)).withColumn("own_", F.floor(F.col("at_") / length)).withColumn("stretch_", F.explode(F.array("own_", F.col("own_") + 1)))
     w = W.partitionBy(user, "stretch_").orderBy("at_").rangeBetween(-length, 0)
     out = dealt.withColumns({"events_in_window": F.count(F.lit(1)).over(w)} | {f"{c}_in_window": F.sum(c).over(w) for c in columns})
     return out.filter("stretch_ = own_").drop("at_", "own_", "stretch_")
@@ -85,15 +106,17 @@ def high_volume_in(df: DataFrame, hours: int = 1, many: int = MANY) -> DataFrame
 
 def rarity_flags(df: DataFrame, cap: int | None = CAP) -> DataFrame:
     """The six flags of each event, and rarity: their share, rounded to four places."""
-    out = geo_rarity(new_ip(first_time_action(numbered(df), cap), cap), cap).drop("day_")
+    out = with_unseen(numbered(df), {"first_time_action": action_key(), "new_ip": ip_key(), "geo_rarity": country_key()}, cap).drop("day_")
     out = out.withColumns({"off_hours": T.off_hours(F.col("event_ts")), "high_volume": high_volume(), "sensitive_resource": P.sensitive_resource(F.col("resource"))})
     fired = sum((F.coalesce(F.col(f), F.lit(False)).cast("int") for f in FLAGS), F.lit(0))
     return out.withColumns({"flags_fired": fired, "rarity": F.round(fired / len(FLAGS), 4)})
 
 
 def split_latest_day(df: DataFrame, day: str = "day") -> DataFrame:
-    """is_latest: whether an event lies on its user's latest day."""
-    return df.filter(F.col(day).isNotNull()).withColumn("is_latest", F.col(day) == F.max(day).over(W.partitionBy("user")))
+    """is_latest: whether an event lies on its user's latest day, from one maximum a user; events without a day go."""
+    dated = df.filter(F.col(day).isNotNull())
+    last = dated.groupBy("user").agg(F.max(day).alias("last_"))
+    return join_summary(dated, last, ["user"]).withColumn("is_latest", F.col(day) == F.col("last_")).drop("last_")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardspan.operators.cuts import cut
+
 # Weights and caps of the live rule, and weights of the batch rule.
 LIVE_RULE = {
     "usb_events": (0.25, 20), "files_accessed": (0.20, 200), "has_usb": (0.15, 1), "n_archive_files": (0.10, 10),
@@ -23,7 +25,8 @@ def live_rule(rule: dict[str, tuple[float, int]] = LIVE_RULE) -> Column:
 
 
 def with_totals(df: DataFrame, totals: list[Column]) -> DataFrame:
-    """df with aggregates over all rows; one row is broadcast, whatever the size of df."""
+    """df with aggregates over all rows; df is cut, so it is made once; one row is broadcast, whatever the size of df."""
+    df = cut(df)
     return df.crossJoin(F.broadcast(df.agg(*totals)))
 
 
@@ -35,7 +38,8 @@ def min_max(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def batch_rule(df: DataFrame, rule: dict[str, float] = BATCH_RULE, out: str = "rule_score") -> DataFrame:
     """Each feature over its maximum, weighted and summed, then min-max scaled."""
-    tops = with_totals(df, [F.max(c).alias(f"{c}_top_") for c in rule])
+    df = cut(df)
+    tops = df.crossJoin(F.broadcast(df.agg(*[F.max(c).alias(f"{c}_top_") for c in rule])))
     raw = sum((F.when(F.col(f"{c}_top_") > 0, F.lit(w) * F.col(c) / F.col(f"{c}_top_")).otherwise(0.0) for c, w in rule.items()), F.lit(0.0))
     return min_max(tops.withColumn("raw_", raw).drop(*[f"{c}_top_" for c in rule]), "raw_", out).drop("raw_")
 

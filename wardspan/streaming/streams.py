@@ -5,18 +5,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wardspan.functions import times as T
 from wardspan.operators.cuts import shared_top
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, files_per_batch: int | None = 8) -> DataFrame:
-    """Parquet event files as they arrive; event_ts is a timestamp, as watermarks need.
+    """Parquet event files as they arrive; event_ts is a timestamp, as watermarks need, of the UTC wall clock ts.
 
     With files_per_batch None all files that are there are one batch, so that no row is late.
     """
@@ -27,7 +29,7 @@ def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, files_per
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # a stream reads folders
         reader, path = reader.option("pathGlobFilter", at.getName()), at.getParent().toString()
     raw = reader.parquet(path)
-    return raw.withColumn("event_ts", F.col("ts").cast("timestamp")).withColumn("user", F.col("user_id").cast("string"))
+    return raw.withColumn("event_ts", F.timestamp_micros(T.micros(raw, "ts"))).withColumn("user", F.col("user_id").cast("string"))
 
 
 def dedup(stream: DataFrame, delay: str = "20 minutes", key: str = "event_id") -> DataFrame:
@@ -41,7 +43,7 @@ def daily_counts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
         stream.withWatermark("event_ts", delay)
         .groupBy("user", F.window("event_ts", "1 day").alias("w"))
         .agg(F.count(F.lit(1)).alias("event_count"), F.round(F.sum("value"), 4).alias("value_sum"))
-        .select("user", F.to_date("w.start").alias("day"), "event_count", "value_sum")
+        .select("user", F.to_date(T.utc_clock(F.col("w.start"))).alias("day"), "event_count", "value_sum")
     )
 
 
@@ -51,7 +53,7 @@ def hopping(stream: DataFrame, delay: str = "1 hour", length: str = "24 hours",
         stream.withWatermark("event_ts", delay)
         .groupBy("user", F.window("event_ts", length, step).alias("w"))
         .agg(F.count(F.lit(1)).alias("events_in_window"))
-        .select("user", F.col("w.end").cast("timestamp_ntz").alias("window_end"), "events_in_window")
+        .select("user", T.utc_clock(F.col("w.end")).alias("window_end"), "events_in_window")
     )
 
 
@@ -61,25 +63,27 @@ def alerts(stream: DataFrame, minutes: int = 60, delay: str = "1 day") -> DataFr
     A batch's rows are read in order of event time. A user's state goes once the
     watermark has passed its quiet time.
     """
-    limit = minutes * 60
+    limit = minutes * 60_000_000
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values(["event_ts", "event_id"])
-        last = state.get[0] if state.exists else None
-        fired = []
-        for t in rows["event_ts"].astype("int64") / 10 ** (9 if rows["event_ts"].dt.unit == "ns" else 6):
-            fired.append(last is None or t - last > limit)
-            last = t if fired[-1] else last
-        state.update((float(last),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int((last + limit) * 1000)) + 1)
-        kept = rows[fired]
-        yield pd.DataFrame({"user": key[0], "event_id": kept["event_id"], "event_ts": kept["event_ts"]})
-
-    rows = stream.filter("event_type = 'error'").select("user", "event_id", "event_ts").withWatermark("event_ts", delay)
-    return rows.groupBy("user").applyInPandasWithState(run, "user string, event_id long, event_ts timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
+        rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
+        last, at = state.get[0] if state.exists else None, rows["at"].to_numpy()
+        fired, i = [], 0 if last is None else int(np.searchsorted(at, last + limit, "right"))
+        while i < len(at):
+            fired.append(i)
+            last = int(at[i])
+            i += int(np.searchsorted(at[i:], last + limit, "right"))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), (last + limit) // 1000) + 1)
+        kept = rows.iloc[fired]
+        yield pd.DataFrame({"user": key[0], "event_id": kept["event_id"], "at": kept["at"]})
+
+    rows = stream.filter("event_type = 'error'").withColumn("at", F.unix_micros("event_ts")).withWatermark("event_ts", delay).select("user", "event_id", "event_ts", "at")
+    found = rows.groupBy("user").applyInPandasWithState(run, "user string, event_id long, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("user", "event_id", F.timestamp_micros("at").alias("event_ts"))
 
 
 def shared_folder(spark: SparkSession) -> str:
