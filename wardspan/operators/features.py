@@ -105,6 +105,89 @@ def http_daily(df: DataFrame) -> DataFrame:
     )
 
 
+def one_scan_daily(df: DataFrame, company: Column) -> DataFrame:
+    """DAILY features of all endpoint logs in one table: kind (logon, file, device, email or http), id, user, day, after_hours and their own columns.
+
+    One aggregation over one scan; a user and day without events of a kind have 0 for it.
+    """
+    is_a = lambda kind: F.col("kind") == kind
+    late = F.coalesce(F.col("after_hours"), F.lit(False))
+    ext, connect = X.extension(F.col("filename")), F.coalesce(F.col("activity") == "Connect", F.lit(False))
+    url = lambda names: P.any_of(F.coalesce("url", F.lit("")), names, escape=False)
+    total = lambda kind, value: F.coalesce(F.sum(F.when(is_a(kind), value)), F.lit(0)).cast("long")
+    counts = {
+        "login_count": is_a("logon"), "after_hours_count": is_a("logon") & late, "files_accessed": is_a("file"), "n_archive_files": is_a("file") & ext.isin(P.TRAIN_ARCHIVE),
+        "n_exe_files": is_a("file") & ext.isin(P.TRAIN_EXE), "n_afterhours_file": is_a("file") & late, "usb_events": is_a("device") & connect, "n_afterhours_usb": is_a("device") & connect & late,
+        "email_count": is_a("email"), "n_afterhours_email": is_a("email") & late, "n_bcc_email": is_a("email") & F.col("bcc").isNotNull(), "http_count": is_a("http"),
+        "suspicious_http": is_a("http") & url(P.TRAIN_SUSPICIOUS), "n_job_site": is_a("http") & url(P.TRAIN_JOB), "n_cloud_storage": is_a("http") & url(P.TRAIN_CLOUD),
+        "n_afterhours_http": is_a("http") & late,
+    }
+    out = df.groupBy("user", "day").agg(
+        *[count_where(c).alias(n) for n, c in counts.items()], F.countDistinct(F.when(is_a("logon"), F.col("pc"))).alias("unique_pcs"),
+        total("email", X.number_or_zero(F.col("attachments"))).alias("total_attachments"), total("email", X.external_recipients(F.col("to"), company)).alias("external_emails"),
+    )
+    out = out.withColumn("has_usb", (F.col("usb_events") > 0).cast("long"))
+    return out.withColumn("usb_and_file", F.col("has_usb") * (F.col("files_accessed") > 0).cast("long")).select("user", "day", *DAILY)
+
+
+def script_daily(df: DataFrame) -> DataFrame:
+    """DAILY features in the extraction script's dialect, of the table that one_scan_daily() takes with ``ts`` instead of day and after_hours, and ``from``.
+
+    After hours is the hour alone; any activity with "connect" in any case counts,
+    so Disconnect too, and each such event adds to has_usb; external mails count
+    once; sites and archives are those of the live dialect, an executable is .exe;
+    a blank bcc is none; usb_and_file is 0. Rows without a time go.
+    """
+    is_a = lambda kind: F.col("kind") == kind
+    late = T.after_hours_script(F.col("ts"))
+    usb = is_a("device") & F.contains(F.lower(F.coalesce("activity", F.lit(""))), F.lit("connect"))
+    ext, url = X.extension_live(F.lower(F.coalesce("filename", F.lit("")))), F.lower(F.coalesce("url", F.lit("")))
+    external = X.any_external(F.col("to"), F.coalesce("from", F.lit("")), split=True)
+    counts = {
+        "login_count": is_a("logon"), "after_hours_count": is_a("logon") & late, "files_accessed": is_a("file"), "n_archive_files": is_a("file") & ext.isin(P.LIVE_ARCHIVE),
+        "n_exe_files": is_a("file") & (ext == "exe"), "n_afterhours_file": is_a("file") & late, "usb_events": usb, "has_usb": usb, "n_afterhours_usb": usb & late, "email_count": is_a("email"),
+        "external_emails": is_a("email") & (external == 1), "n_afterhours_email": is_a("email") & late, "n_bcc_email": is_a("email") & (F.trim(F.coalesce("bcc", F.lit(""))) != ""),
+        "http_count": is_a("http"), "suspicious_http": is_a("http") & P.any_of(url, P.LIVE_SUSPICIOUS), "n_job_site": is_a("http") & P.any_of(url, P.LIVE_JOB),
+        "n_cloud_storage": is_a("http") & P.any_of(url, P.LIVE_CLOUD), "n_afterhours_http": is_a("http") & late,
+    }
+    out = df.filter(F.col("ts").isNotNull()).groupBy("user", F.to_date("ts").alias("day")).agg(
+        *[count_where(c).alias(n) for n, c in counts.items()], F.countDistinct(F.when(is_a("logon"), F.coalesce("pc", F.lit("")))).alias("unique_pcs"),
+        F.coalesce(F.sum(F.when(is_a("email"), X.number_or_zero(F.col("attachments")))), F.lit(0)).cast("long").alias("total_attachments"), F.lit(0).cast("long").alias("usb_and_file"),
+    )
+    return out.select("user", "day", *DAILY)
+
+
+def live_daily(df: DataFrame) -> DataFrame:
+    """A stored user's day sums of event_features(), by the first ten characters of the time text; unique_pcs counts the day's logon machines.
+
+    Rows without a time text go. Of has_usb and usb_and_file a day has the sum.
+    """
+    pc = F.coalesce(F.nullif(F.col("resource"), F.lit("")), F.nullif(F.col("metadata")["pc"], F.lit("")))
+    summed = [c for c in DAILY if c != "unique_pcs"]
+    days = df.withColumn("day", T.raw_day_key(F.col("timestamp"))).filter("day <> ''")
+    out = days.groupBy("user", "day").agg(*[F.sum(c).cast("long").alias(c) for c in summed], F.countDistinct(F.when(F.col("source") == "cert_logon", pc)).alias("unique_pcs"))
+    return out.select("user", "day", *DAILY)
+
+
+BURSTS = ["files_accessed", "usb_events", "after_hours_count"]
+PEERS = ["login_count_sum", "files_accessed_sum", "usb_events_sum", "email_count_sum"]
+#: The 71 features of a user in the model's order.
+VECTOR = [*[f"{c}_{s}" for c in DAILY for s in ("mean", "max", "sum")], *[f"{c}_burst_ratio" for c in BURSTS], "usb_file_interaction", *[f"{c}_peer_ratio" for c in PEERS]]
+
+
+def user_vector(daily: DataFrame, peer_means: DataFrame | None = None) -> DataFrame:
+    """VECTOR of each user of user-days; peer_means (user, and a mean for each of PEERS) are 1 where absent, and at least 1."""
+    out = user_profile(daily, DAILY)
+    out = out.withColumns({f"{c}_burst_ratio": burst_ratio(F.col(f"{c}_max"), F.col(f"{c}_mean"), floor=True) for c in BURSTS})
+    out = out.withColumn("usb_file_interaction", F.col("has_usb_sum") * F.col("files_accessed_max"))
+    if peer_means is None:
+        told, mean = out, lambda c: F.lit(1.0)
+    else:
+        told = out.join(peer_means.select("user", *[F.col(c).alias(f"{c}_of_peers") for c in PEERS]), "user", "left")
+        mean = lambda c: F.greatest(F.coalesce(f"{c}_of_peers", F.lit(1.0)), F.lit(1.0))
+    return told.withColumns({f"{c}_peer_ratio": F.col(c) / mean(c) for c in PEERS}).select("user", *VECTOR)
+
+
 def merge_daily(parts: list[DataFrame], keys=("user", "day"), columns: list[str] | None = None) -> DataFrame:
     """All user-days with all parts' features, 0 where a part has none.
 
@@ -155,3 +238,10 @@ def cloud_user_day(df: DataFrame, with_new: bool = True) -> DataFrame:
         new = first.groupBy("user", "day").agg(F.count(F.lit(1)).alias("new_action_count"))
         out = out.join(new, ["user", "day"], "left").withColumn("new_action_count", F.coalesce("new_action_count", F.lit(0)).cast("long"))
     return out.select("user", "day", *[c for c in CLOUD if with_new or c != "new_action_count"])
+
+
+def cloud_latest_day(df: DataFrame) -> DataFrame:
+    """CLOUD features of each user's latest UTC day, with all earlier days as history; users without a timed event have none."""
+    days = cloud_user_day(df.filter(F.col("event_ts").isNotNull()))
+    fields = [c for c in days.columns if c not in ("user", "day")]
+    return days.groupBy("user").agg(F.max(F.struct("day", *fields)).alias("l")).select("user", "l.*")

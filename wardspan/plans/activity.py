@@ -108,8 +108,24 @@ def daily_parts(spark, sf_dir) -> list[DataFrame]:
     return [X.logon_daily(p["logon"]), X.file_daily(p["file"]), X.usb_daily(p["device"]), X.email_daily(p["email"], F.lit("corp.example")), X.http_daily(p["http"])]
 
 
+def one_table(spark, sf_dir) -> DataFrame:
+    """The logs of parts() in one table, without a union: each event has a kind and all columns."""
+    e, k = events(spark, sf_dir), F.col("k")
+    kinds = {"azure_ad": "logon", "cert_file": "file", "aws_cloudtrail": "device", "github_events": "email", "cert_http": "http"}
+    kind = F.lit(None)
+    for source, name in kinds.items():
+        kind = F.when(F.col("source") == source, name).otherwise(kind)
+    return e.select(
+        kind.alias("kind"), F.col("event_id").alias("id"), "user", F.col("event_ts").alias("ts"), F.to_date("event_ts").alias("day"), T.after_hours_train(F.col("event_ts")).alias("after_hours"),
+        F.col("ip_address").alias("pc"), F.col("resource").alias("filename"), F.col("resource").alias("url"), F.when(k % 2 == 0, "Connect").otherwise("Disconnect").alias("activity"),
+        F.when(k % 3 == 0, "a@corp.example;b@other.example").when(k % 3 == 1, "c@corp.example").alias("to"), F.lit("z@corp.example").alias("from"),
+        F.when(k % 5 == 0, "x@y.example").when(k % 5 == 1, " ").alias("bcc"), F.when(k % 4 == 0, k.cast("string")).otherwise("none.txt").alias("attachments"),
+    )
+
+
 def daily(spark, sf_dir) -> DataFrame:
-    return X.merge_daily(daily_parts(spark, sf_dir), columns=X.DAILY)
+    table_ = one_table(spark, sf_dir).withColumn("bcc", F.nullif("bcc", F.lit(" ")))
+    return X.one_scan_daily(table_, F.lit("corp.example"))
 
 
 or_of = lambda names: "(" + "|".join(names) + ")"
@@ -137,6 +153,36 @@ def daily_activity(spark, sf_dir) -> DataFrame:
     return daily(spark, sf_dir)
 
 
+@query(f"WITH {EVENTS_SQL}, {DAILY_SQL} SELECT * FROM daily")
+def merged_daily(spark, sf_dir) -> DataFrame:
+    """The same features from a log of its own for each source, stacked and summed."""
+    return X.merge_daily(daily_parts(spark, sf_dir), columns=X.DAILY)
+
+
+HOUR_ONLY = "(hour(event_ts) < 7 OR hour(event_ts) >= 18)"
+any_sql = lambda names: "regexp_matches(resource, '" + "|".join(n.replace(".", "\\.") for n in names) + "')"
+after_dot = "CASE WHEN contains(resource, '.') THEN lower(list_last(string_split(resource, '.'))) ELSE '' END"
+
+
+def script_sql() -> str:
+    of = lambda source, more="true": f"CAST(count(*) FILTER (source = '{source}' AND {more}) AS BIGINT)"
+    made = {
+        "login_count": of("azure_ad"), "after_hours_count": of("azure_ad", HOUR_ONLY), "unique_pcs": "count(DISTINCT CASE WHEN source = 'azure_ad' THEN ip_address END)",
+        "files_accessed": of("cert_file"), "n_archive_files": of("cert_file", f"{after_dot} IN {tuple(P.LIVE_ARCHIVE)}"), "n_exe_files": of("cert_file", f"{after_dot} = 'exe'"),
+        "n_afterhours_file": of("cert_file", HOUR_ONLY), "usb_events": of("aws_cloudtrail"), "has_usb": of("aws_cloudtrail"), "n_afterhours_usb": of("aws_cloudtrail", HOUR_ONLY),
+        "email_count": of("github_events"), "total_attachments": "CAST(coalesce(sum(CASE WHEN source = 'github_events' AND k % 4 = 0 THEN k END), 0) AS BIGINT)",
+        "external_emails": of("github_events", "k % 3 = 0"), "n_afterhours_email": of("github_events", HOUR_ONLY), "n_bcc_email": of("github_events", "k % 5 = 0"), "http_count": of("cert_http"),
+        "suspicious_http": of("cert_http", any_sql(P.LIVE_SUSPICIOUS)), "n_job_site": of("cert_http", any_sql(P.LIVE_JOB)), "n_cloud_storage": of("cert_http", any_sql(P.LIVE_CLOUD)),
+        "n_afterhours_http": of("cert_http", HOUR_ONLY), "usb_and_file": "CAST(0 AS BIGINT)",
+    }
+    return ", ".join(f"{sql} AS {name}" for name, sql in made.items())
+
+
+@query(f'WITH {EVENTS_SQL} SELECT "user", CAST(event_ts AS DATE) AS day, {script_sql()} FROM ev GROUP BY ALL')
+def script_daily(spark, sf_dir) -> DataFrame:
+    return X.script_daily(one_table(spark, sf_dir))
+
+
 @query(f'WITH {EVENTS_SQL}, {DAILY_PARTS_SQL} SELECT "user", day, files_accessed, http_count FROM (SELECT "user", day FROM file UNION SELECT "user", day FROM web) LEFT JOIN file USING ("user", day) LEFT JOIN web USING ("user", day)'.replace("SELECT \"user\", day, files_accessed, http_count", 'SELECT "user", day, coalesce(files_accessed, 0) AS files_accessed, coalesce(http_count, 0) AS http_count'))
 def user_day_spine_join(spark, sf_dir) -> DataFrame:
     """The spine of user-days and left joins, as the reference form of merge_daily()."""
@@ -178,21 +224,60 @@ def usb_file_interaction(spark, sf_dir) -> DataFrame:
     return profile(spark, sf_dir).select("user", (F.col("has_usb_sum") * F.col("files_accessed_max")).alias("usb_file_interaction"))
 
 
-LIVE_FEATURES = ["login_count", "files_accessed", "n_archive_files", "n_exe_files", "http_count", "n_job_site", "n_cloud_storage", "suspicious_http"]
+LIVE_FEATURES = [c for c in X.DAILY if c != "unique_pcs"]
 
 
 def live_events(spark, sf_dir) -> DataFrame:
-    e = events(spark, sf_dir).withColumns({"timestamp": F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "metadata": F.create_map(F.lit("country"), F.col("country"))})
+    """The view as stored endpoint events with time texts and metadata; odd trail events are logons, even ones devices, and mails stand for hosting events."""
+    e, k = events(spark, sf_dir), F.col("k")
+    source = F.when(F.col("source") == "github_events", "cert_email").when(F.col("source") == "aws_cloudtrail", F.when(k % 2 == 0, "cert_device").otherwise("cert_logon")).otherwise(F.col("source"))
+    texts = {
+        "to": F.when(k % 3 == 0, "a@Other.example").when(k % 3 == 1, "c@corp.example"), "from": F.lit("z@corp.example"), "bcc": F.when(k % 5 == 0, "x@y.example"),
+        "attachments": F.when(k % 4 == 0, k.cast("string")).otherwise("none.txt"), "to_removable_media": F.when(k % 6 == 0, "True").otherwise("False"),
+        "from_removable_media": F.when(k % 6 == 1, "true"), "pc": F.col("ip_address"), "country": F.col("country"),
+    }
+    e = e.withColumns({"timestamp": F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "metadata": N.metadata(texts), "source": source})
     return X.event_features(e)
 
 
-LIVE_SQL = f"""live AS (SELECT *,
-    CAST(source IN ('aws_cloudtrail', 'azure_ad') AS INTEGER) AS login_count, CAST(source = 'cert_file' AS INTEGER) AS files_accessed,
-    CAST(source = 'cert_file' AND regexp_extract(resource, '\\.([^.]*)$', 1) IN {tuple(P.LIVE_ARCHIVE)} AS INTEGER) AS n_archive_files,
-    CAST(source = 'cert_file' AND regexp_extract(resource, '\\.([^.]*)$', 1) = 'exe' AS INTEGER) AS n_exe_files,
-    CAST(source = 'cert_http' AS INTEGER) AS http_count, CAST(source = 'cert_http' AND regexp_matches(resource, '{or_of(P.LIVE_JOB)}') AS INTEGER) AS n_job_site,
+LIVE_SQL = f"""stored AS (SELECT * REPLACE (CASE WHEN source = 'github_events' THEN 'cert_email' WHEN source = 'aws_cloudtrail' AND k % 2 = 0 THEN 'cert_device'
+      WHEN source = 'aws_cloudtrail' THEN 'cert_logon' ELSE source END AS source), strftime(event_ts, '%Y-%m-%d') AS day, (hour(event_ts) < 7 OR hour(event_ts) >= 18) AS late,
+      regexp_extract(resource, '\\.([^.]*)$', 1) AS ext FROM ev),
+  live AS (SELECT *, CAST(source IN ('cert_logon', 'azure_ad') AS INTEGER) AS login_count, CAST(source IN ('cert_logon', 'azure_ad') AND late AS INTEGER) AS after_hours_count,
+    CAST(source = 'cert_file' AS INTEGER) AS files_accessed, CAST(source = 'cert_file' AND ext IN {tuple(P.LIVE_ARCHIVE)} AS INTEGER) AS n_archive_files,
+    CAST(source = 'cert_file' AND ext = 'exe' AS INTEGER) AS n_exe_files, CAST(source = 'cert_file' AND late AS INTEGER) AS n_afterhours_file,
+    CAST(source = 'cert_device' OR source = 'cert_file' AND k % 6 IN (0, 1) AS INTEGER) AS usb_events, CAST(source = 'cert_device' OR source = 'cert_file' AND k % 6 IN (0, 1) AS INTEGER) AS has_usb,
+    CAST((source = 'cert_device' OR source = 'cert_file' AND k % 6 IN (0, 1)) AND late AS INTEGER) AS n_afterhours_usb,
+    CAST(source = 'cert_email' AS INTEGER) AS email_count, CASE WHEN source = 'cert_email' AND k % 4 = 0 THEN k ELSE 0 END AS total_attachments,
+    CAST(source = 'cert_email' AND k % 3 = 0 AS INTEGER) AS external_emails, CAST(source = 'cert_email' AND late AS INTEGER) AS n_afterhours_email,
+    CAST(source = 'cert_email' AND k % 5 = 0 AS INTEGER) AS n_bcc_email,
+    CAST(source = 'cert_http' AS INTEGER) AS http_count, CAST(source = 'cert_http' AND regexp_matches(resource, '{or_of(P.LIVE_SUSPICIOUS)}') AS INTEGER) AS suspicious_http,
+    CAST(source = 'cert_http' AND regexp_matches(resource, '{or_of(P.LIVE_JOB)}') AS INTEGER) AS n_job_site,
     CAST(source = 'cert_http' AND regexp_matches(resource, '{or_of(P.LIVE_CLOUD)}') AS INTEGER) AS n_cloud_storage,
-    CAST(source = 'cert_http' AND regexp_matches(resource, '{or_of(P.LIVE_SUSPICIOUS)}') AS INTEGER) AS suspicious_http FROM ev)"""
+    CAST(source = 'cert_http' AND late AS INTEGER) AS n_afterhours_http, CAST(source = 'cert_file' AND k % 6 IN (0, 1) AS INTEGER) AS usb_and_file FROM stored)"""
+VECTOR_SQL = f"""days AS (SELECT "user", day, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in LIVE_FEATURES)},
+      count(DISTINCT CASE WHEN source = 'cert_logon' THEN coalesce(nullif(resource, ''), ip_address) END) AS unique_pcs FROM live GROUP BY ALL),
+  users AS (SELECT "user", {', '.join(f'avg({c}) AS {c}_mean, max({c}) AS {c}_max, CAST(sum({c}) AS BIGINT) AS {c}_sum' for c in X.DAILY)} FROM days GROUP BY "user"),
+  vector AS (SELECT *, {', '.join(f'least(50, {c}_max / greatest({c}_mean, 0.001)) AS {c}_burst_ratio' for c in X.BURSTS)}, has_usb_sum * files_accessed_max AS usb_file_interaction,
+      {', '.join(f'{c} / 1.0 AS {c}_peer_ratio' for c in X.PEERS)} FROM users)"""
+
+
+def is_ratio(name: str) -> bool:
+    return name.endswith(("mean", "ratio"))
+
+
+@query(f'WITH {EVENTS_SQL}, {LIVE_SQL}, {VECTOR_SQL} SELECT "user", {", ".join(f"round({c}, 6) AS {c}" if is_ratio(c) else c for c in X.VECTOR)} FROM vector')
+def live_user_vector(spark, sf_dir) -> DataFrame:
+    """The 71 features of each stored user, as the live scorer takes them."""
+    vector = X.user_vector(X.live_daily(live_events(spark, sf_dir)))
+    return vector.select("user", *[F.round(c, 6).alias(c) if is_ratio(c) else F.col(c) for c in X.VECTOR])
+
+
+@query(f"""WITH {EVENTS_SQL}, {CLOUD_SQL}, a AS (SELECT DISTINCT "user", CAST(event_ts AS DATE) AS day, lower(trim(action)) AS act FROM ev),
+    f AS (SELECT *, min(day) OVER (PARTITION BY "user", act) AS first_day FROM a), n AS (SELECT "user", day, count(*) FILTER (day = first_day AND act <> '') AS new_action_count FROM f GROUP BY ALL)
+    SELECT "user", day, {', '.join(X.CLOUD)} FROM cloud JOIN n USING ("user", day) QUALIFY day = max(day) OVER (PARTITION BY "user")""")
+def cloud_latest_day(spark, sf_dir) -> DataFrame:
+    return X.cloud_latest_day(events(spark, sf_dir)).select("user", "day", *X.CLOUD)
 
 
 @query(f'WITH {EVENTS_SQL}, {LIVE_SQL} SELECT event_id, {", ".join(LIVE_FEATURES)} FROM live')

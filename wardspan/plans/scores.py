@@ -15,7 +15,7 @@ from wardspan.sources.tables import EVENTS_SQL, events, table
 
 ROLE = ["login_count_sum", "files_accessed_sum", "usb_events_sum", "email_count_sum"]
 DEVIATION = [*ROLE, "http_count_sum", "n_archive_files_sum", "n_exe_files_sum", "suspicious_http_sum", "external_emails_sum", "n_bcc_email_sum"]
-LIVE_RULE = {c: scoring.LIVE_RULE[c] for c in ("files_accessed", "n_archive_files", "suspicious_http", "n_job_site")}
+LIVE_RULE = scoring.LIVE_RULE
 BASE = f"WITH {EVENTS_SQL}, {DAILY_SQL}, {PROFILE_SQL}"
 
 
