@@ -50,3 +50,18 @@ def test_peer_ratio_and_scaling_guard_zero(spark):
     same = spark.createDataFrame([("a", 2.0), ("b", 2.0)], "user string, x double")
     assert {r["x_z"] for r in scoring.standard_scale(same, ["x"]).collect()} == {0.0}
     assert {r["s"] for r in scoring.min_max(same, "x", "s").collect()} == {0.0}
+
+
+def test_saved_models_score_alike(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(100, 3)))], "id int, a double, b double, c double")
+    model = models.fit_autoencoder(df, list("abc"), "id", hidden=(2,))
+    models.save_model(spark, model, str(tmp_path / "m"))
+    score = lambda m: {r["id"]: round(r["score"], 9) for r in models.autoencoder_score(df, m).collect()}
+    assert score(models.load_model(spark, str(tmp_path / "m"))) == score(model)
+
+
+def test_thresholds_without_labels(spark):
+    df = spark.createDataFrame([(0.1,), (0.2,), (0.9,)], "score double")
+    got = evaluate.thresholds(df).first()
+    assert got["medium"] < got["high"] <= 1

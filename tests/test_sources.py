@@ -46,3 +46,41 @@ def test_metrics_keep_other_blocks(tmp_path):
     sinks.merge_metrics(path, "a", {"x": 1})
     sinks.merge_metrics(path, "b", {"y": 2})
     assert json.load(open(path)) == {"a": {"x": 1}, "b": {"y": 2}}
+
+
+def test_folder_of_mixed_files(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.json").write_text('{"Records": [{"eventName": "A"}, {"eventName": "B"}]}')
+    (tmp_path / "in" / "deep" / "b.jsonl").write_text('{"eventName": "C"}\nbroken\n')
+    (tmp_path / "in" / "deep" / "c.csv").write_text("Event Time,Event Name\n2024-01-01,D\n,E\n")
+    with gzip.open(tmp_path / "in" / "d.json.gz", "wt") as f:
+        f.write('[{"eventName": "F"}]')
+    (tmp_path / "in" / "note.txt").write_text("{}")
+    raw = readers.any_events(spark, str(tmp_path / "in"))
+    assert sorted(r[0] for r in raw.selectExpr("get_json_object(raw, '$.eventName')").collect()) == ["A", "B", "C", "D", "F"]
+
+
+def test_case_store_and_log(spark, tmp_path):
+    import pytest
+
+    from wardspan.operators import cases
+
+    (tmp_path / "store.json").write_text('{"u": {"status": "Pending", "notes": "n", "history": [{"status": "Cleared", "note": "x"}]}, "v": {"status": "Cleared", "history": "[]"}}')
+    got = {r["user"]: (r["status"], r["analyst"], r["notes"], len(r["history"])) for r in cases.store_of(spark, str(tmp_path / "store.json")).collect()}
+    assert got == {"u": ("Pending", "", "n", 1), "v": ("Cleared", "", "", 0)}
+    log = spark.createDataFrame([("u", 1, "Pending", "a", ""), ("u", 2, "Confirmed", "b", "y")], "user string, saved_at int, status string, analyst string, note string")
+    for saved_at in (1, 2):
+        cases.save(spark, str(tmp_path / "log"), log.filter(f"saved_at = {saved_at}"))
+    assert cases.get(cases.records(cases.load(spark, str(tmp_path / "log"))), "u").first()["status"] == "Confirmed"
+    with pytest.raises(ValueError):
+        cases.save(spark, str(tmp_path / "log"), log.selectExpr("user", "saved_at", "'odd' AS status", "analyst", "note"))
+
+
+def test_events_by_actor_and_missing_columns(spark):
+    df = spark.createDataFrame([('{"actor": {"login": "g"}, "created_at": "2"}',), ('{"actor": {"display_login": "g"}, "created_at": "1"}',), ('{"type": "x"}',), ("broken",)], "raw string")
+    assert [(r["user"], r["timestamp"]) for r in readers.events_by_actor(df).collect()] == [("g", "1"), ("g", "2")]
+    scores = spark.createDataFrame([("u", 1.0)], "user string, score double")
+    joined, missing = readers.scores_with_attribution(scores, spark.createDataFrame([("u", 2.0)], "user string, f double"), ["score", "label"])
+    assert joined.columns == ["user", "score", "f"] and missing == ["label"]

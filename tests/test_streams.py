@@ -4,6 +4,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from wardspan.plans import streams as P
+from wardspan.streaming import streams
 
 
 @pytest.fixture(scope="module")
@@ -25,3 +26,36 @@ def test_files_in_any_order_of_time(spark, small, shuffled, query):
     rows = lambda sf: sorted(tuple(map(str, r)) for r in query(spark, sf).collect())
     whole = rows(small)
     assert whole and rows(shuffled) == whole
+
+
+def test_ingest_goes_on_after_a_restart_and_drops_repeated_ids(spark, tmp_path, small):
+    from wardspan.operators import ingest
+    from wardspan.plans.ingesting import ae_live, raw_events
+    from wardspan.sources.tables import events, table, view
+
+    rows = table(spark, small, "events").orderBy("ts", "event_id").limit(300)
+    whole = ingest.scored(ingest.stored(raw_events(view(rows))), ae_live(events(spark, small)))
+    shown = ["event_id", "user", "total_events", "events_in_window", "rule_live", "ae_live", "flags_fired", "rarity"]
+    want = sorted(tuple(r) for r in whole.select(*shown).collect())
+    first = rows.orderBy("ts", "event_id").limit(150)
+    parts = [first, rows.join(first.select("event_id"), "event_id", "left_anti").select(rows.columns).unionByName(first.limit(20))]
+    source, kept = str(tmp_path / "in"), str(tmp_path / "kept")
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(source)
+        out = streams.ingest_stream(raw_events(view(streams.event_stream(spark, source))), kept, ae_live(events(spark, small)))
+        assert out.count() == (150, 300)[k]
+    assert sorted(tuple(r) for r in out.select(*shown).collect()) == want
+    again = streams.ingest_stream(raw_events(view(streams.event_stream(spark, source))), kept)
+    assert again.count() == 300
+
+
+def test_events_without_a_time_or_an_object(spark):
+    from wardspan.operators import ingest
+
+    rows = [(1, "cert_http", '{"user": "u", "date": "01/02/2010 03:04:05", "url": "x"}'), (2, "cert_http", '{"user": "u", "date": "never"}'), (3, "nowhere", "{}"), (None, "cert_http", '{"user": "u", "date": "2010-01-02T03:04Z"}')]
+    out = ingest.scored(ingest.stored(spark.createDataFrame(rows, "event_id long, source string, raw string")))
+    got = sorted((r["event_id"] or 0, r["total_events"], r["events_in_window"], r["off_hours"], r["ae_live"]) for r in out.collect())
+    assert got == [(0, 2, 1, True, None), (1, 3, 2, True, None), (2, 1, 1, False, None)]
+    fired = ingest.fired(out).collect()
+    assert [(r["event_id"], r["alert_type"]) for r in fired if r["alert_type"] == "new_user"] == [(2, "new_user")]
+    assert {r["event_count"] for r in ingest.live_scores(out).collect()} == {3}

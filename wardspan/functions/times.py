@@ -17,31 +17,33 @@ ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d
 MONTH_FIRST = r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}):(\d{2})(?::(\d{2}))?$"
 
 
-def _part(text: Column, form: str, group: int) -> Column:
-    """A number of a form's group; 0 where the group is absent."""
-    return F.coalesce(F.nullif(F.regexp_extract(text, form, group), F.lit("")).try_cast("int"), F.lit(0))
+def _made(text: Column, form: str, groups: int, make) -> Column:
+    """make() of the array of a form's groups (absent ones empty); null if the text doesn't have the form. The array is made once a row."""
+    held = F.array(F.split(F.regexp_replace(text, form, "|".join(f"${g}" for g in range(1, groups + 1))), r"\|"))
+    return F.when(text.rlike(form), F.get(F.transform(held, make), F.lit(0)))
 
 
-def _made(text: Column, form: str, places: tuple[int, ...], fraction: Column) -> Column:
-    parts = [_part(text, form, g) for g in places]
-    seconds = parts[5].cast("decimal(8,6)") + fraction
-    return F.when(text.rlike(form), F.try_make_timestamp_ntz(*parts[:5], seconds.cast("decimal(16,6)")))
+def _number(part: Column) -> Column:
+    return F.coalesce(F.nullif(part, F.lit("")).try_cast("int"), F.lit(0))
+
+
+def _iso(p: Column) -> Column:
+    seconds = F.concat_ws(".", F.when(p[5] == "", "0").otherwise(p[5]), F.substring(F.concat(p[6], F.lit("0")), 1, 6)).try_cast("decimal(16,6)")
+    zone = F.replace(F.substring(p[7], 2, 5), F.lit(":"), F.lit(""))
+    minutes = _number(F.substring(zone, 1, 2)) * 60 + _number(F.substring(zone, 3, 2))
+    ahead = F.when(p[7].startswith("+"), minutes).when(p[7].startswith("-"), -minutes).otherwise(0)
+    return F.try_make_timestamp_ntz(*map(_number, (p[0], p[1], p[2], p[3], p[4])), seconds) - F.make_dt_interval(F.lit(0), F.lit(0), ahead)
 
 
 def parse_iso(text: Column) -> Column:
     """The UTC time of an ISO text: date only, or with hours, minutes, seconds and fractions; Z, an offset, or UTC without one. Null for others."""
-    t = F.trim(text)
-    fraction = F.concat(F.lit("0."), F.substring(F.regexp_extract(t, ISO, 7), 1, 6), F.lit("0")).try_cast("decimal(8,6)")
-    local = _made(t, ISO, (1, 2, 3, 4, 5, 6), fraction)
-    zone = F.regexp_extract(t, ISO, 8)
-    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.coalesce(F.nullif(F.replace(F.substring(zone, 4, 3), F.lit(":"), F.lit("")), F.lit("")).try_cast("int"), F.lit(0))
-    ahead = F.when(zone.startswith("+"), minutes).when(zone.startswith("-"), -minutes).otherwise(0)
-    return local - F.make_dt_interval(F.lit(0), F.lit(0), ahead)
+    return _made(F.trim(text), ISO, 8, _iso)
 
 
 def parse_any(text: Column) -> Column:
     """ISO, or the month-first form of endpoint logs."""
-    return F.coalesce(parse_iso(text), _made(F.trim(text), MONTH_FIRST, (3, 1, 2, 4, 5, 6), F.lit(0).cast("decimal(8,6)")))
+    month_first = lambda p: F.try_make_timestamp_ntz(*map(_number, (p[2], p[0], p[1], p[3], p[4])), _number(p[5]).cast("decimal(16,6)"))
+    return F.coalesce(parse_iso(text), _made(F.trim(text), MONTH_FIRST, 6, month_first))
 
 
 def micros(df: DataFrame, ts: str) -> Column:
@@ -61,7 +63,7 @@ def utc_clock(instant: Column) -> Column:
 
 def local_hour(text: Column) -> Column:
     """The hour as written, in the text's own offset; null if it can't be parsed."""
-    return F.when(parse_iso(text).isNotNull(), _part(F.trim(text), ISO, 4))
+    return _made(F.trim(text), ISO, 8, lambda p: F.when(_iso(p).isNotNull(), _number(p[3])))
 
 
 def outside(hour: Column, hours: tuple[int, int]) -> Column:

@@ -133,6 +133,13 @@ def escalate(alerts: DataFrame, alert_ids: DataFrame) -> DataFrame:
     return out.withColumns({"status": F.when(F.col("escalated_"), "Acknowledged").otherwise(F.col("status")), "escalated": F.coalesce("escalated_", F.lit(False))}).drop("escalated_")
 
 
+def escalated_cases(alerts: DataFrame, alert_ids: DataFrame, cases: DataFrame) -> DataFrame:
+    """Pending records (user, status, notes, alert_id) of escalated alerts' users that have none yet; of several alerts the smallest id."""
+    chosen = alerts.join(alert_ids.select("alert_id").distinct(), "alert_id", "left_semi").join(cases.select("user"), "user", "left_anti")
+    first = chosen.groupBy("user").agg(F.min("alert_id").alias("alert_id"))
+    return first.select("user", F.lit("Pending").alias("status"), F.concat(F.lit("Escalated from alert "), F.col("alert_id").cast("string")).alias("notes"), "alert_id")
+
+
 def rebuild(scores: DataFrame, high: float, score: str = "score") -> DataFrame:
     """One alert per user of tier High; Critical from 0.85 on."""
     return scores.filter(F.col(score) >= high).select("user", F.lit("high_risk").alias("alert_type"), F.when(F.col(score) >= 0.85, "Critical").otherwise("High").alias("severity"), F.lit("Open").alias("status"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CASE_STATUSES = ["Pending", "Under Review", "Confirmed", "Cleared"]
+LOG = ["user", "saved_at", "status", "analyst", "note"]
 
 
 def records(log: DataFrame) -> DataFrame:
@@ -39,5 +40,35 @@ def list_cases(cases: DataFrame, status: str | None = None, limit: int = 100) ->
     return (cases if status is None else cases.filter(F.col("status") == status)).orderBy(F.desc("updated_at"), "user").limit(limit)
 
 
+def save(spark: SparkSession, path: str, saves: DataFrame) -> None:
+    """Appends saves (user, saved_at, status, analyst, note) to the log at path; records() of load() are the cases."""
+    if bad := saves.filter(~F.coalesce(F.col("status").isin(CASE_STATUSES), F.lit(False))).limit(1).count():
+        raise ValueError(f"{bad} unknown status")
+    saves.select(*LOG).write.mode("append").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The log at path."""
+    return spark.read.parquet(path)
+
+
+def get(cases: DataFrame, user: str) -> DataFrame:
+    """A user's record, no row without one."""
+    return cases.filter(F.col("user") == user)
+
+
+def store_of(spark: SparkSession, path: str) -> DataFrame:
+    """user, status, analyst, notes and history of a case store in one JSON object per file, keyed by user; history is text or a list."""
+    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).filter("v IS NOT NULL")
+    each = doc.select(F.explode(F.try_variant_get("v", "$", "map<string, variant>")).alias("user", "r"))
+    at = lambda k: F.try_variant_get("r", f"$.{k}", "string")
+    history = F.from_json(at("history"), "array<struct<status string, analyst string, note string, timestamp string>>")
+    return each.select("user", at("status").alias("status"), F.coalesce(at("analyst"), F.lit("")).alias("analyst"), F.coalesce(at("notes"), F.lit("")).alias("notes"), F.coalesce(history, F.array().cast(history_type())).alias("history"))
+
+
+def history_type() -> str:
+    return "array<struct<status:string,analyst:string,note:string,timestamp:string>>"
+
+
 def without_user(df: DataFrame, user: str) -> DataFrame:
     return df.filter(~F.col("user").eqNullSafe(F.lit(user)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspan.functions.tiers import LIVE, direction, reason, tier, tier_rank
@@ -70,17 +70,55 @@ def health(batch: DataFrame, live: DataFrame) -> DataFrame:
     return counts.withColumn("status", F.lit("ok"))
 
 
+def live_scores(live: DataFrame) -> DataFrame:
+    """All live scores, the rarest first."""
+    return live.orderBy(F.desc("rarity"), "user")
+
+
+def details(asked: DataFrame, batch: DataFrame, live: DataFrame, known: DataFrame) -> DataFrame:
+    """A row per asked user (user): the batch score with its tier, else the live one, else 0 for a user with events (known) only.
+
+    batch has user, score and tier, live has user and score. Users that are in
+    none of the three have no row.
+    """
+    score, rank = F.coalesce("score", F.lit(0.0)), F.lit
+    found = (
+        batch.select("user", F.struct(rank(0).alias("rank"), F.col("score").cast("double").alias("score"), F.col("tier"), F.lit("cert").alias("source")).alias("d"))
+        .unionByName(live.select("user", F.struct(rank(1).alias("rank"), score.cast("double").alias("score"), tier(score, *LIVE).alias("tier"), F.lit("cloud").alias("source")).alias("d")))
+        .unionByName(known.select("user", F.struct(rank(2).alias("rank"), F.lit(0.0).alias("score"), F.lit("Low").alias("tier"), F.lit("cloud").alias("source")).alias("d")))
+    )
+    first = found.join(asked.select("user").distinct(), "user", "left_semi").groupBy("user").agg(F.min("d").alias("d"))
+    return first.select("user", F.round("d.score", 6).alias("score"), "d.tier", "d.source")
+
+
+def with_fallback(df: DataFrame, columns: list[str], main: str = "score") -> DataFrame:
+    """Old score columns where they are over 0, else the main score."""
+    return df.withColumns({c: F.when(F.col(c) > 0, F.col(c)).otherwise(F.col(main)) for c in columns})
+
+
+def draw(seed: int, key: str) -> Column:
+    """A reproducible order: the MD5 of seed and key."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+
+
+def cohort_sample(df: DataFrame, n: int, label: str = "label", seed: int = 42, key: str = "user") -> DataFrame:
+    """All rows of label 1 and, up to n rows, others in the order of draw(); all rows if there are no more than n."""
+    insiders = df.filter(F.col(label) == 1)
+    others = df.filter(F.coalesce(F.col(label) != 1, F.lit(True)))
+    left = max(n - insiders.count(), 0)
+    return insiders.unionByName(others.orderBy(draw(seed, key), key).limit(left))
+
+
 def stratified_sample(df: DataFrame, n: int, score: str = "score", seed: int = 42, key: str = "user") -> DataFrame:
     """About n rows with the shares of the tiers by the 90th and 70th percentiles, one of each at least.
 
-    The order within a tier is by a hash of the key and the seed, so a sample is
-    the same on every run.
+    The order within a tier is draw(), so a sample is the same on every run.
     """
     from pyspark.sql import Window as W
 
     cuts = df.agg(F.percentile(score, 0.9).alias("high_"), F.percentile(score, 0.7).alias("medium_"), F.count(F.lit(1)).alias("all_"))
     told = df.crossJoin(F.broadcast(cuts)).withColumn("tier", tier(F.col(score), F.col("high_"), F.col("medium_")))
     sizes = told.groupBy("tier").agg(F.count(F.lit(1)).alias("n_"))
-    place = F.row_number().over(W.partitionBy("tier").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
+    place = F.row_number().over(W.partitionBy("tier").orderBy(draw(seed, key), key))
     chosen = told.join(F.broadcast(sizes), "tier").withColumn("place_", place)
     return chosen.filter(F.col("place_") <= F.greatest(F.lit(1), F.round(F.lit(n) * F.col("n_") / F.col("all_")))).select(*df.columns, "tier")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardspan.operators import scoring
+
 #: Places that scores are rounded to for curves.
 PLACES = 6
 
@@ -86,3 +88,24 @@ def latency(df: DataFrame, column: str, places: int = PLACES) -> DataFrame:
     run = steps.withColumns({"upto": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)), "all": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
     at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("all") * q), F.col("v")))
     return run.agg((F.sum("s") / F.sum("n")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+
+
+def thresholds(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """high and medium of a score table: with labels the best F1's threshold and the normal rows' 99th percentile, else scoring.fallback_thresholds(); medium lies below high."""
+    if label not in df.columns:
+        return scoring.fallback_thresholds(df, score)
+    normal = df.filter(F.col(label) == 0).agg(F.percentile(score, 0.99).alias("m"))
+    both = best_f1(df, score=score, label=label).crossJoin(F.broadcast(normal))
+    return both.select(F.col("threshold").alias("high"), F.least("m", F.col("threshold") - 1e-6).alias("medium"))
+
+
+def clipped_histogram(df: DataFrame, column: str, width: float, most: float) -> DataFrame:
+    """bin and n: counts of values, cut at ``most``, in bins of a width; null values don't count."""
+    value = F.least(F.col(column), F.lit(most))
+    return df.filter(F.col(column).isNotNull()).groupBy(F.floor(value / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def against_offline(live: DataFrame, offline: DataFrame) -> DataFrame:
+    """n, pearson and mean_abs_delta of users (user, score) in both tables."""
+    both = live.select("user", "score").join(offline.select("user", F.col("score").alias("offline")), "user").dropna()
+    return both.agg(F.count(F.lit(1)).alias("n"), F.corr("offline", "score").alias("pearson"), F.avg(F.abs(F.col("offline") - F.col("score"))).alias("mean_abs_delta"))

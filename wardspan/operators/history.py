@@ -90,13 +90,16 @@ def rolling(df: DataFrame, columns: list[str], hours: int = 24, user: str = "use
     """Counts and sums over a user's last hours, this event included.
 
     Rows are dealt by user and stretch of as many hours, and lie in the next
-    stretch too, so that a window never reaches out of its own.
+    stretch too, so that a window never reaches out of its own. Rows without a
+    time are in one window by themselves.
     """
     length = hours * 3_600_000_000
-    dealt = df.withColumn("at_", T.micros(df, ts)).withColumn("own_", F.floor(F.col("at_") / length)).withColumn("stretch_", F.explode(F.array("own_", F.col("own_") + 1)))
+    dealt = df.withColumn("at_", T.micros(df, ts)).withColumn("own_", F.floor(F.col("at_") / length))
+    in_both = F.when(F.col("own_").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array("own_", F.col("own_") + 1))
+    dealt = dealt.withColumn("stretch_", F.explode(in_both))
     w = W.partitionBy(user, "stretch_").orderBy("at_").rangeBetween(-length, 0)
     out = dealt.withColumns({"events_in_window": F.count(F.lit(1)).over(w)} | {f"{c}_in_window": F.sum(c).over(w) for c in columns})
-    return out.filter("stretch_ = own_").drop("at_", "own_", "stretch_")
+    return out.filter("stretch_ <=> own_").drop("at_", "own_", "stretch_")
 
 
 def high_volume_in(df: DataFrame, hours: int = 1, many: int = MANY) -> DataFrame:

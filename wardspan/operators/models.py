@@ -7,15 +7,19 @@ broadcast, whose size doesn't depend on the data.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows at most that a network is fitted on, and that one isolation tree sees.
 FIT_ROWS = 20_000
 TREE_ROWS = 256
+#: A label's rows are numbered in 2 ** FOLD_BITS parts.
+FOLD_BITS = 10
 
 
 def sample(df: DataFrame, key: str, rows: int = FIT_ROWS, seed: int = 42) -> DataFrame:
@@ -90,9 +94,14 @@ class Autoencoder:
         return x - self.layers(x)[-1]
 
 
-def fit_autoencoder(df: DataFrame, columns: list[str], key: str, normal: Column | None = None, hidden: tuple[int, ...] = (32, 16, 8), seed: int = 42) -> dict:
-    """A network of normal rows with its scaling and calibration: lo is the 5th, hi twice the 95th percentile of held-out errors."""
-    rows = sample(df if normal is None else df.filter(normal), key, seed=seed).select(key, *columns).orderBy(key).toPandas()
+def fit_autoencoder(df: DataFrame, columns: list[str], key: str, normal: Column | None = None, hidden: tuple[int, ...] = (32, 16, 8), seed: int = 42, time: str | None = None) -> dict:
+    """A network of normal rows with its scaling and calibration: lo is the 5th, hi twice the 95th percentile of held-out errors.
+
+    The last fifth is held out: by time where there is such a column, so that
+    later rows check earlier ones, else by a hash of the key.
+    """
+    drawn = sample(df if normal is None else df.filter(normal), key, seed=seed).withColumn("draw_", F.xxhash64(F.lit(seed + 1), F.col(key)))
+    rows = drawn.orderBy(*([time] if time else []), "draw_", key).select(*columns).toPandas()
     x = rows[columns].fillna(0).to_numpy(float)
     mean, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread == 0] = 1
@@ -122,6 +131,22 @@ def autoencoder_score(df: DataFrame, model: dict) -> DataFrame:
     return found.withColumns({"error": F.col("ae_.error"), "residuals": F.col("ae_.residuals"), "score": score}).drop("ae_")
 
 
+def save_model(spark: SparkSession, model: dict, path: str) -> None:
+    """A fitted network with scaling and calibration as one JSON text under path; its size is that of the weights."""
+    net = model["net"]
+    kept = {k: np.asarray(v).tolist() if k in ("mean", "spread") else v for k, v in model.items() if k != "net"}
+    kept |= {"weights": [w.tolist() for w in net.weights], "biases": [b.tolist() for b in net.biases]}
+    spark.createDataFrame([(json.dumps(kept),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_model(spark: SparkSession, path: str) -> dict:
+    """What save_model() has written, ready for autoencoder_score()."""
+    kept = json.loads(spark.read.text(path).first()["value"])
+    net = Autoencoder([1])
+    net.weights, net.biases = [np.array(w) for w in kept.pop("weights")], [np.array(b) for b in kept.pop("biases")]
+    return kept | {"net": net, "mean": np.array(kept["mean"]), "spread": np.array(kept["spread"])}
+
+
 def path_adjust(n: np.ndarray | float):
     """Mean depth of an unsuccessful search among n rows."""
     n = np.asarray(n, float)
@@ -166,9 +191,19 @@ def isolation_score(df: DataFrame, columns: list[str], key: str, trees: int = 10
 
 
 def folds(df: DataFrame, k: int, label: str, key: str) -> DataFrame:
-    """fold 0 to k-1, stratified by label: places in the order of a hash of the key, modulo k."""
-    place = F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(F.lit("fold"), F.col(key)), key))
-    return df.withColumn("fold", (place - 1) % k)
+    """fold 0 to k-1, stratified by label: places in the order of a hash of the key, modulo k.
+
+    Rows are numbered in parts of a label by the hash, and each part goes on from
+    the rows of the parts before it, so a label with most rows is many tasks.
+    """
+    h = F.xxhash64(F.lit("fold"), F.col(key))
+    dealt = df.withColumns({"h_": h, "part_": F.shiftright(h, 64 - FOLD_BITS)})
+    sizes = dealt.groupBy(label, "part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(W.partitionBy(label).orderBy("part_").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(label).alias("label_"), F.col("part_").alias("of_"), F.coalesce(before, F.lit(0)).alias("before_"))
+    place = F.row_number().over(W.partitionBy(label, "part_").orderBy("h_", key))
+    told = dealt.withColumn("place_", place).join(sizes, F.col(label).eqNullSafe(F.col("label_")) & (F.col("part_") == F.col("of_")))
+    return told.withColumn("fold", (F.col("before_") + F.col("place_") - 1) % k).select(*df.columns, "fold")
 
 
 def kfold_scores(df: DataFrame, columns: list[str], key: str, label: str, k: int = 5, hidden: tuple[int, ...] = (16, 8)) -> DataFrame:

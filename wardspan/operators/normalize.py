@@ -1,8 +1,8 @@
 """The nine normalisers: raw JSON events to eight fields.
 
-Each takes the raw text column and gives the seven fields as columns;
-``normalize`` chooses by source and sends unknown sources and texts that aren't
-objects to a reject output instead of failing the job.
+Each takes the parsed event, a variant, and gives the seven fields as columns;
+``normalize`` parses a text once, chooses by source and sends unknown sources and
+texts that aren't objects to a reject output instead of failing the job.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ EMAIL_KEYS = ["id", "pc", "to", "cc", "bcc", "from", "size", "attachments", "con
 
 
 def field(raw: Column, *path: str) -> Column:
-    """The text of a JSON path, null if missing."""
-    return F.get_json_object(raw, "$" + "".join(f".{p}" if not p.startswith("[") else p for p in path))
+    """The text of a path in a variant, null if missing; of objects and arrays their JSON, with keys in order."""
+    return F.try_variant_get(raw, "$" + "".join(f".{p}" if not p.startswith("[") else p for p in path), "string")
 
 
 def metadata(pairs: dict[str, Column]) -> Column:
@@ -64,7 +64,7 @@ def aws_cloudtrail(raw: Column) -> dict[str, Column]:
 def azure_ad(raw: Column) -> dict[str, Column]:
     # Diagnostic logs nest the fields under properties, which then go first.
     at = lambda *p: F.coalesce(field(raw, "properties", *p), field(raw, *p))
-    initiator, targets, place = at("InitiatedBy"), at("TargetResources"), at("location")
+    initiator, targets, place = at("InitiatedBy"), at("TargetResources"), at("location")  # objects, or texts of objects
     user = first_filled(
         *[at(k) for k in ("userPrincipalName", "InitiatingUserOrApp", "InitiatingUser", "AccountUpn", "AccountName")],
         F.get_json_object(initiator, "$.user.userPrincipalName"), F.get_json_object(initiator, "$.app.displayName"),
@@ -156,18 +156,14 @@ def valid(df: DataFrame, source: str = "source", raw: str = "raw") -> Column:
 
 
 def normalize(df: DataFrame, source: str = "source", raw: str = "raw") -> DataFrame:
-    """The events' eight fields, and the other columns of df; one pass whatever the sources."""
-    good = df.filter(valid(df, source, raw))
-    made = {name: parser(F.col(raw)) for name, parser in NORMALISERS.items()}
-    columns = {}
-    for f in FIELDS:
-        if f == "source":
-            continue
-        value = F.lit(None)
-        for name, parsed in made.items():
-            value = F.when(F.col(source) == name, parsed[f]).otherwise(value)
-        columns[f] = value
-    return good.withColumns(columns)
+    """The events' eight fields, and the other columns of df; one pass whatever the sources, and each text is parsed once."""
+    parsed = df.withColumn("parsed_", F.try_parse_json(raw)).filter(F.col(source).isin(*NORMALISERS) & F.trim(raw).startswith("{") & F.col("parsed_").isNotNull())
+    made = {name: parser(F.col("parsed_")) for name, parser in NORMALISERS.items()}
+    fields_ = F.lit(None)
+    for name, columns in made.items():
+        fields_ = F.when(F.col(source) == name, F.struct(*[columns[f].alias(f) for f in FIELDS if f != "source"])).otherwise(fields_)
+    out = parsed.withColumn("fields_", fields_)
+    return out.withColumns({f: F.col(f"fields_.{f}") for f in FIELDS if f != "source"}).drop("fields_", "parsed_")
 
 
 def rejects(df: DataFrame, source: str = "source", raw: str = "raw") -> DataFrame:

@@ -74,7 +74,8 @@ def normalize_events(spark, sf_dir) -> DataFrame:
     SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.missing') AS missing, json_valid(props) AS valid FROM events""")
 def parse_props_metadata(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", N.field(F.col("props"), "k").try_cast("int").alias("k"), N.field(F.col("props"), "missing").alias("missing"), F.try_parse_json("props").isNotNull().alias("valid"))
+    parsed = e.select("event_id", F.try_parse_json("props").alias("p"))
+    return parsed.select("event_id", N.field(F.col("p"), "k").try_cast("int").alias("k"), N.field(F.col("p"), "missing").alias("missing"), F.col("p").isNotNull().alias("valid"))
 
 
 @query(f"""

@@ -73,11 +73,15 @@ def live_vs_offline(spark, sf_dir) -> DataFrame:
 
     live = user_scores(spark, sf_dir)
     offline = live.select("user", F.round(F.row_number().over(W.orderBy("score", "user")) / 200.0, 6).alias("offline"))
-    both = offline.join(live, "user")
-    return both.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("offline", "score"), 6).alias("pearson"), F.round(F.avg(F.abs(F.col("offline") - F.col("score"))), 6).alias("mean_abs_delta"))
+    return evaluate.against_offline(live, offline.withColumnRenamed("offline", "score")).select("n", *rounded("pearson", "mean_abs_delta"))
 
 
 @query("""WITH s AS (SELECT round(value, 6) AS v FROM events), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM s)
     SELECT round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, max(v) FILTER (i = CAST(floor(n * 0.5) AS BIGINT)) AS p50, max(v) FILTER (i = CAST(floor(n * 0.95) AS BIGINT)) AS p95, max(v) FILTER (i = CAST(floor(n * 0.99) AS BIGINT)) AS p99 FROM o""")
 def latency_percentiles(spark, sf_dir) -> DataFrame:
     return evaluate.latency(table(spark, sf_dir, "events"), "value").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT CAST(floor(least(value, 50) / 5) AS BIGINT) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+def size_histogram(spark, sf_dir) -> DataFrame:
+    return evaluate.clipped_histogram(table(spark, sf_dir, "events"), "value", 5, 50)

@@ -21,4 +21,4 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
-from wardspan.plans import activity, alerting, evaluation, history, people, scores, streams, texts  # noqa: E402, F401
+from wardspan.plans import activity, alerting, evaluation, history, ingesting, people, scores, streams, texts  # noqa: E402, F401

@@ -67,10 +67,7 @@ CURVE_SQL = """steps AS (SELECT round(score, 6) AS score, CAST(sum(label) AS BIG
 
 @query(f"""WITH {SCORES_SQL}, {CURVE_SQL} SELECT round(threshold, 6) AS high, round(least((SELECT quantile_cont(score, 0.99) FROM scores WHERE label = 0), threshold - 1e-6), 6) AS medium FROM best""")
 def tier_thresholds(spark, sf_dir) -> DataFrame:
-    s = user_scores(spark, sf_dir)
-    medium = s.filter("label = 0").agg(F.percentile("score", 0.99).alias("m"))
-    both = evaluate.best_f1(s).crossJoin(medium)
-    return both.select(F.round("threshold", 6).alias("high"), F.round(F.least("m", F.col("threshold") - 1e-6), 6).alias("medium"))
+    return evaluate.thresholds(user_scores(spark, sf_dir)).select(F.round("high", 6).alias("high"), F.round("medium", 6).alias("medium"))
 
 
 @query(f"WITH {SCORES_SQL}, {CURVE_SQL} SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, n_flagged FROM best")
@@ -156,13 +153,13 @@ def top_positive_reasons(spark, sf_dir) -> DataFrame:
     return features.select("user", reason(F.col("features"), F.lit("High")).alias("reason")).filter(F.col("reason") != NO_DRIVER)
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS r FROM embeddings),
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS r FROM embeddings),
     s AS (SELECT vec_id, r, list_transform(r, lambda x: sign(x) * x * x) AS q FROM e), m AS (SELECT *, list_max(list_transform(q, lambda x: abs(x))) AS top FROM s)
-    SELECT vec_id, round(list_sum(list_transform(r, lambda x: x * x)) / 12, 6) AS error, round(CASE WHEN top > 0 THEN q[1] / top * 0.8 ELSE q[1] END, 6) AS first_share, round(list_max(list_transform(q, lambda x: x / top * 0.8)), 6) AS most FROM m""")
+    SELECT vec_id, round(list_sum(list_transform(r, lambda x: x * x)) / len(r), 6) AS error, round(CASE WHEN top > 0 THEN q[1] / top * 0.8 ELSE q[1] END, 6) + 0.0 AS first_share, round(list_max(list_transform(q, lambda x: x / top * 0.8)), 6) AS most FROM m""")
 def residual_attribution(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("r"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("r"))
     a = e.withColumn("a", scoring.residual_attribution(F.col("r"), F.lit(0.8)))
-    return a.select("vec_id", F.round(scoring.mean_square(F.col("r")), 6).alias("error"), F.round(F.col("a")[0], 6).alias("first_share"), F.round(F.array_max("a"), 6).alias("most"))
+    return a.select("vec_id", F.round(scoring.mean_square(F.col("r")), 6).alias("error"), (F.round(F.col("a")[0], 6) + 0.0).alias("first_share"), F.round(F.array_max("a"), 6).alias("most"))
 
 
 @query(f'{BASE} SELECT "user", ' + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}_z" for c in ROLE) + " FROM profile")
@@ -178,11 +175,33 @@ def robust_scale(spark, sf_dir) -> DataFrame:
     return scoring.robust_scale(profile(spark, sf_dir), ROLE).select("user", *[F.round(f"{c}_r", 6).alias(f"{c}_r") for c in ROLE])
 
 
-@query()
+@query(f"""WITH {SCORES_SQL}, c AS (SELECT quantile_cont(score, 0.9) AS high, quantile_cont(score, 0.7) AS medium, count(*) AS n FROM scores),
+    t AS (SELECT scores.*, CASE WHEN score >= high THEN 'High' WHEN score >= medium THEN 'Medium' ELSE 'Low' END AS tier, n FROM scores, c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY md5('42:' || "user"), "user") AS place, count(*) OVER (PARTITION BY tier) AS size FROM t)
+    SELECT "user", score, label, scenario, tier FROM r WHERE place <= greatest(1, round(40 * size / n))""")
 def stratified_tier_sample(spark, sf_dir) -> DataFrame:
     return catalog.stratified_sample(user_scores(spark, sf_dir), 40)
 
 
+@query(f"""WITH {SCORES_SQL}, p AS (SELECT * FROM scores WHERE label = 1), o AS (SELECT * FROM scores WHERE label <> 1 ORDER BY md5('42:' || "user"), "user" )
+    SELECT "user", label FROM p UNION ALL (SELECT "user", label FROM o LIMIT greatest(0, 40 - (SELECT count(*) FROM p)))""")
+def cohort_sample(spark, sf_dir) -> DataFrame:
+    return catalog.cohort_sample(user_scores(spark, sf_dir), 40).select("user", "label")
+
+
+@query(f"""WITH {SCORES_SQL}, t AS (SELECT *, {TIER} AS tier FROM scores), asked AS (SELECT "user" FROM scores UNION ALL SELECT 'nobody'),
+    b AS (SELECT * FROM t WHERE CAST("user" AS INTEGER) % 3 = 0), l AS (SELECT * FROM t WHERE CAST("user" AS INTEGER) % 2 = 0)
+    SELECT a."user", coalesce(b.score, l.score * 2, 0) AS score, coalesce(b.tier, CASE WHEN l.score * 2 >= 0.7 THEN 'High' WHEN l.score * 2 >= 0.4 THEN 'Medium' WHEN l.score IS NOT NULL THEN 'Low' END, 'Low') AS tier,
+           CASE WHEN b."user" IS NOT NULL THEN 'cert' ELSE 'cloud' END AS source
+    FROM asked a LEFT JOIN b USING ("user") LEFT JOIN l USING ("user") WHERE b."user" IS NOT NULL OR l."user" IS NOT NULL OR a."user" IN (SELECT "user" FROM scores)""")
+def user_details(spark, sf_dir) -> DataFrame:
+    """Batch users by three, live users by two, the others have events only; one asked user is unknown."""
+    known, number = tiered(spark, sf_dir), F.col("user").try_cast("int")
+    asked = known.select("user").unionByName(known.limit(1).select(F.lit("nobody").alias("user")))
+    live = known.filter(number % 2 == 0).select("user", (F.col("score") * 2).alias("score"))
+    return catalog.details(asked, known.filter(number % 3 == 0), live, known.select("user"))
+
+
 @query()
 def kmeans_peers(spark, sf_dir) -> DataFrame:
     found = models.kmeans_peers(profile(spark, sf_dir), ROLE, 5, F.col("user").cast("int") % 15 != 0)
@@ -192,11 +211,28 @@ def kmeans_peers(spark, sf_dir) -> DataFrame:
 @query()
 def autoencoder_score(spark, sf_dir) -> DataFrame:
     days = X.cloud_user_day(events(spark, sf_dir)).withColumn("key", F.concat_ws("/", "user", F.col("day").cast("string")))
-    model = models.fit_autoencoder(days, X.CLOUD, "key", F.col("user").cast("int") % 15 != 0)
+    model = models.fit_autoencoder(days, X.CLOUD, "key", F.col("user").cast("int") % 15 != 0, time="day")
     scored = models.autoencoder_score(days, model)
     return scored.select("user", "day", "error", "score", scoring.residual_attribution(F.col("residuals"), F.col("score")).alias("attribution"))
 
 
+@query()
+def cloud_live_score(spark, sf_dir) -> DataFrame:
+    """Each user's latest day, with the days before as history, by a network of normal users' days."""
+    e = events(spark, sf_dir)
+    days = X.cloud_user_day(e).withColumn("key", F.concat_ws("/", "user", F.col("day").cast("string")))
+    model = models.fit_autoencoder(days, X.CLOUD, "key", F.col("user").cast("int") % 15 != 0, time="day")
+    return models.autoencoder_score(X.cloud_latest_day(e), model).select("user", "day", F.col("score").alias("ae_live"))
+
+
+@query()
+def endpoint_live_score(spark, sf_dir) -> DataFrame:
+    """Each user's 71 features by a network of normal users."""
+    vector = X.user_vector(X.live_daily(live_events(spark, sf_dir)))
+    model = models.fit_autoencoder(vector, X.VECTOR, "user", F.col("user").cast("int") % 15 != 0)
+    return models.autoencoder_score(vector, model).select("user", F.col("score").alias("ae_live"))
+
+
 @query()
 def isolation_score(spark, sf_dir) -> DataFrame:
     return models.isolation_score(profile(spark, sf_dir), ROLE, "user").select("user", "if_score")

@@ -11,7 +11,8 @@ from wardspan.plans.registry import query
 from wardspan.sources.tables import table
 
 _words = lambda names: "|".join(n.replace(".", "\\.") for n in names)
-KEYS = {"english": ["/en/", "page="], "mobile": ["://m.", "?m="], "example_org": ["example.org"]}
+# The word lists of the two dialects, and words of the table's addresses, so that each flag is met.
+KEYS = {"job": P.LIVE_JOB, "cloud": P.LIVE_CLOUD, "suspicious": P.LIVE_SUSPICIOUS, "train_job": P.TRAIN_JOB, "train_cloud": P.TRAIN_CLOUD, "example_org": ["example.org"]}
 
 
 @query(f"SELECT page_id, {', '.join(f'CAST(regexp_matches(lower(url), {chr(39)}{_words(v).replace(chr(63), chr(92) + chr(63))}{chr(39)}) AS INTEGER) AS {k}' for k, v in KEYS.items())} FROM pages")

@@ -64,7 +64,11 @@ def json_events(spark: SparkSession, path: str, whole: bool = False) -> DataFram
 
 def trail_csv(spark: SparkSession, path: str) -> DataFrame:
     """raw events of an audit trail's CSV export with any known header; rows without time or name go."""
-    df = spark.read.csv(path, header=True, recursiveFileLookup=True)
+    return trail_rows(spark.read.csv(path, header=True, recursiveFileLookup=True))
+
+
+def trail_rows(df: DataFrame) -> DataFrame:
+    """raw events of rows with any known heading."""
     names = {c.strip().lower().replace(" ", "_").replace(".", "_"): c for c in df.columns}
     at = lambda f: F.coalesce(*[F.nullif(F.trim(F.col(f"`{names[a]}`")), F.lit("")) for a in TRAIL_ALIASES[f] if a in names], F.lit(None).cast("string"))
     kept = df.filter(at("eventTime").isNotNull() & at("eventName").isNotNull())
@@ -77,7 +81,7 @@ def trail_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def any_events(spark: SparkSession, path: str) -> DataFrame:
-    """Chooses a reader by the path's extension: .csv, .json or .json.gz (whole documents), .jsonl, .parquet."""
+    """Chooses a reader by the path's extension: .csv, .json or .json.gz (whole documents), .jsonl, .parquet; a path without one is a folder of a mix."""
     name = path.lower().removesuffix(".gz")
     kind = os.path.splitext(name)[1]
     if kind == ".csv":
@@ -88,9 +92,39 @@ def any_events(spark: SparkSession, path: str) -> DataFrame:
         return json_events(spark, path, whole=True)
     if kind == ".parquet":
         return spark.read.parquet(path)
+    if not kind:
+        return folder_events(spark, path)
     raise ValueError(f"no reader for {path}")
 
 
+def folder_events(spark: SparkSession, path: str) -> DataFrame:
+    """raw events of all CSV, JSON and JSON-lines files below a folder, whatever their mix; other files are left out."""
+    out = spark.createDataFrame([], "raw string")
+    held = lambda glob: spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    some = lambda glob: not held(glob).format("binaryFile").load(path).select("path").limit(1).isEmpty()
+    for glob, whole in (("*.json", True), ("*.json.gz", True), ("*.jsonl", False), ("*.jsonl.gz", False), ("*.ndjson", False)):
+        if some(glob):
+            out = out.unionByName(held(glob).text(path, wholetext=whole).select(F.explode(records(F.col("value"))).alias("raw")))
+    for glob in ("*.csv", "*.csv.gz"):
+        if some(glob):
+            out = out.unionByName(trail_rows(held(glob).csv(path, header=True)))
+    return out
+
+
+def events_by_actor(raw: DataFrame) -> DataFrame:
+    """user, timestamp and raw of source-hosting events, dealt by actor and in order of time within one; events without an actor go."""
+    v = raw.select("raw", F.try_parse_json("raw").alias("v"))
+    user = F.coalesce(F.nullif(F.try_variant_get("v", "$.actor.login", "string"), F.lit("")), F.try_variant_get("v", "$.actor.display_login", "string"))
+    timed = v.select(user.alias("user"), F.try_variant_get("v", "$.created_at", "string").alias("timestamp"), "raw").filter("user IS NOT NULL AND user <> ''")
+    return timed.repartition("user").sortWithinPartitions("user", "timestamp")
+
+
+def scores_with_attribution(scores: DataFrame, attribution: DataFrame | None, needed: list[str]) -> tuple[DataFrame, list[str]]:
+    """scores joined with a table of attributions by user where there is one, and the needed columns that are missing."""
+    missing = [c for c in needed if c not in scores.columns]
+    return (scores if attribution is None else scores.join(attribution, "user", "left")), missing
+
+
 def detect(columns: list[str], candidates: list[str]) -> str | None:
     """The first candidate among the stripped column names."""
     names = {c.strip(): c for c in columns}

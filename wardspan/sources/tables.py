@@ -42,8 +42,13 @@ def by_type(of: dict, make) -> Column:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, user, event_ts, source, action, resource, ip_address, country, value, k."""
+    return view(table(spark, sf_dir, "events"))
+
+
+def view(rows: DataFrame) -> DataFrame:
+    """The view of events() over rows of the table, or of a stream of it."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         "event_id",
         F.col("user_id").cast("string").alias("user"),
         F.col("ts").alias("event_ts"),

@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardspan.functions import times as T
-from wardspan.operators.cuts import shared_top
+from wardspan.operators import ingest
+from wardspan.operators.cuts import cut, shared_top
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -91,9 +93,47 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_top(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600) -> DataFrame:
-    """Runs a stream over what is there and reads its rows back; in update mode a key's last row counts and others go by the caller."""
-    spark, top = stream.sparkSession, shared_folder(stream.sparkSession)
+def ingest_stream(raw: DataFrame, folder: str, ae_live: DataFrame | None = None, timeout: int = 600) -> DataFrame:
+    """Scored events of a stream of raw ones (event_id, source, raw) so far; what it keeps lies in ``folder``.
+
+    A batch's events are stored once: ids that are stored already, or twice in
+    the batch, are dropped; events without an id always stay. Each batch is
+    scored with the stored events of its own users. A batch that is run again
+    after a failure replaces its own part, and a new start on the same folder
+    goes on where the last one ended.
+    """
+    spark, kept, out = raw.sparkSession, f"{folder}/events", f"{folder}/scored"
+
+    def part(path: str, batch: int) -> DataFrame | None:
+        """What batches before this one have stored."""
+        try:
+            return spark.read.option("basePath", path).parquet(path).filter(F.col("b") < batch).drop("b")
+        except AnalysisException:  # nothing stored yet
+            return None
+
+    def put(df: DataFrame, batch: int) -> None:
+        new = ingest.stored(df)
+        new = new.filter("event_id IS NOT NULL").dropDuplicates(["event_id"]).unionByName(new.filter("event_id IS NULL"))
+        old = part(kept, batch)
+        if old is not None:
+            new = new.join(old.select("event_id"), "event_id", "left_anti").select(*ingest.STORED)
+        new = cut(new)
+        new.write.mode("overwrite").parquet(f"{kept}/b={batch}")
+        both = new.withColumn("new_", F.lit(True))
+        if old is not None:
+            both = both.unionByName(old.join(new.select("user").distinct(), "user", "left_semi").select(*ingest.STORED).withColumn("new_", F.lit(False)))
+        ingest.scored(both, ae_live).filter("new_").drop("new_").write.mode("overwrite").parquet(f"{out}/b={batch}")
+
+    query = raw.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
+    if not query.awaitTermination(timeout):
+        query.stop()
+        raise TimeoutError("the stream didn't end")
+    return spark.read.option("basePath", out).parquet(out).drop("b")
+
+
+def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600, folder: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and reads its rows back, of earlier starts on the same folder too; in update mode a key's last row counts and others go by the caller."""
+    spark, top = stream.sparkSession, folder or shared_folder(stream.sparkSession)
     out = f"{top}/out"
 
     def put(df: DataFrame, batch: int) -> None:
