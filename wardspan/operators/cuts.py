@@ -32,7 +32,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(*cuts: DataFrame) -> None:
-    """Deletes the files of cut() results that nothing reads any more: what came of them has to be cut or written itself."""
+    """Deletes the files of cut() results that nothing reads any more: what came of them has to be cut or written itself.
+
+    Then the driver's collector runs, as Spark removes the files of finished
+    shuffles only once their plans have been collected.
+    """
     for df in cuts:
         plan = df._jdf.queryExecution().analyzed()
         told = plan.rdd().getCheckpointFile() if plan.nodeName() == "LogicalRDD" else None
@@ -40,6 +44,7 @@ def release(*cuts: DataFrame) -> None:
             spark = df.sparkSession
             path = spark._jvm.org.apache.hadoop.fs.Path(told.get())
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    cuts[0].sparkSession._jvm.System.gc()
 
 
 def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
