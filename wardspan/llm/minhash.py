@@ -149,24 +149,28 @@ def components(edges: DataFrame) -> DataFrame:
     Edges are rewritten in turn to hang a vertex's larger and its smaller
     neighbours on its smallest one, until they are stars: the rounds are
     logarithmic in a component's size, also for long chains, and no round holds
-    more edges than the first. Rounds end when two fingerprints and the number of
-    the edges stay as they are.
+    more edges than the first.
     """
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    before = None
-    while True:
+    while not are_stars(edges):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(join_summary(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
+        large = join_summary(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = join_summary(large, down, ["hi"]).filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(down.select("hi", F.col("m").alias("lo")))
         done, edges = edges, cut(small.distinct())
-        release(done, large)
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.bit_xor(F.xxhash64("lo", "hi"))).first()
-        if now == before:
-            roots = edges.select(F.col("lo").alias("id")).distinct()
-            return cut(edges.select(F.col("hi").alias("id"), F.col("lo").alias("comp")).unionByName(roots.select("id", F.col("id").alias("comp"))))
-        before = now
+        release(done)
+    roots = edges.select(F.col("lo").alias("id")).distinct()
+    labels = cut(edges.select(F.col("hi").alias("id"), F.col("lo").alias("comp")).unionByName(roots.select("id", F.col("id").alias("comp"))))
+    release(edges)
+    return labels
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex of the edges (hi, lo) is either a root or hangs on one root only."""
+    ends = F.explode(F.array(F.struct(F.col("hi").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("lo").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("root"))))
+    seen = edges.select(ends.alias("e")).groupBy("e.v").agg(F.sum("e.up").alias("up"), F.max("e.root").alias("root"))
+    return seen.filter("up > 1 OR up = 1 AND root = 1").isEmpty()
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -330,7 +334,10 @@ def near_groups(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
     one_id = members.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z").select("doc", "a")
     links = cut(linked(star).unionByName(members.join(one_id, "doc").filter("id <> a").select("a", F.col("id").alias("b"))))
     labels = components(links)
-    labels = relabelled(labels, cut(block_links(shared, labels, lanes, sets, bands * rows, percent / 100, least)))
+    release(links)
+    more = cut(block_links(shared, labels, lanes, sets, bands * rows, percent / 100, least))
+    release(shared, sets)
+    labels = relabelled(labels, more)
 
     placed = members.join(labels, "id", "left").select("doc", F.coalesce("comp", "id").alias("comp")).distinct()
     smallest = placed.groupBy("comp").agg(F.min("doc").alias("least"))
