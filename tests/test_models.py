@@ -65,3 +65,33 @@ def test_thresholds_without_labels(spark):
     df = spark.createDataFrame([(0.1,), (0.2,), (0.9,)], "score double")
     got = evaluate.thresholds(df).first()
     assert got["medium"] < got["high"] <= 1
+
+
+def test_calibration_takes_every_held_out_row(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, i // 40, *map(float, r)) for i, r in enumerate(rng.normal(size=(800, 3)))], "id int, day int, a double, b double, c double")
+    monkeypatch.setattr(models, "FIT_ROWS", 200)
+    model = models.fit_autoencoder(df, list("abc"), "id", hidden=(2,), time="day")
+    whole = models.autoencoder_score(df.filter("day >= 16"), model).toPandas()["error"]
+    again = models.calibrate(df.filter("day >= 16"), model)
+    assert abs(again["lo"] - np.percentile(whole, 5)) < 1e-4 and abs(again["hi"] - 2 * np.percentile(whole, 95)) < 1e-3
+    monkeypatch.setattr(models, "FIT_ROWS", 10_000)
+    model = models.fit_autoencoder(df, list("abc"), "id", hidden=(2,))
+    errors = models.autoencoder_score(df.withColumn("h", models.F.xxhash64(models.F.lit(43), "id")), model).orderBy("h").toPandas()["error"][640:]
+    assert abs(model["lo"] - np.percentile(errors, 5)) < 1e-4 and abs(model["hi"] - 2 * np.percentile(errors, 95)) < 1e-3
+
+
+def test_trees_of_nothing_nulls_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (1, None, 2.0), (2, 1.0, None), (3, 9.0, 9.0)], "id int, a double, b double")
+    got = models.isolation_score(df, ["a", "b"], "id", 20).toPandas()
+    assert len(got) == 4 and got["if_score"].between(0, 1).all()
+    assert set(models.isolation_score(df, ["a", "b"], "id", 20, df["id"] > 9).toPandas()["if_score"]) == {0.0}
+
+
+def test_flagged_share_against_plain_counts(spark):
+    rows, df = scores(spark)
+    values, labels = np.array([s for _, s, _ in rows]), np.array([y for *_, y in rows])
+    for r in models.flagged_share(df, "score", "label", [0.02, 0.1, 0.3]).collect():
+        up = values >= np.quantile(values, 1 - r["share"])
+        tp = int(labels[up].sum())
+        assert r["n_flagged"] == up.sum() and abs(r["f1"] - 2 * tp / (up.sum() + labels.sum())) < 1e-12

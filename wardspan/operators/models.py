@@ -1,8 +1,8 @@
 """Models: peer groups, reconstruction error, isolation trees, stacking, folds.
 
-Fitting a network or a tree takes a bounded sample (``FIT_ROWS``, by a hash of the
-key) to NumPy; scoring runs on all rows inside the tasks with the weights
-broadcast, whose size doesn't depend on the data.
+Fitting a network takes a bounded sample (``FIT_ROWS``, by a hash of the key) to
+NumPy, and so does growing trees. Calibration and scoring run on all rows inside
+the tasks with the model broadcast, whose size doesn't depend on the data.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Rows at most that a network is fitted on, and that one isolation tree sees.
 FIT_ROWS = 20_000
 TREE_ROWS = 256
+#: Errors keep so many digits after their first where percentiles are taken of them.
+ERROR_DIGITS = 5
 #: A label's rows are numbered in 2 ** FOLD_BITS parts.
 FOLD_BITS = 10
 
@@ -98,19 +100,40 @@ def fit_autoencoder(df: DataFrame, columns: list[str], key: str, normal: Column
     """A network of normal rows with its scaling and calibration: lo is the 5th, hi twice the 95th percentile of held-out errors.
 
     The last fifth is held out: by time where there is such a column, so that
-    later rows check earlier ones, else by a hash of the key.
+    later rows check earlier ones, else by a hash of the key. The network is
+    fitted on the earlier rows of a bounded sample; all normal rows from the
+    sample's boundary on give the percentiles.
     """
-    drawn = sample(df if normal is None else df.filter(normal), key, seed=seed).withColumn("draw_", F.xxhash64(F.lit(seed + 1), F.col(key)))
-    rows = drawn.orderBy(*([time] if time else []), "draw_", key).select(*columns).toPandas()
-    x = rows[columns].fillna(0).to_numpy(float)
+    every = df if normal is None else df.filter(normal)
+    placed = every.withColumn("draw_", F.xxhash64(F.lit(seed + 1), F.col(key)))
+    order = [*([time] if time else []), "draw_"]
+    rows = sample(placed, key, seed=seed).select(*order, key, *[F.col(c).cast("double").alias(f"{c}_x") for c in columns]).orderBy(*order, key).toPandas()
+    x = rows[[f"{c}_x" for c in columns]].fillna(0).to_numpy(float)
     mean, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread == 0] = 1
     x = (x - mean) / spread
     cut = max(1, int(len(x) * 0.8))
     check = x[cut:] if cut < len(x) else x
     net = Autoencoder([len(columns), *hidden], seed).fit(x[:cut], check, seed=seed)
-    errors = np.mean(net.residuals(check) ** 2, axis=1)
-    return {"net": net, "mean": mean, "spread": spread, "columns": columns, "lo": float(np.percentile(errors, 5)), "hi": float(2 * np.percentile(errors, 95))}
+    model = {"net": net, "mean": mean, "spread": spread, "columns": columns, "lo": 0.0, "hi": 0.0}
+    held = placed
+    if cut < len(x):
+        bound = [F.lit(None if pd.isna(v) else v.item() if hasattr(v, "item") else v).cast(placed.schema[c].dataType).alias(c) for c, v in ((c, rows[c].iloc[cut]) for c in order)]
+        held = placed.filter(F.struct(*order) >= F.struct(*bound))
+    return model | calibrate(held, model)
+
+
+def calibrate(df: DataFrame, model: dict) -> dict:
+    """lo and hi (the 5th and twice the 95th percentile) of a network's errors on all rows of df.
+
+    Percentiles are exact over errors of ERROR_DIGITS digits after the first, which
+    bounds how many values meet in one task.
+    """
+    error = autoencoder_score(df, model).select("error")
+    size = F.pow(F.lit(10.0), ERROR_DIGITS - F.floor(F.log10("error")))
+    counts = error.groupBy(F.when(F.col("error") > 0, F.rint(F.col("error") * size) / size).otherwise(0.0).alias("e")).agg(F.count(F.lit(1)).alias("n"))
+    lo, high = counts.agg(F.percentile("e", F.array(F.lit(0.05), F.lit(0.95)), F.col("n")).alias("p")).first()["p"] or (0.0, 0.0)
+    return {"lo": float(lo), "hi": 2 * float(high)}
 
 
 def autoencoder_score(df: DataFrame, model: dict) -> DataFrame:
@@ -173,23 +196,49 @@ def depths(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def isolation_score(df: DataFrame, columns: list[str], key: str, trees: int = 100, seed: int = 42) -> DataFrame:
-    """if_score of each row (larger: easier to isolate). Each tree is grown on TREE_ROWS rows of a bounded sample."""
-    rows = sample(df, key, seed=seed).select(key, *columns).orderBy(key).toPandas()[columns].fillna(0).to_numpy(float)
+def isolation_score(df: DataFrame, columns: list[str], key: str, trees: int = 500, normal: Column | None = None, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """if_score of each row (larger: easier to isolate), by trees of normal rows, each on a share of the columns.
+
+    Each tree is grown on TREE_ROWS rows of a bounded sample. Nulls count as 0;
+    without normal rows every score is 0.
+    """
+    drawn = sample(df if normal is None else df.filter(normal), key, seed=seed)
+    rows = drawn.select(key, *columns).orderBy(key, *columns).toPandas()[columns].fillna(0).to_numpy(float)
     rng = np.random.default_rng(seed)
-    size = min(TREE_ROWS, len(rows))
+    size, width = min(TREE_ROWS, len(rows)), max(1, int(len(columns) * share))
     limit = max(1, int(np.ceil(np.log2(max(size, 2)))))
-    grown = [grow(rows[rng.choice(len(rows), size, replace=False)], rng, 0, limit) for _ in range(trees)] if size else []
+    grown = []
+    for _ in range(trees if size else 0):
+        used = np.sort(rng.choice(len(columns), width, replace=False)) if width < len(columns) else np.arange(width)
+        grown.append((used, grow(rows[rng.choice(len(rows), size, replace=False)][:, used], rng, 0, limit)))
     shared, usual = df.sparkSession.sparkContext.broadcast(grown), float(path_adjust(size)) or 1.0
 
     @F.pandas_udf("double")
     def run(values: pd.DataFrame) -> pd.Series:
         x = values.fillna(0).to_numpy(float)
-        return pd.Series(2.0 ** (-np.mean([depths(t, x) for t in shared.value], axis=0) / usual) if shared.value else np.zeros(len(x)))
+        total = np.zeros(len(x))
+        for used, tree in shared.value:
+            total += depths(tree, x[:, used])
+        return pd.Series(2.0 ** (-total / len(shared.value) / usual) if shared.value else total)
 
     return df.withColumn("if_score", run(F.struct(*[F.col(c).cast("double").alias(c) for c in columns])))
 
 
+def flagged_share(df: DataFrame, score: str, label: str, shares: list[float]) -> DataFrame:
+    """share, threshold, n_flagged, precision, recall and f1 where each share of all rows with the largest scores is flagged.
+
+    A row is flagged if its score is at the threshold or above, so ties go in
+    together. Rows without a score aren't flagged. The share with the largest f1
+    is what labels say about contamination; fitting never sees them.
+    """
+    cuts = df.agg(F.percentile(score, F.array(*[F.lit(1 - s) for s in shares])).alias("cuts_"))
+    marks = cuts.select(F.posexplode("cuts_").alias("at", "threshold")).select(F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("at") + 1).alias("share"), "threshold")
+    told = df.groupBy(F.col(score).alias("score_")).agg(F.sum(F.col(label).cast("long")).alias("p_"), F.count(F.lit(1)).alias("n_"))
+    up = F.col("score_") >= F.col("threshold")
+    sums = told.crossJoin(F.broadcast(marks)).groupBy("share", "threshold").agg(F.sum(F.when(up, F.col("p_")).otherwise(0)).alias("tp"), F.sum(F.when(up, F.col("n_")).otherwise(0)).alias("n_flagged"), F.sum("p_").alias("positives"))
+    return sums.select("share", "threshold", "n_flagged", F.try_divide("tp", "n_flagged").alias("precision"), F.try_divide("tp", "positives").alias("recall"), F.try_divide(2 * F.col("tp"), F.col("n_flagged") + F.col("positives")).alias("f1"))
+
+
 def folds(df: DataFrame, k: int, label: str, key: str) -> DataFrame:
     """fold 0 to k-1, stratified by label: places in the order of a hash of the key, modulo k.
 
