@@ -91,7 +91,7 @@ def test_trees_of_nothing_nulls_and_repeated_rows(spark):
 def test_flagged_share_against_plain_counts(spark):
     rows, df = scores(spark)
     values, labels = np.array([s for _, s, _ in rows]), np.array([y for *_, y in rows])
-    for r in models.flagged_share(df, "score", "label", [0.02, 0.1, 0.3]).collect():
+    for r in evaluate.flagged_share(df, "score", "label", [0.02, 0.1, 0.3]).collect():
         up = values >= np.quantile(values, 1 - r["share"])
         tp = int(labels[up].sum())
         assert r["n_flagged"] == up.sum() and abs(r["f1"] - 2 * tp / (up.sum() + labels.sum())) < 1e-12

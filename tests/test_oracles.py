@@ -10,7 +10,7 @@ from wardspan.plans import registry
 
 NAMES = [
     "cloud_user_day", "cloud_user_day_new_actions", "normalize_events", "time_columns", "daily_activity", "rarity_flags", "rolling_24h_features", "high_volume_1h",
-    "batch_rule_score", "f1_optimal_threshold", "auroc", "average_precision", "alert_suppression", "case_history", "canonical_user", "interval_label_days", "file_extension",
+    "batch_rule_score", "f1_optimal_threshold", "auroc", "average_precision", "flagged_shares", "alert_suppression", "case_history", "canonical_user", "interval_label_days", "file_extension",
 ]
 
 

@@ -224,21 +224,6 @@ def isolation_score(df: DataFrame, columns: list[str], key: str, trees: int = 50
     return df.withColumn("if_score", run(F.struct(*[F.col(c).cast("double").alias(c) for c in columns])))
 
 
-def flagged_share(df: DataFrame, score: str, label: str, shares: list[float]) -> DataFrame:
-    """share, threshold, n_flagged, precision, recall and f1 where each share of all rows with the largest scores is flagged.
-
-    A row is flagged if its score is at the threshold or above, so ties go in
-    together. Rows without a score aren't flagged. The share with the largest f1
-    is what labels say about contamination; fitting never sees them.
-    """
-    cuts = df.agg(F.percentile(score, F.array(*[F.lit(1 - s) for s in shares])).alias("cuts_"))
-    marks = cuts.select(F.posexplode("cuts_").alias("at", "threshold")).select(F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("at") + 1).alias("share"), "threshold")
-    told = df.groupBy(F.col(score).alias("score_")).agg(F.sum(F.col(label).cast("long")).alias("p_"), F.count(F.lit(1)).alias("n_"))
-    up = F.col("score_") >= F.col("threshold")
-    sums = told.crossJoin(F.broadcast(marks)).groupBy("share", "threshold").agg(F.sum(F.when(up, F.col("p_")).otherwise(0)).alias("tp"), F.sum(F.when(up, F.col("n_")).otherwise(0)).alias("n_flagged"), F.sum("p_").alias("positives"))
-    return sums.select("share", "threshold", "n_flagged", F.try_divide("tp", "n_flagged").alias("precision"), F.try_divide("tp", "positives").alias("recall"), F.try_divide(2 * F.col("tp"), F.col("n_flagged") + F.col("positives")).alias("f1"))
-
-
 def folds(df: DataFrame, k: int, label: str, key: str) -> DataFrame:
     """fold 0 to k-1, stratified by label: places in the order of a hash of the key, modulo k.
 

@@ -47,6 +47,17 @@ def calibration_bins(spark, sf_dir) -> DataFrame:
     return evaluate.calibration(user_scores(spark, sf_dir)).select("bin", "n", *rounded("mean_score", "share"))
 
 
+# The shares of users that are tried as contamination.
+SHARES = [0.03, 0.05, 0.07, 0.09, 0.12]
+
+
+@query(f"""WITH {SCORES_SQL}, q AS (SELECT unnest({SHARES}::DOUBLE[]) AS share, unnest(quantile_cont(score, [0.97, 0.95, 0.93, 0.91, 0.88])) AS threshold FROM scores),
+    s AS (SELECT share, threshold, count(*) FILTER (score >= threshold) AS n_flagged, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (label = 1) AS positives FROM scores, q GROUP BY share, threshold)
+    SELECT share, round(threshold, 6) AS threshold, n_flagged, round(tp / n_flagged, 6) AS precision, round(tp / positives, 6) AS recall, round(2 * tp / (n_flagged + positives), 6) AS f1 FROM s""")
+def flagged_shares(spark, sf_dir) -> DataFrame:
+    return evaluate.flagged_share(user_scores(spark, sf_dir), "score", "label", SHARES).select("share", "n_flagged", *rounded("threshold", "precision", "recall", "f1"))
+
+
 @query(f"""WITH {EVENTS_SQL}, {NUMBERED}, {FLAGS_SQL} SELECT CAST(CAST("user" AS INTEGER) % 15 = 0 AS INTEGER) AS label, {', '.join(f'round(avg(CAST({f} AS INTEGER)) * 100, 6) AS {f}' for f in H.FLAGS)} FROM flags GROUP BY 1""")
 def flag_rate_by_class(spark, sf_dir) -> DataFrame:
     flags = H.rarity_flags(events(spark, sf_dir)).withColumn("label", (F.col("user").cast("int") % 15 == 0).cast("int"))
