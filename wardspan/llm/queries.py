@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardspan.llm import bpe, exact, langid, licenses, matroska, minhash, packing, pii, sharding, suffixes
+from wardspan.llm import bpe, exact, langid, licenses, matroska, minhash, packing, pii, secrets, sharding, suffixes
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op13_secrets": secrets.op13_secrets,
 }
 
 ORACLES = {
