@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardspan.llm import bpe, exact, langid, licenses, matroska, minhash, packing, pii, secrets, sharding, suffixes, whitening
+from wardspan.llm import bpe, collocations, exact, langid, licenses, matroska, minhash, packing, pii, secrets, sharding, suffixes, whitening
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_harmonic_packing": packing.op9_harmonic_packing,
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_collocations": collocations.op11_collocations,
     "op12_whitening": whitening.op12_whitening,
     "op13_secrets": secrets.op13_secrets,
 }
