@@ -2,6 +2,7 @@ import os
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from wardspan.plans import streams as P
 from wardspan.streaming import streams
@@ -40,12 +41,13 @@ def test_ingest_goes_on_after_a_restart_and_drops_repeated_ids(spark, tmp_path,
     first = rows.orderBy("ts", "event_id").limit(150)
     parts = [first, rows.join(first.select("event_id"), "event_id", "left_anti").select(rows.columns).unionByName(first.limit(20))]
     source, kept = str(tmp_path / "in"), str(tmp_path / "kept")
+    told = lambda: raw_events(view(streams.event_stream(spark, source).withColumn("ingested_at", F.col("event_ts")), ["ingested_at"]), ["ingested_at"])
     for k, part in enumerate(parts):
         part.coalesce(1).write.mode("append").parquet(source)
-        out = streams.ingest_stream(raw_events(view(streams.event_stream(spark, source))), kept, ae_live(events(spark, small)))
+        out = streams.ingest_stream(told(), kept, ae_live(events(spark, small)))
         assert out.count() == (150, 300)[k]
     assert sorted(tuple(r) for r in out.select(*shown).collect()) == want
-    again = streams.ingest_stream(raw_events(view(streams.event_stream(spark, source))), kept)
+    again = streams.ingest_stream(told(), kept)
     assert again.count() == 300
 
 

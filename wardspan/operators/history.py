@@ -109,7 +109,11 @@ def high_volume_in(df: DataFrame, hours: int = 1, many: int = MANY) -> DataFrame
 
 def rarity_flags(df: DataFrame, cap: int | None = CAP) -> DataFrame:
     """The six flags of each event, and rarity: their share, rounded to four places."""
-    out = with_unseen(numbered(df), {"first_time_action": action_key(), "new_ip": ip_key(), "geo_rarity": country_key()}, cap).drop("day_")
+    return flagged(with_unseen(numbered(df), {"first_time_action": action_key(), "new_ip": ip_key(), "geo_rarity": country_key()}, cap).drop("day_"))
+
+
+def flagged(out: DataFrame) -> DataFrame:
+    """The flags that follow from an event and its number (seq) alone, beside the three of its history, and rarity."""
     out = out.withColumns({"off_hours": T.off_hours(F.col("event_ts")), "high_volume": high_volume(), "sensitive_resource": P.sensitive_resource(F.col("resource"))})
     fired = sum((F.coalesce(F.col(f), F.lit(False)).cast("int") for f in FLAGS), F.lit(0))
     return out.withColumns({"flags_fired": fired, "rarity": F.round(fired / len(FLAGS), 4)})

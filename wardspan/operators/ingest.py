@@ -13,10 +13,10 @@ from wardspan.operators.cuts import cut
 STORED = ["event_id", *normalize.FIELDS, "event_ts", "country"]
 
 
-def stored(raw: DataFrame) -> DataFrame:
-    """Normalised events (STORED) of raw ones (event_id, source, raw); rejects() of the normaliser has the others."""
+def stored(raw: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """Normalised events (STORED, and other columns of raw) of raw ones (event_id, source, raw); rejects() of the normaliser has the others."""
     good = normalize.normalize(raw)
-    return good.withColumns({"event_ts": T.parse_any(F.col("timestamp")), "country": F.coalesce(F.col("metadata")["country"], F.lit(""))}).select(*STORED)
+    return good.withColumns({"event_ts": T.parse_any(F.col("timestamp")), "country": F.coalesce(F.col("metadata")["country"], F.lit(""))}).select(*STORED, *(also or []))
 
 
 def scored(events: DataFrame, ae_live: DataFrame | None = None, rule: dict[str, tuple[float, int]] = scoring.LIVE_RULE, cap: int | None = history.CAP, hours: int = 24) -> DataFrame:

@@ -9,7 +9,7 @@ from wardspan.functions import patterns as P
 from wardspan.functions import times as T
 from wardspan.operators import features as X
 from wardspan.operators import normalize as N
-from wardspan.plans.registry import query
+from wardspan.plans.named import query
 from wardspan.sources.tables import EVENTS_SQL, events, table
 
 OFF = "(isodow(event_ts) >= 6 OR hour(event_ts) < 7 OR hour(event_ts) >= 19)"

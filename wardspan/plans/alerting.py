@@ -9,7 +9,7 @@ from wardspan.operators import alerts as A
 from wardspan.operators import cases as C
 from wardspan.operators import history as H
 from wardspan.plans.history import FLAGS_SQL, NUMBERED
-from wardspan.plans.registry import query
+from wardspan.plans.named import query
 from wardspan.plans.scores import SCORES_SQL, user_scores
 from wardspan.sources.tables import EVENTS_SQL, events, table
 

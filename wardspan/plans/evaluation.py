@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardspan.operators import evaluate
 from wardspan.operators import history as H
 from wardspan.plans.history import FLAGS_SQL, NUMBERED
-from wardspan.plans.registry import query
+from wardspan.plans.named import query
 from wardspan.plans.scores import CURVE_SQL, SCORES_SQL, user_scores
 from wardspan.sources.tables import EVENTS_SQL, events, table
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardspan.functions import patterns as P
 from wardspan.operators import history as H
 from wardspan.plans.activity import LIVE_FEATURES, LIVE_SQL, OFF, live_events
-from wardspan.plans.registry import query
+from wardspan.plans.named import query
 from wardspan.sources.tables import EVENTS_SQL, events
 
 NUMBERED = 'n AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY event_ts, event_id) AS seq FROM ev)'

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardspan.functions import texts as X
-from wardspan.plans.registry import query
+from wardspan.plans.named import query
 from wardspan.sources.tables import EVENTS_SQL, events, table
 
 

@@ -1,24 +1,4 @@
 """All queries by name, and the SQL that gives the same rows in DuckDB."""
 
-from __future__ import annotations
-
-import textwrap
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Registers a function (spark, sf_dir) under its name, with its SQL where there is one."""
-
-    def put(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = textwrap.dedent(sql)
-        return f
-
-    return put
-
-
-from wardspan.plans import activity, alerting, evaluation, history, ingesting, people, scores, streams, texts  # noqa: E402, F401
+from wardspan.plans import activity, alerting, evaluation, history, ingesting, people, scores, streams, texts  # noqa: F401
+from wardspan.plans.named import ORACLES, QUERIES  # noqa: F401

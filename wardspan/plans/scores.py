@@ -10,7 +10,7 @@ from wardspan.operators import catalog, evaluate, history, models, scoring
 from wardspan.operators import features as X
 from wardspan.plans.activity import DAILY_SQL, LIVE_FEATURES, LIVE_SQL, PROFILE_SQL, live_events, profile
 from wardspan.plans.history import FLAGS_SQL, NUMBERED
-from wardspan.plans.registry import query
+from wardspan.plans.named import query
 from wardspan.sources.tables import EVENTS_SQL, events, table
 
 ROLE = ["login_count_sum", "files_accessed_sum", "usb_events_sum", "email_count_sum"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardspan.plans.registry import query
+from wardspan.plans.named import query
 from wardspan.streaming import streams as S
 
 

@@ -45,8 +45,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(table(spark, sf_dir, "events"))
 
 
-def view(rows: DataFrame) -> DataFrame:
-    """The view of events() over rows of the table, or of a stream of it."""
+def view(rows: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """The view of events() over rows of the table, or of a stream of it, and other columns of it."""
     k = F.get_json_object("props", "$.k").cast("int")
     return rows.select(
         "event_id",
@@ -59,6 +59,7 @@ def view(rows: DataFrame) -> DataFrame:
         pick(COUNTRIES, k).alias("country"),
         "value",
         k.alias("k"),
+        *(also or []),
     )
 
 

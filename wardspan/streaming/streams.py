@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -11,10 +12,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from wardspan.functions import times as T
-from wardspan.operators import ingest
-from wardspan.operators.cuts import cut, shared_top
+from wardspan.operators.cuts import cut, delete, shared_top
+from wardspan.streaming import arrivals
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -36,7 +38,8 @@ def event_stream(spark: SparkSession, path: str, schema: str = EVENTS, files_per
 
 def dedup(stream: DataFrame, delay: str = "20 minutes", key: str = "event_id") -> DataFrame:
     """Each id once within the delay; rows without an id all stay apart by a key of their own."""
-    return stream.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark([key])
+    own = F.coalesce(F.col(key).cast("string"), F.uuid())
+    return stream.withColumn("key_", own).withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["key_"]).drop("key_")
 
 
 def daily_counts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -93,46 +96,39 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_top(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def ingest_stream(raw: DataFrame, folder: str, ae_live: DataFrame | None = None, timeout: int = 600) -> DataFrame:
-    """Scored events of a stream of raw ones (event_id, source, raw) so far; what it keeps lies in ``folder``.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A shared folder that is deleted in the end; what is to outlive it has to be cut."""
+    folder = shared_folder(spark)
+    try:
+        yield folder
+    finally:
+        delete(spark, folder)
 
-    A batch's events are stored once: ids that are stored already, or twice in
-    the batch, are dropped; events without an id always stay. Each batch is
-    scored with the stored events of its own users. A batch that is run again
-    after a failure replaces its own part, and a new start on the same folder
-    goes on where the last one ended.
-    """
-    spark, kept, out = raw.sparkSession, f"{folder}/events", f"{folder}/scored"
 
-    def part(path: str, batch: int) -> DataFrame | None:
-        """What batches before this one have stored."""
-        try:
-            return spark.read.option("basePath", path).parquet(path).filter(F.col("b") < batch).drop("b")
-        except AnalysisException:  # nothing stored yet
-            return None
+def rows_stream(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """What run_available() has put out in a folder, as a stream; each start takes all that is new as one batch."""
+    return spark.readStream.schema(StructType([*schema.fields, StructField("b", IntegerType())])).parquet(f"{folder}/out").drop("b")
 
-    def put(df: DataFrame, batch: int) -> None:
-        new = ingest.stored(df)
-        new = new.filter("event_id IS NOT NULL").dropDuplicates(["event_id"]).unionByName(new.filter("event_id IS NULL"))
-        old = part(kept, batch)
-        if old is not None:
-            new = new.join(old.select("event_id"), "event_id", "left_anti").select(*ingest.STORED)
-        new = cut(new)
-        new.write.mode("overwrite").parquet(f"{kept}/b={batch}")
-        both = new.withColumn("new_", F.lit(True))
-        if old is not None:
-            both = both.unionByName(old.join(new.select("user").distinct(), "user", "left_semi").select(*ingest.STORED).withColumn("new_", F.lit(False)))
-        ingest.scored(both, ae_live).filter("new_").drop("new_").write.mode("overwrite").parquet(f"{out}/b={batch}")
-
-    query = raw.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError("the stream didn't end")
-    return spark.read.option("basePath", out).parquet(out).drop("b")
+
+def ingest_stream(raw: DataFrame, folder: str, ae_live: DataFrame | None = None, timeout: int = 600, **how) -> DataFrame:
+    """Scored events (arrivals.scored()) of a stream of raw ones (event_id, source, raw) so far; what it keeps lies in ``folder``.
+
+    What came before an event is in the state of its user, so a batch's work
+    depends on the batch alone. A batch that is run again after a failure replaces
+    its own part, and a new start on the same folder goes on where the last one
+    ended.
+    """
+    with arrivals.keyed_state(raw.sparkSession):
+        return run_available(arrivals.scored(raw, ae_live, **how), timeout=timeout, folder=folder).drop("batch_")
 
 
 def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600, folder: str | None = None) -> DataFrame:
-    """Runs a stream over what is there and reads its rows back, of earlier starts on the same folder too; in update mode a key's last row counts and others go by the caller."""
+    """Runs a stream over what is there and gives its rows, of earlier starts on the same folder too.
+
+    batch_ is a row's batch: in update mode a key's last row counts and others go
+    by the caller. Without a folder the rows are cut and nothing else is kept.
+    """
     spark, top = stream.sparkSession, folder or shared_folder(stream.sparkSession)
     out = f"{top}/out"
 
@@ -140,7 +136,15 @@ def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600, f
         df.withColumn("batch_", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/b={batch}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).foreachBatch(put).start()
-    if not query.awaitTermination(timeout):
+    try:
+        if not query.awaitTermination(timeout):
+            raise TimeoutError("the stream didn't end")
+        try:
+            rows = spark.read.option("basePath", out).parquet(out).drop("b")
+        except AnalysisException:  # no batch so far
+            rows = spark.createDataFrame([], stream.withColumn("batch_", F.lit(0)).schema)
+        return rows if folder else cut(rows)
+    finally:
         query.stop()
-        raise TimeoutError("the stream didn't end")
-    return spark.read.option("basePath", out).parquet(out).drop("b")
+        if not folder:
+            delete(spark, top)
