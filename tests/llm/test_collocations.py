@@ -107,6 +107,10 @@ def test_pieces_of_the_sort():
         want[k] += c
     assert list(map(tuple, got.tolist())) == sorted(want) and n.tolist() == [want[k] for k in sorted(want)]
     assert C.changes(got)[0] == 0 and (np.sort(C.as_bytes(got)) == C.as_bytes(got)).all()
+    back = C.unpacked(C.packed(got, n), len(got), 4)
+    assert (back[0] == got).all() and (back[1] == n).all()
+    big = np.array([[65535, 0], [65535, 65535]], np.uint16), np.array([1, 2**32 - 1])
+    assert [x.tolist() for x in C.unpacked(C.packed(*big), 2, 2)] == [x.tolist() for x in big]
     assert C.digits_for(0) == C.digits_for(65535) == 1 and C.digits_for(65536) == 2
     wide = C.keys_of(np.array([70000, 5, 0, 9]), 4, 2, 3)
     assert wide.tolist() == [[1, 4464, 0, 5, 0, 0]]

@@ -151,6 +151,21 @@ def as_bytes(keys: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(keys.astype(">u2")).view(f"S{2 * keys.shape[1]}").ravel()
 
 
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts, compressed: the columns one by one as differences of rows, low bytes apart from high ones."""
+    steps = np.diff(keys, axis=0, prepend=np.zeros((1, keys.shape[1]), np.uint16)).T
+    planes = np.concatenate([(steps & 0xFF).astype(np.uint8).ravel(), (steps >> 8).astype(np.uint8).ravel(), counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()])
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """n keys and their counts of packed()."""
+    planes = np.frombuffer(pa.decompress(data, n * (2 * columns + 4), codec="zstd", asbytes=True), np.uint8)
+    low, high = planes[: 2 * n * columns].reshape(2, columns, n).astype(np.uint16)
+    keys = np.cumsum(low | high << 8, axis=1, dtype=np.uint16).T
+    return keys, np.ascontiguousarray(planes[2 * n * columns :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
 @dataclass
 class Coder:
     digits: int
@@ -199,18 +214,17 @@ class Sample:
 
 @dataclass
 class Ranged:
-    """Each block's keys by range: the range's number, and its keys and counts as bytes."""
+    """Each block's keys by range: the range's number, how many keys there are, and they with their counts, packed."""
 
     splits: np.ndarray
-    schema = "part int, keys binary, counts binary"
+    schema = "part int, n int, keys binary"
 
     def __call__(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for keys, counts in blocks:
             if len(keys):
                 ends = [0, *np.searchsorted(as_bytes(keys), self.splits), len(keys)]
-                told = [(i, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
-                part, data, n = zip(*told)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary()), pa.array(n, pa.binary())], names=["part", "keys", "counts"])
+                part, n, data = zip(*[(i, b - a, packed(keys[a:b], counts[a:b])) for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], names=["part", "n", "keys"])
 
 
 def shipped(dictionary: DataFrame) -> dict[str, dict[bytes, int]] | None:
@@ -253,11 +267,10 @@ def with_own_dictionaries(texts: DataFrame, dictionary: DataFrame, coder: Coder,
 
 def phrase_counts(batches: Iterator[pa.RecordBatch], coder: Coder, least: int) -> Iterator[pa.RecordBatch]:
     """phrase (its part of a key) and a of one range: runs of ``least`` places or more, and those at the edges whatever their length."""
-    got = [(k, n) for b in batches for k, n in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist())]
+    got = [unpacked(k, n, coder.words * coder.digits) for b in batches for k, n in zip(b.column("keys").to_pylist(), b.column("n").to_pylist())]
     if not got:
         return
-    keys, counts = zip(*((np.frombuffer(k, np.uint16), np.frombuffer(n, np.uint32)) for k, n in got))
-    keys, counts = summed(np.concatenate(keys).reshape(-1, coder.words * coder.digits), np.concatenate(counts).astype(np.int64))
+    keys, counts = summed(*map(np.concatenate, zip(*got)))
     new, digits = changes(keys), coder.digits
     for m in range(2, coder.words + 1):
         starts = np.flatnonzero(new < m * digits)
