@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardspan.functions.tiers import LIVE, direction, reason, tier, tier_rank
+from wardspan.operators import ranges
+from wardspan.operators.cuts import cut, join_summary
 from wardspan.operators.scoring import top_attribution
 
 TIERS = ["High", "Medium", "Low"]
@@ -19,6 +24,25 @@ def all_users(batch: DataFrame, live: DataFrame, high: float, medium: float) ->
     return cert.unionByName(cloud.withColumn("tier", tier(F.col("score"), *LIVE)))
 
 
+def display_names(df: DataFrame, name: str) -> DataFrame:
+    """canonical (lower case), display (its most frequent spelling, of several the first) and total of a column of names; nulls are one name."""
+    counts = df.groupBy(F.lower(name).alias("canonical"), F.col(name).alias("name_")).agg(F.count(F.lit(1)).alias("n_"))
+    best = F.min(F.struct((-F.col("n_")).alias("o"), "name_")).alias("best_")
+    return counts.groupBy("canonical").agg(best, F.sum("n_").alias("total")).select("canonical", F.col("best_.name_").alias("display"), "total")
+
+
+def counts_by(df: DataFrame, key: str, summed: str | None = None) -> DataFrame:
+    """n, and total of a column, of each value of a key."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *([F.sum(summed).alias("total")] if summed else []))
+
+
+def with_lookups(df: DataFrame, keys: list[str], needed: list[DataFrame], wanted: list[DataFrame]) -> DataFrame:
+    """df with the columns of tables that have each key once; rows without a row in the needed ones go, and those without one in a wanted one have nulls."""
+    for table, how in [*((t, "inner") for t in needed), *((t, "left") for t in wanted)]:
+        df = join_summary(df, table, keys, how)
+    return df
+
+
 def list_users(users: DataFrame, risk: str | None = None, source: str = "all", q: str = "", limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of users: tier first, then score, then name."""
     if risk is not None and risk not in TIERS:
@@ -36,10 +60,11 @@ def list_users(users: DataFrame, risk: str | None = None, source: str = "all", q
 
 def stats(users: DataFrame) -> DataFrame:
     """Counts by tier and figures of the scores."""
-    at = lambda q: F.percentile("score", q)
+    users = cut(users)
+    p50, p90 = ranges.quantiles(users, {"score": [0.5, 0.9]})["score"]
     return users.agg(
         F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("tier") == t).alias(t.lower()) for t in TIERS], F.avg("score").alias("mean"), F.stddev_samp("score").alias("std"),
-        F.min("score").alias("min"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.max("score").alias("max"),
+        F.min("score").alias("min"), F.lit(p50).cast("double").alias("p50"), F.lit(p90).cast("double").alias("p90"), F.max("score").alias("max"),
     )
 
 
@@ -114,11 +139,12 @@ def stratified_sample(df: DataFrame, n: int, score: str = "score", seed: int = 4
 
     The order within a tier is draw(), so a sample is the same on every run.
     """
-    from pyspark.sql import Window as W
-
-    cuts = df.agg(F.percentile(score, 0.9).alias("high_"), F.percentile(score, 0.7).alias("medium_"), F.count(F.lit(1)).alias("all_"))
-    told = df.crossJoin(F.broadcast(cuts)).withColumn("tier", tier(F.col(score), F.col("high_"), F.col("medium_")))
-    sizes = told.groupBy("tier").agg(F.count(F.lit(1)).alias("n_"))
-    place = F.row_number().over(W.partitionBy("tier").orderBy(draw(seed, key), key))
-    chosen = told.join(F.broadcast(sizes), "tier").withColumn("place_", place)
-    return chosen.filter(F.col("place_") <= F.greatest(F.lit(1), F.round(F.lit(n) * F.col("n_") / F.col("all_")))).select(*df.columns, "tier")
+    df = cut(df)
+    high, medium = ranges.quantiles(df, {score: [0.9, 0.7]})[score]
+    told = df.withColumn("tier", tier(F.col(score), F.lit(high).cast("double"), F.lit(medium).cast("double")))
+    sizes = {r["tier"]: r["count"] for r in told.groupBy("tier").count().collect()}
+    parts = []
+    for name, size in sizes.items():  # three at most; a limit keeps each task's best rows and merges those
+        of = told.filter(F.col("tier").eqNullSafe(F.lit(name)))
+        parts.append(of.orderBy(draw(seed, key), key).limit(max(1, math.floor(n * size / sum(sizes.values()) + 0.5))))
+    return reduce(DataFrame.unionByName, parts, told.limit(0)).select(*df.columns, "tier")

@@ -1,33 +1,24 @@
 """Quality of detectors: curves and figures from scores and labels.
 
-Everything follows from counts per distinct score. Running totals over the
-scores are taken over those counts, not over rows. A global window needs one
-task; it has a row for each distinct score after rounding to ``places``, so it is
-bounded by 10 ** places whatever the number of rows.
+Everything follows from counts per distinct score; running totals and quantiles
+go by ranges of scores, so no task holds them all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardspan.operators import scoring
+from wardspan.operators import ranges, scoring
+from wardspan.operators.cuts import cut
 
-#: Places that scores are rounded to for curves.
-PLACES = 6
 
-
-def curve(df: DataFrame, score: str = "score", label: str = "label", places: int = PLACES) -> DataFrame:
-    """score (falling), tp, fp, positives, negatives: what lies at each score or above."""
-    steps = df.groupBy(F.round(F.col(score), places).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    above = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    run = steps.select(
-        "score", "p", "n", F.sum("p").over(above).alias("tp"), (F.sum("n").over(above) - F.sum("p").over(above)).alias("fp"),
-        F.sum("p").over(whole).alias("positives"), (F.sum("n").over(whole) - F.sum("p").over(whole)).alias("negatives"),
-    )
-    return run
+def curve(df: DataFrame, score: str = "score", label: str = "label", places: int | None = None) -> DataFrame:
+    """score (falling), p, n, tp, fp, positives, negatives: what lies at each score or above; with places, scores are rounded first."""
+    value = F.col(score) if places is None else F.round(F.col(score), places)
+    steps = df.groupBy(value.alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    run = ranges.running(steps, [F.desc("score")], ["p", "n"])
+    return run.select("score", "p", "n", F.col("p_upto").alias("tp"), (F.col("n_upto") - F.col("p_upto")).alias("fp"), F.col("p_all").alias("positives"), (F.col("n_all") - F.col("p_all")).alias("negatives"))
 
 
 def precision_recall(df: DataFrame, **kw) -> DataFrame:
@@ -68,8 +59,9 @@ def confusion(df: DataFrame, threshold: float, score: str = "score", label: str
 
 def calibration(df: DataFrame, bins: int = 10, score: str = "score", label: str = "label") -> DataFrame:
     """Mean score and share of positives in bins between exact quantiles."""
-    cuts = df.agg(F.percentile(score, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("cuts_"))
-    placed = df.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts_", lambda c: c < F.col(score))))
+    df = cut(df.select(score, label))
+    cuts = F.array(*map(F.lit, ranges.quantiles(df, {score: [i / bins for i in range(1, bins)]})[score]))
+    placed = df.withColumn("bin", F.size(F.filter(cuts, lambda c: c < F.col(score))))
     return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("share"))
 
 
@@ -80,12 +72,13 @@ def flagged_share(df: DataFrame, score: str, label: str, shares: list[float]) ->
     together. Rows without a score aren't flagged. The share with the largest f1
     is what labels say about contamination; fitting never sees them.
     """
-    cuts = df.agg(F.percentile(score, F.array(*[F.lit(round(1 - s, 12)) for s in shares])).alias("cuts_"))
-    marks = cuts.select(F.posexplode("cuts_").alias("at", "threshold")).select(F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("at") + 1).alias("share"), "threshold")
-    told = df.groupBy(F.col(score).alias("score_")).agg(F.sum(F.col(label).cast("long")).alias("p_"), F.count(F.lit(1)).alias("n_"))
-    up = F.col("score_") >= F.col("threshold")
-    sums = told.crossJoin(F.broadcast(marks)).groupBy("share", "threshold").agg(F.sum(F.when(up, F.col("p_")).otherwise(0)).alias("tp"), F.sum(F.when(up, F.col("n_")).otherwise(0)).alias("n_flagged"), F.sum("p_").alias("positives"))
-    return sums.select("share", "threshold", "n_flagged", F.try_divide("tp", "n_flagged").alias("precision"), F.try_divide("tp", "positives").alias("recall"), F.try_divide(2 * F.col("tp"), F.col("n_flagged") + F.col("positives")).alias("f1"))
+    df = cut(df.select(F.col(score).alias("score_"), F.col(label).cast("long").alias("label_")))
+    marks = ranges.quantiles(df, {"score_": [round(1 - s, 12) for s in shares]})["score_"]
+    up = [F.col("score_") >= F.lit(m) for m in marks]
+    sums = df.agg(F.sum("label_").alias("positives"), *[F.sum(F.when(u, F.col("label_")).otherwise(0)).alias(f"tp{i}") for i, u in enumerate(up)], *[F.count_if(u).alias(f"n{i}") for i, u in enumerate(up)])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.lit(m).cast("double").alias("threshold"), F.col(f"n{i}").alias("n_flagged"), F.col(f"tp{i}").alias("tp")) for i, (s, m) in enumerate(zip(shares, marks))]))
+    told = sums.select("positives", each.alias("x")).select("positives", "x.*")
+    return told.select("share", "threshold", "n_flagged", F.try_divide("tp", "n_flagged").alias("precision"), F.try_divide("tp", "positives").alias("recall"), F.try_divide(2 * F.col("tp"), F.col("n_flagged") + F.col("positives")).alias("f1"))
 
 
 def scenario_recall(df: DataFrame, threshold: float, scenario: str = "scenario", score: str = "score") -> DataFrame:
@@ -96,22 +89,22 @@ def scenario_recall(df: DataFrame, threshold: float, scenario: str = "scenario",
     return per.crossJoin(F.broadcast(false)).withColumn("f1", 2 * F.col("detected") / (F.col("detected") + F.col("fp_") + F.col("total"))).drop("fp_")
 
 
-def latency(df: DataFrame, column: str, places: int = PLACES) -> DataFrame:
-    """Mean, least, most, and the value at index int(n * q) in order for q of .5, .95 and .99, from counts per rounded value."""
-    order = W.orderBy("v")
-    steps = df.groupBy(F.round(column, places).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(column).alias("s"))
-    run = steps.withColumns({"upto": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)), "all": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("all") * q), F.col("v")))
-    return run.agg((F.sum("s") / F.sum("n")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+def latency(df: DataFrame, column: str, places: int | None = None) -> DataFrame:
+    """Mean, least, most, and the value at index int(n * q) in order for q of .5, .95 and .99; with places, values are rounded first."""
+    df = cut(df.select((F.col(column) if places is None else F.round(column, places)).alias("v"), F.col(column).alias("x")))
+    n, values = ranges.at_ranks(df, {"v": lambda n: [int(n * q) for q in (0.5, 0.95, 0.99)]})["v"]
+    at = lambda q: F.lit(values.get(int(n * q))).cast("double")
+    return df.agg(F.avg("x").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
-def thresholds(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def thresholds(df: DataFrame, score: str = "score", label: str = "label", **kw) -> DataFrame:
     """high and medium of a score table: with labels the best F1's threshold and the normal rows' 99th percentile, else scoring.fallback_thresholds(); medium lies below high."""
     if label not in df.columns:
         return scoring.fallback_thresholds(df, score)
-    normal = df.filter(F.col(label) == 0).agg(F.percentile(score, 0.99).alias("m"))
-    both = best_f1(df, score=score, label=label).crossJoin(F.broadcast(normal))
-    return both.select(F.col("threshold").alias("high"), F.least("m", F.col("threshold") - 1e-6).alias("medium"))
+    df = cut(df.select(score, label))
+    normal = ranges.quantiles(df.filter(F.col(label) == 0), {score: [0.99]})[score][0]
+    best = best_f1(df, score=score, label=label, **kw)
+    return best.select(F.col("threshold").alias("high"), F.least(F.lit(normal), F.col("threshold") - 1e-6).alias("medium"))
 
 
 def clipped_histogram(df: DataFrame, column: str, width: float, most: float) -> DataFrame:

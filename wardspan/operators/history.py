@@ -90,16 +90,31 @@ def rolling(df: DataFrame, columns: list[str], hours: int = 24, user: str = "use
     """Counts and sums over a user's last hours, this event included.
 
     Rows are dealt by user and stretch of as many hours, and lie in the next
-    stretch too, so that a window never reaches out of its own. Rows without a
-    time are in one window by themselves.
+    stretch too, so that a window never reaches out of its own; only user, time and
+    the summed columns lie there twice. Sums of whole numbers are differences of
+    two sums that grow with the rows, so a busy stretch takes linear time. Rows
+    without a time are in one window by themselves.
     """
     length = hours * 3_600_000_000
-    dealt = df.withColumn("at_", T.micros(df, ts)).withColumn("own_", F.floor(F.col("at_") / length))
-    in_both = F.when(F.col("own_").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array("own_", F.col("own_") + 1))
-    dealt = dealt.withColumn("stretch_", F.explode(in_both))
-    w = W.partitionBy(user, "stretch_").orderBy("at_").rangeBetween(-length, 0)
-    out = dealt.withColumns({"events_in_window": F.count(F.lit(1)).over(w)} | {f"{c}_in_window": F.sum(c).over(w) for c in columns})
-    return out.filter("stretch_ <=> own_").drop("at_", "own_", "stretch_")
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    summed = {f"{c}_in_window": (f"s{i}_", dict(df.dtypes)[c] in whole) for i, c in enumerate(columns)} | {"events_in_window": ("one_", True)}
+    kept = [f"c{i}_" for i in range(len(df.columns))]
+    row = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(df.columns, kept)], F.col(user).alias("user_"), T.micros(df, ts).alias("at_"), F.lit(1).cast("long").alias("one_"), *[F.col(c).alias(f"s{i}_") for i, c in enumerate(columns)])
+    dealt = row.withColumn("copy_", F.explode(F.when(F.col("at_").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    dealt = dealt.withColumns({"stretch_": F.floor(F.col("at_") / length) + F.col("copy_")} | {k: F.when(F.col("copy_") == 0, F.col(k)) for k in kept})
+    w = W.partitionBy("user_", "stretch_").orderBy("at_")
+    upto, before, within = w.rangeBetween(W.unboundedPreceding, 0), w.rangeBetween(W.unboundedPreceding, -length - 1), w.rangeBetween(-length, 0)
+
+    def inside(c: str, is_whole: bool) -> Column:
+        if not is_whole:
+            return F.sum(c).over(within)
+        # Rows without a time are peers; nothing lies before them.
+        sums = F.sum(c).over(upto) - F.when(F.col("at_").isNull(), F.lit(0)).otherwise(F.coalesce(F.sum(c).over(before), F.lit(0)))
+        some = F.count(c).over(upto) - F.when(F.col("at_").isNull(), F.lit(0)).otherwise(F.count(c).over(before))
+        return sums if c == "one_" else F.when(some > 0, sums)
+
+    out = dealt.withColumns({n: inside(*told) for n, told in summed.items()}).filter("copy_ = 0")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(df.columns, kept)], "events_in_window", *[f"{c}_in_window" for c in columns])
 
 
 def high_volume_in(df: DataFrame, hours: int = 1, many: int = MANY) -> DataFrame:

@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardspan.operators import ranges
+
 #: Rows at most that a network is fitted on, and that one isolation tree sees.
 FIT_ROWS = 20_000
 TREE_ROWS = 256
-#: Errors keep so many digits after their first where percentiles are taken of them.
-ERROR_DIGITS = 5
 #: A label's rows are numbered in 2 ** FOLD_BITS parts.
 FOLD_BITS = 10
 
@@ -124,16 +124,9 @@ def fit_autoencoder(df: DataFrame, columns: list[str], key: str, normal: Column
 
 
 def calibrate(df: DataFrame, model: dict) -> dict:
-    """lo and hi (the 5th and twice the 95th percentile) of a network's errors on all rows of df.
-
-    Percentiles are exact over errors of ERROR_DIGITS digits after the first, which
-    bounds how many values meet in one task.
-    """
-    error = autoencoder_score(df, model).select("error")
-    size = F.pow(F.lit(10.0), ERROR_DIGITS - F.floor(F.log10("error")))
-    counts = error.groupBy(F.when(F.col("error") > 0, F.rint(F.col("error") * size) / size).otherwise(0.0).alias("e")).agg(F.count(F.lit(1)).alias("n"))
-    lo, high = counts.agg(F.percentile("e", F.array(F.lit(0.05), F.lit(0.95)), F.col("n")).alias("p")).first()["p"] or (0.0, 0.0)
-    return {"lo": float(lo), "hi": 2 * float(high)}
+    """lo and hi (the 5th and twice the 95th percentile) of a network's errors on all rows of df; 0 without rows."""
+    lo, high = ranges.quantiles(autoencoder_score(df, model).select("error"), {"error": [0.05, 0.95]})["error"]
+    return {"lo": lo or 0.0, "hi": 2 * (high or 0.0)}
 
 
 def autoencoder_score(df: DataFrame, model: dict) -> DataFrame:

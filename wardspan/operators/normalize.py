@@ -156,14 +156,21 @@ def valid(df: DataFrame, source: str = "source", raw: str = "raw") -> Column:
 
 
 def normalize(df: DataFrame, source: str = "source", raw: str = "raw") -> DataFrame:
-    """The events' eight fields, and the other columns of df; one pass whatever the sources, and each text is parsed once."""
-    parsed = df.withColumn("parsed_", F.try_parse_json(raw)).filter(F.col(source).isin(*NORMALISERS) & F.trim(raw).startswith("{") & F.col("parsed_").isNotNull())
+    """The events' eight fields, and the other columns of df; one pass whatever the sources, and each text is parsed once.
+
+    Every field has a CASE of its own, so fields that nobody reads are never made.
+    """
+    known = df.filter(F.col(source).isin(*NORMALISERS) & F.trim(raw).startswith("{"))
+    parsed = known.withColumn("parsed_", F.try_parse_json(raw)).filter(F.col("parsed_").isNotNull())
     made = {name: parser(F.col("parsed_")) for name, parser in NORMALISERS.items()}
-    fields_ = F.lit(None)
-    for name, columns in made.items():
-        fields_ = F.when(F.col(source) == name, F.struct(*[columns[f].alias(f) for f in FIELDS if f != "source"])).otherwise(fields_)
-    out = parsed.withColumn("fields_", fields_)
-    return out.withColumns({f: F.col(f"fields_.{f}") for f in FIELDS if f != "source"}).drop("fields_", "parsed_")
+
+    def of(field_: str) -> Column:
+        out = F.lit(None)
+        for name, columns in made.items():
+            out = F.when(F.col(source) == name, columns[field_]).otherwise(out)
+        return out
+
+    return parsed.withColumns({f: of(f) for f in FIELDS if f != "source"}).drop("parsed_")
 
 
 def rejects(df: DataFrame, source: str = "source", raw: str = "raw") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardspan.operators import ranges
 from wardspan.operators.cuts import cut
 
 # Weights and caps of the live rule, and weights of the batch rule.
@@ -56,10 +57,11 @@ def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - median) / quartile range by exact percentiles, as c_r; a range of 0 counts as 1."""
-    totals = with_totals(df, [F.percentile(c, q).alias(f"{c}_{n}_") for c in columns for n, q in (("a", 0.25), ("b", 0.5), ("c", 0.75))])
-    wide = lambda c: F.col(f"{c}_c_") - F.col(f"{c}_a_")
-    return totals.withColumns({f"{c}_r": (F.col(c) - F.col(f"{c}_b_")) / F.when(wide(c) == 0, 1.0).otherwise(wide(c)) for c in columns}).drop(*[f"{c}_{n}_" for c in columns for n in "abc"])
+    """(x - median) / quartile range by exact percentiles, as c_r; a range of 0 counts as 1. A column without values has none."""
+    df = cut(df)
+    told = ranges.quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
+    lit = lambda v: F.lit(v).cast("double")
+    return df.withColumns({f"{c}_r": (F.col(c) - lit(b)) / lit(1.0 if a == z else z - a if a is not None else None) for c, (a, b, z) in told.items()})
 
 
 def peer_means(df: DataFrame, columns: list[str], group: str = "peer_group", normal: Column | None = None) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardspan.operators import evaluate
+from wardspan.operators import evaluate, ranges
 from wardspan.operators import history as H
+from wardspan.operators.cuts import cut
 from wardspan.plans.history import FLAGS_SQL, NUMBERED
 from wardspan.plans.named import query
 from wardspan.plans.scores import CURVE_SQL, SCORES_SQL, user_scores
@@ -18,22 +19,22 @@ rounded = lambda *names: [F.round(n, 6).alias(n) for n in names]
 
 @query(f"{WITH} SELECT round(sum(p * (negatives - fp) + p * (n - p) / 2) / (max(positives) * max(negatives)), 6) AS auroc FROM curve")
 def auroc(spark, sf_dir) -> DataFrame:
-    return evaluate.auroc(user_scores(spark, sf_dir)).select(*rounded("auroc"))
+    return evaluate.auroc(user_scores(spark, sf_dir), places=6).select(*rounded("auroc"))
 
 
 @query(f"{WITH} SELECT round(sum(p / positives * tp / (tp + fp)), 6) AS average_precision FROM curve")
 def average_precision(spark, sf_dir) -> DataFrame:
-    return evaluate.average_precision(user_scores(spark, sf_dir)).select(*rounded("average_precision"))
+    return evaluate.average_precision(user_scores(spark, sf_dir), places=6).select(*rounded("average_precision"))
 
 
 @query(f"{WITH} SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pr")
 def pr_curve(spark, sf_dir) -> DataFrame:
-    return evaluate.precision_recall(user_scores(spark, sf_dir)).select("threshold", *rounded("precision", "recall", "f1"))
+    return evaluate.precision_recall(user_scores(spark, sf_dir), places=6).select("threshold", *rounded("precision", "recall", "f1"))
 
 
 @query(f"{WITH} SELECT score AS threshold, round(fp / negatives, 6) AS fpr, round(tp / positives, 6) AS tpr FROM curve")
 def roc_curve(spark, sf_dir) -> DataFrame:
-    return evaluate.roc(user_scores(spark, sf_dir)).select("threshold", *rounded("fpr", "tpr"))
+    return evaluate.roc(user_scores(spark, sf_dir), places=6).select("threshold", *rounded("fpr", "tpr"))
 
 
 @query(f"{WITH} SELECT count(*) FILTER (score >= 0.33 AND label = 1) AS tp, count(*) FILTER (score >= 0.33 AND label = 0) AS fp, count(*) FILTER (score < 0.33 AND label = 1) AS fn, count(*) FILTER (score < 0.33 AND label = 0) AS tn FROM scores")
@@ -80,17 +81,16 @@ def mean_score_by_scenario(spark, sf_dir) -> DataFrame:
     SELECT count(*) AS n, round(corr(offline, score), 6) AS pearson, round(avg(abs(offline - score)), 6) AS mean_abs_delta FROM o JOIN scores USING ("user")""")
 def live_vs_offline(spark, sf_dir) -> DataFrame:
     """The ranks of the users stand for offline scores."""
-    from pyspark.sql import Window as W
-
-    live = user_scores(spark, sf_dir)
-    offline = live.select("user", F.round(F.row_number().over(W.orderBy("score", "user")) / 200.0, 6).alias("offline"))
-    return evaluate.against_offline(live, offline.withColumnRenamed("offline", "score")).select("n", *rounded("pearson", "mean_abs_delta"))
+    live = cut(user_scores(spark, sf_dir).select("user", "score"))
+    placed = ranges.numbered(live, [F.col("score"), F.col("user")], "place")
+    offline = placed.select("user", F.round(F.col("place") / 200.0, 6).alias("score"))
+    return evaluate.against_offline(live, offline).select("n", *rounded("pearson", "mean_abs_delta"))
 
 
 @query("""WITH s AS (SELECT round(value, 6) AS v FROM events), o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM s)
     SELECT round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max, max(v) FILTER (i = CAST(floor(n * 0.5) AS BIGINT)) AS p50, max(v) FILTER (i = CAST(floor(n * 0.95) AS BIGINT)) AS p95, max(v) FILTER (i = CAST(floor(n * 0.99) AS BIGINT)) AS p99 FROM o""")
 def latency_percentiles(spark, sf_dir) -> DataFrame:
-    return evaluate.latency(table(spark, sf_dir, "events"), "value").withColumn("mean", F.round("mean", 6))
+    return evaluate.latency(table(spark, sf_dir, "events"), "value", 6).withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT CAST(floor(least(value, 50) / 5) AS BIGINT) AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardspan.functions import texts as X
+from wardspan.operators import catalog, ranges
 from wardspan.plans.named import query
 from wardspan.sources.tables import EVENTS_SQL, events, table
 
@@ -24,9 +24,7 @@ def clean_identity_filter(spark, sf_dir) -> DataFrame:
 def canonical_user(spark, sf_dir) -> DataFrame:
     """The most frequent spelling of each name."""
     name = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
-    counts = table(spark, sf_dir, "part").groupBy(F.lower(name).alias("canonical"), name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("o"), F.col("name").alias("name"))).alias("best")
-    return counts.groupBy("canonical").agg(best, F.sum("n").alias("total")).select("canonical", F.col("best.name").alias("display"), "total")
+    return catalog.display_names(table(spark, sf_dir, "part").select(name.alias("name")), "name")
 
 
 @query("SELECT c_custkey, 'USR-' || upper(substr(sha256('pepper:' || c_name), 1, 8)) AS anonymous FROM customer")
@@ -69,10 +67,9 @@ def interval_label_days(spark, sf_dir) -> DataFrame:
 @query("SELECT c.c_custkey, c.c_nationkey, n.n_name, s.n AS suppliers FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) s ON s.s_nationkey = c.c_nationkey")
 def user_source_lookup(spark, sf_dir) -> DataFrame:
     """A lookup of small tables from each row, as user to source and peer means."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    counts = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return c.join(nation, c.c_nationkey == nation.n_nationkey).join(counts, c.c_nationkey == counts.s_nationkey, "left").select("c_custkey", "c_nationkey", "n_name", "suppliers")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    suppliers = catalog.counts_by(table(spark, sf_dir, "supplier"), "s_nationkey").select(F.col("s_nationkey").alias("c_nationkey"), F.col("n").alias("suppliers"))
+    return catalog.with_lookups(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], [nation], [suppliers])
 
 
 @query(f"""WITH {EVENTS_SQL}, batch AS (SELECT DISTINCT "user" FROM ev WHERE source = 'cert_file'), live AS (SELECT DISTINCT "user" FROM ev WHERE source = 'aws_cloudtrail' AND k < 40)
@@ -83,32 +80,18 @@ def two_populations(spark, sf_dir) -> DataFrame:
     batch = e.filter("source = 'cert_file'").select("user").distinct()
     live = e.filter("source = 'aws_cloudtrail' AND k < 40").select("user").distinct()
     live = live.unionByName(live.select(F.concat(F.lit("x"), "user").alias("user")))
-    cloud = live.join(batch, "user", "left_anti").withColumn("source", F.lit("cloud"))
-    return batch.withColumn("source", F.lit("cert")).unionByName(cloud)
+    none = F.lit(0.0).alias("score")
+    return catalog.all_users(batch.select("user", none), live.select("user", none), 0.8, 0.5).select("user", "source")
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def status_counts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    counts = catalog.counts_by(table(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice")
+    return counts.select(F.col("o_orderstatus").alias("status"), "n", F.round("total", 2).alias("total"))
 
 
 @query("SELECT o_orderkey, round((rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2) / (SELECT count(*) FROM orders), 9) AS rank_share FROM orders")
 def rank_normalised(spark, sf_dir) -> DataFrame:
-    """Average rank over the number of rows: ranks come from counts per value, dealt by ranges of values.
-
-    Each range's rows are numbered by themselves; offsets of the ranges come from
-    their counts, a few rows.
-    """
-    counts = table(spark, sf_dir, "orders").groupBy("o_totalprice").agg(F.count(F.lit(1)).alias("n"))
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = counts.repartitionByRange(n, "o_totalprice").withColumn("part", F.spark_partition_id())
-    from wardspan.operators.cuts import cut
-
-    dealt = cut(dealt)
-    totals = dealt.groupBy("part").agg(F.sum("n").alias("rows"))
-    before = totals.withColumn("before", F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("rows")).select("part", "before")
-    every = totals.agg(F.sum("rows").alias("every"))
-    upto = F.sum("n").over(W.partitionBy("part").orderBy("o_totalprice").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = dealt.withColumn("upto", upto).join(F.broadcast(before), "part").crossJoin(F.broadcast(every))
-    share = (F.col("before") + F.col("upto") - F.col("n") + 1 + (F.col("n") - 1) / 2) / F.col("every")
-    return table(spark, sf_dir, "orders").join(ranked.select("o_totalprice", F.round(share, 9).alias("rank_share")), "o_totalprice").select("o_orderkey", "rank_share")
+    """Average rank over the number of rows, by counts per value in ranges of values."""
+    ranked = ranges.rank_share(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "rank_share")
+    return ranked.select("o_orderkey", F.round("rank_share", 9).alias("rank_share"))

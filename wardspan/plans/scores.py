@@ -67,12 +67,12 @@ CURVE_SQL = """steps AS (SELECT round(score, 6) AS score, CAST(sum(label) AS BIG
 
 @query(f"""WITH {SCORES_SQL}, {CURVE_SQL} SELECT round(threshold, 6) AS high, round(least((SELECT quantile_cont(score, 0.99) FROM scores WHERE label = 0), threshold - 1e-6), 6) AS medium FROM best""")
 def tier_thresholds(spark, sf_dir) -> DataFrame:
-    return evaluate.thresholds(user_scores(spark, sf_dir)).select(F.round("high", 6).alias("high"), F.round("medium", 6).alias("medium"))
+    return evaluate.thresholds(user_scores(spark, sf_dir), places=6).select(F.round("high", 6).alias("high"), F.round("medium", 6).alias("medium"))
 
 
 @query(f"WITH {SCORES_SQL}, {CURVE_SQL} SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, n_flagged FROM best")
 def f1_optimal_threshold(spark, sf_dir) -> DataFrame:
-    return evaluate.best_f1(user_scores(spark, sf_dir)).select("threshold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "n_flagged")
+    return evaluate.best_f1(user_scores(spark, sf_dir), places=6).select("threshold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "n_flagged")
 
 
 @query(f"WITH {SCORES_SQL} SELECT round(least(avg(score) + 3 * stddev_pop(score), 1), 6) AS high, round(least(avg(score) + 2 * stddev_pop(score), 1), 6) AS medium FROM scores")
