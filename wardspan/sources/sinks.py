@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.operators.history import latest
+from wardspan.sources.store import Store
 
 
 def append_events(df: DataFrame, path: str) -> None:
@@ -16,52 +16,24 @@ def append_events(df: DataFrame, path: str) -> None:
     df.withColumn("event_date", F.to_date("event_ts")).write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def event_store(spark: SparkSession, path: str, buckets: int = 256) -> Store:
+    """An event table in buckets by user, so that one user's events are one bucket's files, sorted by user and time of ingest."""
+    return Store(spark, path, ["user", "ingested_at"], by=["user"], buckets=buckets)
+
+
 def sorted_csv(df: DataFrame, path: str, score: str = "score") -> None:
     """One CSV file, highest score first; for reports, whose rows are few."""
     df.orderBy(F.desc(score), *[c for c in df.columns if c != score]).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order: list[str]) -> None:
-    """The table with the newest row of each key, as a new version beside the old; readers follow the pointer file of the newest."""
-    old = current(spark, path)
-    merged = latest(rows if old is None else old.unionByName(rows, allowMissingColumns=True), keys, order)
-    publish(spark, path, merged)
-
-
-def versions(spark: SparkSession, path: str) -> list[int]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    names = [(p.getName(), p) for p in done if p.getName().startswith("v=")]
-    return sorted(int(n[2:]) for n, p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest finished version, None if there is none."""
-    done = versions(spark, path)
-    return spark.read.parquet(f"{path}/v={done[-1]}") if done else None
-
-
-def publish(spark: SparkSession, path: str, df: DataFrame) -> None:
-    """Writes a version; it counts once its _SUCCESS file is there. Versions before the last two are deleted."""
-    done = versions(spark, path)
-    df.write.mode("overwrite").parquet(f"{path}/v={(done[-1] if done else 0) + 1}")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for v in done[:-1]:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"v={v}"), True)
-
-
-def delete_user(spark: SparkSession, path: str, user: str) -> None:
-    old = current(spark, path)
-    if old is not None:
-        publish(spark, path, old.filter(~F.col("user").eqNullSafe(F.lit(user))))
+    """Puts the newest row of each key into the table at path (store.Store), beside the old ones of its bucket."""
+    Store(spark, path, keys, order).upsert(rows)
 
 
-def purge(spark: SparkSession, path: str) -> None:
-    old = current(spark, path)
-    if old is not None:
-        publish(spark, path, old.limit(0))
+def current(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame | None:
+    """The newest version of such a table, None if there is none."""
+    return Store(spark, path, keys, order).read()
 
 
 def merge_metrics(path: str, block: str, metrics: dict) -> None:
