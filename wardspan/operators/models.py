@@ -1,8 +1,8 @@
-"""Models: peer groups, reconstruction error, isolation trees, stacking, folds.
+"""Models: peer groups, reconstruction error, isolation trees, stacking, boosted trees, folds.
 
-Fitting a network takes a bounded sample (``FIT_ROWS``, by a hash of the key) to
-NumPy, and so does growing trees. Calibration and scoring run on all rows inside
-the tasks with the model broadcast, whose size doesn't depend on the data.
+Networks are fitted on all rows and trees on a bounded sample (``FIT_ROWS``, by a
+hash of the key), both in the tasks. Calibration and scoring run on all rows with
+the model broadcast, whose size doesn't depend on the data.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardspan.operators import ranges
+from wardspan.functions import times
+from wardspan.operators import networks, ranges
+from wardspan.operators.cuts import cut
 
-#: Rows at most that a network is fitted on, and that one isolation tree sees.
+#: Rows at most that isolation trees are drawn from, and that one of them sees.
 FIT_ROWS = 20_000
 TREE_ROWS = 256
 #: A label's rows are numbered in 2 ** FOLD_BITS parts.
@@ -43,84 +45,34 @@ def kmeans_peers(df: DataFrame, columns: list[str], k: int, normal: Column | Non
     return model.transform(rows).select(*df.columns, "peer_group")
 
 
-class Autoencoder:
-    """A small network (tanh hidden layers, mirrored widths) trained by Adam on mean squared error."""
-
-    def __init__(self, widths: list[int], seed: int = 42) -> None:
-        rng, sizes = np.random.default_rng(seed), [*widths, *widths[-2::-1]]
-        self.weights = [rng.normal(0, (2 / (a + b)) ** 0.5, (a, b)) for a, b in zip(sizes, sizes[1:])]
-        self.biases = [np.zeros(b) for b in sizes[1:]]
-
-    def layers(self, x: np.ndarray) -> list[np.ndarray]:
-        out = [x]
-        for i, (w, b) in enumerate(zip(self.weights, self.biases)):
-            z = out[-1] @ w + b
-            out.append(np.tanh(z) if i + 1 < len(self.weights) else z)
-        return out
-
-    def fit(self, x: np.ndarray, check: np.ndarray, epochs: int = 150, rate: float = 1e-2, batch: int = 256, patience: int = 20, seed: int = 42) -> Autoencoder:
-        """Keeps the weights with the least error on ``check``; stops when that hasn't fallen for ``patience`` epochs."""
-        rng, step = np.random.default_rng(seed), 0
-        parameters = [*self.weights, *self.biases]
-        first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
-        best, kept, waited = np.inf, [p.copy() for p in parameters], 0
-        for epoch in range(epochs):
-            lr = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), batch):
-                rows = x[order[at : at + batch]]
-                outs, grads_w, grads_b = self.layers(rows), [], []
-                delta = 2 * (outs[-1] - rows) / rows.size
-                for i in range(len(self.weights) - 1, -1, -1):
-                    grads_w.insert(0, outs[i].T @ delta)
-                    grads_b.insert(0, delta.sum(axis=0))
-                    if i:
-                        delta = (delta @ self.weights[i].T) * (1 - outs[i] ** 2)
-                step += 1
-                for p, g, m, v in zip(parameters, [*grads_w, *grads_b], first, second):
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            error = float(np.mean((self.layers(check)[-1] - check) ** 2)) if len(check) else 0.0
-            if error < best - 1e-9:
-                best, kept, waited = error, [p.copy() for p in parameters], 0
-            else:
-                waited += 1
-                if waited >= patience:
-                    break
-        for p, k in zip(parameters, kept):
-            p[...] = k
-        return self
-
-    def residuals(self, x: np.ndarray) -> np.ndarray:
-        return x - self.layers(x)[-1]
-
-
-def fit_autoencoder(df: DataFrame, columns: list[str], key: str, normal: Column | None = None, hidden: tuple[int, ...] = (32, 16, 8), seed: int = 42, time: str | None = None) -> dict:
-    """A network of normal rows with its scaling and calibration: lo is the 5th, hi twice the 95th percentile of held-out errors.
-
-    The last fifth is held out: by time where there is such a column, so that
-    later rows check earlier ones, else by a hash of the key. The network is
-    fitted on the earlier rows of a bounded sample; all normal rows from the
-    sample's boundary on give the percentiles.
+def fit_autoencoder(
+    df: DataFrame, columns: list[str], key: str, normal: Column | None = None, hidden: tuple[int, ...] | None = None, seed: int = 42, time: str | None = None, plan: networks.Plan | None = None
+) -> dict:
+    """A network of the normal rows with its scaling and calibration: lo is the 5th, hi twice the 95th percentile of held-out errors.
+
+    The last fifth is held out: by time (dates, times or numbers of days) where there is one,
+    so that later rows check earlier ones, else by a hash of the key. All rows are
+    fitted on, in the tasks (networks.fit()), scaled by means and population
+    deviations of the earlier ones. The layers are those of ``plan``, or of widths
+    ``hidden``, or the published ones for so many columns.
     """
-    every = df if normal is None else df.filter(normal)
-    placed = every.withColumn("draw_", F.xxhash64(F.lit(seed + 1), F.col(key)))
-    order = [*([time] if time else []), "draw_"]
-    rows = sample(placed, key, seed=seed).select(*order, key, *[F.col(c).cast("double").alias(f"{c}_x") for c in columns]).orderBy(*order, key).toPandas()
-    x = rows[[f"{c}_x" for c in columns]].fillna(0).to_numpy(float)
-    mean, spread = x.mean(axis=0), x.std(axis=0)
-    spread[spread == 0] = 1
-    x = (x - mean) / spread
-    cut = max(1, int(len(x) * 0.8))
-    check = x[cut:] if cut < len(x) else x
-    net = Autoencoder([len(columns), *hidden], seed).fit(x[:cut], check, seed=seed)
+    draw = F.xxhash64(F.lit(seed + 1), F.col(key))
+    place = draw / float(1 << 64) + 0.5
+    if time:
+        kind = dict(df.dtypes)[time]
+        place += F.unix_date(time) if kind == "date" else times.micros(df, time) / 8.64e10 if kind.startswith("timestamp") else F.col(time).cast("double")
+    values = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
+    rows = cut((df if normal is None else df.filter(normal)).select(draw.alias("draw"), place.cast("double").alias("place"), values.alias("v"), key, *[c for c in columns if c != key]))
+    n, found = ranges.at_ranks(rows, {"place": lambda n: [max(1, int(n * 0.8))] if n > 1 else []})["place"]
+    bound = next(iter(found.values()), None)
+    early = F.lit(True) if bound is None else F.col("place") < F.lit(bound)
+    told = rows.filter(early).agg(*[f(F.col("v")[i]).alias(f"{m}{i}") for i in range(len(columns)) for m, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    mean, spread = np.array([told[f"m{i}"] or 0.0 for i in range(len(columns))]), np.array([told[f"s{i}"] or 1.0 for i in range(len(columns))])
+    scaled = F.array(*[(F.col("v")[i] - F.lit(float(m))) / F.lit(float(s)) for i, (m, s) in enumerate(zip(mean, spread))])
+    plan = plan or (networks.mirrored_plan(len(columns), hidden) if hidden else networks.cloud_plan(len(columns)) if len(columns) <= 32 else networks.endpoint_plan(len(columns)))
+    net = networks.fit(rows.select(scaled.alias("x"), early.alias("is_train"), "draw"), len(columns), plan, n, seed)
     model = {"net": net, "mean": mean, "spread": spread, "columns": columns, "lo": 0.0, "hi": 0.0}
-    held = placed
-    if cut < len(x):
-        bound = [F.lit(None if pd.isna(v) else v.item() if hasattr(v, "item") else v).cast(placed.schema[c].dataType).alias(c) for c, v in ((c, rows[c].iloc[cut]) for c in order)]
-        held = placed.filter(F.struct(*order) >= F.struct(*bound))
-    return model | calibrate(held, model)
+    return model | calibrate(rows if bound is None else rows.filter(~early), model)
 
 
 def calibrate(df: DataFrame, model: dict) -> dict:
@@ -149,18 +101,14 @@ def autoencoder_score(df: DataFrame, model: dict) -> DataFrame:
 
 def save_model(spark: SparkSession, model: dict, path: str) -> None:
     """A fitted network with scaling and calibration as one JSON text under path; its size is that of the weights."""
-    net = model["net"]
-    kept = {k: np.asarray(v).tolist() if k in ("mean", "spread") else v for k, v in model.items() if k != "net"}
-    kept |= {"weights": [w.tolist() for w in net.weights], "biases": [b.tolist() for b in net.biases]}
+    kept = {k: np.asarray(v).tolist() if k in ("mean", "spread") else v for k, v in model.items()} | {"net": networks.as_dict(model["net"])}
     spark.createDataFrame([(json.dumps(kept),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def load_model(spark: SparkSession, path: str) -> dict:
     """What save_model() has written, ready for autoencoder_score()."""
     kept = json.loads(spark.read.text(path).first()["value"])
-    net = Autoencoder([1])
-    net.weights, net.biases = [np.array(w) for w in kept.pop("weights")], [np.array(b) for b in kept.pop("biases")]
-    return kept | {"net": net, "mean": np.array(kept["mean"]), "spread": np.array(kept["spread"])}
+    return kept | {"net": networks.from_dict(kept["net"]), "mean": np.array(kept["mean"]), "spread": np.array(kept["spread"])}
 
 
 def path_adjust(n: np.ndarray | float):
@@ -169,52 +117,90 @@ def path_adjust(n: np.ndarray | float):
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int) -> tuple:
-    """A tree as nested (column, cut, left, right) or the leaf's (depth with adjustment,)."""
-    spans = np.ptp(x, axis=0) if len(x) else np.zeros(0)
-    usable = np.flatnonzero(spans > 0)
-    if depth >= limit or len(x) <= 1 or not len(usable):
-        return (depth + float(path_adjust(len(x))),)
-    c = int(rng.choice(usable))
-    cut = float(rng.uniform(x[:, c].min(), x[:, c].max()))
-    left = x[:, c] < cut
-    return (c, cut, grow(x[left], rng, depth + 1, limit), grow(x[~left], rng, depth + 1, limit))
-
+def grow(x: np.ndarray, rng: np.random.Generator) -> dict[str, list]:
+    """An isolation tree as a table of its nodes: column (-1 in a leaf), cut, the numbers of the left and the right node, and a leaf's depth with its adjustment."""
+    limit = max(1, int(np.ceil(np.log2(max(len(x), 2)))))
+    nodes: dict[str, list] = {"column": [], "cut": [], "left": [], "right": [], "depth": []}
+    todo = [(np.arange(len(x)), 0, None)]
+    while todo:
+        rows, depth, parent = todo.pop()
+        if parent:
+            nodes[parent[0]][parent[1]] = len(nodes["column"])
+        spans = np.ptp(x[rows], axis=0) if len(rows) else np.zeros(0)
+        usable = np.flatnonzero(spans > 0)
+        leaf = depth >= limit or len(rows) <= 1 or not len(usable)
+        c = -1 if leaf else int(rng.choice(usable))
+        cut = 0.0 if leaf else float(rng.uniform(x[rows, c].min(), x[rows, c].max()))
+        at = len(nodes["column"])
+        for name, value in (("column", c), ("cut", cut), ("left", 0), ("right", 0), ("depth", depth + float(path_adjust(len(rows))) if leaf else 0.0)):
+            nodes[name].append(value)
+        if not leaf:
+            below = x[rows, c] < cut
+            todo += [(rows[~below], depth + 1, ("right", at)), (rows[below], depth + 1, ("left", at))]
+    return nodes
+
+
+def depths(nodes: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The depth of the leaf that each row comes to."""
+    at, column = np.zeros(len(x), np.int64), nodes["column"]
+    inner = np.flatnonzero(column[at] >= 0)
+    while len(inner):
+        here = at[inner]
+        at[inner] = np.where(x[inner, column[here]] < nodes["cut"][here], nodes["left"][here], nodes["right"][here])
+        inner = inner[column[at[inner]] >= 0]
+    return nodes["depth"][at]
+
+
+def isolation_forest(df: DataFrame, columns: list[str], key: str, trees: int = 500, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """A table of isolation trees (tree, used, size, column, cut, left, right, depth), a row for each, grown in the tasks.
+
+    Each tree has TREE_ROWS rows of its own by a hash of its number and the key,
+    and a share of the columns; rows are drawn from a bounded sample. Nulls count
+    as 0. Without rows there are no trees.
+    """
+    drawn = cut(sample(df, key, seed=seed).select(F.col(key).cast("string").alias("key_"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}_") for i, c in enumerate(columns)]))
+    n, width = drawn.count(), max(1, int(len(columns) * share))
+    draw = F.xxhash64(F.lit(seed), "tree", "key_")
+    some = 2.0 * min(1.0, 1.5 * TREE_ROWS / max(n, 1)) - 1.0  # of hashes from -1 to 1; the surplus goes in the group
+    rows = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("draw_", draw).filter(F.col("draw_") / float(1 << 63) <= some)
 
-def depths(tree: tuple, x: np.ndarray) -> np.ndarray:
-    if len(tree) == 1:
-        return np.full(len(x), tree[0])
-    out, left = np.empty(len(x)), x[:, tree[0]] < tree[1]
-    out[left], out[~left] = depths(tree[2], x[left]), depths(tree[3], x[~left])
-    return out
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng([seed, key[0]])
+        x = rows.sort_values(["draw_", "key_"]).head(TREE_ROWS)[names].to_numpy(float)
+        used = np.sort(rng.choice(len(columns), width, replace=False))
+        return pd.DataFrame({"tree": [key[0]], "used": [used.tolist()], "size": [len(x)]} | {k: [v] for k, v in grow(x[:, used], rng).items()})
 
+    names = [f"x{i}_" for i in range(len(columns))]
+    return rows.groupBy("tree").applyInPandas(run, "tree int, used array<int>, size int, column array<int>, cut array<double>, left array<int>, right array<int>, depth array<double>")
 
-def isolation_score(df: DataFrame, columns: list[str], key: str, trees: int = 500, normal: Column | None = None, share: float = 1.0, seed: int = 42) -> DataFrame:
-    """if_score of each row (larger: easier to isolate), by trees of normal rows, each on a share of the columns.
 
-    Each tree is grown on TREE_ROWS rows of a bounded sample. Nulls count as 0;
-    without normal rows every score is 0.
-    """
-    drawn = sample(df if normal is None else df.filter(normal), key, seed=seed)
-    rows = drawn.select(key, *columns).orderBy(key, *columns).toPandas()[columns].fillna(0).to_numpy(float)
-    rng = np.random.default_rng(seed)
-    size, width = min(TREE_ROWS, len(rows)), max(1, int(len(columns) * share))
-    limit = max(1, int(np.ceil(np.log2(max(size, 2)))))
-    grown = []
-    for _ in range(trees if size else 0):
-        used = np.sort(rng.choice(len(columns), width, replace=False)) if width < len(columns) else np.arange(width)
-        grown.append((used, grow(rows[rng.choice(len(rows), size, replace=False)][:, used], rng, 0, limit)))
-    shared, usual = df.sparkSession.sparkContext.broadcast(grown), float(path_adjust(size)) or 1.0
+def isolation_apply(df: DataFrame, forest: DataFrame, columns: list[str]) -> DataFrame:
+    """if_score of each row (larger: easier to isolate) by a table of trees, whose size is bounded by their number; 0 without trees."""
+    kept = [{"used": np.array(r["used"]), "size": r["size"]} | {k: np.array(r[k]) for k in ("column", "cut", "left", "right", "depth")} for r in forest.collect()]
+    shared = df.sparkSession.sparkContext.broadcast(kept)
+    usual = float(np.mean([path_adjust(t["size"]) for t in kept])) if kept else 1.0
 
     @F.pandas_udf("double")
     def run(values: pd.DataFrame) -> pd.Series:
         x = values.fillna(0).to_numpy(float)
         total = np.zeros(len(x))
-        for used, tree in shared.value:
-            total += depths(tree, x[:, used])
-        return pd.Series(2.0 ** (-total / len(shared.value) / usual) if shared.value else total)
+        for tree in shared.value:
+            total += depths(tree, x[:, tree["used"]])
+        return pd.Series(2.0 ** (-total / len(shared.value) / (usual or 1.0)) if shared.value else total)
+
+    return df.withColumn("if_score", run(F.struct(*[F.col(c).cast("double").alias(f"x{i}_") for i, c in enumerate(columns)])))
+
+
+def isolation_score(df: DataFrame, columns: list[str], key: str, trees: int = 500, normal: Column | None = None, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """if_score of each row by isolation_forest() of the normal rows."""
+    df = cut(df)
+    return isolation_apply(df, isolation_forest(df if normal is None else df.filter(normal), columns, key, trees, share, seed), columns)
+
 
-    return df.withColumn("if_score", run(F.struct(*[F.col(c).cast("double").alias(c) for c in columns])))
+def contamination_cuts(df: DataFrame, score: str, shares: list[float], normal: Column | None = None) -> dict[float, float | None]:
+    """For each share of contamination the score that so many of the (normal) rows lie over, exactly."""
+    rows = df if normal is None else df.filter(normal)
+    return dict(zip(shares, ranges.quantiles(rows, {score: [1 - s for s in shares]})[score]))
 
 
 def folds(df: DataFrame, k: int, label: str, key: str) -> DataFrame:
@@ -233,26 +219,63 @@ def folds(df: DataFrame, k: int, label: str, key: str) -> DataFrame:
     return told.withColumn("fold", (F.col("before_") + F.col("place_") - 1) % k).select(*df.columns, "fold")
 
 
-def kfold_scores(df: DataFrame, columns: list[str], key: str, label: str, k: int = 5, hidden: tuple[int, ...] = (16, 8)) -> DataFrame:
+def kfold_scores(df: DataFrame, columns: list[str], key: str, label: str, k: int = 5, hidden: tuple[int, ...] | None = None, plan: networks.Plan | None = None) -> DataFrame:
     """Reconstruction scores of each fold by a network of the other folds' normal rows."""
-    told, out = folds(df, k, label, key), None
+    told, out = cut(folds(df, k, label, key)), None
     for i in range(k):
-        model = fit_autoencoder(told, columns, key, (F.col("fold") != i) & (F.col(label) == 0), hidden)
+        model = fit_autoencoder(told, columns, key, (F.col("fold") != i) & (F.col(label) == 0), hidden, plan=plan)
         part = autoencoder_score(told.filter(F.col("fold") == i), model).select(key, label, "fold", "error", "score")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def balanced(df: DataFrame, label: str) -> Column:
+    """A weight that gives both labels of df the same sum: all rows over twice a label's."""
+    sizes = {r[label]: r["count"] for r in df.filter(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
+    weight = F.lit(1.0)
+    for value, n in sizes.items():
+        weight = F.when(F.col(label) == value, sum(sizes.values()) / (2.0 * n)).otherwise(weight)
+    return weight
+
+
 def stacked(df: DataFrame, columns: list[str], label: str, key: str, k: int = 5) -> DataFrame:
-    """stack_score by logistic regression on score columns, each fold by a model of the others."""
+    """stack_score by logistic regression on score columns with balanced labels, each fold by a model of the others."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    told = VectorAssembler(inputCols=columns, outputCol="vector_", handleInvalid="keep").transform(folds(df, k, label, key))
-    out = None
+    told, out = cut(folds(df, k, label, key)), None
+    told = VectorAssembler(inputCols=columns, outputCol="vector_", handleInvalid="keep").transform(told)
     for i in range(k):
-        model = LogisticRegression(featuresCol="vector_", labelCol=label, maxIter=50).fit(told.filter(F.col("fold") != i))
+        rest = told.filter(F.col("fold") != i)
+        model = LogisticRegression(featuresCol="vector_", labelCol=label, weightCol="weight_", maxIter=50).fit(rest.withColumn("weight_", balanced(rest, label)))
         part = model.transform(told.filter(F.col("fold") == i)).withColumn("stack_score", vector_to_array("probability")[1]).select(*df.columns, "fold", "stack_score")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def pseudo_labels(df: DataFrame, score: str, high: float = 0.92, low: float = 0.30) -> DataFrame:
+    """pseudo: 1 from the high quantile of a score on, 0 up to the low one, null between; where both are one value, 0."""
+    top, bottom = ranges.quantiles(df, {score: [high, low]})[score]
+    return df.withColumn("pseudo", F.when(F.col(score) <= F.lit(bottom).cast("double"), 0).when(F.col(score) >= F.lit(top).cast("double"), 1))
+
+
+def boosted(df: DataFrame, columns: list[str], score: str, rounds: int = 200, depth: int = 6, step: float = 0.05, seed: int = 42) -> DataFrame:
+    """boost_score of each row: boosted trees on columns, fitted on the pseudo-labels of a score with balanced weights.
+
+    Nulls count as 0. Where the score has one value only there is nothing to
+    learn, and boost_score is the score, as without the library of trees.
+    """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    told = pseudo_labels(cut(df), score)
+    fit_on = told.filter(F.col("pseudo").isNotNull())
+    if fit_on.select("pseudo").distinct().count() < 2:
+        return told.withColumn("boost_score", F.col(score)).select(*df.columns, "pseudo", "boost_score")
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}_") for i, c in enumerate(columns)]
+    vectors = VectorAssembler(inputCols=[f"x{i}_" for i in range(len(columns))], outputCol="vector_")
+    model = GBTClassifier(featuresCol="vector_", labelCol="pseudo", weightCol="weight_", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed)
+    fitted = model.fit(vectors.transform(fit_on.select("pseudo", balanced(fit_on, "pseudo").alias("weight_"), *filled)))
+    return fitted.transform(vectors.transform(told.select("*", *filled))).withColumn("boost_score", vector_to_array("probability")[1]).select(*df.columns, "pseudo", "boost_score")
