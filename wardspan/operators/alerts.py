@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wardspan.functions.times import micros
 from wardspan.operators.cuts import cut, join_summary
+from wardspan.sources.store import Store
 
 STATUSES = ["Open", "Acknowledged", "Resolved", "False Positive"]
 TERMINAL = ["Resolved", "False Positive"]
@@ -110,6 +111,42 @@ def created(raised: DataFrame, title: Column | None = None, details: Column | No
     )
 
 
+def add(table: Store, raised: DataFrame, title: Column | None = None, details: Column | None = None) -> DataFrame:
+    """Puts fired alerts into an alert table (sinks.alert_table()) and gives their rows back, ids and all; an alert that is there already stays as it is."""
+    new = cut(created(raised, title, details).withColumn("updated_at", F.col("created_at")))
+    known = table.read()
+    fresh = new if known is None else new.join(known.select("alert_id"), "alert_id", "left_anti").select(new.columns)
+    table.upsert(fresh)
+    return new
+
+
+def change(table: Store, changes: DataFrame) -> DataFrame:
+    """Applies the last change (alert_id, status, changed_at) of each alert to an alert table, and gives the changed rows; unknown alerts have none.
+
+    A terminal status fills in resolved_at, another one empties it.
+    """
+    if bad := changes.filter(~F.coalesce(F.col("status").isin(STATUSES), F.lit(False))).limit(1).count():
+        raise ValueError(f"{bad} unknown status")
+    last = current_status(changes).join(changes.groupBy("alert_id").agg(F.max("changed_at").alias("changed_")), "alert_id")
+    old = table.read()
+    if old is None:
+        return changes.limit(0)
+    told = join_summary(old.drop("status", "resolved_at", "updated_at"), last, ["alert_id"])
+    rows = cut(told.withColumn("updated_at", F.col("changed_")).select(*old.columns))
+    table.upsert(rows)
+    return rows
+
+
+def by_id(table: Store, alert_id: int) -> DataFrame:
+    """One alert, from its bucket's files alone, with its details as structure; no row for an unknown id."""
+    return opened(table.read_key(alert_id=alert_id))
+
+
+def opened(rows: DataFrame) -> DataFrame:
+    """Alerts with their JSON details as a map of texts; broken details are an empty map."""
+    return rows.withColumn("details", F.coalesce(F.from_json("details", "map<string, string>"), F.map_from_arrays(F.array(), F.array()).cast("map<string, string>")))
+
+
 def current_status(log: DataFrame) -> DataFrame:
     """alert_id, status and resolved_at of a log (alert_id, status, changed_at); only terminal states are resolved."""
     if bad := log.filter(~F.col("status").isin(STATUSES)).limit(1).count():

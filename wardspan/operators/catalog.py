@@ -77,10 +77,10 @@ def user_detail(users: DataFrame, long: DataFrame, user: str, n: int = 5) -> Dat
     return found.withColumn("reason", reason(F.coalesce("features", F.array().cast("array<struct<place:int,feature:string,value:double,direction:string>>")), F.col("tier")))
 
 
-def recent_events(events: DataFrame, user: str, now, hours: int = 24) -> DataFrame:
-    """All events of a user that were taken in within some hours before a time, the newest first."""
-    since = F.lit(now) - F.make_dt_interval(F.lit(0), F.lit(hours))
-    return events.filter((F.col("user") == user) & (F.col("ingested_at") >= since)).orderBy(F.desc("ingested_at"), F.desc("event_id"))
+def recent_events(events: DataFrame, user: str | None, now, hours: int = 24) -> DataFrame:
+    """All events of a user (None: of all) that were taken in within some hours before a time, the newest first."""
+    since = F.col("ingested_at") >= F.lit(now) - F.make_dt_interval(F.lit(0), F.lit(hours))
+    return events.filter(since if user is None else since & (F.col("user") == user)).orderBy(F.desc("ingested_at"), F.desc("event_id"))
 
 
 def user_events(events: DataFrame, user: str, limit: int = 20) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardspan.operators import ranges
-from wardspan.operators.cuts import cut
+from wardspan.operators.cuts import cut, join_summary
 
 # Weights and caps of the live rule, and weights of the batch rule.
 LIVE_RULE = {
@@ -76,6 +76,22 @@ def peer_ratios(df: DataFrame, columns: list[str], group: str = "peer_group", no
     return df.join(means, group).withColumns({f"{c}_peer_ratio": F.col(c) / F.greatest(F.coalesce(F.col(f"{c}_peer_mean"), F.lit(0.0)), F.lit(1.0)) for c in columns})
 
 
+def means_of_peers(df: DataFrame, columns: list[str], key: str = "user", group: str = "peer_group") -> DataFrame:
+    """key, and the mean of each column over the key's group, under the column's name; rows without a group are left out."""
+    known = df.filter(F.col(group).isNotNull())
+    means = peer_means(known, columns, group).select(group, *[F.col(f"{c}_peer_mean").alias(c) for c in columns])
+    return join_summary(known.select(key, group), means, [group]).select(key, *columns)
+
+
+def peer_context(df: DataFrame, columns: list[str], role: list[str], key: str = "user", n: int = 8) -> DataFrame:
+    """What is told of a user's peers: peer_group, peer_size, deviations (an array of the n farthest: feature, user_value, peer_mean, ratio) and role_means, a structure of the peers' means of the role columns. df has peer_ratios()."""
+    top = peer_deviations(df, columns, key, n)
+    each = F.array_sort(F.collect_list(F.struct("place", "feature", "user_value", "peer_mean", "ratio")))
+    told = top.groupBy(key).agg(F.transform(each, lambda d: d.dropFields("place")).alias("deviations"))
+    means = df.select(key, "peer_group", "peer_size", F.struct(*[F.col(f"{c}_peer_mean").alias(c) for c in role]).alias("role_means"))
+    return join_summary(means, told, [key]).select(key, "peer_group", "peer_size", "deviations", "role_means")
+
+
 def long_form(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, feature, value) of each column."""
     return df.unpivot(key, [F.col(c).cast("double").alias(c) for c in columns], "feature", "value")

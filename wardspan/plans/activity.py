@@ -9,6 +9,8 @@ from wardspan.functions import patterns as P
 from wardspan.functions import times as T
 from wardspan.operators import features as X
 from wardspan.operators import normalize as N
+from wardspan.operators import scoring
+from wardspan.operators.cuts import cut
 from wardspan.plans.named import query
 from wardspan.sources.tables import EVENTS_SQL, events, table
 
@@ -260,7 +262,7 @@ VECTOR_SQL = f"""days AS (SELECT "user", day, {', '.join(f'CAST(sum({c}) AS BIGI
       count(DISTINCT CASE WHEN source = 'cert_logon' THEN coalesce(nullif(resource, ''), ip_address) END) AS unique_pcs FROM live GROUP BY ALL),
   users AS (SELECT "user", {', '.join(f'avg({c}) AS {c}_mean, max({c}) AS {c}_max, CAST(sum({c}) AS BIGINT) AS {c}_sum' for c in X.DAILY)} FROM days GROUP BY "user"),
   vector AS (SELECT *, {', '.join(f'least(50, {c}_max / greatest({c}_mean, 0.001)) AS {c}_burst_ratio' for c in X.BURSTS)}, has_usb_sum * files_accessed_max AS usb_file_interaction,
-      {', '.join(f'{c} / 1.0 AS {c}_peer_ratio' for c in X.PEERS)} FROM users)"""
+      {', '.join(f'{c} / greatest(1, coalesce(CASE WHEN peers < 7 THEN avg({c}) OVER (PARTITION BY peers) END, 1)) AS {c}_peer_ratio' for c in X.PEERS)} FROM (SELECT *, CAST("user" AS INTEGER) % 8 AS peers FROM users))"""
 
 
 def is_ratio(name: str) -> bool:
@@ -269,8 +271,11 @@ def is_ratio(name: str) -> bool:
 
 @query(f'WITH {EVENTS_SQL}, {LIVE_SQL}, {VECTOR_SQL} SELECT "user", {", ".join(f"round({c}, 6) AS {c}" if is_ratio(c) else c for c in X.VECTOR)} FROM vector')
 def live_user_vector(spark, sf_dir) -> DataFrame:
-    """The 71 features of each stored user, as the live scorer takes them."""
-    vector = X.user_vector(X.live_daily(live_events(spark, sf_dir)))
+    """The 71 features of each stored user, as the live scorer takes them; users are peers by their number, and those of the eighth group have none."""
+    daily = cut(X.live_daily(live_events(spark, sf_dir)))
+    group = F.col("user").cast("int") % 8
+    users = X.user_profile(daily, X.DAILY).withColumn("peer_group", F.when(group < 7, group))
+    vector = X.user_vector(daily, scoring.means_of_peers(users, X.PEERS))
     return vector.select("user", *[F.round(c, 6).alias(c) if is_ratio(c) else F.col(c) for c in X.VECTOR])
 
 

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardspan.functions import times as T
 from wardspan.operators import alerts as A
 from wardspan.operators import cases as C
+from wardspan.operators import catalog
 from wardspan.operators import history as H
+from wardspan.operators.cuts import cut
 from wardspan.plans.history import FLAGS_SQL, NUMBERED
 from wardspan.plans.named import query
 from wardspan.plans.scores import SCORES_SQL, user_scores
+from wardspan.sources.sinks import alert_table as alert_store
+from wardspan.sources.sinks import event_store
 from wardspan.sources.tables import EVENTS_SQL, events, table
+from wardspan.streaming.streams import scratch
 
 CANDIDATES_SQL = f"""{EVENTS_SQL}, {NUMBERED}, {FLAGS_SQL}, candidates AS (
   SELECT "user", event_id, event_ts, 'new_user' AS alert_type, 'Low' AS severity FROM flags WHERE seq = 1
@@ -111,3 +117,40 @@ def newest_pending_cases(spark, sf_dir) -> DataFrame:
 def bulk_import_cases(spark, sf_dir) -> DataFrame:
     known = events(spark, sf_dir).filter("source = 'aws_cloudtrail' AND k < 5").select("user").distinct()
     return C.bulk_import(user_scores(spark, sf_dir), known, 0.3)
+
+
+@query(f"""WITH {CANDIDATES_SQL} SELECT "user", alert_type, severity, event_ts AS created_at, CASE event_id % 4 WHEN 2 THEN 'Resolved' WHEN 3 THEN 'False Positive' WHEN 1 THEN 'Acknowledged' ELSE 'Open' END AS status,
+    CASE WHEN event_id % 4 >= 2 THEN event_ts + INTERVAL 2 HOURS END AS resolved_at, CAST(event_id AS VARCHAR) AS event_id FROM candidates""")
+def alert_table(spark, sf_dir) -> DataFrame:
+    """Candidates put into an alert table twice over, most of them acknowledged and half of those closed, then read with their details."""
+    raised = cut(candidates(spark, sf_dir))
+    with scratch(spark) as folder:
+        store = alert_store(spark, folder, 8)
+        details = F.to_json(F.struct(F.col("event_id").cast("string").alias("event_id")))
+        A.add(store, raised.filter("event_id % 3 > 0"), details=details)
+        A.add(store, raised, details=details)
+        number = F.get_json_object("details", "$.event_id").cast("long")
+        known = store.read().withColumn("n", number % 4)
+        hours = lambda h: F.col("created_at") + F.expr(f"INTERVAL {h} HOURS")
+        first = known.filter("n > 0").select("alert_id", F.lit("Acknowledged").alias("status"), hours(1).alias("changed_at"))
+        last = known.filter("n > 1").select("alert_id", F.when(F.col("n") == 2, "Resolved").otherwise("False Positive").alias("status"), hours(2).alias("changed_at"))
+        A.change(store, first)
+        A.change(store, last)
+        told = A.opened(store.read())
+        return cut(told.select("user", "alert_type", "severity", "created_at", "status", "resolved_at", F.col("details")["event_id"].alias("event_id")))
+
+
+@query(f"""WITH {EVENTS_SQL}, e AS (SELECT *, event_ts + to_hours(CAST(event_id * 7 % 30 AS INTEGER)) + to_microseconds(event_id) AS ingested_at FROM ev)
+    SELECT event_id, "user", ingested_at FROM e WHERE ingested_at >= (SELECT max(ingested_at) FROM e) - INTERVAL 24 HOURS""")
+def events_by_ingest(spark, sf_dir) -> DataFrame:
+    """All events that were taken in within the last day, from an event store that was written in two parts."""
+    e = events(spark, sf_dir)
+    at = F.timestamp_micros(T.micros(e, "event_ts") + F.col("event_id") * 7 % 30 * 3_600_000_000 + F.col("event_id"))
+    e = e.withColumn("ingested_at", T.utc_clock(at))
+    with scratch(spark) as folder:
+        store = event_store(spark, folder, 16)
+        store.write(e.filter("event_id % 2 = 0"))
+        store.write(e.filter("event_id % 2 = 1"))
+        rows = store.read()
+        newest = rows.agg(F.max("ingested_at")).first()[0]
+        return cut(catalog.recent_events(rows, None, newest, 24).select("event_id", "user", "ingested_at"))

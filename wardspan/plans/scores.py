@@ -10,6 +10,7 @@ from wardspan.operators import catalog, evaluate, history, models, scoring
 from wardspan.operators import features as X
 from wardspan.plans.activity import DAILY_SQL, LIVE_FEATURES, LIVE_SQL, PROFILE_SQL, live_events, profile
 from wardspan.plans.history import FLAGS_SQL, NUMBERED
+from wardspan.operators.cuts import cut
 from wardspan.plans.named import query
 from wardspan.sources.tables import EVENTS_SQL, events, table
 
@@ -125,6 +126,14 @@ def peer_deviations_top8(spark, sf_dir) -> DataFrame:
     return scoring.peer_deviations(scoring.peer_ratios(rows, DEVIATION), DEVIATION)
 
 
+@query(f"""{BASE}, {GROUPED_SQL} SELECT "user", peer_group, peer_size, {', '.join(f'round({c}_m, 6) AS {c}' for c in ROLE)}, least(8, {len(DEVIATION)}) AS deviations FROM grouped JOIN means USING (peer_group)""")
+def peer_context(spark, sf_dir) -> DataFrame:
+    """A user's peers with the four role means; the deviations themselves are those of peer_deviations_top8."""
+    rows = grouped(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in DEVIATION})
+    told = scoring.peer_context(scoring.peer_ratios(rows, list(dict.fromkeys([*DEVIATION, *ROLE]))), DEVIATION, ROLE)
+    return told.select("user", "peer_group", "peer_size", *[F.round(f"role_means.{c}", 6).alias(c) for c in ROLE], F.size("deviations").alias("deviations"))
+
+
 LONG_SQL = "long AS (" + " UNION ALL ".join(f"SELECT \"user\", '{c}' AS feature, CAST({c} AS DOUBLE) - 3.1 AS value FROM profile" for c in DEVIATION) + ")"
 
 
@@ -227,8 +236,11 @@ def cloud_live_score(spark, sf_dir) -> DataFrame:
 
 @query()
 def endpoint_live_score(spark, sf_dir) -> DataFrame:
-    """Each user's 71 features by a network of normal users."""
-    vector = X.user_vector(X.live_daily(live_events(spark, sf_dir)))
+    """Each user's 71 features, with the means of K-means peers, by a network of normal users."""
+    daily = cut(X.live_daily(live_events(spark, sf_dir)))
+    users = cut(X.user_profile(daily, X.DAILY))
+    peers = scoring.means_of_peers(models.kmeans_peers(users, X.PEERS, 8), X.PEERS)
+    vector = X.user_vector(daily, peers)
     model = models.fit_autoencoder(vector, X.VECTOR, "user", F.col("user").cast("int") % 15 != 0)
     return models.autoencoder_score(vector, model).select("user", F.col("score").alias("ae_live"))
 
@@ -248,3 +260,13 @@ def kfold_inductive(spark, sf_dir) -> DataFrame:
 def stacked_score(spark, sf_dir) -> DataFrame:
     both = scoring.batch_rule(profile(spark, sf_dir)).select("user", "rule_score").join(user_scores(spark, sf_dir), "user")
     return models.stacked(both, ["rule_score", "score"], "label", "user").select("user", "label", "fold", "stack_score")
+
+
+@query()
+def boosted_score(spark, sf_dir) -> DataFrame:
+    """Boosted trees on the users' 63 figures, fitted on pseudo-labels of their reconstruction scores; 20 rounds instead of 200."""
+    users = profile(spark, sf_dir)
+    features = [c for c in users.columns if c.endswith(("_mean", "_max", "_sum"))]
+    model = models.fit_autoencoder(users, features, "user", F.col("user").cast("int") % 15 != 0)
+    scored = models.autoencoder_score(users, model).select("user", F.col("score").alias("ae_score"), *features)
+    return models.boosted(scored, features, "ae_score", rounds=20).select("user", "ae_score", "pseudo", "boost_score")

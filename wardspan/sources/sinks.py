@@ -26,6 +26,16 @@ def sorted_csv(df: DataFrame, path: str, score: str = "score") -> None:
     df.orderBy(F.desc(score), *[c for c in df.columns if c != score]).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def alert_table(spark: SparkSession, path: str, buckets: int = 64) -> Store:
+    """An alert table in buckets by id; an alert's newest row counts."""
+    return Store(spark, path, ["alert_id"], ["updated_at"], buckets=buckets)
+
+
+def seed_live_scores(spark: SparkSession, path: str, scores: DataFrame, at) -> None:
+    """Puts scores made offline (user, ae_live, rule_live, rarity, event_count) into the table of live scores as of a time."""
+    upsert(spark, path, scores.withColumn("updated_at", F.lit(at)), ["user"], ["updated_at"])
+
+
 def upsert(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], order: list[str]) -> None:
     """Puts the newest row of each key into the table at path (store.Store), beside the old ones of its bucket."""
     Store(spark, path, keys, order).upsert(rows)
