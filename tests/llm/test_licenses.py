@@ -78,3 +78,34 @@ def test_query(spark, small):
         at = [i for i, _ in places]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (n, len(at), min(at, default=None), max(at, default=None))
         assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and 0 <= r["score"] <= 1
+
+
+def labels_of(tag):
+    _, places, accepted = licenses.scanner()(f"{licenses.TAG} {tag}")
+    return {p["label"] for p in places if p["sort"] == "tag"}, accepted
+
+
+def test_every_listed_identifier_is_found_and_no_other():
+    for name in licenses.KNOWN:
+        assert labels_of(name.upper())[0] == {name}, name
+    assert labels_of("GPL-2.0+")[0] == {"gpl-2.0+"} and labels_of("LicenseRef-own.1")[0] == {"licenseref-own.1"}
+    for name in ("BlueOak-1.0.0", "curl", "CECILL-2.1", "JSON", "CC-BY-NC-SA-4.0", "LGPL-2.1-or-later"):
+        assert labels_of(name)[0] == {name.lower()}
+    for name in ("mit-hello", "apache-9.9", "BSD-3-Clause-whatever-x", "gpl-2.0-later", "cc-by-5.0", "mit+0", "licenseref-"):
+        assert labels_of(name)[0] == set(), name
+    assert labels_of("curl AND mit-hello") == ({"curl"}, False)
+
+
+def test_exceptions_after_with_are_known_ones(tmp_path):
+    assert labels_of("Apache-2.0 WITH LLVM-exception") == ({"apache-2.0"}, True)
+    assert labels_of("Apache-2.0 WITH some-exception") == ({"apache-2.0"}, False)
+    assert labels_of("Apache-2.0 WITH some-exception OR MIT") == ({"apache-2.0", "mit"}, True)
+    (tmp_path / "names").write_text("My-Licence-1.0\n\nother\n")
+    assert {"my-licence-1.0", "other", "mit"} <= licenses.identifiers(str(tmp_path / "names"))
+
+
+def test_notice_phrases():
+    scan = licenses.scanner()
+    for phrase, label in licenses.OWN_PHRASES.items():
+        assert label in {p["label"] for p in scan(f"xx {phrase.upper()}, yy")[1]}, phrase
+    assert {p["label"] for p in scan("Creative Commons Attribution-ShareAlike 4.0")[1]} == {"cc-by", "cc-by-sa"}
