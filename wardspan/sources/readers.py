@@ -11,6 +11,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardspan.sources.envelopes import json_records
+
 # Columns of endpoint logs, and header aliases of audit-trail CSV exports.
 CERT_COLUMNS = {
     "logon": ["id", "date", "user", "pc", "activity"],
@@ -57,8 +59,10 @@ def records(text: Column) -> Column:
 
 
 def json_events(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
-    """raw: a JSON text per record. whole reads a file as one document, else each line is one; gzip is unpacked by name."""
-    lines = spark.read.text(path, wholetext=whole, recursiveFileLookup=True)
+    """raw: a JSON text per record. whole takes a file's documents as they come, of any size (envelopes.json_records()), else each line is one; gzip is unpacked by name."""
+    if whole:
+        return json_records(spark, path)
+    lines = spark.read.text(path, recursiveFileLookup=True)
     return lines.select(F.explode(records(F.col("value"))).alias("raw"))
 
 
@@ -104,7 +108,8 @@ def folder_events(spark: SparkSession, path: str) -> DataFrame:
     some = lambda glob: not held(glob).format("binaryFile").load(path).select("path").limit(1).isEmpty()
     for glob, whole in (("*.json", True), ("*.json.gz", True), ("*.jsonl", False), ("*.jsonl.gz", False), ("*.ndjson", False)):
         if some(glob):
-            out = out.unionByName(held(glob).text(path, wholetext=whole).select(F.explode(records(F.col("value"))).alias("raw")))
+            found = json_records(spark, path, glob=glob) if whole else held(glob).text(path).select(F.explode(records(F.col("value"))).alias("raw"))
+            out = out.unionByName(found)
     for glob in ("*.csv", "*.csv.gz"):
         if some(glob):
             out = out.unionByName(trail_rows(held(glob).csv(path, header=True)))
