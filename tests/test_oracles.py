@@ -11,6 +11,8 @@ from wardspan.plans import registry
 NAMES = [
     "cloud_user_day", "cloud_user_day_new_actions", "normalize_events", "time_columns", "daily_activity", "rarity_flags", "rolling_24h_features", "high_volume_1h",
     "batch_rule_score", "f1_optimal_threshold", "auroc", "average_precision", "flagged_shares", "alert_suppression", "case_history", "canonical_user", "interval_label_days", "file_extension",
+    "ingest_stream", "alert_status_stream", "alert_table", "events_by_ingest", "peer_context", "live_user_vector", "mixed_json", "trail_csv", "case_store", "live_upserts", "access_events", "time_texts",
+    "user_search", "live_score_lookup", "users_by_events", "top_user_detail",
 ]
 
 

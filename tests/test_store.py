@@ -35,6 +35,8 @@ def test_ten_rows_into_a_hundred_thousand(spark, tmp_path):
     s.delete_key(user="u3")
     assert s.read_key(user="u3").count() == 0 and s.read().count() == 99_999
     assert sum(f not in after for f in files(tmp_path)) <= 2
+    s.delete(spark.createDataFrame([("u5",), ("u6",), ("nobody",), (None,)], "user string"))
+    assert s.read().count() == 99_997
     s.purge()
     assert s.read().count() == 0 and s.read().columns == ["user", "at", "score"]
 

@@ -58,8 +58,13 @@ def get(cases: DataFrame, user: str) -> DataFrame:
 
 
 def store_of(spark: SparkSession, path: str) -> DataFrame:
-    """user, status, analyst, notes and history of a case store in one JSON object per file, keyed by user; history is text or a list."""
-    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).filter("v IS NOT NULL")
+    """store_rows() of a case store with one JSON object per file."""
+    return store_rows(spark.read.text(path, wholetext=True))
+
+
+def store_rows(texts: DataFrame) -> DataFrame:
+    """user, status, analyst, notes and history of JSON objects (value) keyed by user; history is text or a list. Broken objects go."""
+    doc = texts.select(F.try_parse_json("value").alias("v")).filter("v IS NOT NULL")
     each = doc.select(F.explode(F.try_variant_get("v", "$", "map<string, variant>")).alias("user", "r"))
     at = lambda k: F.try_variant_get("r", f"$.{k}", "string")
     history = F.from_json(at("history"), "array<struct<status string, analyst string, note string, timestamp string>>")

@@ -36,6 +36,19 @@ def counts_by(df: DataFrame, key: str, summed: str | None = None) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *([F.sum(summed).alias("total")] if summed else []))
 
 
+def primary_source(events: DataFrame) -> DataFrame:
+    """user and source: the source of most of a user's events, of several the first by name."""
+    counts = events.groupBy("user", "source").agg(F.count(F.lit(1)).alias("n_"))
+    return counts.groupBy("user").agg(F.min(F.struct((-F.col("n_")).alias("o"), "source")).alias("s_")).select("user", "s_.source")
+
+
+def users_by_events(events: DataFrame) -> DataFrame:
+    """user, event_count, sources and last_seen, and place: users in order of their number of events, then by name."""
+    of = F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources")
+    users = events.groupBy("user").agg(F.count(F.lit(1)).alias("event_count"), of, F.max("event_ts").alias("last_seen"))
+    return ranges.numbered(users, [F.desc("event_count"), F.col("user")], "place")
+
+
 def with_lookups(df: DataFrame, keys: list[str], needed: list[DataFrame], wanted: list[DataFrame]) -> DataFrame:
     """df with the columns of tables that have each key once; rows without a row in the needed ones go, and those without one in a wanted one have nulls."""
     for table, how in [*((t, "inner") for t in needed), *((t, "left") for t in wanted)]:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,6 +191,16 @@ class Store:
             gone &= F.col(c).eqNullSafe(F.lit(v))
         self._publish(self._rewritten(m, buckets, self._rows(m, buckets).filter(~gone)))
 
+    def delete(self, gone: DataFrame) -> None:
+        """Deletes the rows that meet a row of ``gone`` in its columns, which include ``by``; the buckets of its rows are written again."""
+        m = self.manifest()
+        touched = [str(r[0]) for r in gone.select(self._bucket(m.buckets)).distinct().collect()] if m.version else []
+        buckets = [b for b in touched if b in m.parts]
+        if buckets:
+            told = gone.select(*[F.col(c).alias(f"{c}_gone_") for c in gone.columns]).distinct()
+            meets = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_gone_")) for c in gone.columns])
+            self._publish(self._rewritten(m, buckets, self._rows(m, buckets).join(told, meets, "left_anti")))
+
     def purge(self) -> None:
         """Deletes all rows; the columns stay."""
         m = self.manifest()
