@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from wardspan.llm import langid
 
@@ -97,3 +98,13 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([(i, t, l) for i in range(30) for t, l in (("the words of a text", "en"), ("los textos de una casa", "es"))], "doc_id long, text string, lang string")
     asked = spark.createDataFrame([(1, "the words of a text " * 100_000)], "doc_id long, text string")
     assert [r["lang_pred"] for r in langid.predict(asked, langid.fit(df)).collect()] == ["en"]
+
+
+def test_too_many_labels_stop_with_a_message(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="lang has more than 3"):
+        langid.fit(df)
+    assert len(langid.fit(df.withColumn("lang", F.concat(F.lit("l"), (F.col("doc_id") % 3).cast("string")))).languages) == 3

@@ -54,3 +54,44 @@ def test_empty_table(spark):
     for name, stage in P.STAGES:
         out = stage(spark, docs, "")
         assert out.count() == 0 and (name == "sequences" or out.columns == docs.columns)
+
+
+def test_run_is_a_plain_chain_of_its_stages(spark, small):
+    """Everything after the first stage again, document by document."""
+    import re
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    known = {r["doc_id"]: r["text"] or "" for r in P.language(spark, docs, small).collect()}
+    assert len(known) > 100
+    groups = {}
+    for i, text in known.items():
+        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", text), []).append(i)
+    kept = sorted(min(ids, key=lambda i: (-len(known[i]), i)) for ids in groups.values())
+
+    def shingles(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        words = [w for w in re.split("[\x20\x09-\x0d]+", low) if w]
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, least = {i: shingles(known[i]) for i in kept}, {i: i for i in kept}
+
+    def top(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for n, a in enumerate(kept):
+        for b in kept[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                least[y] = x
+    kept = [i for i in kept if least[i] == i]
+    encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: len(encoder.encode(pii.masked(known[i]), add_special_tokens=False).ids) + 1 for i in kept}
+    rows = P.run(spark, small).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == want
+    assert sum(r["length"] for r in rows) == sum(want.values()) and len(known) - len(want) > 0

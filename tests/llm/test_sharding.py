@@ -44,3 +44,12 @@ def test_rows(spark):
     rows = {r["doc_id"]: r for r in sharding.extendible_shards(df, limit=100).collect()}
     assert len(rows) == 4 and rows[3]["shard_bytes"] == 500 and rows[1]["n_bytes"] == 0
     assert sharding.extendible_shards(df.limit(0), limit=100).count() == 0
+
+
+def test_a_very_long_text(spark):
+    sizes = {i: 300 for i in range(40)} | {40: 3_000_000, 41: 900}
+    df = spark.createDataFrame([(i, "z" * n) for i, n in sizes.items()], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in sharding.extendible_shards(df, limit=1000).collect()}
+    assert {i: r["n_bytes"] for i, r in rows.items()} == sizes
+    alone = [i for i, r in rows.items() if r["shard"] == rows[40]["shard"]]
+    assert alone == [40] and all(r["shard_bytes"] <= 1000 for i, r in rows.items() if i != 40)

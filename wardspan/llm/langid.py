@@ -22,6 +22,8 @@ from wardspan.llm.base import cut, documents, explode_texts, map_texts, slices
 SIZES = (3, 4)
 SLOTS = 1 << 18
 PROBES = 3
+#: Values of the label column at most; 64 of them take 2 MB of the model.
+MOST_LANGUAGES = 4096
 #: Documents per language that are learned from (about: by a hash of the id).
 FIT_DOCS = 2000
 #: Languages of one word of a slot.
@@ -98,12 +100,15 @@ def labelled(df: DataFrame, id_col: str, text_col: str, label_col: str) -> DataF
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", fit_docs: int = FIT_DOCS) -> Model:
     """A model of the languages in label_col, of any number; what reaches the driver is bounded by languages / MIN_SHARE.
 
-    It is learned from about ``fit_docs`` documents of each language. Null and
+    More than MOST_LANGUAGES are an error, as the model goes to every task. It is
+    learned from about ``fit_docs`` documents of each language. Null and
     empty texts and null labels teach nothing; a repeated row counts as often as
     it occurs, and without labelled rows the model has no languages.
     """
     known = labelled(df, id_col, text_col, label_col)
-    sizes = known.groupBy(F.col(label_col).alias("l")).count().collect()
+    sizes = known.groupBy(F.col(label_col).alias("l")).count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"{label_col} has more than {MOST_LANGUAGES} values, for which a model is not made: is it the right column?")
     languages = sorted(r["l"] for r in sizes)
     if not languages:
         return Model([], np.zeros((0, SLOTS), np.uint64), np.zeros(0))
