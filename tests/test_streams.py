@@ -61,3 +61,13 @@ def test_events_without_a_time_or_an_object(spark):
     fired = ingest.fired(out).collect()
     assert [(r["event_id"], r["alert_type"]) for r in fired if r["alert_type"] == "new_user"] == [(2, "new_user")]
     assert {r["event_count"] for r in ingest.live_scores(out).collect()} == {3}
+
+
+def test_replays(spark):
+    from wardspan.operators import ingest
+
+    rows = [(i, "cert_http", f'{{"user": "u{i}", "date": "01/0{9 - i}/2010 03:04:05"}}') for i in range(5)] + [(7, "cert_http", "{"), (8, "nowhere", "{}"), (9, None, "{}")]
+    raw = spark.createDataFrame(rows, "event_id long, source string, raw string")
+    assert sorted((str(r["source"]), r["events"], r["rejected"]) for r in ingest.dry_run(raw).collect()) == [("None", 0, 1), ("cert_http", 5, 1), ("nowhere", 0, 1)]
+    assert sorted((r["event_id"], r["user"]) for r in ingest.replay(raw, "me", 2).collect()) == [(3, "me"), (4, "me")]
+    assert ingest.replay(raw).count() == 5

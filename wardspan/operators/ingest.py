@@ -19,6 +19,20 @@ def stored(raw: DataFrame, also: list[str] | None = None) -> DataFrame:
     return good.withColumns({"event_ts": T.parse_any(F.col("timestamp")), "country": F.coalesce(F.col("metadata")["country"], F.lit(""))}).select(*STORED, *(also or []))
 
 
+def replay(raw: DataFrame, user: str | None = None, limit: int | None = None) -> DataFrame:
+    """What a replay of raw events would store: the first ``limit`` of them by time, then id, all of one user if told; rejects don't count."""
+    out = stored(raw)
+    if limit is not None:
+        out = out.orderBy(F.col("event_ts").asc_nulls_last(), "event_id").limit(limit)
+    return out if user is None else out.withColumn("user", F.lit(user))
+
+
+def dry_run(raw: DataFrame) -> DataFrame:
+    """What a replay would do, without storing anything: source, events and rejected."""
+    good = normalize.valid(raw)
+    return raw.groupBy("source").agg(F.count_if(good).alias("events"), F.count_if(~good).alias("rejected"))
+
+
 def scored(events: DataFrame, ae_live: DataFrame | None = None, rule: dict[str, tuple[float, int]] = scoring.LIVE_RULE, cap: int | None = history.CAP, hours: int = 24) -> DataFrame:
     """Stored events with their features, total_events, flags and rarity, sums over the last hours, rule_live and ae_live.
 

@@ -147,3 +147,18 @@ def alert_status_stream(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {SCORED_SQL} SELECT "user", ae_live, rule_live, rarity, seq AS event_count FROM scored QUALIFY seq = max(seq) OVER (PARTITION BY "user")""")
 def ingest_live_scores(spark, sf_dir) -> DataFrame:
     return I.live_scores(scored(spark, sf_dir))
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT CASE WHEN k % 9 = 1 THEN 'nowhere' WHEN source = 'github_events' THEN 'cert_email' WHEN source = 'aws_cloudtrail' AND k % 2 = 0 THEN 'cert_device' WHEN source = 'aws_cloudtrail' THEN 'cert_logon' ELSE source END AS source,
+    count(*) FILTER (k % 10 > 0 AND k % 9 <> 1) AS events, count(*) FILTER (k % 10 = 0 OR k % 9 = 1) AS rejected FROM ev GROUP BY 1""")
+def replay_dry_run(spark, sf_dir) -> DataFrame:
+    """What a replay would take, where a tenth of the texts is broken and some sources are unknown."""
+    raw = raw_events(events(spark, sf_dir), ["k"])
+    broken = raw.withColumn("raw", F.when(F.col("k") % 10 == 0, F.expr("substring(raw, 1, length(raw) - 1)")).otherwise(F.col("raw")))
+    return I.dry_run(broken.withColumn("source", F.when(F.col("k") % 9 == 1, "nowhere").otherwise(F.col("source"))))
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT event_id, 'demo' AS "user", event_ts FROM ev ORDER BY event_ts, event_id LIMIT 500""")
+def replay_of_one_user(spark, sf_dir) -> DataFrame:
+    """The first 500 events as those of one user, as a replay's limit and override have it."""
+    return I.replay(raw_events(events(spark, sf_dir)), "demo", 500).select("event_id", "user", "event_ts")
