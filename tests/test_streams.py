@@ -71,3 +71,19 @@ def test_replays(spark):
     assert sorted((str(r["source"]), r["events"], r["rejected"]) for r in ingest.dry_run(raw).collect()) == [("None", 0, 1), ("cert_http", 5, 1), ("nowhere", 0, 1)]
     assert sorted((r["event_id"], r["user"]) for r in ingest.replay(raw, "me", 2).collect()) == [(3, "me"), (4, "me")]
     assert ingest.replay(raw).count() == 5
+
+
+@pytest.mark.parametrize("part", ["metadata", "offsets", "commits"])
+def test_a_corrupt_checkpoint_begins_again(spark, tmp_path, part):
+    source, kept = str(tmp_path / "in"), str(tmp_path / "kept")
+    stream = lambda: spark.readStream.schema("id long").parquet(source)
+    for k in range(2):
+        spark.range(10 * k, 10 * k + 10).coalesce(1).write.mode("append").parquet(source)
+        assert streams.run_available(stream(), folder=kept).count() == 10 * k + 10
+    path = tmp_path / "kept" / "state" / part
+    newest = path if path.is_file() else max(path.glob("[0-9]*"), key=lambda p: int(p.name))
+    newest.write_text("v1\n{broken" if part != "metadata" else "{")
+    (newest.parent / f".{newest.name}.crc").unlink(missing_ok=True)
+    assert not streams.is_sound(spark, f"{kept}/state")
+    assert sorted(r["id"] for r in streams.run_available(stream(), folder=kept).collect()) == list(range(20))
+    assert streams.is_sound(spark, f"{kept}/state") and len(list((tmp_path / "kept").glob("broken-*/state"))) == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -96,6 +97,55 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_top(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _texts(spark: SparkSession, folder: str) -> list[str]:
+    """The newest log file of a checkpoint's part, or the file itself; none if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    numbered = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().isdigit()] if fs.getFileStatus(at).isDirectory() else [at]
+    out = []
+    for p in sorted(numbered, key=lambda p: int(p.getName()) if p.getName().isdigit() else 0)[-1:]:
+        source = fs.open(p)
+        try:
+            out.append(spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
+    return out
+
+
+def is_sound(spark: SparkSession, state: str) -> bool:
+    """Whether a checkpoint's identity, newest offsets and newest commit can be read; one that isn't there is sound."""
+    def is_json(text: str) -> bool:
+        try:
+            json.loads(text)
+        except ValueError:
+            return False
+        return True
+
+    for text in _texts(spark, f"{state}/metadata"):
+        if not is_json(text):
+            return False
+    for part in ("offsets", "commits"):
+        for text in _texts(spark, f"{state}/{part}"):
+            head, *lines = text.strip().split("\n")
+            if not head.startswith("v") or not lines or not all(line == "-" or is_json(line) for line in lines):
+                return False
+    return True
+
+
+def set_aside(spark: SparkSession, folder: str) -> str:
+    """Moves what a stream keeps in a folder into one of its own, so that the next start is a fresh one; gives its place."""
+    to = f"{folder}/broken-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(to))
+    for part in ("state", "out"):
+        if fs.exists(path(folder, part)):
+            fs.rename(path(folder, part), path(to, part))
+    return to
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A shared folder that is deleted in the end; what is to outlive it has to be cut."""
@@ -127,10 +177,14 @@ def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600, f
     """Runs a stream over what is there and gives its rows, of earlier starts on the same folder too.
 
     batch_ is a row's batch: in update mode a key's last row counts and others go
-    by the caller. Without a folder the rows are cut and nothing else is kept.
+    by the caller. Without a folder the rows are cut and nothing else is kept. A
+    folder whose checkpoint can't be read is set aside, and the stream begins
+    again with all its input.
     """
     spark, top = stream.sparkSession, folder or shared_folder(stream.sparkSession)
     out = f"{top}/out"
+    if not is_sound(spark, f"{top}/state"):
+        set_aside(spark, top)
 
     def put(df: DataFrame, batch: int) -> None:
         df.withColumn("batch_", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/b={batch}")
