@@ -46,3 +46,13 @@ def test_metadata_and_rejects(normal):
     assert json.loads(good[0]["metadata"]["userIdentity"]) == {"userName": "alice"}
     assert "cc" not in good[12]["metadata"] and good[12]["metadata"]["to"] == "a@b"
     assert bad == {90: "unknown source", 91: "not a JSON object", 92: "not a JSON object", 93: "unknown source"}
+
+
+def test_fields_that_nobody_reads_are_not_made(spark):
+    from wardspan.operators import normalize
+
+    raw = spark.createDataFrame([("cert_http", "{}")], "source string, raw string")
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("variant_get")
+    every, one = reads(normalize.normalize(raw)), reads(normalize.normalize(raw).select("ip_address"))
+    assert every > 60 and one < every / 8
+    assert normalize.normalize(raw).select("source").count() == 1

@@ -258,3 +258,42 @@ def health(spark, sf_dir) -> DataFrame:
     found = cut(cases.records(case_log(spark, sf_dir)))
     told = catalog.health(found, events(spark, sf_dir).select("user").distinct())
     return told.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("status").alias("kinds")))).select("n", "kinds", "status", "live_users", "batch_users")
+
+
+KINDS = [*normalize.HOSTING_ACTIONS, "OtherEvent"]
+HOSTING_SQL = " ".join(f"WHEN '{kind}' THEN '{shown}'" for kind, shown in normalize.HOSTING_ACTIONS.items())
+
+
+@query(f"""WITH {EVENTS_SQL}, t AS (SELECT *, {KINDS}[k % {len(KINDS)} + 1] AS kind, ['opened', 'closed', NULL][k % 3 + 1] AS verb FROM ev)
+    SELECT event_id, 'g' || "user" AS "user", 'o/r' || k AS resource, strftime(event_ts, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, CASE WHEN kind = 'PullRequestEvent' AND verb IS NOT NULL THEN 'PR ' || verb
+      WHEN kind = 'IssuesEvent' AND verb IS NOT NULL THEN 'Issue ' || verb WHEN kind = 'PushEvent' THEN 'Code push (' || (k % 4) || CASE WHEN k % 4 = 1 THEN ' commit)' ELSE ' commits)' END
+      ELSE CASE kind {HOSTING_SQL} ELSE kind END END AS action FROM t""")
+def hosting_events(spark, sf_dir) -> DataFrame:
+    """Source-hosting events of every known type and of an unknown one; pushes with the number of commits, requests and issues with what was done."""
+    e, k = events(spark, sf_dir), F.col("k")
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    payload = F.struct(at(["opened", "closed", None]).alias("action"), (k % 4).alias("size"))
+    raw = F.to_json(F.struct(
+        at(KINDS).alias("type"), F.struct(F.concat(F.lit("g"), "user").alias("login")).alias("actor"), F.struct(F.concat(F.lit("o/r"), k.cast("string")).alias("name")).alias("repo"), payload.alias("payload"),
+        text_of(e).alias("created_at"),
+    ))
+    told = normalize.normalize(e.select("event_id", F.lit("github_events").alias("source"), raw.alias("raw")))
+    return told.select("event_id", "user", "resource", "timestamp", "action")
+
+
+@query(f"""WITH {EVENTS_SQL} SELECT CASE k % 9 {" ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(normalize.NORMALISERS))} END AS source, count(*) AS n, count(DISTINCT CASE WHEN k % 9 < 3 OR k % 9 = 8 THEN 'c' || "user" ELSE "user" END) AS users FROM ev GROUP BY 1""")
+def all_sources(spark, sf_dir) -> DataFrame:
+    """Events of all nine sources in one plan."""
+    e = events(spark, sf_dir)
+    name = F.concat(F.lit("c"), "user")
+    raw = {
+        "aws_cloudtrail": F.struct(F.struct(name.alias("userName")).alias("userIdentity"), F.col("action").alias("eventName")),
+        "azure_ad": F.struct(name.alias("userPrincipalName")),
+        "cloudflare_access": F.struct(name.alias("user_email")),
+        "github_events": F.struct(F.struct(name.alias("login")).alias("actor")),
+    }
+    told, source = F.to_json(F.struct("user", text_of(e, "MM/dd/yyyy HH:mm:ss").alias("date"))), F.lit(None)
+    for i, kind in enumerate(normalize.NORMALISERS):
+        source = F.when(F.col("k") % 9 == i, kind).otherwise(source)
+        told = F.when(F.col("k") % 9 == i, F.to_json(raw[kind])).otherwise(told) if kind in raw else told
+    return normalize.normalize(e.select(source.alias("source"), told.alias("raw"))).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user").alias("users"))
