@@ -56,19 +56,22 @@ def with_lookups(df: DataFrame, keys: list[str], needed: list[DataFrame], wanted
     return df
 
 
-def list_users(users: DataFrame, risk: str | None = None, source: str = "all", q: str = "", limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of users: tier first, then score, then name."""
+def list_users(users: DataFrame, risk: str | None = None, source: str = "all", q: str = "", limit: int | None = 100, offset: int = 0) -> DataFrame:
+    """A page of users: tier first, then score, then name; with limit None all of them from the offset on, in no order where that is 0."""
     if risk is not None and risk not in TIERS:
         raise ValueError(f"risk has to be one of {TIERS}")
     if source not in ORIGINS:
         raise ValueError(f"source has to be one of {ORIGINS}")
-    if not 0 <= limit <= 5000 or offset < 0:
-        raise ValueError("limit has to be 0 to 5000, offset 0 or more")
+    if limit is not None and not 0 <= limit <= 5000 or offset < 0:
+        raise ValueError("limit has to be 0 to 5000 or None, offset 0 or more")
     out = users if risk is None else users.filter(F.col("tier") == risk)
     out = out if source == "all" else out.filter(F.col("source") == source)
     if q.strip():
         out = out.filter(F.lower("user").contains(q.strip().lower()))
-    return out.orderBy(tier_rank(F.col("tier")), F.desc("score"), "user").offset(offset).limit(limit)
+    if limit is None and not offset:
+        return out
+    out = out.orderBy(tier_rank(F.col("tier")), F.desc("score"), "user").offset(offset)
+    return out if limit is None else out.limit(limit)
 
 
 def stats(users: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def live(spark, sf_dir) -> DataFrame:
 def user_search(spark, sf_dir) -> DataFrame:
     """Users of two tiers whose name holds a text, whatever its case and blanks around it."""
     users = cut(tiered(spark, sf_dir))
-    found = [catalog.list_users(users, risk=risk, source="cert", q=" 1 ", limit=5000) for risk in ("Medium", "Low")]
+    found = [catalog.list_users(users, risk=risk, source="cert", q=" 1 ", limit=None) for risk in ("Medium", "Low")]
     return found[0].unionByName(found[1]).select("user", "score", "tier")
 
 
