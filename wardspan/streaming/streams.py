@@ -161,7 +161,7 @@ def rows_stream(spark: SparkSession, folder: str, schema: StructType) -> DataFra
     return spark.readStream.schema(StructType([*schema.fields, StructField("b", IntegerType())])).parquet(f"{folder}/out").drop("b")
 
 
-def ingest_stream(raw: DataFrame, folder: str, ae_live: DataFrame | None = None, timeout: int = 600, **how) -> DataFrame:
+def ingest_stream(raw: DataFrame, folder: str, ae_live: DataFrame | None = None, timeout: int | None = None, **how) -> DataFrame:
     """Scored events (arrivals.scored()) of a stream of raw ones (event_id, source, raw) so far; what it keeps lies in ``folder``.
 
     What came before an event is in the state of its user, so a batch's work
@@ -173,7 +173,7 @@ def ingest_stream(raw: DataFrame, folder: str, ae_live: DataFrame | None = None,
         return run_available(arrivals.scored(raw, ae_live, **how), timeout=timeout, folder=folder).drop("batch_")
 
 
-def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600, folder: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", timeout: int | None = None, folder: str | None = None) -> DataFrame:
     """Runs a stream over what is there and gives its rows, of earlier starts on the same folder too.
 
     batch_ is a row's batch: in update mode a key's last row counts and others go
@@ -191,7 +191,7 @@ def run_available(stream: DataFrame, mode: str = "append", timeout: int = 600, f
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).foreachBatch(put).start()
     try:
-        if not query.awaitTermination(timeout):
+        if query.awaitTermination(timeout) is False:
             raise TimeoutError("the stream didn't end")
         try:
             rows = spark.read.option("basePath", out).parquet(out).drop("b")
