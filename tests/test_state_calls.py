@@ -87,3 +87,12 @@ def test_a_busy_hour_is_a_block_of_its_own():
     at = np.concatenate([np.arange(10) * arrivals.HOUR, 10 * arrivals.HOUR + np.arange(5000), np.arange(11, 20) * arrivals.HOUR])
     user.store(at, np.ones((len(at), 1), np.int64), {})
     assert sorted(k for (k,) in handle.states["hours"].kept) == [9, 10, 19]
+
+
+def test_alerts_take_two_calls():
+    handle, n = Calls(), 200
+    state = arrivals.RecentAlerts(60 * 60_000_000, 1000)
+    state.init(handle)
+    rows = pd.DataFrame({"user": "u", "alert_type": "a", "severity": "High", "event_id": "1", "at": np.arange(n) * 10 * 60_000_000, "tie": 0, "is_change": False, "active": True, "alert_id": range(n)})
+    fired = pd.concat(state.handleInputRows(("u", "a"), iter([rows]), Clock()))
+    assert fired["alert_id"].tolist() == list(range(0, n, 7)) and handle.n <= 2
