@@ -87,3 +87,13 @@ def test_a_corrupt_checkpoint_begins_again(spark, tmp_path, part):
     assert not streams.is_sound(spark, f"{kept}/state")
     assert sorted(r["id"] for r in streams.run_available(stream(), folder=kept).collect()) == list(range(20))
     assert streams.is_sound(spark, f"{kept}/state") and len(list((tmp_path / "kept").glob("broken-*/state"))) == 1
+
+
+def test_the_state_of_hopping_windows_are_hours(spark, small):
+    from wardspan.sources.tables import table
+
+    hours = streams.run_available(streams.hourly_counts(streams.event_stream(spark, f"{small}/events.parquet", files_per_batch=None)), "update")
+    want = table(spark, small, "events").select("user_id", F.date_trunc("hour", "ts")).distinct().count()
+    assert hours.count() == want
+    whole = streams.run_available(streams.hopping(streams.event_stream(spark, f"{small}/events.parquet", files_per_batch=None)), "update").drop("batch_")
+    assert sorted(map(tuple, streams.hopped(hours).collect())) == sorted(map(tuple, whole.collect()))

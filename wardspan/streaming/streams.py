@@ -63,6 +63,19 @@ def hopping(stream: DataFrame, delay: str = "1 hour", length: str = "24 hours",
     )
 
 
+def hourly_counts(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Events of each user and hour: what the state of windows that hop by an hour has to hold."""
+    counts = stream.withWatermark("event_ts", delay).groupBy("user", F.window("event_ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("user", T.utc_clock(F.col("w.start")).alias("hour"), "n")
+
+
+def hopped(hours: DataFrame, length: int = 24) -> DataFrame:
+    """The rows of hopping() from those of hourly_counts() in update mode (batch_): an hour's last count is in each window of ``length`` hours that it lies in."""
+    last = hours.repartition("user").groupBy("user", "hour").agg(F.max(F.struct("batch_", "n")).alias("l"))  # a user's hours are few
+    ends = last.select("user", "hour", F.col("l.n").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(length))).alias("i"))
+    return ends.groupBy("user", (F.col("hour") + F.make_dt_interval(hours="i")).alias("window_end")).agg(F.sum("n").alias("events_in_window"))
+
+
 def alerts(stream: DataFrame, minutes: int = 60, delay: str = "1 day") -> DataFrame:
     """Events of type error as alerts, one per user in so many minutes; state is a user's last alert time.
 
