@@ -80,3 +80,12 @@ def test_flags_need_few_scans(spark, small, monkeypatch):
         scans.clear()
         count(registry.QUERIES[name](spark, small))
         assert sum(scans) <= most, (name, scans)
+
+
+def test_seen_keys_take_one_join(spark):
+    """Numbers in blocks: events meet only the flags that are true."""
+    rows = spark.range(50).selectExpr("'u' AS user", "id + 1 AS seq", "concat('a', id % 7) AS action")
+    out = history.first_time_action(rows, 5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert out.filter("first_time_action").count() == 50 and history.first_time_action(rows, 6 + 1).filter("first_time_action").count() == 7
