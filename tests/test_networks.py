@@ -130,3 +130,36 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(0,)] * 30 + [(1,)] * 10, "y int")
     sums = {r["y"]: r["w"] for r in df.withColumn("w", models.balanced(df, "y")).groupBy("y").agg(F.sum("w").alias("w")).collect()}
     assert sums == pytest.approx({0: 20.0, 1: 20.0})
+
+
+def plain_adam(plan, x, epochs, seed):
+    """The optimiser parameter by parameter; the last parameters stay."""
+    net, rng = Network.new(x.shape[1], plan, 42), np.random.default_rng([seed, 0])
+    m = {p: np.zeros_like(net.layers[p[0]][p[1]]) for p in net.trained()}
+    v, steps = {p: a.copy() for p, a in m.items()}, 0
+    for _ in range(epochs):
+        order = rng.permutation(len(x))
+        for a in range(0, len(x), plan.batch):
+            grads = net.gradients(x[order[a : a + plan.batch]], rng)
+            norm, steps = np.sqrt(sum((g * g).sum() for g in grads.values())), steps + 1
+            for p, g in grads.items():
+                w = net.layers[p[0]][p[1]]
+                g = g * min(1.0, plan.clip / (norm + 1e-6)) + plan.decay * w
+                m[p] += 0.1 * (g - m[p])
+                v[p] += 0.001 * (g * g - v[p])
+                w -= plan.rate * (m[p] / (1 - 0.9**steps)) / (np.sqrt(v[p] / (1 - 0.999**steps)) + 1e-8)
+    return net
+
+
+def test_one_vector_moves_as_single_parameters_do():
+    x, plan = np.random.default_rng(3).normal(size=(100, 4)), small_plan(clip=0.1, batch=16)
+    new = Network.new(4, plan, 42)
+    size = sum(new.layers[i][k].size for i, k in new.trained())
+    for epochs in (1, 2):
+        got = networks.train(4, plan, State(new.vector(), np.zeros(size), np.zeros(size)), x, x[:0], epochs, 7)
+        want = plain_adam(plan, x, epochs, 7)
+        assert np.allclose(got.vector, want.vector(), atol=1e-10) and got.steps == 7 * epochs
+
+
+def test_rows_of_a_large_table_are_dealt_to_as_many_tasks_as_cores():
+    assert 250_000 / networks.TASK_ROWS >= 12
