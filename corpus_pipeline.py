@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed sequences out.
 
 Each stage calls one operator of wardspan.llm on all rows that the stage before
-it kept, and all but the last return the columns of documents.
+it kept, and all but the last return the columns of documents. Stages whose texts
+go to Python bound the session's Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardspan.llm import exact, langid, minhash, packing, pii
-from wardspan.llm.base import by_ids, cut, documents, free_name
+from wardspan.llm.base import bounded_batches, by_ids, cut, documents, free_name
 
 #: A text with a smaller share of known n-grams is in no known language.
 LEAST_LANGUAGE_SCORE = 0.1
@@ -26,6 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one and stay as often as they occur. Where nothing can be learned, as in an
     empty table or one without labels, every text with a letter stays.
     """
+    bounded_batches(spark)
     model, told = langid.fit(docs), free_name(docs)
     if not model.languages:
         return docs.filter(langid.has_letter("text"))
@@ -49,6 +51,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words have none and stay. Rows of one id are one document: all
     of them stay or go. An empty table gives none.
     """
+    bounded_batches(spark)
     groups = minhash.near_groups(docs, SHINGLE_WORDS, NEAR_PERCENT)
     return by_ids(docs, groups.filter(~F.col("kept")).select("doc_id").distinct(), "left_anti")
 
@@ -59,6 +62,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Every row stays, repeated ones too; a null text stays null, an empty one
     empty. An empty table gives none.
     """
+    bounded_batches(spark)
     return docs.withColumn("text", pii.mask_pii("text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
@@ -68,6 +72,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are their end token; repeated rows are packed as often
     as they occur. An empty table gives no sequences.
     """
+    bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm.base import cut, documents, explode_texts, map_texts, slices
+from wardspan.llm.base import SLICE_ROWS, cut, documents, explode_texts, map_texts, slices
 
 SIZES = (3, 4)
 SLOTS = 1 << 18
@@ -28,6 +28,8 @@ MOST_LANGUAGES = 4096
 FIT_DOCS = 2000
 #: Languages of one word of a slot.
 WORD = 64
+#: Characters whose n-grams are looked up at once (a longer text alone): about 100 bytes of arrays for each.
+SCORE_CHARS = 1 << 17
 #: An n-gram belongs to a language with this share of its n-grams, and this part of the share of the language that has most.
 MIN_SHARE = 2e-5
 MIN_PART = 0.1
@@ -170,9 +172,9 @@ def scores(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def decide(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    if not model.languages:
+    if not model.languages or not texts:
         return ["und"] * len(texts), np.zeros(len(texts))
-    found, total = scores(model, texts)
+    found, total = map(np.concatenate, zip(*(scores(model, part) for _, part in slices(texts, texts, SCORE_CHARS))))
     best = found.argmax(axis=1)
     has = [any(map(str.isalpha, t)) for t in texts]
     share = np.clip(found[np.arange(len(texts)), best] / np.maximum(total, 1), 0, 1)
@@ -206,8 +208,8 @@ def language_of(model: Model, spark: SparkSession):
     @F.arrow_udf("struct<lang_pred string, score double>")
     def call(texts: pa.Array) -> pa.Array:
         known, pred, score = shared.value, [], []
-        for _, part in slices([None] * len(texts), [t or "" for t in texts.to_pylist()]):
-            p, s = decide(known, part)
+        for start in range(0, len(texts), SLICE_ROWS):
+            p, s = decide(known, [t or "" for t in texts.slice(start, SLICE_ROWS).to_pylist()])
             pred += p
             score.append(s)
         return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())], ["lang_pred", "score"])

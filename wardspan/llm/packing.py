@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardspan.llm.base import documents, slices
+from wardspan.llm.base import batch_slices, documents
 from wardspan.llm.bpe import LETTERS, PUNCTUATION, PieceCache, byte_table, lists
 
 CAPACITY = 2048
@@ -192,7 +192,7 @@ def pack_documents(
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for docs, texts in slices(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for docs, texts in batch_slices(batch):
                 placed = []
                 for doc, text in zip(docs, texts):
                     ids = np.append(bpe.encode(text), np.uint32(end_id)).astype("<u4")
