@@ -30,6 +30,22 @@ def test_pieces_are_forgotten_in_time():
         assert len(cache.at) <= 1 << 16 and len(cache.starts) <= 1 << 16
 
 
+def test_frequent_pieces_outlast_others():
+    calls = []
+    cache = bpe.PieceCache(lambda p: calls.append(p) or [int(p)])
+    for start in range(20_000, 300_000, 5_000):
+        pieces = [str(i) for i in (*range(20_000), *range(start, start + 5_000))]
+        assert cache.encode(pieces).tolist() == [int(p) for p in pieces]
+    assert len(calls) == 300_000
+
+
+def test_long_pieces_are_encoded_but_not_kept():
+    cache = bpe.PieceCache(lambda p: [len(p)] * (len(p) % 3))
+    pieces = ["a" * (i % 60 + 1) for i in range(100_000)]
+    assert cache.encode(pieces).tolist() == [n for p in pieces for n in [len(p)] * (len(p) % 3)]
+    assert max(map(len, cache.at)) == bpe.CACHE_CHARS and cache.encode([]).tolist() == []
+
+
 def test_scores_of_long_runs_are_those_of_single_texts():
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]

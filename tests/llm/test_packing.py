@@ -24,6 +24,31 @@ def test_same_ids_as_the_library():
         assert coder.encode(text).tolist() == other.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_a_small_table_are_those_of_the_library(monkeypatch):
+    monkeypatch.setattr(packing, "TABLE_SLOTS", 16)
+    monkeypatch.setattr(packing, "TABLE_RUN", 7)
+    coder, other, rng = packing.WordBpe(open(PATH).read()), library(), random.Random(2)
+    words = ["the", "THE", "ÀÉß", "x" * 16, "x" * 17, "é" * 16, "Straßenbahnhaltestelle", "y" * 60, "a1b22", "!!", "!!!", "a.b", "", "\t", "\n\r "]
+    for _ in range(60):
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) + rng.choice(["", "", "日本", "<|endoftext|>"]) for _ in range(rng.randrange(6))]
+        found = coder.encode_all(texts)
+        assert [x.tolist() for x in found] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_frequent_words_are_encoded_few_times():
+    coder, calls = packing.WordBpe(open(PATH).read()), []
+
+    class Model:
+        tokenize = staticmethod(lambda piece, whole=coder.model: calls.append(piece) or whole.tokenize(piece))
+
+    coder.model = Model
+    names = ["".join(chr(97 + n // 26**k % 26) for k in range(5)) for n in range(180_000)]
+    frequent, others = names[:20_000], names[20_000:]
+    for start in range(0, len(others), 8_000):
+        coder.encode(" ".join(frequent + others[start : start + 8_000]))
+    assert len(calls) <= len(others) + 3 * len(frequent)
+
+
 def check(rows, texts, most_padding):
     other, by_doc, by_sequence = library(), defaultdict(list), defaultdict(list)
     for r in rows:

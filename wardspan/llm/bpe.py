@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import json
 import re
 
@@ -111,47 +112,65 @@ def gather(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarr
 
 
 class PieceCache:
-    """Ids of the pieces of texts, each encoded once by ``encode_piece`` and kept in one flat array; emptied when full."""
+    """Ids of the pieces of texts, each encoded by ``encode_piece`` when it is missing and kept in one flat array.
+
+    A full cache keeps the half of its entries that most calls met, so that pieces
+    met once don't push out frequent ones. It never has more than CACHE_ENTRIES.
+    """
 
     def __init__(self, encode_piece) -> None:
         self.encode_piece = encode_piece
-        self.clear()
-
-    def clear(self) -> None:
+        #: Each piece's number: its place in order of arrival.
         self.at: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
+        self.flat = np.zeros(0, np.uint32)
+        self.starts, self.counts, self.met = (np.zeros(CACHE_ENTRIES, np.int64) for _ in range(3))
         self.used = 0
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.counts = np.zeros(1 << 16, np.int64)
-
-    def add(self, piece: str) -> None:
-        ids, n = self.encode_piece(piece), len(self.at)
-        if n == len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.at[piece], self.starts[n], self.counts[n] = n, self.used, len(ids)
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+
+    def shrink(self) -> None:
+        """Keeps the entries met most; what they were met for counts half from now on."""
+        n = len(self.at)
+        keep = np.sort(np.argpartition(-self.met[:n], CACHE_ENTRIES // 2)[: CACHE_ENTRIES // 2]) if n > CACHE_ENTRIES // 2 else np.arange(n)
+        names, m = list(self.at), len(keep)
+        self.at = {names[i]: k for k, i in enumerate(keep.tolist())}
+        counts = self.counts[keep]
+        self.flat = gather(self.flat, self.starts[keep], counts)
+        self.used = len(self.flat)
+        self.counts[:m], self.starts[:m], self.met[:m] = counts, np.cumsum(counts) - counts, self.met[keep] // 2
+        self.met[m:] = 0
+
+    def add(self, pieces: list[str]) -> None:
+        found, n = list(map(self.encode_piece, pieces)), len(self.at)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(counts.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used, 1 << 16), np.uint32)])
+        self.flat[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
+        self.counts[n : n + len(found)] = counts
+        self.starts[n : n + len(found)] = self.used + np.cumsum(counts) - counts
+        self.at.update(zip(pieces, range(n, n + len(found))))
+        self.used += total
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
 
     def short(self, pieces: list[str]) -> np.ndarray:
-        new = set(pieces).difference(self.at)
+        """Ids of at most half of CACHE_ENTRIES pieces."""
+        which = self.numbers(pieces)
+        missing = np.flatnonzero(which < 0).tolist()
+        new = list(dict.fromkeys(map(pieces.__getitem__, missing)))
+        if new and max(map(len, new)) > CACHE_CHARS:
+            return self.mixed(pieces)
+        if len(self.at) + len(new) > CACHE_ENTRIES:
+            self.shrink()
+            return self.short(pieces)
         if new:
-            if len(self.at) + len(new) > CACHE_ENTRIES:
-                self.clear()
-                new = set(pieces)
-            for piece in new:
-                self.add(piece)
-        which = np.array(list(map(self.at.__getitem__, pieces)), np.int64)
+            self.add(new)
+            which[missing] = self.numbers(list(map(pieces.__getitem__, missing)))
+        self.met[which] += 1
         return gather(self.flat, self.starts[which], self.counts[which])
 
-    def encode(self, pieces: list[str]) -> np.ndarray:
-        """Ids of all pieces in order; those over CACHE_CHARS aren't kept."""
-        if not pieces:
-            return np.zeros(0, np.uint32)
-        if max(map(len, pieces)) <= CACHE_CHARS:
-            return self.short(pieces)
+    def mixed(self, pieces: list[str]) -> np.ndarray:
+        """The same with pieces over CACHE_CHARS, which aren't kept."""
         out, run = [], []
         for p in pieces:
             if len(p) <= CACHE_CHARS:
@@ -163,6 +182,13 @@ class PieceCache:
             out.append(np.array(self.encode_piece(p), np.uint32))
         return np.concatenate([*out, self.short(run)] if run else out)
 
+    def encode(self, pieces: list[str]) -> np.ndarray:
+        """Ids of all pieces in order."""
+        step = CACHE_ENTRIES // 2
+        if len(pieces) <= step:
+            return self.short(pieces)
+        return np.concatenate([self.short(pieces[i : i + step]) for i in range(0, len(pieces), step)])
+
 
 class ByteBpe:
     """Encodes and decodes with one byte-level vocabulary."""

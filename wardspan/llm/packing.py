@@ -10,6 +10,7 @@ where a sequence is full, and the last of it closed at powers of two.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -31,6 +32,94 @@ END_ID = 1
 _PLAIN = re.compile(rf"[{LETTERS}0-9{PUNCTUATION} \t-\r]*\Z")
 _MATCH = re.compile(rf"[{LETTERS}]+|[0-9]|[{PUNCTUATION}]+")
 
+# The classes of a plain text's Latin-1 bytes: white space, letters, punctuation, digits.
+_DIGIT = 3
+_CLASSES = np.zeros(256, np.uint8)
+for _kind, _letters in enumerate((LETTERS, PUNCTUATION, "0-9"), 1):
+    _CLASSES[[b for b in range(256) if re.match(f"[{_letters}]", chr(b))]] = _kind
+# What of 8 bytes, loaded little-endian, belongs to a word with so many left.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+#: Slots of the table of words in one worker, the longest word in it, and the words looked up at a time.
+TABLE_SLOTS = 1 << 18
+TABLE_BYTES = 16
+TABLE_RUN = 1 << 15
+
+
+class WordTable:
+    """Ids of short Latin-1 words, looked up many at a time; a word has one slot, and keeps it against one other word once it was met again.
+
+    A word's 16 bytes are its key, so an entry is right or another word's, never
+    nearly right. Memory is fixed: some 82 bytes for each slot.
+    """
+
+    def __init__(self, encode_word, encode_long) -> None:
+        #: The ids of a word as a list, and of one over TABLE_BYTES.
+        self.encode_word, self.encode_long = encode_word, encode_long
+        self.low, self.high = np.zeros(TABLE_SLOTS, np.uint64), np.zeros(TABLE_SLOTS, np.uint64)
+        self.counts, self.met = np.zeros(TABLE_SLOTS, np.uint8), np.zeros(TABLE_SLOTS, bool)
+        self.ids = np.zeros((TABLE_SLOTS, TABLE_BYTES), np.uint32)
+        self.shift = np.uint64(64 - (TABLE_SLOTS.bit_length() - 1))
+
+    def run(self, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, and how many are each one's; data ends with TABLE_BYTES others."""
+        words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        low = words[starts] & _MASKS[np.minimum(sizes, 8)]
+        high = words[starts + 8] & _MASKS[np.clip(sizes - 8, 0, 8)]
+        mixed = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        slots = ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+        long = sizes > TABLE_BYTES
+        counts, ids = self.counts[slots].astype(np.int64), self.ids[slots]
+        known = (self.low[slots] == low) & (self.high[slots] == high)
+        self.met[slots[known]] = True
+        missing = np.flatnonzero(~(known | long))
+        if len(missing):
+            new: dict[bytes, list[int]] = {}
+            found = []
+            for a, n in zip(starts[missing].tolist(), sizes[missing].tolist()):
+                word = data[a : a + n]
+                if word not in new:
+                    new[word] = self.encode_word(word.decode("latin-1"))
+                found.append(new[word])
+            counts[missing] = np.fromiter(map(len, found), np.int64, len(found))
+            rows = np.zeros((len(found), TABLE_BYTES), np.uint32)
+            rows[np.arange(TABLE_BYTES) < counts[missing, None]] = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
+            ids[missing] = rows
+            # Of the words that come to one slot here, one for all columns.
+            at, first = np.unique(slots[missing], return_index=True)
+            free = ~self.met[at]
+            self.met[at] = False
+            at, first = at[free], first[free]
+            self.low[at], self.high[at] = low[missing[first]], high[missing[first]]
+            self.counts[at], self.ids[at] = counts[missing[first]], rows[first]
+        counts[long] = 0
+        flat = ids[np.arange(TABLE_BYTES) < counts[:, None]]
+        if long.any():
+            where, before = np.flatnonzero(long), np.cumsum(counts)
+            found = [self.encode_long(data[a : a + n].decode("latin-1")) for a, n in zip(starts[where].tolist(), sizes[where].tolist())]
+            counts[where] = [len(x) for x in found]
+            flat = np.insert(flat, np.repeat(before[where], counts[where]), np.concatenate(found))
+        return flat, counts
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each plain text in lower case; the arrays are parts of one."""
+        parts = [t.encode("latin-1") for t in texts]
+        begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        data = b"\n".join([*parts, bytes(TABLE_BYTES)])
+        kinds = _CLASSES[np.frombuffer(data, np.uint8)]
+        bounds = np.flatnonzero((kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)) + 1
+        bounds = np.concatenate([[0], bounds, [len(data)]])
+        words = kinds[bounds[:-1]] > 0
+        starts, sizes = bounds[:-1][words], np.diff(bounds)[words]
+        found = [self.run(data, starts[i : i + TABLE_RUN], sizes[i : i + TABLE_RUN]) for i in range(0, len(starts), TABLE_RUN)]
+        if not found:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        ids, counts = zip(*found)
+        before = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        ends = before[np.searchsorted(starts, begins)]
+        ids = np.concatenate(ids)
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
 
 class WordBpe:
     """Ids of a tokenizers file whose pre-tokeniser drops white space; words are encoded once and looked up."""
@@ -47,10 +136,16 @@ class WordBpe:
         self.apart = not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
         self.table = {b: ord(c) for b, c in enumerate(byte_table())}
         self.cache = PieceCache(self.encode_piece)
+        self.words = WordTable(self.encode_match, lambda word: self.cache.encode([word]))
+
+    def encode_match(self, piece: str) -> list[int]:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.table)
+        return [t.id for t in self.model.tokenize(piece)]
 
     def encode_piece(self, piece: str) -> list[int]:
         if _MATCH.fullmatch(piece):
-            return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+            return self.encode_match(piece)
         return self.whole.encode(piece, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str]:
@@ -76,8 +171,13 @@ class WordBpe:
                 out.append(p)
         return out
 
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [self.apart and bool(_PLAIN.match(t)) and not (self.added and self.added.search(t)) for t in texts]
+        found = iter(self.words.encode([t.lower() for t, p in zip(texts, plain) if p]))
+        return [next(found) if p else self.cache.encode(self.pieces(t)) for t, p in zip(texts, plain)]
+
     def encode(self, text: str) -> np.ndarray:
-        return self.cache.encode(self.pieces(text))
+        return self.encode_all([text])[0]
 
 
 _coders: dict[int, WordBpe] = {}
@@ -194,8 +294,9 @@ def pack_documents(
             id_type = batch.schema.field(0).type
             for docs, texts in batch_slices(batch):
                 placed = []
-                for doc, text in zip(docs, texts):
-                    ids = np.append(bpe.encode(text), np.uint32(end_id)).astype("<u4")
+                for doc, ids in zip(docs, bpe.encode_all(texts)):
+                    # A copy: what the filler holds must not keep the ids of the whole slice.
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     at = 0
                     for n in cuts(len(ids), capacity, min_cut):
                         placed += filler.put((doc, at, ids[at : at + n], len(ids)))
