@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wardspan.operators import models, networks
 from wardspan.operators.networks import Layer, Network, Plan, State
+from wardspan.plans import scores
 
 
 def small_plan(**kw):
@@ -163,3 +164,14 @@ def test_one_vector_moves_as_single_parameters_do():
 
 def test_rows_of_a_large_table_are_dealt_to_as_many_tasks_as_cores():
     assert 250_000 / networks.TASK_ROWS >= 12
+
+
+def test_the_query_boosts_in_as_many_rounds_as_published(spark, small, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    fit, told = GBTClassifier.fit, []
+    plan = models.networks.endpoint_plan(63)
+    monkeypatch.setattr(models.networks, "endpoint_plan", lambda n: Plan(plan.layers, epochs=1))
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df: told.append((self.getMaxIter(), self.getMaxDepth(), self.getStepSize())) or fit(self.copy({self.maxIter: 1}), df))
+    scores.boosted_score(spark, small)
+    assert told == [(200, 6, 0.05)]
