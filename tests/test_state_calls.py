@@ -96,3 +96,38 @@ def test_alerts_take_two_calls():
     rows = pd.DataFrame({"user": "u", "alert_type": "a", "severity": "High", "event_id": "1", "at": np.arange(n) * 10 * 60_000_000, "tie": 0, "is_change": False, "active": True, "alert_id": range(n)})
     fired = pd.concat(state.handleInputRows(("u", "a"), iter([rows]), Clock()))
     assert fired["alert_id"].tolist() == list(range(0, n, 7)) and handle.n <= 2
+
+
+def test_a_users_numbers_and_keys_take_two_calls():
+    handle = Calls()
+    user = arrivals.UserHistory([], 24, 500)
+    user.init(handle)
+    for k in range(3):
+        at = k * 100 * arrivals.HOUR + np.arange(20)
+        rows = pd.DataFrame({"user": "u", "at": at, "tie": range(20), "event": "{}", "counts": [np.ones(1, np.int64)] * 20, "keys": [["a", "1", "US"]] * 20})
+        before, out = handle.n, next(user.handleInputRows(("u",), iter([rows]), Clock()))
+        assert [x[0] for x in out["told"]] == list(range(20 * k + 1, 20 * k + 21)) and sum(x[1] for x in out["told"]) == (k == 0)
+        assert handle.n - before <= 6  # the total with the keys, two; blocks, their times and their timer, up to four
+
+
+def test_alerts_of_many_users_share_a_state_and_are_apart():
+    def rows_of(user, kind, minutes, first):
+        at = np.array(minutes, np.int64) * 60_000_000
+        return pd.DataFrame({"user": user, "alert_type": kind, "severity": "High", "event_id": "1", "at": at, "tie": 0, "is_change": False, "active": True, "alert_id": range(first, first + len(at))})
+
+    class Later(Clock):
+        getCurrentProcessingTimeInMs = lambda self: 2000
+
+    handle = Calls()
+    state = arrivals.RecentAlerts(60 * 60_000_000, 1000)
+    state.init(handle)
+    one = pd.concat([rows_of("u", "a", [0, 30, 61], 0), rows_of("v", "a", [10, 60], 10), rows_of("u", "b", [70], 20), rows_of(None, "a", [5, 6], 30)], ignore_index=True).sample(frac=1, random_state=1)
+    fired = next(state.handleInputRows((7,), iter([one.reset_index(drop=True)]), Clock()))
+    assert sorted(fired["alert_id"]) == [0, 2, 10, 20, 30] and handle.n == 2
+    two = pd.concat([rows_of("u", "a", [100, 122], 3), rows_of("v", "a", [70, 71], 12)], ignore_index=True)
+    two.loc[len(two)] = {"user": "u", "alert_type": "a", "at": 110 * 60_000_000, "tie": 0, "is_change": True, "active": False, "alert_id": 2}
+    two.loc[len(two)] = {**rows_of("u", "a", [111], 5).iloc[0]}
+    fired = next(state.handleInputRows((7,), iter([two]), Clock()))
+    assert sorted(fired["alert_id"]) == [5, 13] and handle.n == 4
+    assert next(state.handleInputRows((7,), iter([rows_of("u", "b", [71], 21)]), Later()))["alert_id"].tolist() == [21]  # what was idle is gone
+    assert handle.states["alerts"].kept[()][3] == [21]
