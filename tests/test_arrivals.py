@@ -100,6 +100,35 @@ def test_a_state_to_begin_with(spark, tmp_path):
     assert told(out) == {i: want[i] for i in range(70, 120)}
 
 
+def test_scores_join_before_the_state_and_deal_no_event_out_again(spark, tmp_path):
+    """Users with no score, a null or several ones; events go out by their key and by user, and nothing after the state moves them."""
+    rows = made(60, 4, users=5)
+    want = loop(rows, 500)
+    source, kept = str(tmp_path / "in"), str(tmp_path / "kept")
+    put(spark, rows, source)
+    of = {"u0": [0.1], "u1": [None], "u2": [0.5, 0.75], "u3": [float("inf")], None: [0.9]}
+    scores = spark.createDataFrame([(u, s) for u, all_ in of.items() for s in all_], "user string, ae_live double")
+    out = streams.ingest_stream(stream_of(spark, source), kept, scores)
+    assert told(out) == want
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r["event_id"]].append(r["ae_live"])
+    assert {i: sorted(s, key=str) for i, s in got.items()} == {i: of.get(want[i][0], [None]) for i in want}
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with arrivals.keyed_state(spark):
+            stream = arrivals.scored(stream_of(spark, source), scores)
+            query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "plan")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            plan = query._jsq.explainInternal(False)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    after, before = plan.split("TransformWithStateInPySpark")
+    assert "Exchange" not in after and before.count("Exchange hashpartitioning(user") == 2  # events, and the scores
+
+
 def test_events_without_an_id_or_a_time_of_arrival(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = [(None, *raw_of(0, "u", BEGIN, "Read")[1:], None)] * 5 + [(7, *raw_of(7, "u", BEGIN, "Read")[1:], None)] * 3 + [(8, "nowhere", "{}", None)]
