@@ -2,10 +2,11 @@
 
 import datetime
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from wardspan.operators import alerts, history
+from wardspan.operators import alerts, cuts, history
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -89,3 +90,30 @@ def test_seen_keys_take_one_join(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
     assert out.filter("first_time_action").count() == 50 and history.first_time_action(rows, 6 + 1).filter("first_time_action").count() == 7
+
+
+def test_suppression_moves_rows_by_day_and_by_stretch_only(spark, monkeypatch):
+    """Rows that come twice, null keys, null times and several states against a loop; the rows go out twice, the others are a day's times and sums."""
+    cut_plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(alerts, "cut", lambda df: cut_plans.append(plan(df)) or cuts.cut(df))
+    rng = random.Random(9)
+    once = [
+        (i % 90, rng.choice(["a", "b", None]), None if rng.random() < 0.05 else DAY + datetime.timedelta(minutes=rng.randrange(0, 6000, 20)), rng.choice(["x", None]), alerts.STATUSES[i % 90 % 4])
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(once + once, "event_id int, user string, event_ts timestamp_ntz, alert_type string, status string").repartition(5)
+    for status in (None, "status"):
+        out = alerts.suppress(df, status=status)
+        assert out.columns == [*df.columns, "fired"]
+        want, last = Counter(), {}
+        for i, user, ts, kind, state in sorted(once + once, key=lambda r: (r[2] or datetime.datetime.min, r[0])):
+            before = last.get((user, kind))
+            if before is None or (ts or datetime.datetime.min) - before > datetime.timedelta(minutes=60):
+                want[i, user, ts, kind] += 1
+                if status is None or state not in alerts.TERMINAL:
+                    last[user, kind] = ts or datetime.datetime.min
+        assert Counter((r["event_id"], r["user"], r["event_ts"], r["alert_type"]) for r in out.filter("fired").collect()) == want
+        moves = [line for line in plan(out).splitlines() if "Exchange" in line]
+        assert sum("(stretch_" in m for m in moves) == 1 and sum("(of_" in m and "day_" in m for m in moves) == 3 and len(moves) == 5
+    assert all(p.count("Exchange") == 1 for p in cut_plans) and len(cut_plans) == 2  # the repartition above
