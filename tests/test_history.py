@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from wardspan.operators import alerts, cuts, history
+from wardspan.operators import alerts, cuts, history, ingest
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -117,3 +117,20 @@ def test_suppression_moves_rows_by_day_and_by_stretch_only(spark, monkeypatch):
         moves = [line for line in plan(out).splitlines() if "Exchange" in line]
         assert sum("(stretch_" in m for m in moves) == 1 and sum("(of_" in m and "day_" in m for m in moves) == 3 and len(moves) == 5
     assert all(p.count("Exchange") == 1 for p in cut_plans) and len(cut_plans) == 2  # the repartition above
+
+
+def test_scored_events_are_joined_with_a_narrow_history_by_row(spark, monkeypatch):
+    """Repeated and missing ids and a missing time are events of their own; the history moves and is kept without what it doesn't need."""
+    held = []
+    monkeypatch.setattr(history, "cut", lambda df: held.append(df.columns) or cuts.cut(df))
+    day = datetime.datetime(2024, 3, 4, 9)
+    told = [(1, day, "Read"), (1, day + datetime.timedelta(hours=1), "read "), (2, day + datetime.timedelta(hours=2), "Write"), (None, day + datetime.timedelta(hours=3), "Write"), (None, day + datetime.timedelta(hours=28), "Delete"), (5, None, "Read")]
+    text = lambda at, action: f'{{"createdDateTime": "{at.isoformat() if at else ""}", "userPrincipalName": "u", "appDisplayName": "{action}", "resourceDisplayName": "hr/x", "location": "DE"}}'
+    raw = spark.createDataFrame([(i, "azure_ad", text(at, action)) for i, at, action in told], "event_id long, source string, raw string")
+    out = ingest.scored(ingest.stored(raw)).collect()
+    got = sorted((r["total_events"], r["event_id"], r["action"], r["first_time_action"], r["geo_rarity"], r["events_in_window"], r["metadata"]["country"]) for r in out)
+    assert got == [
+        (1, 5, "Read", True, True, 1, "DE"), (2, 1, "Read", False, False, 1, "DE"), (3, 1, "read ", False, False, 2, "DE"),
+        (4, 2, "Write", True, False, 3, "DE"), (5, None, "Write", False, False, 4, "DE"), (6, None, "Delete", True, False, 1, "DE"),
+    ]
+    assert len(held) == 1 and not {"metadata", "resource", "timestamp", "usb_events"} & set(held[0])
